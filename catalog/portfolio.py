@@ -226,7 +226,7 @@ METRICS = """avg(CASE WHEN y_pred = {label} THEN 1.0::DOUBLE ELSE 0 END) AS accu
 
 
 def _hash(*parts: str) -> str:
-    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15) AS BIGINT)"
 
 
 RANKED = f"SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {RET} DESC NULLS LAST, date, symbol) AS best FROM sig"

@@ -1,0 +1,18 @@
+"""Join strategies that depend on a checked size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+BROADCAST_ROWS = 250_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a table of a few narrow columns for broadcast if it has at most ``rows`` rows.
+
+    A larger one is marked for a shuffled hash join. Either way the other side is never
+    broadcast, whose size the optimizer misjudges after an explode. The check runs a
+    bounded count, so pass a checkpointed or otherwise cheap table.
+    """
+    small = df.limit(rows + 1).count() <= rows
+    return df.hint("broadcast" if small else "shuffle_hash")

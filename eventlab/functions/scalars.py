@@ -63,9 +63,9 @@ def lookup_ticker(ticker: Column) -> Column:
 
 
 def hash_int(*parts: Column) -> Column:
-    """A 32-bit number from md5, the same on every engine and for every partitioning."""
+    """A 60-bit number from md5, the same on every engine and for every partitioning."""
     digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def run_id(timestamp: Column) -> Column:

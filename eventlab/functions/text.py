@@ -114,7 +114,7 @@ CONSONANTS = "bcdfghjklmnpqrstvwxz"
 
 def spelled_words(text: Column) -> Column:
     """The text's words in lower-case letters, each between two blanks of its own."""
-    letters = F.regexp_replace(F.lower(text), r"[^a-z \t\r\n]", "")
+    letters = F.regexp_replace(F.lower(text), r"[^a-z \t\r\n]+", "")
     return F.concat(F.lit(" "), F.regexp_replace(letters, r"[ \t\r\n]+", "  "), F.lit(" "))
 
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import broadcast_if_small
 from ..functions.ordering import number_rows
 from ..functions.scalars import hash_int
 from ..schemas import KPIS, RETURN
@@ -35,15 +36,17 @@ def bootstrap_trades(
     numbered = number_rows(slim, keys, bucket, ["date", "symbol"], "draw").withColumn("draw", F.col("draw") - 1)
     sizes = trades.groupBy(*keys).agg(F.count("*").alias("_size"))
     slots = trades.sparkSession.sparkContext.defaultParallelism
+    # Never NULL, and known to be: else the join would test it first and hash every draw twice.
+    pick = F.coalesce(hash_int(F.lit(seed), F.col("rep"), F.col("draw")) % F.col("_size"), F.lit(0))
     drawn = (
         numbered.select(*keys, "draw")
         .join(sizes, keys)
         # Few rows become reps times as many: spread them first.
         .repartition(slots, *keys, "draw")
         .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-        .select(*keys, "rep", (hash_int(F.lit(seed), F.col("rep"), F.col("draw")) % F.col("_size")).alias("draw"))
+        .select(*keys, "rep", pick.alias("draw"))
     )
-    return drawn.join(numbered, [*keys, "draw"])
+    return drawn.join(broadcast_if_small(numbered), [*keys, "draw"])
 
 
 def bootstrap_kpis(
