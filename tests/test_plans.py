@@ -72,7 +72,7 @@ def test_trades_are_summed_before_any_window(spark, tmp_path):
 
 def test_top_trades_are_limited_before_the_shuffle(spark, tmp_path):
     trades = panel_files(spark, tmp_path).select(
-        F.lit("r").alias("run_id"), "symbol", "date", F.col("close").alias("target_t1_close_ret")
+        F.concat(F.lit("r"), "volume").alias("run_id"), "symbol", "date", F.col("close").alias("target_t1_close_ret")
     )
     assert "WindowGroupLimit" in plan(PO.best_trades(trades, 5)) and "Partial" in plan(PO.best_trades(trades, 5))
 
