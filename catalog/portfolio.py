@@ -68,7 +68,7 @@ def backtest_kpis(spark, sf):
 
 def event_backtest(spark, sf):
     """One run per sector, and a run whose score never signals."""
-    rows = _test(spark, sf)
+    rows = _cut(_test(spark, sf))
     silent = rows.withColumns({"run_id": F.lit("silent"), "y_pred_proba": F.lit(0.0)})
     return tidy(B.event_backtest(rows.withColumn("run_id", F.col("sector")).unionByName(silent), cap=0.2))
 
@@ -107,7 +107,7 @@ def threshold_sweep(spark, sf):
 
 
 def target_execution_alignment(spark, sf):
-    return tidy(B.target_execution_alignment(_test(spark, sf)))
+    return tidy(B.target_execution_alignment(_cut(_test(spark, sf))))
 
 
 def tranche_slots(spark, sf):

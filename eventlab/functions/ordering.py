@@ -25,7 +25,7 @@ def number_rows(
 ) -> DataFrame:
     """Number the rows of each group 1..n, and fetch columns of the row before.
 
-    ``bucket`` must not decrease along the group's order; ``order`` sorts the rows of
+    ``bucket`` must not decrease along the group's order nor be NULL; ``order`` sorts the rows of
     a bucket and must be total. Keys must not be NULL. With ``previous`` the result has
     a struct ``prev`` of those columns, NULL in the first row.
     """
@@ -62,12 +62,13 @@ def value_bucket(value: Column, step: float = 1e-2) -> Column:
     return F.when(size < 10, F.floor(value / step)).otherwise(beyond).cast("bigint")
 
 
-def percent_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """One row per distinct (keys, value) with its average-tie rank over the non-null count.
+def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """One row per distinct (keys, value) with its place in the sorted group.
 
-    Ties are counted before anything is shuffled by value, so a value shared by much of
-    a group costs one row. A bucket holds few distinct values if they are rounded
-    (a 0.01 wide bucket has at most ten million values of nine decimals).
+    ``_before`` rows of the group are smaller, ``_n`` rows are equal, of ``_total`` with a
+    value. Ties are counted before anything is shuffled by value, so a value shared by much
+    of a group costs one row. A bucket holds few distinct values if they are rounded (a 0.01
+    wide bucket has at most ten million values of nine decimals).
     """
     keys = list(keys)
     # The filter on the bucket is the one its join below implies; written here it keeps
@@ -85,7 +86,7 @@ def percent_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
         .agg(F.sum("_n").alias("_size"))
         .withColumns(
             {
-                "_before": F.coalesce(F.sum("_size").over(across), F.lit(0)),
+                "_lower": F.coalesce(F.sum("_size").over(across), F.lit(0)),
                 "_total": F.sum("_size").over(W.partitionBy(*keys)),
             }
         )
@@ -95,9 +96,32 @@ def percent_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
     return (
         counted.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
         .join(offsets, [*keys, "_bucket"])
-        .select(
-            *keys,
-            value,
-            ((F.col("_before") + F.col("_inside") + (F.col("_n") + 1) / 2) / F.col("_total")).alias(out),
-        )
+        .select(*keys, value, (F.col("_lower") + F.col("_inside")).alias("_before"), "_n", "_total")
     )
+
+
+def percent_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Average-tie rank over the non-null count, one row per distinct (keys, value)."""
+    rank = (F.col("_before") + (F.col("_n") + 1) / 2) / F.col("_total")
+    return value_positions(df, keys, value).select(*keys, value, rank.alias(out))
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """Exact percentiles with linear interpolation: ``(keys, p)``, p an array in the order of ``shares``.
+
+    Spark's own exact percentile gathers a group's values in one task; this one only
+    gathers the two neighbours of each wanted place.
+    """
+    placed = value_positions(df, keys, value)
+    wanted = []
+    for share in shares:
+        place = share * (F.col("_total") - 1)
+
+        def value_at(index: Column) -> Column:
+            here = (F.col("_before") <= index) & (index < F.col("_before") + F.col("_n"))
+            return F.max(F.when(here, F.col(value)))
+
+        low, high = value_at(F.floor(place)), value_at(F.ceil(place))
+        part = F.max(place - F.floor(place))
+        wanted.append(low + (high - low) * part)
+    return placed.groupBy(*keys).agg(F.array(*wanted).alias("p"))

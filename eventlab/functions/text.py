@@ -71,9 +71,13 @@ def _restates(token: Column, given: Column) -> Column:
 
 def unmatched_numbers(text: Column, prompt: Column) -> Column:
     """Numbers of the text that restate no number of the prompt."""
-    given = extract_numbers(prompt)
-    invented = F.filter(number_tokens(text), lambda t: ~F.exists(given, lambda g: _restates(t, g)))
-    return F.transform(invented, lambda t: t.cast("double"))
+
+    def invented(both: Column) -> Column:
+        return F.filter(both["told"], lambda t: ~F.exists(both["given"], lambda g: _restates(t, g)))
+
+    # Bound to a lambda variable, the prompt's numbers are extracted once per row and not per number.
+    both = F.array(F.struct(number_tokens(text).alias("told"), extract_numbers(prompt).alias("given")))
+    return F.transform(F.get(F.transform(both, invented), F.lit(0)), lambda t: t.cast("double"))
 
 
 def sentences(text: Column) -> Column:

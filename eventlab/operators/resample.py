@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import broadcast_if_small
-from ..functions.ordering import number_rows
+from ..functions.ordering import number_rows, percentiles
 from ..functions.scalars import hash_int
 from ..schemas import KPIS, RETURN
 from .portfolio import COST, RUN, backtest_kpis
@@ -70,14 +70,10 @@ def confidence_interval(
     named = F.explode(
         F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
     )
-    bounds = F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail)))
-    return (
-        samples.select(*keys, named.alias("_m"))
-        .select(*keys, "_m.*")
-        .groupBy(*keys, "metric")
-        .agg(bounds.alias("_b"))
-        .select(*keys, "metric", F.col("_b")[0].alias("lower"), F.col("_b")[1].alias("upper"))
-        .withColumn("includes_zero", (F.col("lower") <= 0) & (F.col("upper") >= 0))
+    values = samples.select(*keys, named.alias("_m")).select(*keys, "_m.*")
+    bounds = percentiles(values, [*keys, "metric"], "value", (tail, 1 - tail))
+    return bounds.select(*keys, "metric", F.col("p")[0].alias("lower"), F.col("p")[1].alias("upper")).withColumn(
+        "includes_zero", (F.col("lower") <= 0) & (F.col("upper") >= 0)
     )
 
 

@@ -19,8 +19,11 @@ CONFIG = "map<string,string>"
 
 
 def _minute() -> Column:
-    """Runs are numbered inside the minutes of the log, so no history is one task's work."""
-    return F.floor(F.unix_seconds("timestamp") / 60)
+    """Runs are numbered inside the minutes of the log, so no history is one task's work.
+
+    Runs without a time come first, as in any ascending order.
+    """
+    return F.coalesce(F.floor(F.unix_seconds("timestamp") / 60), F.lit(-(2**62)))
 
 
 def config_map() -> Column:

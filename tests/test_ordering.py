@@ -6,7 +6,7 @@ from conftest import day
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventlab.functions.ordering import number_rows, percent_ranks, value_bucket
+from eventlab.functions.ordering import number_rows, percent_ranks, percentiles, value_bucket
 
 
 def skewed(spark, n=3000):
@@ -67,3 +67,14 @@ def test_ranks_survive_one_value_holding_a_third_of_the_rows(spark):
     tied = percent_ranks(hot, ["date"], "value", "rank").where("value = 0").first()["rank"]
     assert top == 1.0
     assert tied == (6667 + 1) / 2 / 20_000
+
+
+def test_percentiles_equal_numpy(spark):
+    import numpy as np
+
+    df = skewed(spark)
+    shares = (0.0, 0.025, 0.25, 0.5, 0.975, 1.0)
+    got = {r["grp"]: r["p"] for r in percentiles(df, ["grp"], "value", shares).collect()}
+    for group, part in df.toPandas().groupby("grp"):
+        expected = np.percentile(part["value"].dropna(), [100 * s for s in shares])
+        assert np.allclose(got[group], expected)
