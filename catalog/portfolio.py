@@ -231,7 +231,7 @@ def _hash(*parts: str) -> str:
 
 RANKED = f"SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {RET} DESC NULLS LAST, date, symbol) AS best FROM sig"
 DRAWS = {
-    "numbered": f"""SELECT date, symbol, {RET}, row_number() OVER (ORDER BY {_hash('symbol', 'date')} % 1024, date, symbol) - 1 AS draw,
+    "numbered": f"""SELECT date, symbol, {RET}, row_number() OVER (ORDER BY {_hash('symbol', 'date')} % 65536, date, symbol) - 1 AS draw,
         count(*) OVER () AS n FROM sig""",
     "resampled": f"""SELECT 'rule' AS run_id, rep, t.date, t.{RET} FROM
         (SELECT rep, {_hash('42', 'rep', 'draw')} % n AS pick FROM numbered CROSS JOIN range(0, {REPS}) r(rep))

@@ -2,8 +2,10 @@
 
 A plain window puts a whole group into one task. Where nothing bounds a group (a
 hot experiment, a trading day with most of the market in one sector), these
-helpers cut it into ordered buckets, work inside the buckets, and correct the
-result with a small per-bucket summary.
+helpers cut it into ordered parts, work inside the parts, and correct the result
+with a small summary per part. `number_rows` and `value_positions` cut at buckets
+that are known to be even (hashes, id ranges, rounded values) and stay lazy;
+`sort_rows` cuts at the ranges of a distributed sort, whatever the order is.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed
+
 
 def number_rows(
     df: DataFrame,
@@ -55,6 +59,52 @@ def number_rows(
     return out.select(*df.columns, number, *(["prev"] if previous else []))
 
 
+def sort_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows with ``_part`` and ``_pos``, their place in a sort by keys and order.
+
+    The sort cuts at sampled ranges, so a hot group and a hot stretch of it are spread too.
+    A checkpoint fixes the places: a lost executor cannot renumber the rows.
+    """
+    spread = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    fixed = checkpointed(spread.withColumn("_id", F.monotonically_increasing_id()))
+    places = {"_part": F.shiftright("_id", 33), "_pos": F.col("_id").bitwiseAND(F.lit(2**33 - 1))}
+    return fixed.withColumns(places).drop("_id")
+
+
+def number_sorted(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], number: str = "rn", previous: Sequence[str] = ()
+) -> DataFrame:
+    """As `number_rows`, for an order without known even buckets. ``order`` must be total."""
+    keys = list(keys)
+    placed = sort_rows(df, keys, order)
+    group = [*keys, "_part"]
+    summary = [F.count("*").alias("_n"), F.min("_pos").alias("_start")]
+    if previous:
+        summary.append(F.max_by(F.struct(*previous), "_pos").alias("_tail"))
+    across = W.partitionBy(*keys).orderBy("_part")
+    before = F.coalesce(F.sum("_n").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    carried = {"_shift": before - F.col("_start") + 1}
+    if previous:
+        carried["_carried"] = F.lag("_tail").over(across)
+    # At most one row per group and part.
+    parts = placed.groupBy(*group).agg(*summary).withColumns(carried)
+    if previous:
+        inside = W.partitionBy(*group).orderBy("_pos")
+        placed = placed.withColumn("_prev", F.lag(F.struct(*previous)).over(inside))
+    joined = _join_null_safe(placed, parts.drop("_n", *(["_tail"] if previous else [])), group)
+    out = joined.withColumn(number, (F.col("_pos") + F.col("_shift")).cast("bigint"))
+    if previous:
+        out = out.withColumn("prev", F.when(F.col("_pos") == F.col("_start"), F.col("_carried")).otherwise(F.col("_prev")))
+    return out.select(*df.columns, number, *(["prev"] if previous else []))
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join that keeps rows with NULL keys."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, same).drop(*[f"_r_{k}" for k in keys])
+
+
 def value_bucket(value: Column, step: float = 1e-2) -> Column:
     """Order-preserving bucket: ``step`` wide up to 10, and by relative size beyond."""
     size = F.abs(value)
@@ -109,19 +159,35 @@ def percent_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
     """Exact percentiles with linear interpolation: ``(keys, p)``, p an array in the order of ``shares``.
 
-    Spark's own exact percentile gathers a group's values in one task; this one only
-    gathers the two neighbours of each wanted place.
+    Spark's own exact percentile gathers a group's values in one task. Here the distinct
+    values are sorted over the cluster, and only the neighbours of each place are picked.
     """
-    placed = value_positions(df, keys, value)
+    keys = list(keys)
+    counted = df.na.drop(subset=[*keys, value]).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    placed = sort_rows(counted, keys, [value])
+    across = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = (
+        placed.groupBy(*keys, "_part")
+        .agg(F.sum("_n").alias("_size"))
+        .withColumns(
+            {
+                "_lower": F.coalesce(F.sum("_size").over(across), F.lit(0)),
+                "_total": F.sum("_size").over(W.partitionBy(*keys)),
+            }
+        )
+        .drop("_size")
+    )
+    inside = W.partitionBy(*keys, "_part").orderBy("_pos").rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("_lower") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    ranked = placed.join(parts, [*keys, "_part"]).withColumn("_before", before)
+
+    def value_at(index: Column) -> Column:
+        here = (F.col("_before") <= index) & (index < F.col("_before") + F.col("_n"))
+        return F.max(F.when(here, F.col(value)))
+
     wanted = []
     for share in shares:
         place = share * (F.col("_total") - 1)
-
-        def value_at(index: Column) -> Column:
-            here = (F.col("_before") <= index) & (index < F.col("_before") + F.col("_n"))
-            return F.max(F.when(here, F.col(value)))
-
         low, high = value_at(F.floor(place)), value_at(F.ceil(place))
-        part = F.max(place - F.floor(place))
-        wanted.append(low + (high - low) * part)
-    return placed.groupBy(*keys).agg(F.array(*wanted).alias("p"))
+        wanted.append(low + (high - low) * F.max(place - F.floor(place)))
+    return ranked.groupBy(*keys).agg(F.array(*wanted).alias("p"))

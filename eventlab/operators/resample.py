@@ -14,7 +14,7 @@ from ..functions.scalars import hash_int
 from ..schemas import KPIS, RETURN
 from .portfolio import COST, RUN, backtest_kpis
 
-TRADE_BUCKETS = 1024
+TRADE_BUCKETS = 65536
 
 
 def bootstrap_trades(
@@ -88,8 +88,8 @@ def exposure_matched_trades(
         .withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
         .withColumn("_draw", F.md5(F.concat_ws("|", "seed", "date", "symbol")))
     )
-    # The first two digits of a uniform hash cut a day into 256 equal, ordered parts.
-    bucket = F.substring("_draw", 1, 2)
+    # The first three digits of a uniform hash cut a day into 4096 equal, ordered parts.
+    bucket = F.substring("_draw", 1, 3)
     ranked = number_rows(pool, [*keys, "seed", "date"], bucket, ["_draw", "symbol"], "_place")
     return ranked.where(F.col("_place") <= F.col("_wanted")).drop("_place", "_wanted", "_draw")
 

@@ -11,28 +11,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import number_rows
+from ..functions.ordering import number_sorted
 from ..schemas import KPIS, LOG_METRICS
 
 HISTORY = ("experiment",)
 CONFIG = "map<string,string>"
 
 
-def _minute() -> Column:
-    """Runs are numbered inside the minutes of the log, so no history is one task's work.
-
-    Runs without a time come first, as in any ascending order.
-    """
-    return F.coalesce(F.floor(F.unix_seconds("timestamp") / 60), F.lit(-(2**62)))
-
-
 def config_map() -> Column:
     return F.from_json(F.coalesce("config_json", F.lit("{}")), CONFIG)
 
 
 def run_labels(log: DataFrame, keys: Sequence[str] = HISTORY) -> DataFrame:
     """``Run 1``, ``Run 2``, ... in order of time within each history."""
-    numbered = number_rows(log, keys, _minute(), ["timestamp", "run_id"], "run_number")
+    numbered = number_sorted(log, keys, ["timestamp", "run_id"], "run_number")
     return numbered.withColumn("run_label", F.concat(F.lit("Run "), F.col("run_number").cast("string")))
 
 
@@ -66,7 +58,7 @@ def report_table(log: DataFrame, keys: Sequence[str] = HISTORY, names: Sequence[
 def config_diff(log: DataFrame, keys: Sequence[str] = HISTORY) -> DataFrame:
     """Per run after the first: changed config keys (old, new) and the metrics' moves."""
     carried = ["config_json", *LOG_METRICS]
-    rows = number_rows(log, keys, _minute(), ["timestamp", "run_id"], "run_number", carried)
+    rows = number_sorted(log, keys, ["timestamp", "run_id"], "run_number", carried)
     rows = rows.where(F.col("run_number") > 1)
     before = F.from_json(F.coalesce("prev.config_json", F.lit("{}")), CONFIG)
     both = F.map_zip_with(before, config_map(), lambda _, old, new: F.struct(old.alias("old"), new.alias("new")))

@@ -22,6 +22,7 @@ SPLIT_DATE = dt.date(2000, 1, 1)
 VALIDATION_DATE = dt.date(1999, 1, 1)
 ADJUSTED_SINCE = dt.date(1998, 1, 1)
 THRESHOLD = 0.07
+SYMBOL_RANGE = 65536
 RULE_WEIGHTS = {"surprise_pct": 1 / 20, "return_60d": 5.0, "sector_rank_60d": 1.0}
 
 
@@ -155,8 +156,9 @@ def membership(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
             )
         ),
     ).where(F.col("date").isNotNull())
-    # The place in the list: days are numbered with their counts, tickers inside a day.
-    listed = number_rows(events, [], -F.unix_date("date"), ["symbol", "op"], "seq")
+    # The place in the list. A bucket is a day and a range of symbols, as many days are busy.
+    bucket = F.struct((-F.unix_date("date")).alias("day"), F.floor(symbol / SYMBOL_RANGE).alias("range"))
+    listed = number_rows(events, [], bucket, ["symbol", "op"], "seq")
     changes = listed.select(
         "seq",
         "date",

@@ -6,7 +6,7 @@ from conftest import day
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventlab.functions.ordering import number_rows, percent_ranks, percentiles, value_bucket
+from eventlab.functions.ordering import number_rows, number_sorted, percent_ranks, percentiles, value_bucket
 
 
 def skewed(spark, n=3000):
@@ -78,3 +78,26 @@ def test_percentiles_equal_numpy(spark):
     for group, part in df.toPandas().groupby("grp"):
         expected = np.percentile(part["value"].dropna(), [100 * s for s in shares])
         assert np.allclose(got[group], expected)
+
+
+def test_number_sorted_equals_a_plain_window(spark):
+    df = skewed(spark).withColumn("grp", F.when(F.col("grp") != "g1", F.col("grp")))
+    got = number_sorted(df, ["grp"], ["at", "id"], "rn", ["id"])
+    order = W.partitionBy("grp").orderBy("at", "id")
+    expected = df.withColumn("rn", F.row_number().over(order)).withColumn("prev_id", F.lag("id").over(order))
+    flat = got.select("id", "rn", F.col("prev.id").alias("prev_id"))
+    assert flat.exceptAll(expected.select("id", "rn", "prev_id")).count() == 0
+    assert flat.count() == df.count()
+
+
+def test_a_sort_spreads_one_hot_group(spark):
+    from eventlab.functions.ordering import sort_rows
+
+    hot = spark.range(20_000).select(F.lit("one").alias("grp"), F.col("id").alias("at"), F.lit(0).alias("same"))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # would join parts this small again
+    spark.conf.set(coalesce, "false")
+    try:
+        sizes = [r["count"] for r in sort_rows(hot, ["grp", "same"], ["at"]).groupBy("_part").count().collect()]
+    finally:
+        spark.conf.set(coalesce, "true")
+    assert len(sizes) > 1 and max(sizes) < 15_000
