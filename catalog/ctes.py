@@ -24,7 +24,7 @@ CTES: dict[str, str] = {
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "panel": "SELECT px.*, sector FROM px JOIN meta USING (symbol)",
     "quarters": f"""SELECT l_suppkey AS symbol, year(l_shipdate) * 4 + quarter(l_shipdate) AS quarter,
-        {_r("avg(l_extendedprice * (1 - l_discount)) / 10000")} AS eps, CAST(min(l_shipdate) AS DATE) AS date
+        {_r("CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round((1 - l_discount) * 100) AS BIGINT)) AS DOUBLE) / count(*) / 1e8")} AS eps, CAST(min(l_shipdate) AS DATE) AS date
         FROM lineitem GROUP BY 1, 2""",
     "earn": """SELECT symbol, date, eps_estimate, reported_eps,
         100 * ((reported_eps - eps_estimate) / abs(eps_estimate)) AS surprise_pct FROM (

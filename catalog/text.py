@@ -203,11 +203,11 @@ def _readability(text: str) -> str:
 
 EASE = "206.835::DOUBLE - 1.015::DOUBLE * (words::DOUBLE / nullif(sentences, 0)) - 84.6::DOUBLE * (syllables::DOUBLE / nullif(words, 0))"
 GRADE = "0.39::DOUBLE * (words::DOUBLE / nullif(sentences, 0)) + 11.8::DOUBLE * (syllables::DOUBLE / nullif(words, 0)) - 15.59::DOUBLE"
-N = "CASE WHEN {0} IS NULL THEN 'unknown' ELSE printf('%.6f', round({0}, 6) + 0.0::DOUBLE) END"
+N = "CASE WHEN {0} IS NULL THEN 'unknown' ELSE printf('%.6f', floor({0} * 1e6 + 0.5) / 1e6) END"
 CONFIDENCE = "CASE WHEN y_pred = 1 THEN y_pred_proba ELSE 1 - y_pred_proba END"
 LABEL = "CASE WHEN y_pred = 1 THEN 'Spike' ELSE 'No Spike' END"
 RECOMMENDED = f"""SELECT symbol AS ticker, date AS as_of_date, sector, y_pred AS predicted_class, {LABEL} AS predicted_label,
-    {CONFIDENCE} AS confidence, CAST(round(({CONFIDENCE}) * 100, 0) AS BIGINT) || '%' AS percent,
+    {CONFIDENCE} AS confidence, CAST(floor(({CONFIDENCE}) * 100 + 0.5) AS BIGINT) || '%' AS percent,
     eps_estimate, reported_eps, surprise_pct, return_60d, sector_rank_60d,
     target_t1_close_ret AS close_ret, target_t1_high_ret AS high_ret FROM scored"""
 LATEST = """SELECT * FROM recommended QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY as_of_date DESC) = 1"""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import pivot_struct
+from ..functions.scalars import pivot_struct, to_places
 from ..schemas import FEATURES, RETURN, target
 from .events import latest_event, next_upcoming, scenario_grid
 from .models import Model, score
@@ -159,12 +159,12 @@ def attribution_rank(df: DataFrame, keys: Sequence[str] = ("symbol", "date")) ->
 
 
 def _percent(value: Column) -> Column:
-    return F.concat(F.round(value * 100, 0).cast("bigint").cast("string"), F.lit("%"))
+    return F.concat(F.floor(value * 100 + 0.5).cast("string"), F.lit("%"))
 
 
 def _number(value: Column) -> Column:
     """Plain decimal notation with six places, or ``unknown``."""
-    text = F.format_string("%.6f", F.round(value, 6) + F.lit(0.0))
+    text = F.format_string("%.6f", to_places(value, 6))
     return F.when(value.isNotNull(), text).otherwise(F.lit("unknown"))
 
 

@@ -99,9 +99,10 @@ def fallback_metadata(spark: SparkSession, sf: str) -> DataFrame:
 def earnings(spark: SparkSession, sf: str) -> DataFrame:
     """Quarterly events: the estimate and the report are the averages of earlier quarters.
 
-    The last quarter of a symbol is not reported yet.
+    The last quarter of a symbol is not reported yet. Values are summed as whole hundredths
+    of cents, so that the average does not depend on the order of the rows.
     """
-    value = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    value = F.round(F.col("l_extendedprice") * 100).cast("bigint") * F.round((1 - F.col("l_discount")) * 100).cast("bigint")
     day = F.to_date("l_shipdate")
     quarters = (
         table(spark, sf, "lineitem")
@@ -112,7 +113,7 @@ def earnings(spark: SparkSession, sf: str) -> DataFrame:
             value.alias("value"),
         )
         .groupBy("symbol", "quarter")
-        .agg(to_places(F.avg("value") / 10000, 6).alias("eps"), F.min("date").alias("date"))
+        .agg(to_places(F.sum("value") / F.count("value") / 1e8, 6).alias("eps"), F.min("date").alias("date"))
     )
     # One row per quarter and symbol.
     in_order = W.partitionBy("symbol").orderBy("quarter")
