@@ -49,7 +49,8 @@ def number_rows(
         carried["_carried"] = F.lag("_tail").over(across)
     offsets = sizes.withColumns(carried).drop("_n", "_tail")
 
-    numbered = cut.withColumn("_rn", F.row_number().over(inside))
+    # Said outright: rows already hashed by the keys alone would satisfy the window uncut.
+    numbered = cut.repartition(*keys, "_bucket").withColumn("_rn", F.row_number().over(inside))
     if previous:
         numbered = numbered.withColumn("_prev", F.lag(F.struct(*previous)).over(inside))
     joined = numbered.join(offsets, [*keys, "_bucket"])
@@ -144,7 +145,9 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     return (
-        counted.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        # Said outright, as rows hashed by the keys alone would satisfy the window uncut.
+        counted.repartition(*keys, "_bucket")
+        .withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
         .join(offsets, [*keys, "_bucket"])
         .select(*keys, value, (F.col("_lower") + F.col("_inside")).alias("_before"), "_n", "_total")
     )

@@ -87,3 +87,13 @@ def test_latest_rows_need_no_window(spark, tmp_path):
 def test_no_python_in_the_feature_plan(spark, small_dir):
     text = plan(K.features(spark, small_dir))
     assert "Python" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_buckets_are_cut_even_if_rows_are_hashed_by_the_key(spark, tmp_path):
+    from eventlab.functions.ordering import number_rows, percent_ranks
+
+    hashed = panel_files(spark, tmp_path).repartition(4, "sector")
+    numbered = number_rows(hashed, ["sector"], F.pmod(F.hash("symbol"), F.lit(8)), ["symbol", "date"], "rn")
+    ranked = percent_ranks(hashed, ["sector"], "close", "rank")
+    for df in (numbered, ranked):
+        assert re.search(r"Exchange hashpartitioning\(sector#\d+, _bucket#\d+", plan(df))
