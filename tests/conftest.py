@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import sys
 from pathlib import Path
 
@@ -15,7 +16,7 @@ SMALL_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("eventlab-tests", 4)
+    session = build_session("eventlab-tests", min(8, os.cpu_count() or 4))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
