@@ -14,7 +14,7 @@ from eventlab.sources import tables as TB
 from eventlab.storage import checkpointed
 
 from .ctes import kpi_ctes, with_ctes
-from .shape import r6, r6_all, tidy
+from .shape import r6_all, tidy
 
 DATES = [dt.date(1996, 6, 30), dt.date(1997, 6, 30), dt.date(1999, 12, 31), dt.date(2001, 10, 1)]
 

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import brier_score, calibration_curve, classification_metrics, fold_summary
-from ..operators.models import score, fit, train_event_model
-from ..operators.portfolio import RUN, exclude_top_each, backtest_kpis, payoff_stats, with_parameter
+from ..operators.models import train_event_model
+from ..operators.portfolio import RUN, backtest_kpis, exclude_top_each, payoff_stats
 from ..operators.splits import chrono_split, validation_slice, walk_forward_folds
 from ..schemas import FEATURES, KPIS, LABEL, RETURN, SUE_FEATURES, target
 from ..storage import checkpointed
 from .backtests import CAP, event_backtest, signals, tranche_backtest
-from functools import reduce
 
 
 def _stack(parts: Sequence[DataFrame]) -> DataFrame:
