@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import suffixes
+from . import mixing, packing, quality, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumn("host_rate", F.round("host_rate", 6))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed_spans(table(spark, sf_dir, "documents"))
 
 
+def op7_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_host_rules": op2_host_rules,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op7_budget_mix": op7_budget_mix,
+    "op10_sum_of_squares": op10_sum_of_squares,
 }
 SQL: dict[str, str] = {}
