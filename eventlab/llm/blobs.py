@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Groups of texts in each partition that are handled together; bounds what one task holds.
-GROUPS = 8
+GROUPS = 2
 
 
 def width(spark: SparkSession) -> int:
