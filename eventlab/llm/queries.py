@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, suffixes
+from . import licenses, mixing, packing, quality, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op7_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Query] = {
     "op2_host_rules": op2_host_rules,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op7_budget_mix": op7_budget_mix,
+    "op9_license_automaton": op9_license_automaton,
     "op10_sum_of_squares": op10_sum_of_squares,
 }
 SQL: dict[str, str] = {}
