@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, quality, suffixes
+from . import hilbert, licenses, mixing, packing, quality, revisits, suffixes, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,14 +21,29 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("host_rate", F.round("host_rate", 6))
 
 
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = hilbert.assign(table(spark, sf_dir, "documents"))
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed_spans(table(spark, sf_dir, "documents"))
 
 
+def op5_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = revisits.capture_records(table(spark, sf_dir, "pages"))
+    return revisits.digest(revisits.resolve(records))
+
+
 def op9_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
 
@@ -39,8 +54,11 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_host_rules": op2_host_rules,
+    "op3_hilbert_shards": op3_hilbert_shards,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_product_quantisation": op5_product_quantisation,
     "op7_budget_mix": op7_budget_mix,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_license_automaton": op9_license_automaton,
     "op10_sum_of_squares": op10_sum_of_squares,
 }
