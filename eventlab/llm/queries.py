@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, licenses, mixing, packing, quality, revisits, suffixes, vectors
+from . import hilbert, licenses, mixing, nearcopies, packing, perplexity, quality, revisits, suffixes, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.withColumn("host_rate", F.round("host_rate", 6))
@@ -35,6 +39,12 @@ def op5_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    trusted = labels.where("quality = 1 AND toxic = 0").select("doc_id")
+    return perplexity.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op7_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -53,10 +63,12 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_host_rules": op2_host_rules,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_product_quantisation": op5_product_quantisation,
+    "op6_kneser_ney": op6_kneser_ney,
     "op7_budget_mix": op7_budget_mix,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_license_automaton": op9_license_automaton,
