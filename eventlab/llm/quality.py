@@ -93,16 +93,16 @@ def measure(block: Block) -> dict[str, np.ndarray]:
     }
 
 
-def _measure_batches(text: str) -> object:
+def _measure_batches(name: str) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[str, list] = {m: [np.zeros(0, np.int64)] for m in METRICS}
-            for block in text_blocks(batch.column(batch.schema.get_field_index(text))):
-                for name, values in measure(block).items():
-                    found[name].append(values)
+            for block in text_blocks(batch.column("text")):
+                for metric, values in measure(block).items():
+                    found[metric].append(values)
             arrays = [pa.array(np.concatenate(found[m]), pa.int64()) for m in METRICS]
             packed = pa.StructArray.from_arrays(arrays, names=METRICS)
-            fields = [*batch.schema, pa.field("measured", packed.type)]
+            fields = [*batch.schema, pa.field(name, packed.type)]
             yield pa.RecordBatch.from_arrays([*batch.columns, packed], schema=pa.schema(fields))
 
     return run
@@ -112,7 +112,7 @@ def measured(docs: DataFrame, name: str = "measured") -> DataFrame:
     """The documents with a struct of `METRICS`. A missing text counts as an empty one."""
     kind = T.StructType([T.StructField(m, T.LongType()) for m in METRICS])
     out = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
-    return docs.mapInArrow(_measure_batches("text"), out)
+    return docs.mapInArrow(_measure_batches(name), out)
 
 
 def base_failed(m: Column) -> Column:
