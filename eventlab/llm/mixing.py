@@ -74,15 +74,17 @@ def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MA
 
 
 def fill_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, knapsack: int = KNAPSACK) -> np.ndarray:
-    """How many documents of each size to take so that their sizes add up to the budget, or just below."""
+    """How many documents of each size to take so that their sizes add up to the budget, or nearly."""
     taken = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
     if budget >= total:
         return counts.astype(np.int64)
     if budget <= 0:
         return taken
-    taken = counts * budget // total if total < (1 << 62) // max(1, budget) else np.floor(counts * (budget / total)).astype(np.int64)
-    taken[sizes == 0] = 0
+    if total > knapsack:
+        share = budget / total
+        taken = np.minimum(np.floor(counts * share).astype(np.int64), counts)
+        taken[sizes == 0] = 0
     left = counts - taken
     rest = budget - int((taken * sizes).sum())
     for i in np.argsort(-sizes, kind="stable").tolist():
@@ -92,23 +94,28 @@ def fill_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, knapsack: in
         taken[i] += more
         left[i] -= more
         rest -= more * int(sizes[i])
-    # Bounded knapsack: the counts in powers of two, the reachable sums as the bits of a number.
+    # Bounded knapsack: the counts in powers of two, the reachable sums as the bits of a number. Sums
+    # above the budget count too, up to twice the rest: one of them may be nearer.
+    most_sum = 2 * rest
     items = []
-    for i in np.flatnonzero((sizes > 0) & (sizes <= rest) & (left > 0)).tolist():
-        most, part = min(int(left[i]), rest // int(sizes[i])), 1
+    for i in np.flatnonzero((sizes > 0) & (sizes <= most_sum) & (left > 0)).tolist():
+        most, part = min(int(left[i]), most_sum // int(sizes[i])), 1
         while most:
             part = min(part, most)
             items.append((i, part))
             most -= part
             part *= 2
     items.sort(key=lambda x: -int(sizes[x[0]]) * x[1])
-    reach, within, steps = 1, (1 << (rest + 1)) - 1, []
+    reach, within, steps = 1, (1 << (most_sum + 1)) - 1, []
     for i, part in items:
         steps.append(reach)
         reach |= (reach << (int(sizes[i]) * part)) & within
         if reach >> rest & 1:
             break
-    at = reach.bit_length() - 1
+    below = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    above = reach >> (rest + 1)
+    nearest = (above & -above).bit_length() + rest if above else None
+    at = nearest if nearest is not None and nearest - rest < rest - below else below
     for (i, part), before in zip(reversed(items[: len(steps)]), reversed(steps), strict=True):
         if not before >> at & 1:
             taken[i] += part

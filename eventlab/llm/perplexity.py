@@ -28,6 +28,8 @@ ORDER = 5
 QUANTILE = 0.999
 #: Trusted documents that set the thresholds instead of training the model: one in so many.
 HELD_OUT = 5
+#: Discount where the counts that it is estimated from do not occur, and the least of all.
+NO_COUNTS, LEAST_DISCOUNT = 0.5, 0.1
 #: Accuracy of the quantiles: one in so many rows.
 ACCURACY = 10_000
 #: Bytes of texts whose n-grams are sorted at one go.
@@ -135,11 +137,11 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def discounts(ones: int, twos: int, threes: int, fours: int) -> list[float]:
     """What a count of 1, 2, and 3 or more is lowered by, from how many n-grams have counts 1 to 4."""
-    if not ones:
-        return [0.0, 0.0, 0.0]
-    y = ones / (ones + 2 * twos)
+    y = ones / (ones + 2 * twos) if ones else 0.0
     pairs = ((1, ones, twos), (2, twos, threes), (3, threes, fours))
-    return [min(max(k - (k + 1) * y * b / a, 0.0), float(k)) if a else y for k, a, b in pairs]
+    found = [k - (k + 1) * y * b / a if a else NO_COUNTS for k, a, b in pairs]
+    # Something must stay for what was not seen, also where small counts are missing.
+    return [min(max(d, LEAST_DISCOUNT), float(k)) for d, (k, _, _) in zip(found, pairs, strict=True)]
 
 
 def train(counts: DataFrame) -> tuple[DataFrame, dict[str, np.ndarray]]:
