@@ -11,7 +11,7 @@ from eventlab.plans import backtests as B
 from eventlab.sources import market as K
 from eventlab.sources import prices as PR
 from eventlab.sources import tables as TB
-from eventlab.storage import checkpointed
+from eventlab.storage import stored
 
 from .ctes import kpi_ctes, with_ctes
 from .shape import r6_all, tidy
@@ -59,7 +59,7 @@ def survivorship_delta(spark, sf):
 
 def survivorship_compare(spark, sf):
     life = MB.ticker_lifespans(*K.membership(spark, sf))
-    return tidy(B.survivorship_compare(checkpointed(K.predictions(spark, sf)), life))
+    return tidy(B.survivorship_compare(stored(K.predictions(spark, sf)), life))
 
 
 def _classified(spark, sf):

@@ -13,14 +13,13 @@ from eventlab.operators.resample import seeded_ticker_sample
 from eventlab.plans import experiments as X
 from eventlab.schemas import FEATURES
 from eventlab.sources import market as K
-from eventlab.storage import checkpointed, scratch
+from eventlab.storage import scratch, stored
 
 from .ctes import with_ctes
 from .panel import AS_OF, _snapshot
 from .shape import tidy
 
-# Small models: the queries show the flow, and tree count is a parameter.
-SMALL = {"n_estimators": 8, "max_depth": 3}
+DEFAULT: dict = {}  # the library's own defaults: 100 trees of depth 6
 LOW_GAP = {
     "scale_pos_weight": "balanced",
     "min_split_loss": 0.001,
@@ -28,20 +27,23 @@ LOW_GAP = {
     "min_child_weight": 5,
     "subsample": 0.7,
     "colsample_bytree": 0.7,
-    "n_estimators": 12,
+    "n_estimators": 500,
     "early_stopping_rounds": 20,
 }
+BALANCED = {"scale_pos_weight": "balanced", "min_split_loss": 0.001}
+SMALL_TREES = {"max_depth": 3, "min_child_weight": 5, "subsample": 0.7, "colsample_bytree": 0.7}
+# Named by what is fitted: Spark's trees have a least gain, but no penalty on leaves.
 CONFIGS = {
-    "baseline": SMALL,
-    "regularised": {**SMALL, "scale_pos_weight": "balanced", "min_split_loss": 0.001},
-    "tree_complexity": {**SMALL, "min_child_weight": 5, "subsample": 0.7, "colsample_bytree": 0.7},
-    "regularised+tree_complexity": {k: v for k, v in LOW_GAP.items() if k != "early_stopping_rounds"},
-    "regularised+tree_complexity+early_stopping": LOW_GAP,
+    "baseline": DEFAULT,
+    "balanced+least_gain": BALANCED,
+    "small_trees": SMALL_TREES,
+    "balanced+least_gain+small_trees": {**BALANCED, **SMALL_TREES},
+    "balanced+least_gain+small_trees+early_stop": LOW_GAP,
 }
 
 
 def _split(spark, sf):
-    return checkpointed(SP.chrono_split(K.features(spark, sf), K.SPLIT_DATE))
+    return stored(SP.chrono_split(K.features(spark, sf), K.SPLIT_DATE))
 
 
 def _fitted(spark, sf, kind="gbt", config=None):
@@ -55,7 +57,7 @@ def _scored(spark, sf, kind, config):
 
 
 def gbt_train(spark, sf):
-    return _scored(spark, sf, "gbt", SMALL)
+    return _scored(spark, sf, "gbt", DEFAULT)
 
 
 def logistic_train(spark, sf):
@@ -63,7 +65,7 @@ def logistic_train(spark, sf):
 
 
 def calibrated_train(spark, sf):
-    return _scored(spark, sf, "calibrated", {"method": "sigmoid", "cv": 3, "base_config": SMALL})
+    return _scored(spark, sf, "calibrated", {"method": "sigmoid", "cv": 3, "base_config": DEFAULT})
 
 
 def score(spark, sf):
@@ -73,7 +75,7 @@ def score(spark, sf):
 
 
 def train_event_model(spark, sf):
-    _, _, metrics = M.train_event_model(_split(spark, sf), "gbt", SMALL)
+    _, _, metrics = M.train_event_model(_split(spark, sf), "gbt", DEFAULT)
     return tidy(metrics)
 
 
@@ -90,7 +92,7 @@ def model_bundle(spark, sf):
 
 
 def recommendation(spark, sf):
-    split, model = _fitted(spark, sf, "gbt", SMALL)
+    split, model = _fitted(spark, sf, "gbt", DEFAULT)
     rows = S.recommendation(split, model, spike_threshold=K.THRESHOLD)
     return tidy(
         rows.select(
@@ -102,12 +104,12 @@ def recommendation(spark, sf):
 
 
 def scenario_analysis(spark, sf):
-    _, model = _fitted(spark, sf, "gbt", SMALL)
+    _, model = _fitted(spark, sf, "gbt", DEFAULT)
     return tidy(S.scenario_analysis(K.earnings(spark, sf), _snapshot(spark, sf), model, AS_OF))
 
 
 def feature_attribution(spark, sf):
-    split, model = _fitted(spark, sf, "gbt", SMALL)
+    split, model = _fitted(spark, sf, "gbt", DEFAULT)
     rows = S.feature_attribution(latest_event(split), model, split.where(F.col("split") == "train"))
     return tidy(S.attribution_rank(rows))
 
@@ -117,21 +119,21 @@ def overfitting_sweep(spark, sf):
 
 
 def baseline_compare(spark, sf):
-    return tidy(X.baseline_compare(K.features(spark, sf), K.SPLIT_DATE, SMALL))
+    return tidy(X.baseline_compare(K.features(spark, sf), K.SPLIT_DATE, DEFAULT))
 
 
 def walk_forward(spark, sf):
-    per_fold, _ = X.walk_forward(K.features(spark, sf), K.SPLIT_DATE, 6, SMALL)
+    per_fold, _ = X.walk_forward(K.features(spark, sf), K.SPLIT_DATE, 6, DEFAULT)
     return tidy(per_fold)
 
 
 def walk_forward_summary(spark, sf):
-    _, summary = X.walk_forward(K.features(spark, sf), K.SPLIT_DATE, 6, None, "logistic")
+    _, summary = X.walk_forward(K.features(spark, sf), K.SPLIT_DATE, 6, DEFAULT)
     return tidy(summary)
 
 
 def calibration_compare(spark, sf):
-    table, _ = X.calibration_compare(K.features(spark, sf), K.SPLIT_DATE, SMALL, cv=3)
+    table, _ = X.calibration_compare(K.features(spark, sf), K.SPLIT_DATE, DEFAULT, cv=5)
     return tidy(table)
 
 
@@ -142,11 +144,11 @@ def gap_robustness(spark, sf):
 def horizon_alignment(spark, sf):
     daily = K.features(spark, sf)
     long = K.features(spark, sf, horizon=20, label_price="close")
-    return tidy(X.horizon_alignment(daily, long, 20, K.SPLIT_DATE, SMALL))
+    return tidy(X.horizon_alignment(daily, long, 20, K.SPLIT_DATE, DEFAULT))
 
 
 def sue_compare(spark, sf):
-    return tidy(X.sue_compare(K.features(spark, sf, with_sue=True), K.SPLIT_DATE, SMALL))
+    return tidy(X.sue_compare(K.features(spark, sf, with_sue=True), K.SPLIT_DATE, DEFAULT))
 
 
 def advice_model(spark, sf):

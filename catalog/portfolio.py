@@ -12,7 +12,7 @@ from eventlab.operators import serving as S
 from eventlab.plans import backtests as B
 from eventlab.schemas import KPIS, target
 from eventlab.sources import market as K
-from eventlab.storage import checkpointed
+from eventlab.storage import stored
 
 from .ctes import curve_ctes, kpi_ctes, with_ctes
 from .shape import r6, r6_all, tidy
@@ -32,7 +32,7 @@ def _signals(spark, sf):
 
 def _cut(df):
     """Plans that use their trades several times start from a checkpoint."""
-    return checkpointed(df)
+    return stored(df)
 
 
 def filter_signals(spark, sf):

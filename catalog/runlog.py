@@ -20,7 +20,7 @@ def run_labels(spark, sf):
 
 
 def config_expand(spark, sf):
-    rows = R.config_expand(K.run_log(spark, sf))
+    rows = R.config_expand(K.run_log(spark, sf), ["k"])
     return tidy(rows.select("run_id", "config_k"))
 
 
@@ -29,7 +29,7 @@ def config_long(spark, sf):
 
 
 def report_table(spark, sf):
-    rows = R.report_table(K.run_log(spark, sf))
+    rows = R.report_table(K.run_log(spark, sf), ["k"])
     return tidy(rows.select("experiment", "run_label", "config_k", *LOG_METRICS))
 
 
@@ -70,11 +70,11 @@ def run_counts(spark, sf):
 
 
 def gap_correlation(spark, sf):
-    return tidy(R.gap_correlation(R.gap_vs_backtest(K.run_log(spark, sf)), ["experiment"]))
+    return tidy(R.gap_correlation(R.complete_gaps(K.run_log(spark, sf)), ["experiment"]))
 
 
 def gap_correlation_all(spark, sf):
-    return tidy(R.gap_correlation(R.gap_vs_backtest(K.run_log(spark, sf))))
+    return tidy(R.gap_correlation(R.complete_gaps(K.run_log(spark, sf))))
 
 
 def top_runs(spark, sf):

@@ -16,7 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import checkpointed
+from ..storage import stored
+
+
+def _group(keys: Sequence[str]) -> Column:
+    """The keys as one struct: it is never NULL, so groups with NULL keys join like any other."""
+    return F.struct(*keys) if keys else F.lit(0)
 
 
 def number_rows(
@@ -26,48 +31,53 @@ def number_rows(
     order: Sequence[str],
     number: str = "rn",
     previous: Sequence[str] = (),
+    total: str | None = None,
 ) -> DataFrame:
     """Number the rows of each group 1..n, and fetch columns of the row before.
 
     ``bucket`` must not decrease along the group's order nor be NULL; ``order`` sorts the rows of
-    a bucket and must be total. Keys must not be NULL. With ``previous`` the result has
-    a struct ``prev`` of those columns, NULL in the first row.
+    a bucket and must be total. With ``previous`` the result has a struct ``prev`` of those columns,
+    NULL in the first row; ``total`` names a column for the size of the group.
     """
-    keys = list(keys)
-    cut = df.withColumn("_bucket", bucket)
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
-    across = W.partitionBy(*keys).orderBy("_bucket")
+    cut = df.withColumns({"_group": _group(keys), "_bucket": bucket})
+    place = ["_group", "_bucket"]
+    inside = W.partitionBy(*place).orderBy(*order)
+    across = W.partitionBy("_group").orderBy("_bucket")
 
     summary = [F.count("*").alias("_n")]
     if previous:
         tail = F.max_by(F.struct(*previous), F.struct(*order))
         summary.append(tail.alias("_tail"))
-    sizes = cut.groupBy(*keys, "_bucket").agg(*summary)
+    sizes = cut.groupBy(*place).agg(*summary)
     before = F.sum("_n").over(across.rowsBetween(W.unboundedPreceding, -1))
     carried = {"_before": F.coalesce(before, F.lit(0))}
+    if total:
+        carried["_total"] = F.sum("_n").over(W.partitionBy("_group"))
     if previous:
         carried["_carried"] = F.lag("_tail").over(across)
-    offsets = sizes.withColumns(carried).drop("_n", "_tail")
-
-    # Said outright: rows already hashed by the keys alone would satisfy the window uncut.
-    numbered = cut.repartition(*keys, "_bucket").withColumn("_rn", F.row_number().over(inside))
+    # Both sides are cut by group and bucket outright: the windows leave the summary hashed by the
+    # group alone, and Spark would send all rows of a group to one task to match it.
+    offsets = sizes.withColumns(carried).drop("_n", "_tail").repartition(*place)
+    numbered = cut.repartition(*place).withColumn("_rn", F.row_number().over(inside))
     if previous:
         numbered = numbered.withColumn("_prev", F.lag(F.struct(*previous)).over(inside))
-    joined = numbered.join(offsets, [*keys, "_bucket"])
+    joined = numbered.join(offsets, place)
     out = joined.withColumn(number, (F.col("_before") + F.col("_rn")).cast("bigint"))
     if previous:
         out = out.withColumn("prev", F.when(F.col("_rn") == 1, F.col("_carried")).otherwise(F.col("_prev")))
-    return out.select(*df.columns, number, *(["prev"] if previous else []))
+    if total:
+        out = out.withColumn(total, F.col("_total"))
+    return out.select(*df.columns, number, *(["prev"] if previous else []), *([total] if total else []))
 
 
 def sort_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The rows with ``_part`` and ``_pos``, their place in a sort by keys and order.
 
     The sort cuts at sampled ranges, so a hot group and a hot stretch of it are spread too.
-    A checkpoint fixes the places: a lost executor cannot renumber the rows.
+    The places are stored: a lost executor cannot renumber the rows.
     """
     spread = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    fixed = checkpointed(spread.withColumn("_id", F.monotonically_increasing_id()))
+    fixed = stored(spread.withColumn("_id", F.monotonically_increasing_id()))
     places = {"_part": F.shiftright("_id", 33), "_pos": F.col("_id").bitwiseAND(F.lit(2**33 - 1))}
     return fixed.withColumns(places).drop("_id")
 
@@ -166,23 +176,20 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence
     values are sorted over the cluster, and only the neighbours of each place are picked.
     """
     keys = list(keys)
-    counted = df.na.drop(subset=[*keys, value]).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    placed = sort_rows(counted, keys, [value])
-    across = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    parts = (
-        placed.groupBy(*keys, "_part")
-        .agg(F.sum("_n").alias("_size"))
-        .withColumns(
-            {
-                "_lower": F.coalesce(F.sum("_size").over(across), F.lit(0)),
-                "_total": F.sum("_size").over(W.partitionBy(*keys)),
-            }
-        )
-        .drop("_size")
-    )
-    inside = W.partitionBy(*keys, "_part").orderBy("_pos").rowsBetween(W.unboundedPreceding, -1)
+    counted = df.na.drop(subset=[value]).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    placed = sort_rows(counted, keys, [value]).withColumn("_group", _group(keys))
+    place = ["_group", "_part"]
+    across = W.partitionBy("_group").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = placed.groupBy(*place).agg(F.sum("_n").alias("_size"))
+    offsets = {
+        "_lower": F.coalesce(F.sum("_size").over(across), F.lit(0)),
+        "_total": F.sum("_size").over(W.partitionBy("_group")),
+    }
+    # Cut outright, as in `number_rows`: a group's values are never one task's work.
+    parts = sizes.withColumns(offsets).drop("_size").repartition(*place)
+    inside = W.partitionBy(*place).orderBy("_pos").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("_lower") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    ranked = placed.join(parts, [*keys, "_part"]).withColumn("_before", before)
+    ranked = placed.repartition(*place).join(parts, place).withColumn("_before", before)
 
     def value_at(index: Column) -> Column:
         here = (F.col("_before") <= index) & (index < F.col("_before") + F.col("_n"))
@@ -190,7 +197,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence
 
     wanted = []
     for share in shares:
-        place = share * (F.col("_total") - 1)
-        low, high = value_at(F.floor(place)), value_at(F.ceil(place))
-        wanted.append(low + (high - low) * F.max(place - F.floor(place)))
+        at = share * (F.col("_total") - 1)
+        low, high = value_at(F.floor(at)), value_at(F.ceil(at))
+        wanted.append(low + (high - low) * F.max(at - F.floor(at)))
     return ranked.groupBy(*keys).agg(F.array(*wanted).alias("p"))

@@ -9,8 +9,6 @@ from ..functions.scalars import change
 from ..schemas import LABEL, target
 from .panel import by_symbol
 
-LEAD_CHAIN_LIMIT = 20
-
 
 def label_spike(
     df: DataFrame, threshold: float = 0.02, horizon: int = 1, price: str = "high", out: str = LABEL
@@ -32,23 +30,10 @@ def triple_barrier(
     close = F.col("close")
     end = change(F.lead("close", days).over(by_symbol()), close)
     at_end = (end > 0).cast("double")
-    if days <= LEAD_CHAIN_LIMIT:
-        first = _first_touch_chain(close, take_profit, stop_loss, days)
-    else:
-        first = _first_touch_array(close, take_profit, stop_loss, days)
-    return panel.withColumn(out, F.coalesce(first, at_end))
-
-
-def _first_touch_chain(close: Column, take_profit: float, stop_loss: float, days: int) -> Column:
-    touches = []
-    for day in range(1, days + 1):
-        low = change(F.lead("low", day).over(by_symbol()), close)
-        high = change(F.lead("high", day).over(by_symbol()), close)
-        touches.append(F.when(low <= -stop_loss, 0.0).when(high >= take_profit, 1.0))
-    return F.coalesce(*touches)
+    return panel.withColumn(out, F.coalesce(_first_touch(close, take_profit, stop_loss, days), at_end))
 
 
-def _first_touch_array(close: Column, take_profit: float, stop_loss: float, days: int) -> Column:
+def _first_touch(close: Column, take_profit: float, stop_loss: float, days: int) -> Column:
     ahead = F.collect_list(F.struct("low", "high")).over(by_symbol().rowsBetween(1, days))
     touches = F.transform(
         ahead,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel, Pipeline
@@ -44,14 +45,14 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
 def gbt_classifier(config: Mapping[str, object] | None = None, label: str = LABEL) -> GBTClassifier:
     """A boosted tree classifier from a config; unknown keys are an error.
 
-    ``early_stopping_rounds`` turns on Spark's validation-based stop, which has a
-    tolerance but no patience. Spark has no L1/L2 penalty for trees, so ``reg_alpha`` and
-    ``reg_lambda`` are refused rather than ignored.
+    ``early_stopping_rounds`` is left to `fit_gbt`: Spark's own stop has a tolerance but no
+    patience. Spark has no L1/L2 penalty for trees, so ``reg_alpha`` and ``reg_lambda`` are
+    refused rather than ignored.
     """
     config = dict(config or {})
     params: dict[str, object] = dict(GBT_DEFAULTS)
     weighted = config.pop("scale_pos_weight", None) is not None
-    stops_early = config.pop("early_stopping_rounds", None) is not None
+    config.pop("early_stopping_rounds", None)
     columns = config.pop("colsample_bytree", None)
     unknown = set(config) - set(GBT_PARAMETERS)
     if unknown:
@@ -61,8 +62,6 @@ def gbt_classifier(config: Mapping[str, object] | None = None, label: str = LABE
         params["featureSubsetStrategy"] = str(float(columns)) if columns < 1 else "all"
     if weighted:
         params["weightCol"] = "_weight"
-    if stops_early:
-        params["validationIndicatorCol"] = "is_validation"
     return GBTClassifier(featuresCol="features", labelCol=label, seed=SEED, **params)
 
 
@@ -81,10 +80,35 @@ def fit_gbt(
     features: Sequence[str] = FEATURES,
     label: str = LABEL,
 ) -> PipelineModel:
-    """``scale_pos_weight`` may be a number or ``"balanced"`` for negatives per positive."""
+    """``scale_pos_weight`` may be a number or ``"balanced"`` for negatives per positive.
+
+    With ``early_stopping_rounds``, rows marked ``is_validation`` are left out of the fit, and
+    boosting ends at the best validation loss after which that many trees brought nothing better.
+    Boosting is sequential and seeded, so the shorter model is fitted again with that many trees.
+    """
     config = config or {}
     rows = _weighted(train, config, label).withColumn(label, F.col(label).cast("double"))
-    return Pipeline(stages=[_assembler(features), gbt_classifier(config, label)]).fit(rows)
+    patience = config.get("early_stopping_rounds")
+    if patience is None:
+        return Pipeline(stages=[_assembler(features), gbt_classifier(config, label)]).fit(rows)
+    fitted_on = rows.where(~F.col("is_validation"))
+    model = Pipeline(stages=[_assembler(features), gbt_classifier(config, label)]).fit(fitted_on)
+    held_out = model.stages[0].transform(rows.where(F.col("is_validation")))
+    trees = best_round(model.stages[-1].evaluateEachIteration(held_out), int(patience)) + 1
+    if trees == model.stages[-1].getNumTrees:
+        return model
+    return Pipeline(stages=[_assembler(features), gbt_classifier({**config, "n_estimators": trees}, label)]).fit(fitted_on)
+
+
+def best_round(losses: Sequence[float], patience: int) -> int:
+    """The round with the least loss before ``patience`` rounds in a row are no better."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best
 
 
 def fit_logistic(
@@ -158,8 +182,8 @@ def fit_calibrated(
         raise ValueError("method must be 'sigmoid' or 'isotonic'")
     rows = train.withColumn(label, F.col(label).cast("double"))
     fold = hash_int(F.lit(SEED), F.col("symbol"), F.col("date")) % cv
-    fitted = []
-    for k in range(cv):
+
+    def fit_fold(k: int) -> tuple:
         base = fit_gbt(rows.where(fold != k), base_config, features, label)
         held_out = _with_margin(base.transform(rows.where(fold == k)), "_margin")
         if method == "sigmoid":
@@ -172,8 +196,10 @@ def fit_calibrated(
             )
         else:
             estimator = IsotonicRegression(featuresCol="_margin", labelCol=label, predictionCol="_calibrated")
-        fitted.append((base, estimator.fit(held_out)))
-    return CalibratedModel(fitted, label)
+        return base, estimator.fit(held_out)
+
+    with ThreadPoolExecutor(cv) as pool:
+        return CalibratedModel(list(pool.map(fit_fold, range(cv))), label)
 
 
 Model = PipelineModel | CalibratedModel

@@ -141,18 +141,25 @@ def best_trades(trades: DataFrame, n: int, keys: Sequence[str] = RUN, ret: str =
 
 
 def exclude_top_n(trades: DataFrame, n: int, keys: Sequence[str] = RUN, ret: str = RETURN) -> DataFrame:
-    best = best_trades(trades, n, keys, ret)
-    return trades.join(best, [*keys, "date", "symbol"], "left_anti")
+    return exclude_top_each(trades, [n], keys, ret).drop("excluded")
 
 
 def exclude_top_each(
     trades: DataFrame, ns: Sequence[int], keys: Sequence[str] = RUN, ret: str = RETURN
 ) -> DataFrame:
-    """The trades left after each trim, with the trim size in ``excluded``."""
-    best = best_trades(trades, max(ns), keys, ret)
-    marked = trades.join(best, [*keys, "date", "symbol"], "left")
+    """The trades left after each trim, with the trim size in ``excluded``.
+
+    Exactly n trades go, also if a symbol trades twice a day or a key is NULL: the ranks of equal
+    keys, dates and symbols are collected (n at most), and each of these rows takes one.
+    """
+    place = ["_trade", "_turn"]
+    same = F.struct(*keys, "date", "symbol")
+    turn = F.row_number().over(W.partitionBy("_trade").orderBy(F.col(ret).desc_nulls_last()))
+    best = best_trades(trades, max(ns), keys, ret).withColumn("_trade", same)
+    best = best.withColumn("_turn", F.row_number().over(W.partitionBy("_trade").orderBy("best")))
+    marked = trades.withColumn("_trade", same).withColumn("_turn", turn).join(best.select(*place, "best"), place, "left")
     every = with_parameter(marked, "excluded", list(ns))
-    return every.where(F.coalesce(F.col("best") > F.col("excluded"), F.lit(True))).drop("best")
+    return every.where(F.coalesce(F.col("best") > F.col("excluded"), F.lit(True))).drop("best", *place)
 
 
 def robustness_table(

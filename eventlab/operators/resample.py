@@ -8,13 +8,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import broadcast_if_small
 from ..functions.ordering import number_rows, percentiles
 from ..functions.scalars import hash_int
 from ..schemas import KPIS, RETURN
+from ..storage import stored
 from .portfolio import COST, RUN, backtest_kpis
 
 TRADE_BUCKETS = 65536
+#: Candidates of a day and seed that one task ranks.
+DAY_PART = 4096
 
 
 def bootstrap_trades(
@@ -33,20 +35,21 @@ def bootstrap_trades(
     keys = list(keys)
     slim = trades.select(*keys, "date", "symbol", ret)
     bucket = hash_int(F.col("symbol"), F.col("date")) % TRADE_BUCKETS
-    numbered = number_rows(slim, keys, bucket, ["date", "symbol"], "draw").withColumn("draw", F.col("draw") - 1)
-    sizes = trades.groupBy(*keys).agg(F.count("*").alias("_size"))
-    slots = trades.sparkSession.sparkContext.defaultParallelism
+    ranked = number_rows(slim, keys, bucket, ["date", "symbol"], "_place", total="_size")
+    # Stored once: the draws and the trades that they find come from the same rows, and Spark knows
+    # their bytes, by which alone it decides whether to broadcast them.
+    numbered = stored(ranked.withColumns({"draw": F.col("_place") - 1, "_run": F.struct(*keys)}), "draws")
     # Never NULL, and known to be: else the join would test it first and hash every draw twice.
     pick = F.coalesce(hash_int(F.lit(seed), F.col("rep"), F.col("draw")) % F.col("_size"), F.lit(0))
     drawn = (
-        numbered.select(*keys, "draw")
-        .join(sizes, keys)
+        numbered.select("_run", "draw", "_size")
         # Few rows become reps times as many: spread them first.
-        .repartition(slots, *keys, "draw")
+        .repartition("_run", "draw")
         .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-        .select(*keys, "rep", pick.alias("draw"))
+        .select("_run", "rep", pick.alias("draw"))
     )
-    return drawn.join(broadcast_if_small(numbered), [*keys, "draw"])
+    found = drawn.join(numbered.drop("_place", "_size"), ["_run", "draw"])
+    return found.select(*keys, "draw", "rep", "date", "symbol", ret)
 
 
 def bootstrap_kpis(
@@ -82,16 +85,20 @@ def exposure_matched_trades(
 ) -> DataFrame:
     """Per seed and day as many random candidates as the run really traded."""
     keys = list(keys)
-    wanted = trades.groupBy(*keys, "date").agg(F.count("*").alias("_wanted"))
+    day = F.struct(*keys, "date")
+    wanted = trades.groupBy(day.alias("_day")).agg(F.count("*").alias("_wanted"))
+    offered = candidates.groupBy(day.alias("_day")).agg(F.count("*").alias("_offered"))
     pool = (
-        candidates.join(wanted, [*keys, "date"])
+        candidates.withColumn("_day", day)
+        .join(wanted.join(offered, "_day"), "_day")
         .withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
         .withColumn("_draw", F.md5(F.concat_ws("|", "seed", "date", "symbol")))
     )
-    # The first three digits of a uniform hash cut a day into 4096 equal, ordered parts.
-    bucket = F.substring("_draw", 1, 3)
+    # A day is cut into equal ranges of the hash, one for every `DAY_PART` candidates.
+    share = F.conv(F.substring("_draw", 1, 8), 16, 10).cast("bigint") / 2.0**32
+    bucket = F.floor(share * F.ceil(F.col("_offered") / DAY_PART))
     ranked = number_rows(pool, [*keys, "seed", "date"], bucket, ["_draw", "symbol"], "_place")
-    return ranked.where(F.col("_place") <= F.col("_wanted")).drop("_place", "_wanted", "_draw")
+    return ranked.where(F.col("_place") <= F.col("_wanted")).select(*candidates.columns, "seed")
 
 
 def exposure_matched_random(

@@ -33,23 +33,23 @@ def config_long(log: DataFrame) -> DataFrame:
     return log.select("run_id", F.explode(config_map()).alias("key", "value"))
 
 
-def config_keys(log: DataFrame) -> list[str]:
-    """The distinct config keys, which become columns and so must be few."""
-    keys = log.select(F.explode(F.map_keys(config_map())).alias("key")).distinct().limit(1001).collect()
-    if len(keys) > 1000:
-        raise ValueError("more than 1000 config keys; use config_long")
-    return sorted(r["key"] for r in keys)
+def config_keys(log: DataFrame) -> DataFrame:
+    """The distinct config keys, one row each."""
+    return log.select(F.explode(F.map_keys(config_map())).alias("key")).distinct()
 
 
-def config_expand(log: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """The log with a ``config_<key>`` column per config key."""
-    names = config_keys(log) if names is None else names
+def config_expand(log: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The log with a ``config_<name>`` column for each of the named config keys.
+
+    The columns of a table must be known before it is computed; `config_keys` lists the keys of a
+    log, and `config_long` has all of them, however many there are.
+    """
     parsed = log.withColumn("_config", config_map())
     columns = {f"config_{n}": F.try_element_at("_config", F.lit(n)) for n in names}
     return parsed.withColumns(columns).drop("_config")
 
 
-def report_table(log: DataFrame, keys: Sequence[str] = HISTORY, names: Sequence[str] | None = None) -> DataFrame:
+def report_table(log: DataFrame, names: Sequence[str], keys: Sequence[str] = HISTORY) -> DataFrame:
     """The expanded log under run labels, without run ids and times."""
     table = config_expand(run_labels(log, keys), names).drop("run_id", "timestamp", "run_number")
     return table.select("run_label", *[c for c in table.columns if c != "run_label"])
@@ -81,9 +81,14 @@ def train_test_gap(log: DataFrame, metric: str = "precision", keys: Sequence[str
     return with_gap(run_labels(log, keys), metric).select(*keys, "run_label", f"train_{metric}", metric, "gap")
 
 
+def complete_gaps(log: DataFrame, metric: str = "precision") -> DataFrame:
+    """Runs with a gap and a return; enough for correlations, which need no labels."""
+    return with_gap(log, metric).na.drop(subset=["gap", "total_return"])
+
+
 def gap_vs_backtest(log: DataFrame, metric: str = "precision", keys: Sequence[str] = HISTORY) -> DataFrame:
-    """The gap beside the KPIs, for runs that have both."""
-    rows = with_gap(run_labels(log, keys), metric).na.drop(subset=["gap", "total_return"])
+    """The gap beside the KPIs, for runs that have both. `complete_gaps` has them without labels."""
+    rows = complete_gaps(run_labels(log, keys), metric)
     return rows.select(*keys, "run_label", f"train_{metric}", metric, *KPIS, "gap")
 
 

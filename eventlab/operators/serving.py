@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from math import factorial
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import GBTClassificationModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pivot_struct, to_places
 from ..schemas import FEATURES, RETURN, target
+from ..storage import scratch
 from .events import latest_event, next_upcoming, scenario_grid
-from .models import Model, score
+from .models import CalibratedModel, Model, score
 from .panel import last_known
 
 CLASS_LABELS = ("No Spike", "Spike")
@@ -107,48 +110,98 @@ def feature_attribution(
     background: DataFrame,
     features: Sequence[str] = FEATURES,
     keys: Sequence[str] = ("symbol", "date"),
-    sample: int = 8,
 ) -> DataFrame:
-    """Exact Shapley values of the model's log-odds over the feature coalitions.
+    """Exact Shapley values of the model's log-odds: ``(keys, attribution, base)``.
 
-    A coalition takes its features from the row and the others from a background row; the
-    mean over ``sample`` background rows is the coalition's worth. Everything is one
-    scored table and one aggregation.
+    The contributions and the base add up to a row's log-odds. A linear model compares with the
+    means of all background rows. Boosted trees compare with the rows they were fitted on, which
+    are in the trees: where a feature is unknown, both branches count by the rows that took them.
+    A calibrated model is explained by the mean log-odds of its trees.
     """
     features, keys = list(features), list(keys)
-    k = len(features)
-    draw = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in keys]))
-    rows = background.na.drop(subset=features).orderBy(draw, *keys).limit(sample).select(*features).collect()
-    if not rows:
-        raise ValueError("the background table has no complete row")
-    stand_ins = F.array(*[F.struct(*[F.lit(float(r[f])).alias(f) for f in features]) for r in rows])
-    mixed = (
-        df.select(*keys, *[F.col(f).cast("double").alias(f"_own_{f}") for f in features])
-        .withColumn("_coalition", F.explode(F.sequence(F.lit(0), F.lit(2**k - 1))))
-        .withColumn("_other", F.explode(stand_ins))
-    )
-    member = {f: F.getbit("_coalition", F.lit(i)) == 1 for i, f in enumerate(features)}
-    inputs = {f: F.when(member[f], F.col(f"_own_{f}")).otherwise(F.col(f"_other.{f}")) for f in features}
-    scored = model.transform(mixed.withColumns(inputs).select(*keys, "_coalition", *features))
-    if "rawPrediction" in scored.columns:
-        margin = vector_to_array("rawPrediction")[1]
-        if "GBT" in type(getattr(model, "stages", [None])[-1]).__name__:
-            margin = 2 * margin  # Spark's boosted trees model half of the log-odds
+    if isinstance(model, CalibratedModel):
+        forests = [base for base, _ in model.folds]
+    elif isinstance(model.stages[-1], GBTClassificationModel):
+        forests = [model]
     else:
-        p = F.least(F.greatest(F.col("y_pred_proba"), F.lit(1e-9)), F.lit(1 - 1e-9))
-        margin = F.ln(p / (1 - p))
+        return _linear_model_attribution(df, model, background, features, keys)
+    # Spark's boosted trees model half of the log-odds.
+    trees = [(2 * w / len(forests), tree) for forest in forests for w, tree in tree_nodes(forest.stages[-1], df.sparkSession)]
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    kinds += ", base double, " + ", ".join(f"`_phi_{f}` double" for f in features)
+    told = df.select(*keys, *[F.col(f).cast("double").alias(f"_in_{f}") for f in features]).mapInPandas(_explain(trees, features, keys), kinds)
+    return told.select(*keys, pivot_struct(features, [F.col(f"_phi_{f}") for f in features]).alias("attribution"), "base")
+
+
+def _linear_model_attribution(df: DataFrame, model: Model, background: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    scaler, logistic = model.stages[1], model.stages[-1]
+    slope = [c / s if s else 0.0 for c, s in zip(logistic.coefficients.toArray().tolist(), scaler.std.toArray().tolist(), strict=True)]
+    known = background.na.drop(subset=features).agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features]).first()
+    if known[0] is None:
+        raise ValueError("the background table has no complete row")
+    base = logistic.intercept + sum(w * (known[f] - m) for w, f, m in zip(slope, features, scaler.mean.toArray().tolist(), strict=True))
+    told = linear_attribution(df, dict(zip(features, slope, strict=True)), known.asDict())
+    return told.select(*keys, "attribution", F.lit(base).alias("base"))
 
-    size = F.bit_count("_coalition")
-    joining = F.array(*[F.lit(factorial(s) * factorial(k - s - 1) / factorial(k)) for s in range(k)])
-    share = {
-        f: F.when(member[f], F.get(joining, size - 1)).otherwise(-F.get(joining, size)) for f in features
-    }
-    return (
-        scored.withColumn("_margin", margin / len(rows))
-        .groupBy(*keys)
-        .agg(*[F.sum(F.col("_margin") * share[f]).alias(f"_phi_{f}") for f in features])
-        .select(*keys, pivot_struct(features, [F.col(f"_phi_{f}") for f in features]).alias("attribution"))
+
+def tree_nodes(forest: GBTClassificationModel, spark: SparkSession) -> list[tuple[float, np.ndarray]]:
+    """Weight and nodes of every tree, read from the saved model.
+
+    A node is (feature or -1, threshold, left, right, prediction, rows). Their number is bounded
+    by the depth and the number of trees, not by the data.
+    """
+    path = scratch(spark, "forest")
+    forest.save(path)
+    node = F.col("nodeData")
+    rows = spark.read.parquet(f"{path}/data").select(
+        "treeID",
+        node["id"].alias("id"),
+        node["split"]["featureIndex"].alias("feature"),
+        F.try_element_at(node["split"]["leftCategoriesOrThreshold"], F.lit(1)).alias("threshold"),
+        node["leftChild"].alias("left"),
+        node["rightChild"].alias("right"),
+        node["prediction"].alias("prediction"),
+        node["rawCount"].cast("double").alias("rows"),
     )
+    nodes = rows.toPandas().sort_values(["treeID", "id"])
+    weights = forest.treeWeights
+    return [(weights[int(i)], own.drop(columns=["treeID", "id"]).fillna(0.0).to_numpy()) for i, own in nodes.groupby("treeID")]
+
+
+def coalition_worth(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Expected prediction of rows for every set of known features, numbered by its bits."""
+    k = x.shape[1]
+    member = (np.arange(2**k)[:, None] >> np.arange(k)) & 1 == 1
+
+    def below(node: int) -> np.ndarray | float:
+        feature, threshold, left, right, prediction, rows = tree[node]
+        if left < 0:
+            return prediction
+        yes, no, f = below(int(left)), below(int(right)), int(feature)
+        share = tree[int(left), 5] / rows
+        chosen = np.where((x[:, f] <= threshold)[:, None], yes, no)
+        return np.where(member[:, f], chosen, share * yes + (1 - share) * no)
+
+    return np.broadcast_to(below(0), (len(x), 2**k))
+
+
+def _explain(trees: list[tuple[float, np.ndarray]], features: list[str], keys: list[str]) -> Callable:
+    k = len(features)
+    sets = np.arange(2**k)
+    size = np.array([bin(s).count("1") for s in sets])
+    joining = np.array([factorial(s) * factorial(k - s - 1) / factorial(k) for s in range(k)])
+    shares = np.stack([np.where(sets >> f & 1, joining[size - 1], -joining[np.minimum(size, k - 1)]) for f in range(k)], 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                rows = whole.iloc[at : at + 1000]
+                x = rows[[f"_in_{f}" for f in features]].to_numpy(np.float64)
+                worth = sum(w * coalition_worth(tree, x) for w, tree in trees)
+                told = pd.DataFrame(worth @ shares, columns=[f"_phi_{f}" for f in features], index=rows.index)
+                yield pd.concat([rows[keys], pd.Series(worth[:, 0], name="base", index=rows.index), told], axis=1)
+
+    return run
 
 
 def attribution_rank(df: DataFrame, keys: Sequence[str] = ("symbol", "date")) -> DataFrame:
@@ -169,47 +222,40 @@ def _number(value: Column) -> Column:
 
 
 def render_prompt(recommendations: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    """``prompt``: instructions for an explanation that may use only the given values."""
-    listed = [
-        F.concat(F.lit(f"* {f} = "), _number(F.element_at("feature_values", F.lit(f)))) for f in features
-    ]
-    lines = [
-        F.lit("Explain this prediction to a reader without a finance background, in two or three sentences."),
-        F.lit("Begin with the explanation. Use only numbers from the list; do not invent or estimate any."),
-        F.concat(F.lit("Ticker: "), F.col("ticker").cast("string")),
-        F.concat(F.lit("Sector: "), F.coalesce("sector", F.lit("unknown"))),
-        F.concat(F.lit("Latest reported event: "), F.col("as_of_date").cast("string")),
-        F.concat(F.lit("Predicted class: "), F.col("predicted_label")),
-        F.concat(F.lit("Confidence in that class: "), _percent(F.col("confidence"))),
-        F.concat(F.lit("A spike is a move above: "), _number(F.col("spike_threshold"))),
-        F.lit("Inputs of the model:"),
-        *listed,
-        F.lit("The model does not predict the size of a move, so do not state a future gain or loss."),
-        F.concat(
-            F.lit("History, not a forecast: after this event the close moved "),
-            _number(F.col("historical_outcome.close_ret")),
-            F.lit(" and the high moved "),
-            _number(F.col("historical_outcome.high_ret")),
-            F.lit("."),
-        ),
-    ]
-    return recommendations.withColumn("prompt", F.concat_ws("\n", *lines))
+    """``prompt``: every value of a recommendation as ``key=value`` facts, and what a text may do with them."""
+    outcome = F.col("historical_outcome")
+    facts = {
+        "symbol": F.col("ticker").cast("string"),
+        "sector": F.coalesce("sector", F.lit("unknown")),
+        "event_day": F.col("as_of_date").cast("string"),
+        **{f: _number(F.element_at("feature_values", F.lit(f))) for f in features},
+        "spike_means_above": _number(F.col("spike_threshold")),
+        "class": F.col("predicted_label"),
+        "certainty": _percent(F.col("confidence")),
+        "past_close_move": _number(outcome["close_ret"]),
+        "past_high_move": _number(outcome["high_ret"]),
+    }
+    rules = (
+        "TASK: write a short paragraph, in everyday words, on why the class below fits the facts.",
+        "RULES: repeat figures only as they stand here and do not add others.",
+        "RULES: the past_ facts describe what already happened; do not turn them into an outlook.",
+        "RULES: the class says whether, never how far, a price moves; do not name a coming change.",
+        "FACTS:",
+    )
+    listed = [F.concat(F.lit(f"{name}="), value) for name, value in facts.items()]
+    return recommendations.withColumn("prompt", F.concat_ws("\n", *[F.lit(r) for r in rules], *listed))
 
 
 def render_fallback(recommendations: DataFrame) -> DataFrame:
-    """``explanation``: a fixed text for when no language model is at hand."""
-    ticker = F.col("ticker").cast("string")
+    """``explanation``: a fixed sentence for when nothing can write one."""
     text = F.concat(
-        F.lit("After the event of "),
-        F.col("as_of_date").cast("string"),
-        F.lit(" the model's class for "),
-        ticker,
-        F.lit(" is '"),
         F.col("predicted_label"),
-        F.lit("', with a confidence of "),
+        F.lit(" is what the model gives "),
+        F.col("ticker").cast("string"),
+        F.lit(" ("),
         _percent(F.col("confidence")),
-        F.lit(". It rests on the latest event on file for "),
-        ticker,
-        F.lit(" and not on today's market."),
+        F.lit(" certain), judging by its report of "),
+        F.col("as_of_date").cast("string"),
+        F.lit("; nothing newer went into this."),
     )
     return recommendations.withColumn("explanation", text)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..operators.metrics import brier_score, calibration_curve, classification_metrics, fold_summary
@@ -14,7 +15,7 @@ from ..operators.models import train_event_model
 from ..operators.portfolio import RUN, backtest_kpis, exclude_top_each, payoff_stats
 from ..operators.splits import chrono_split, validation_slice, walk_forward_folds
 from ..schemas import FEATURES, KPIS, LABEL, RETURN, SUE_FEATURES, target
-from ..storage import checkpointed
+from ..storage import stored
 from .backtests import CAP, event_backtest, signals, tranche_backtest
 
 
@@ -22,6 +23,16 @@ def _stack(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Models that are fitted side by side; each fit is a long series of short jobs.
+SIDE_BY_SIDE = 4
+
+
+def _fit_all(fits: Sequence[Callable[[], DataFrame]]) -> DataFrame:
+    """The scored rows of independent fits, stored once so that no model scores twice."""
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        return stored(_stack(list(pool.map(lambda fit: fit(), fits))), "scored")
+
+
 def _gap(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Test and train metrics side by side with their gap."""
     wide = metrics.groupBy(*keys).agg(
@@ -63,25 +74,25 @@ def overfitting_sweep(
     features: DataFrame, split_date: dt.date, validation_date: dt.date, configs: Mapping[str, Mapping[str, object]]
 ) -> DataFrame:
     """Train/test gap of each configuration against the ``baseline`` one."""
-    split = checkpointed(chrono_split(features, split_date))
-    runs = []
-    for label, config in configs.items():
+    split = stored(chrono_split(features, split_date))
+
+    def fit(label: str, config: Mapping[str, object]) -> DataFrame:
         rows = validation_slice(split, validation_date) if "early_stopping_rounds" in config else split
         if "is_validation" in rows.columns:
             rows = rows.withColumn("is_validation", F.col("is_validation") & (F.col("split") == "train"))
-        runs.append(run_config(rows, label, "gbt", config).drop("is_validation"))
-    table = compare(_stack(runs))
+        return run_config(rows, label, "gbt", config).drop("is_validation")
+
+    runs = _fit_all([lambda label=label, config=config: fit(label, config) for label, config in configs.items()])
+    table = stored(compare(runs), "sweep")
     base = table.where(F.col("run_id") == "baseline").select(F.col("gap").alias("_base")).first()
     return table.withColumn("gap_vs_baseline", F.col("gap") - F.lit(base["_base"]))
 
 
 def baseline_compare(features: DataFrame, split_date: dt.date, config: Mapping[str, object] | None = None) -> DataFrame:
     """Boosted trees against the logistic model: metrics, KPIs, payoff and trimmed returns."""
-    split = checkpointed(chrono_split(features, split_date))
-    runs = checkpointed(
-        run_config(split, "gbt", "gbt", config).unionByName(run_config(split, "logistic", "logistic"))
-    )
-    return robust_compare(runs)
+    split = stored(chrono_split(features, split_date))
+    runs = [lambda: run_config(split, "gbt", "gbt", config), lambda: run_config(split, "logistic", "logistic")]
+    return robust_compare(_fit_all(runs))
 
 
 def robust_compare(runs: DataFrame, ns: Sequence[int] = (5, 10), cap: float = CAP) -> DataFrame:
@@ -103,16 +114,18 @@ def walk_forward(
     cap: float = CAP,
 ) -> tuple[DataFrame, DataFrame]:
     """A fresh model per fold on all earlier rows, and the summary over folds."""
-    rows = checkpointed(features.na.drop(subset=[*FEATURES, LABEL]))
+    rows = stored(features.na.drop(subset=[*FEATURES, LABEL]))
     folds = walk_forward_folds(rows, start, months)
-    scored = []
-    # One row per fold; folds are months apart, so there are few.
-    for fold in folds.where(F.col("n_train") > 0).orderBy("fold").collect():
+
+    def fit(fold: Row) -> DataFrame:
         date = F.col("date")
         split = F.when(date < F.lit(fold["test_start"]), "train").when(date < F.lit(fold["test_end"]), "test")
         part = rows.withColumn("split", split).where(F.col("split").isNotNull())
-        scored.append(run_config(part, f"fold {fold['fold']:03d}", kind, config))
-    per_fold = compare(_stack(scored), cap)
+        return run_config(part, f"fold {fold['fold']:03d}", kind, config)
+
+    # One row per fold; folds are months apart, so there are few.
+    known = folds.where(F.col("n_train") > 0).orderBy("fold").collect()
+    per_fold = stored(compare(_fit_all([lambda fold=fold: fit(fold) for fold in known]), cap), "folds")
     return per_fold, fold_summary(per_fold, ["precision", "gap", *KPIS])
 
 
@@ -124,12 +137,10 @@ def calibration_compare(
     bins: int = 10,
 ) -> tuple[DataFrame, DataFrame]:
     """Uncalibrated, sigmoid and isotonic scores: Brier score and KPIs, and reliability per bin."""
-    split = checkpointed(chrono_split(features, split_date))
-    runs = [run_config(split, "uncalibrated", "gbt", config)]
-    for method in ("sigmoid", "isotonic"):
-        options = {"method": method, "cv": cv, "base_config": dict(config or {})}
-        runs.append(run_config(split, method, "calibrated", options))
-    scored = checkpointed(_stack(runs))
+    split = stored(chrono_split(features, split_date))
+    options = {method: {"method": method, "cv": cv, "base_config": dict(config or {})} for method in ("sigmoid", "isotonic")}
+    calibrated = [lambda m=m: run_config(split, m, "calibrated", options[m]) for m in options]
+    scored = _fit_all([lambda: run_config(split, "uncalibrated", "gbt", config), *calibrated])
     test = scored.where(F.col("split") == "test")
     table = compare(scored).join(brier_score(test, RUN), list(RUN))
     return table, calibration_curve(test, bins, RUN)
@@ -137,11 +148,11 @@ def calibration_compare(
 
 def sue_compare(features: DataFrame, split_date: dt.date, config: Mapping[str, object] | None = None) -> DataFrame:
     """The raw surprise against the standardised one as a feature. Needs a ``sue`` column."""
-    runs = []
-    for label, names in (("raw_surprise", FEATURES), ("sue", SUE_FEATURES)):
-        split = checkpointed(chrono_split(features, split_date, names))
-        runs.append(run_config(split, label, "gbt", config, names))
-    return robust_compare(checkpointed(_stack(runs)))
+
+    def fit(label: str, names: Sequence[str]) -> DataFrame:
+        return run_config(stored(chrono_split(features, split_date, names)), label, "gbt", config, names)
+
+    return robust_compare(_fit_all([lambda: fit("raw_surprise", FEATURES), lambda: fit("sue", SUE_FEATURES)]))
 
 
 def gap_robustness(
@@ -154,8 +165,8 @@ def gap_robustness(
     """The low-gap configuration with its return after each trim."""
     split = validation_slice(chrono_split(features, split_date), validation_date)
     split = split.withColumn("is_validation", F.col("is_validation") & (F.col("split") == "train"))
-    runs = run_config(checkpointed(split), "lowest_gap", "gbt", config).drop("is_validation")
-    return robust_compare(checkpointed(runs), ns)
+    runs = run_config(stored(split), "lowest_gap", "gbt", config).drop("is_validation")
+    return robust_compare(stored(runs), ns)
 
 
 def horizon_alignment(
@@ -166,9 +177,13 @@ def horizon_alignment(
     config: Mapping[str, object] | None = None,
 ) -> DataFrame:
     """One-day trades on the high label against ``horizon``-day tranches on the close label."""
-    one = checkpointed(run_config(checkpointed(chrono_split(daily, split_date)), "t1", "gbt", config))
     ret = target(horizon, "close")
-    far = checkpointed(run_config(checkpointed(chrono_split(long, split_date)), f"t{horizon}", "gbt", config))
+
+    def fit(rows: DataFrame, label: str) -> DataFrame:
+        return stored(run_config(stored(chrono_split(rows, split_date)), label, "gbt", config))
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        one, far = pool.map(fit, (daily, long), ("t1", f"t{horizon}"))
     known = far.where((F.col("split") == "test") & F.col(ret).isNotNull())
     metrics = _gap(
         classification_metrics(one, [*RUN, "split"]).unionByName(classification_metrics(far, [*RUN, "split"])), RUN

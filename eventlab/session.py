@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -35,5 +36,7 @@ def build_session(app: str = "eventlab", cores: int | None = None) -> SparkSessi
             .config("spark.sql.shuffle.partitions", str(cores))
             .config("spark.ui.enabled", "false")
             .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
+            .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+            .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="eventlab-"))
         )
     return builder.getOrCreate()

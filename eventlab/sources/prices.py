@@ -74,5 +74,6 @@ def ingest_progress(wanted: DataFrame, loaded: DataFrame) -> DataFrame:
 
 
 def write_panel(panel: DataFrame, path: str) -> None:
-    """Store a panel by year of the bar, so date ranges prune files."""
-    panel.withColumn("year", F.year("date")).write.mode("overwrite").partitionBy("year").parquet(path)
+    """Store a panel by year of the bar, so date ranges prune files; the files are ranges of the order."""
+    ordered = panel.withColumn("year", F.year("date")).repartitionByRange("year", "date", "symbol")
+    ordered.sortWithinPartitions("year", "date", "symbol").write.mode("overwrite").partitionBy("year").parquet(path)

@@ -64,10 +64,10 @@ def normalise_ticker(df: DataFrame, column: str = "symbol") -> DataFrame:
 
 
 def feature_sink(features: DataFrame, path: str) -> None:
-    """Store event features by year, ordered inside each file."""
+    """Store event features by year, ordered inside each file; the files are ranges of the order."""
     (
         features.withColumn("year", F.year("date"))
-        .repartition("year", F.pmod(F.hash("symbol"), F.lit(16)))
+        .repartitionByRange("year", "date", "symbol")
         .sortWithinPartitions("year", "date", "symbol")
         .write.mode("overwrite")
         .partitionBy("year")

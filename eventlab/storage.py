@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,8 +14,8 @@ _local_base: list[str] = []
 def scratch_base(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of this machine, because
-    executors of a cluster could not see it.
+    A local session without the setting gets a temporary folder, with a warning; on a cluster that
+    is an error, because executors could not see it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -22,6 +23,7 @@ def scratch_base(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     if not _local_base:
+        warnings.warn("spark.checkpoint.dir is not set: intermediate tables go to a temporary folder", stacklevel=2)
         _local_base.append(tempfile.mkdtemp(prefix="eventlab-"))
     return _local_base[0]
 
@@ -31,9 +33,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{scratch_base(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which survives lost executors."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_base(spark))
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
+    """The table, written as Parquet to the session's shared folder and read again.
+
+    It cuts the lineage like a checkpoint and survives lost executors like one, but keeps columns
+    apart and statistics, by which later joins are planned.
+    """
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

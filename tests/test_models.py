@@ -62,10 +62,11 @@ def test_fold_boundaries_inside_a_month(spark):
 
 
 def test_calibration_curve(spark):
-    frame = spark.createDataFrame([(0, 0.1), (0, 0.2), (1, 0.6), (1, 0.9)], "y int, p double")
-    got = rows(M.calibration_curve(frame, 2, label="y", score="p"), "bin_low")
-    assert [(r[2], r[3], r[4]) for r in got] == [(pytest.approx(0.15), 0.0, 2), (pytest.approx(0.75), 1.0, 2)]
-    assert M.brier_score(frame, label="y", score="p").first()[0] == pytest.approx((0.01 + 0.04 + 0.16 + 0.01) / 4)
+    frame = spark.createDataFrame([(1, 0.02), (0, 0.13), (0, 0.24), (1, 0.4), (1, 0.45), (0, 0.98)], "y int, p double")
+    got = rows(M.calibration_curve(frame, 4, label="y", score="p"), "bin_low")
+    assert [(r[2], r[3], r[4]) for r in got] == [(pytest.approx(0.13), pytest.approx(1 / 3), 3), (pytest.approx(0.425), 1.0, 2), (pytest.approx(0.98), 0.0, 1)]
+    errors = [0.98, 0.13, 0.24, 0.6, 0.55, 0.98]
+    assert M.brier_score(frame, label="y", score="p").first()[0] == pytest.approx(sum(e * e for e in errors) / 6)
 
 
 def test_precision_without_positive_predictions(spark):
@@ -104,17 +105,26 @@ def test_gbt_parameters(spark):
     )
     assert (gbt.getMaxDepth(), gbt.getMaxIter(), gbt.getStepSize(), gbt.getSubsamplingRate()) == (3, 7, 0.1, 0.7)
     assert (gbt.getFeatureSubsetStrategy(), gbt.getMinInstancesPerNode()) == ("0.7", 5)
-    assert (gbt.getWeightCol(), gbt.getValidationIndicatorCol()) == ("_weight", "is_validation")
+    assert gbt.getWeightCol() == "_weight"
 
 
 def test_early_stopping_uses_the_validation_rows(data):
     train = SP.validation_slice(data, day("2022-01-01"))
     marked = train.withColumn("is_validation", F.col("is_validation") & (F.col("split") == "train"))
     model, scored, _ = MO.train_event_model(marked, "gbt", {**SMALL, "n_estimators": 40, "early_stopping_rounds": 5}, X, "y")
-    assert model.stages[-1].getNumTrees <= 40
+    trees = model.stages[-1].getNumTrees
+    assert 1 <= trees < 40
+    patient = MO.fit_gbt(marked.where("split = 'train'"), {**SMALL, "n_estimators": 40, "early_stopping_rounds": 39}, X, "y")
+    assert patient.stages[-1].getNumTrees >= trees
     assert scored.where("split = 'train' and is_validation").count() == 0
 
 
+def test_patience():
+    losses = [5, 4, 4, 3, 6, 6, 2, 9]
+    assert [MO.best_round(losses, p) for p in (1, 2, 3, 9)] == [1, 3, 6, 6]
+    assert MO.best_round([1.0], 3) == 0
+
+
 def test_balanced_weight_raises_recall(data):
     train = data.where("split = 'train'")
     plain = MO.score(MO.fit_gbt(train, SMALL, X, "y"), data).where("y_pred = 1").count()
@@ -151,28 +161,55 @@ def test_bundle_of_a_missing_model(spark, tmp_path):
         MO.load_bundle(str(tmp_path / "none"), spark)
 
 
+def expected_prediction(tree, known, x, node=0):
+    """Plain recursion: an unknown feature counts both branches by their rows."""
+    feature, threshold, left, right, prediction, _ = tree[node]
+    if left < 0:
+        return prediction
+    yes, no = (expected_prediction(tree, known, x, int(n)) for n in (left, right))
+    if int(feature) in known:
+        return yes if x[int(feature)] <= threshold else no
+    share = tree[int(left)][5] / tree[node][5]
+    return share * yes + (1 - share) * no
+
+
 def test_attribution_adds_up_and_finds_the_driver(spark, data):
-    train = data.where("split = 'train'")
-    model = MO.fit_gbt(train, {"n_estimators": 8, "max_depth": 3}, X, "y")
-    some = data.where("split = 'test'").orderBy("date").limit(6)
-    told = S.feature_attribution(some, model, train, X, sample=5)
-    pdf = {r["symbol"]: r["attribution"] for r in told.collect()}
+    from itertools import permutations
 
     from pyspark.ml.functions import vector_to_array
 
+    train = data.where("split = 'train'")
+    model = MO.fit_gbt(train, {"n_estimators": 8, "max_depth": 3}, X, "y")
+    some = data.where("split = 'test'").orderBy("date").limit(6).cache()
+    told = S.feature_attribution(some, model, train, X)
     margin = 2 * vector_to_array("rawPrediction")[1]
-    own = {r["symbol"]: r["m"] for r in model.transform(some).select("symbol", margin.alias("m")).collect()}
-    draw = F.md5(F.concat_ws("|", "symbol", F.col("date").cast("string")))
-    background = train.orderBy(draw, "symbol", "date").limit(5)
-    base = model.transform(background).select(F.avg(margin)).first()[0]
-    total = {f: 0.0 for f in X}
-    for symbol, parts in pdf.items():
-        assert sum(parts.values()) == pytest.approx(own[symbol] - base)
-        for f, v in parts.items():
-            total[f] += abs(v)
+    own = {r["symbol"]: r for r in model.transform(some).select("symbol", *X, margin.alias("m")).collect()}
+    trees = S.tree_nodes(model.stages[-1], spark)
+    total = dict.fromkeys(X, 0.0)
+    for r in told.collect():
+        x = [own[r["symbol"]][f] for f in X]
+        worth = lambda known: sum(2 * w * expected_prediction(t, known, x) for w, t in trees)  # noqa: E731, B023
+        assert r["base"] == pytest.approx(worth(()))
+        assert sum(r["attribution"].values()) + r["base"] == pytest.approx(own[r["symbol"]]["m"])
+        for i, f in enumerate(X):
+            joined = [worth(order[: order.index(i) + 1]) - worth(order[: order.index(i)]) for order in permutations(range(3))]
+            assert r["attribution"][f] == pytest.approx(sum(joined) / 6)
+            total[f] += abs(r["attribution"][f])
     assert max(total, key=total.get) == "x1"
-    ranked = S.attribution_rank(told).where("place = 1")
-    assert ranked.count() == 6
+    assert S.attribution_rank(told).where("place = 1").count() == 6
+
+
+@pytest.mark.parametrize("kind", ["logistic", "calibrated"])
+def test_attribution_of_other_models(spark, data, kind):
+    train = data.where("split = 'train'")
+    model = MO.fit(kind, train, {"cv": 2, "base_config": SMALL} if kind == "calibrated" else None, X, "y")
+    some = data.where("split = 'test'").limit(5).cache()
+    told = {(r["symbol"], r["date"]): sum(r["attribution"].values()) + r["base"] for r in S.feature_attribution(some, model, train, X).collect()}
+    if kind == "logistic":
+        odds = F.ln(F.col("y_pred_proba") / (1 - F.col("y_pred_proba")))
+        expected = {(r["symbol"], r["date"]): r["m"] for r in MO.score(model, some).select("symbol", "date", odds.alias("m")).collect()}
+        assert told == pytest.approx(expected)
+    assert len(told) == 5
 
 
 def test_linear_attribution(spark):

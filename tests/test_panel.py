@@ -99,10 +99,7 @@ BARRIER_CASES = {
 }
 
 
-@pytest.mark.parametrize("chain", [True, False])
-def test_triple_barrier(spark, chain, monkeypatch):
-    if not chain:
-        monkeypatch.setattr(L, "LEAD_CHAIN_LIMIT", 0)
+def test_triple_barrier(spark):
     data = []
     for symbol, (bars, _) in BARRIER_CASES.items():
         data.append((symbol, "2024-01-01", 100.0, 100.0, 100.0, 100.0))

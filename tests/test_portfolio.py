@@ -32,9 +32,9 @@ def test_limit_order(spark):
 
 
 def test_payoff(spark):
-    df = trades(spark, [("2024-01-01", "a", 0.1), ("2024-01-01", "b", 0.2), ("2024-01-01", "c", -0.05), ("2024-01-01", "d", -0.05)])
+    df = trades(spark, [("2031-05-06", "a", 0.07), ("2031-05-06", "b", 0.01), ("2031-05-07", "a", 0.0), ("2031-05-08", "d", -0.16)])
     row = PO.payoff_stats(df).first()
-    assert (row["avg_win"], row["avg_loss"], row["payoff_ratio"]) == (pytest.approx(0.15), pytest.approx(-0.05), pytest.approx(3.0))
+    assert (row["avg_win"], row["avg_loss"], row["payoff_ratio"]) == (pytest.approx(0.04), pytest.approx(-0.08), pytest.approx(0.5))
 
 
 def test_payoff_without_losses_is_null(spark):
@@ -43,9 +43,20 @@ def test_payoff_without_losses_is_null(spark):
 
 
 def test_exclude_top_n(spark):
-    df = trades(spark, [("2024-01-01", s, r) for s, r in zip("abcde", (0.5, 0.01, -0.02, 0.3, -0.1))])
-    left = PO.exclude_top_n(df, 2)
-    assert sorted(r["target_t1_close_ret"] for r in left.collect()) == [-0.1, -0.02, 0.01]
+    returns = [0.07, -0.4, 0.22, 0.0, 0.21, -0.01, 0.22]
+    df = trades(spark, [("2031-05-06", f"s{i}", r) for i, r in enumerate(returns)])
+    assert sorted(r["target_t1_close_ret"] for r in PO.exclude_top_n(df, 3).collect()) == [-0.4, -0.01, 0.0, 0.07]
+    assert PO.exclude_top_n(df, 99).count() == 0
+
+
+def test_exactly_n_trades_go(spark):
+    """Also if a symbol trades more than once a day, and in a run without a name."""
+    twice = [("2031-05-06", "a", r) for r in (0.3, 0.2, 0.1)] + [("2031-05-06", "b", 0.25), ("2031-05-07", "a", -0.1)]
+    df = trades(spark, twice, None).union(trades(spark, twice, "r"))
+    left = PO.exclude_top_each(df, [1, 2, 4])
+    got = {(r["run_id"], r["excluded"]): sorted(r["left"]) for r in left.groupBy("run_id", "excluded").agg(F.collect_list("target_t1_close_ret").alias("left")).collect()}
+    expected = {1: [-0.1, 0.1, 0.2, 0.25], 2: [-0.1, 0.1, 0.2], 4: [-0.1]}
+    assert got == {(run, n): rest for run in (None, "r") for n, rest in expected.items()}
 
 
 def test_daily_returns(spark):
@@ -165,14 +176,29 @@ def test_bootstrap_of_constant_returns(spark):
     assert {r["win_rate"] for r in R.bootstrap_kpis(df, 20).collect()} == {1.0}
 
 
-def test_large_trade_sets_are_not_broadcast(spark, monkeypatch):
-    from eventlab.functions import joins
-
-    monkeypatch.setattr(R, "broadcast_if_small", lambda df: joins.broadcast_if_small(df, 10))
-    df = sample_trades(spark)
-    drawn = R.bootstrap_trades(df, 30)
-    assert "ShuffledHashJoin" in drawn._jdf.queryExecution().executedPlan().toString()
-    assert drawn.count() == 1200
+def test_runs_without_a_name_are_resampled_too(spark):
+    df = trades(spark, [("2031-05-06", f"s{i}", 0.01 * i) for i in range(7)], None)
+    drawn = R.bootstrap_trades(df, 3)
+    assert {r["rep"]: r["count"] for r in drawn.groupBy("rep").count().collect()} == {0: 7, 1: 7, 2: 7}
+    real = df.where("symbol < 's3'")
+    assert R.exposure_matched_trades(df, real, 2).count() == 6
+
+
+def test_no_run_is_one_task(spark):
+    """Values and trades are cut by more than the run, also where nothing is broadcast."""
+    import re
+
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        samples = sample_trades(spark).select("run_id", F.col("target_t1_close_ret").alias("x"))
+        for df in (R.confidence_interval(samples, ["x"]), R.bootstrap_trades(sample_trades(spark), 3)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            # Below a window by the group alone there are only counts, one row per group and part.
+            for match in re.finditer(r"Exchange hashpartitioning\(_group#\d+, \d+\)[^\n]*\n[^\n]*", plan):
+                assert "HashAggregate" in match[0], plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
 
 
 def test_percentiles(spark):

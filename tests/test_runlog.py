@@ -30,12 +30,19 @@ def test_labels_follow_time(spark):
 
 
 def test_config_columns(spark):
-    got = rows(R.config_expand(log(spark)).select("run_id", "config_depth", "config_eta"), "run_id")
+    got = rows(R.config_expand(log(spark), ["depth", "eta"]).select("run_id", "config_depth", "config_eta"), "run_id")
     assert got == [("a", "3", None), ("b", None, None), ("c", "6", "0.1")]
 
 
+def test_config_keys(spark):
+    assert {r["key"] for r in R.config_keys(log(spark)).collect()} == {"depth", "eta"}
+    many = spark.range(3000).select(F.concat(F.lit("r"), "id").alias("run_id"), F.format_string('{"key%d": 1}', "id").alias("config_json"))
+    assert R.config_keys(many).count() == 3000
+    assert R.config_expand(many, ["key7"]).where("config_key7 = '1'").count() == 1
+
+
 def test_report_hides_ids_and_times(spark):
-    table = R.report_table(log(spark), ())
+    table = R.report_table(log(spark), ["depth"], ())
     assert table.columns[0] == "run_label"
     assert not {"run_id", "timestamp"} & set(table.columns)
 
