@@ -16,6 +16,7 @@ from .panel import FEATURE_COLUMNS
 from .shape import r6, r6_all, tidy
 
 CIK_CHUNK = 50
+ROWS_PER_PAGE = 20
 
 
 def _landed_bars(spark, sf):
@@ -76,30 +77,27 @@ def html_table_rows(spark, sf):
 
 
 def html_changes(spark, sf):
-    """Changes pages, one per announcement day, in the notation of such pages."""
+    """Changes pages with a header of two rows, whose rows share the cell of their date."""
     _, changes = K.membership(spark, sf)
     cell = lambda c: F.concat(F.lit("<td>"), F.coalesce(c, F.lit("")), F.lit("</td>"))
     name = lambda c: F.when(c.isNotNull(), F.concat(F.lit("S."), c.cast("string")))
-    row = F.concat(
-        F.lit("<tr>"),
-        cell(F.date_format("date", "MMMM d, yyyy")),
-        cell(name(F.col("added_ticker"))),
-        cell(F.lit("Added Inc.")),
-        cell(name(F.col("removed_ticker"))),
-        cell(F.lit("Removed Inc.")),
-        F.lit("</tr>"),
-    )
-    head = "".join(f"<th>{h}</th>" for h in ("Date", "Added Ticker", "Added Security", "Removed Ticker", "Removed Security"))
-    pages = changes.select(
-        F.concat(F.lit("change/"), F.col("seq").cast("string")).alias("url"),
-        F.concat(F.lit(f"<html><table><tr>{head}</tr>"), row, F.lit("</table></html>")).alias("html"),
+    written = F.concat(cell(name(F.col("added_ticker"))), cell(F.lit("Added Inc.")), cell(name(F.col("removed_ticker"))), cell(F.lit("Removed Inc.")))
+    part = F.floor(F.col("seq") / ROWS_PER_PAGE).alias("part")
+    rows = changes.groupBy("date", part).agg(F.sort_array(F.collect_list(F.struct("seq", written.alias("cells")))).alias("rows"))
+    head = "<tr><th rowspan='2'>Date</th><th colspan='2'>Added</th><th colspan='2'>Removed</th></tr><tr>" + "<th>Ticker</th><th>Security</th>" * 2 + "</tr>"
+    day = F.concat(F.lit("<td rowspan='"), F.size("rows").cast("string"), F.lit("'>"), F.date_format("date", "MMMM d, yyyy"), F.lit("</td>"))
+    lines = F.array_join(F.transform("rows", lambda r: r["cells"]), "</tr><tr>")
+    pages = rows.select(
+        F.concat_ws("/", F.lit("change"), F.col("date").cast("string"), F.col("part").cast("string")).alias("url"),
+        F.concat(F.lit(f"<html><table>{head}<tr>"), day, lines, F.lit("</tr></table></html>")).alias("html"),
     )
     return tidy(H.membership_changes(pages).select("url", "seq", "date", "added_ticker", "removed_ticker"))
 
 
 def quality_gate(spark, sf):
-    """Constituent pages and the raw web pages against the constituents signature."""
-    made = H.quality_gate(K.constituent_pages(spark, sf), ["Symbol"])
+    """Constituent pages, each fetched again when it was gone, and the raw web pages against the constituents signature."""
+    pages = K.constituent_pages(spark, sf)
+    made = H.quality_gate(pages.unionByName(pages.withColumn("html", F.lit("<p>gone</p>"))), ["Symbol"])
     raw = H.quality_gate(K.table(spark, sf, "pages"), ["Symbol"])
     return made.withColumn("source", F.lit("constituents")).unionByName(raw.withColumn("source", F.lit("web")))
 
@@ -154,11 +152,13 @@ SQL = {
         FROM meta WHERE symbol % 11 <> 10"""
     ),
     "html_changes": with_ctes(
-        """SELECT 'change/' || seq AS url, 1::BIGINT AS seq, date, CASE WHEN op = 'add' THEN 'S-' || symbol END AS added_ticker,
+        f"""SELECT 'change/' || date || '/' || seq // {ROWS_PER_PAGE} AS url,
+        row_number() OVER (PARTITION BY date, seq // {ROWS_PER_PAGE} ORDER BY seq) AS seq, date,
+        CASE WHEN op = 'add' THEN 'S-' || symbol END AS added_ticker,
         CASE WHEN op = 'remove' THEN 'S-' || symbol END AS removed_ticker FROM changes"""
     ),
-    "quality_gate": """SELECT 'constituents' AS source, count(*) AS pages, count(CASE WHEN s_suppkey % 11 <> 10 THEN 1 END) AS accepted,
-        count(CASE WHEN s_suppkey % 11 = 10 THEN 1 END) AS rejected FROM supplier
+    "quality_gate": """SELECT 'constituents' AS source, 2 * count(*) AS pages, count(CASE WHEN s_suppkey % 11 <> 10 THEN 1 END) AS accepted,
+        2 * count(*) - count(CASE WHEN s_suppkey % 11 <> 10 THEN 1 END) AS rejected FROM supplier
         UNION ALL SELECT 'web', count(*), count(CASE WHEN regexp_matches(html, '(?is)<table.*Symbol.*</table>') THEN 1 END),
         count(CASE WHEN NOT regexp_matches(html, '(?is)<table.*Symbol.*</table>') THEN 1 END) FROM pages""",
     "pages_without_table": "SELECT 'page/' || s_suppkey AS url FROM supplier WHERE s_suppkey % 11 = 10",

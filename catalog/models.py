@@ -1,7 +1,13 @@
-"""Queries that fit models. Only invariants can be written in SQL; the tests check the rest."""
+"""Queries that fit models.
+
+SQL cannot fit them, but it knows which rows they see and what must hold for their figures: each
+query returns keys and counts, and whether probabilities, metrics and contributions, computed
+again from scored rows, coefficients and trees, come out the same.
+"""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from eventlab.operators import models as M
@@ -11,13 +17,13 @@ from eventlab.operators import textcheck as C
 from eventlab.operators.events import latest_event
 from eventlab.operators.resample import seeded_ticker_sample
 from eventlab.plans import experiments as X
-from eventlab.schemas import FEATURES
+from eventlab.schemas import FEATURES, LABEL
 from eventlab.sources import market as K
 from eventlab.storage import scratch, stored
 
 from .ctes import with_ctes
-from .panel import AS_OF, _snapshot
-from .shape import tidy
+from .panel import AS_OF, COMPLETE, EVENT_SUE, FOLDS, KEPT, _snapshot
+from .shape import r6, tidy
 
 DEFAULT: dict = {}  # the library's own defaults: 100 trees of depth 6
 LOW_GAP = {
@@ -42,18 +48,39 @@ CONFIGS = {
 }
 
 
+_fits: dict[tuple, tuple] = {}
+
+
 def _split(spark, sf):
     return stored(SP.chrono_split(K.features(spark, sf), K.SPLIT_DATE))
 
 
 def _fitted(spark, sf, kind="gbt", config=None):
-    split = _split(spark, sf)
-    return split, M.fit(kind, split.where(F.col("split") == "train"), config, FEATURES, "target_spike_class")
+    """Split and model; queries of one session that ask for the same model share its fit."""
+    key = (spark.sparkContext.applicationId, sf, kind, repr(config))
+    if key not in _fits:
+        split = _split(spark, sf)
+        _fits[key] = split, M.fit(kind, split.where(F.col("split") == "train"), config, FEATURES, LABEL)
+    return _fits[key]
+
+
+def _agrees():
+    """The class follows from the probability, which is one."""
+    p = F.col("y_pred_proba")
+    return ((F.col("y_pred") == (p > 0.5).cast("int")) & p.between(0, 1)).alias("agrees")
 
 
-def _scored(spark, sf, kind, config):
+def _closed_form(model):
+    """The logistic model's probability, computed again from its coefficients."""
+    scaler, logistic = model.stages[1], model.stages[2]
+    parts = zip(FEATURES, logistic.coefficients.toArray(), scaler.mean.toArray(), scaler.std.toArray(), strict=True)
+    margin = sum(((F.col(f) - float(m)) / float(s) * float(c) for f, c, m, s in parts), F.lit(float(logistic.intercept)))
+    return (F.abs(1 / (1 + F.exp(-margin)) - F.col("y_pred_proba")) < 1e-9).alias("closed_form")
+
+
+def _scored(spark, sf, kind, config, *facts):
     split, model = _fitted(spark, sf, kind, config)
-    return tidy(M.score(model, split).select("symbol", "date", "split", "target_spike_class", "y_pred", "y_pred_proba"))
+    return tidy(M.score(model, split).select("symbol", "date", "split", LABEL, _agrees(), *[f(model) for f in facts]))
 
 
 def gbt_train(spark, sf):
@@ -61,7 +88,7 @@ def gbt_train(spark, sf):
 
 
 def logistic_train(spark, sf):
-    return _scored(spark, sf, "logistic", None)
+    return _scored(spark, sf, "logistic", None, _closed_form)
 
 
 def calibrated_train(spark, sf):
@@ -71,12 +98,19 @@ def calibrated_train(spark, sf):
 def score(spark, sf):
     """The logistic model's predictions for every ticker's latest event."""
     split, model = _fitted(spark, sf, "logistic")
-    return tidy(M.score(model, latest_event(split)).select("symbol", "date", "y_pred", "y_pred_proba"))
+    return tidy(M.score(model, latest_event(split)).select("symbol", "date", _agrees(), _closed_form(model)))
 
 
 def train_event_model(spark, sf):
-    _, _, metrics = M.train_event_model(_split(spark, sf), "gbt", DEFAULT)
-    return tidy(metrics)
+    """Metrics per split beside the same ones, counted from the scored rows."""
+    _, scored, metrics = M.train_event_model(_split(spark, sf), "logistic")
+    hit = (F.col("y_pred") == F.col(LABEL)).cast("double")
+    taken = F.sum("y_pred")
+    again = scored.groupBy("split").agg(
+        F.avg(hit).alias("a"), F.when(taken > 0, F.sum(F.col("y_pred") * F.col(LABEL)) / taken).otherwise(0.0).alias("p")
+    )
+    same = [F.abs(F.col(x) - F.col(y)) < 1e-12 for x, y in (("accuracy", "a"), ("precision", "p"))]
+    return tidy(metrics.join(again, "split").select("split", "rows", same[0].alias("accuracy_again"), same[1].alias("precision_again")))
 
 
 def model_bundle(spark, sf):
@@ -94,9 +128,11 @@ def model_bundle(spark, sf):
 def recommendation(spark, sf):
     split, model = _fitted(spark, sf, "gbt", DEFAULT)
     rows = S.recommendation(split, model, spike_threshold=K.THRESHOLD)
+    label = F.when(F.col("predicted_class") == 1, "Spike").otherwise("No Spike") == F.col("predicted_label")
     return tidy(
         rows.select(
-            "ticker", "as_of_date", "sector", "predicted_class", "predicted_label", "confidence", "spike_threshold",
+            "ticker", "as_of_date", "sector", "spike_threshold",
+            (label & F.col("confidence").between(0.5, 1)).alias("agrees"),
             F.element_at("feature_values", F.lit("surprise_pct")).alias("surprise_pct"),
             F.col("historical_outcome.close_ret").alias("close_ret"),
         )
@@ -105,59 +141,93 @@ def recommendation(spark, sf):
 
 def scenario_analysis(spark, sf):
     _, model = _fitted(spark, sf, "gbt", DEFAULT)
-    return tidy(S.scenario_analysis(K.earnings(spark, sf), _snapshot(spark, sf), model, AS_OF))
+    rows = S.scenario_analysis(K.earnings(spark, sf), _snapshot(spark, sf), model, AS_OF)
+    p = F.col("spike_probability")
+    label = F.when(p > 0.5, "Spike").otherwise("No Spike") == F.col("predicted_label")
+    shown = ["ticker", "upcoming_earnings_date", "as_of_date", "sector", "surprise_pct", "reported_eps"]
+    return tidy(rows.select(*shown, (label & p.between(0, 1)).alias("agrees")))
 
 
 def feature_attribution(spark, sf):
+    """The ranked contributions of each ticker's latest event, and whether they add up to its log-odds."""
     split, model = _fitted(spark, sf, "gbt", DEFAULT)
-    rows = S.feature_attribution(latest_event(split), model, split.where(F.col("split") == "train"))
-    return tidy(S.attribution_rank(rows))
+    latest = latest_event(split)
+    told = S.feature_attribution(latest, model, split.where(F.col("split") == "train"))
+    margin = (2 * vector_to_array("rawPrediction")[1]).alias("margin")
+    own = model.transform(latest).select("symbol", margin)
+    ranked = S.attribution_rank(told).groupBy("symbol", "date").agg(
+        F.sum("contribution").alias("whole"), F.count("*").alias("features"), F.countDistinct("place").alias("places")
+    )
+    rows = ranked.join(told.select("symbol", "base"), "symbol").join(own, "symbol")
+    adds_up = F.abs(F.col("whole") + F.col("base") - F.col("margin")) < 1e-6
+    return tidy(rows.select("symbol", "date", "features", "places", adds_up.alias("adds_up")))
+
+
+def _facts(table, *more):
+    """Size of both splits, and what must hold between the figures of a run."""
+    gap = F.abs(F.col("train_precision") - F.col("precision") - F.col("gap")) < 1e-12
+    rates = F.col("accuracy").between(0, 1) & F.col("precision").between(0, 1) & F.col("win_rate").between(0, 1)
+    bounds = (F.col("max_drawdown") <= 0) & (F.col("trades") <= F.col("n_test"))
+    return tidy(table.select("run_id", "n_train", "n_test", gap.alias("gap_again"), (rates & bounds).alias("in_range"), *more))
 
 
 def overfitting_sweep(spark, sf):
-    return tidy(X.overfitting_sweep(K.features(spark, sf), K.SPLIT_DATE, K.VALIDATION_DATE, CONFIGS))
+    table = X.overfitting_sweep(K.features(spark, sf), K.SPLIT_DATE, K.VALIDATION_DATE, CONFIGS)
+    return _facts(table, ((F.col("gap_vs_baseline") == 0) | (F.col("run_id") != "baseline")).alias("against_baseline"))
 
 
 def baseline_compare(spark, sf):
-    return tidy(X.baseline_compare(K.features(spark, sf), K.SPLIT_DATE, DEFAULT))
+    return _facts(X.baseline_compare(K.features(spark, sf), K.SPLIT_DATE, DEFAULT))
 
 
 def walk_forward(spark, sf):
-    per_fold, _ = X.walk_forward(K.features(spark, sf), K.SPLIT_DATE, 6, DEFAULT)
-    return tidy(per_fold)
+    """Every fold's model, with the summary of the same folds counted again."""
+    per_fold, summary = X.walk_forward(K.features(spark, sf), K.SPLIT_DATE, 6, DEFAULT)
+    mean = summary.where(F.col("metric") == "total_return").first()["mean"]
+    again = per_fold.agg(F.avg("total_return")).first()[0]
+    return _facts(per_fold, F.lit(abs(mean - again) < 1e-12).alias("summary_again"))
 
 
 def walk_forward_summary(spark, sf):
+    """The folds' summary: a metric lies between its least and largest value."""
     _, summary = X.walk_forward(K.features(spark, sf), K.SPLIT_DATE, 6, DEFAULT)
-    return tidy(summary)
+    ordered = (F.col("min") <= F.col("mean") + 1e-12) & (F.col("mean") <= F.col("max") + 1e-12) & (F.col("std") >= 0)
+    return tidy(summary.select("metric", ordered.alias("ordered")))
 
 
 def calibration_compare(spark, sf):
-    table, _ = X.calibration_compare(K.features(spark, sf), K.SPLIT_DATE, DEFAULT, cv=5)
-    return tidy(table)
+    """Three scores with their reliability per bin: the bins hold all test rows and give the Brier score's bounds."""
+    table, curve = X.calibration_compare(K.features(spark, sf), K.SPLIT_DATE, DEFAULT, cv=5)
+    inside = F.col("mean_predicted").between(F.col("bin_low") - 1e-9, F.col("bin_high") + 1e-9) & F.col("fraction_positive").between(0, 1)
+    # The score is at least what the bins' means leave.
+    least = F.sum(F.col("count") * F.pow(F.col("mean_predicted") - F.col("fraction_positive"), 2)) / F.sum("count")
+    bins = curve.groupBy("run_id").agg(F.sum("count").alias("binned"), F.bool_and(inside).alias("inside"), least.alias("least"))
+    joined = table.join(bins, "run_id")
+    return _facts(joined, "binned", "inside", (F.col("brier_score") >= F.col("least") - 1e-9).alias("brier_bounded"))
 
 
 def gap_robustness(spark, sf):
-    return tidy(X.gap_robustness(K.features(spark, sf), K.SPLIT_DATE, K.VALIDATION_DATE, LOW_GAP))
+    return _facts(X.gap_robustness(K.features(spark, sf), K.SPLIT_DATE, K.VALIDATION_DATE, LOW_GAP))
 
 
 def horizon_alignment(spark, sf):
     daily = K.features(spark, sf)
     long = K.features(spark, sf, horizon=20, label_price="close")
-    return tidy(X.horizon_alignment(daily, long, 20, K.SPLIT_DATE, DEFAULT))
+    table = X.horizon_alignment(daily, long, 20, K.SPLIT_DATE, DEFAULT)
+    return _facts(table).where("run_id = 't1'").unionByName(_facts(table).where("run_id = 't20'"))
 
 
 def sue_compare(spark, sf):
-    return tidy(X.sue_compare(K.features(spark, sf, with_sue=True), K.SPLIT_DATE, DEFAULT))
+    return _facts(X.sue_compare(K.features(spark, sf, with_sue=True), K.SPLIT_DATE, DEFAULT))
 
 
 def advice_model(spark, sf):
-    """Explanations of the fitted model's recommendations for sampled tickers, checked."""
+    """Explanations of the fitted model's recommendations for sampled tickers, checked: the fixed text invents nothing."""
     split, model = _fitted(spark, sf, "logistic")
     sampled = latest_event(split).join(seeded_ticker_sample(split, 30), "symbol", "left_semi")
     told = S.render_fallback(S.render_prompt(S.recommendation(sampled, model, spike_threshold=K.THRESHOLD)))
     checked = C.check_explanations(told)
-    return tidy(C.advice_summary(checked))
+    return tidy(checked.select("ticker", "as_of_date", *[F.size(F.col(c)).cast("bigint").alias(n) for n, c in C.CHECKS.items()]))
 
 
 QUERIES = {
@@ -169,4 +239,76 @@ QUERIES = {
     )
 }
 
-SQL = {"model_bundle": with_ctes("SELECT symbol, date, true AS same FROM scored")}
+COUNTED = """CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS n_train, CAST(count(*) FILTER (WHERE split = 'test') AS BIGINT) AS n_test"""
+HELD = "true AS gap_again, true AS in_range"
+LATEST = "SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1"
+
+
+def _runs(names, source="scored", more="", condition="true"):
+    listed = ", ".join(f"('{n}')" for n in names)
+    return f"""SELECT run_id, {COUNTED}, {HELD}{more} FROM (SELECT * EXCLUDE (run_id) FROM {source}), (VALUES {listed}) t(run_id)
+        WHERE {condition} GROUP BY run_id"""
+
+
+ROWS = "SELECT symbol, date, split, CAST(target_spike_class AS BIGINT) AS target_spike_class, true AS agrees"
+FITTED = "split = 'test' OR date < DATE '1999-01-01'"
+SUE_ROWS = {
+    "esue": EVENT_SUE,
+    "paired": f"""SELECT 'raw_surprise' AS run_id, CASE WHEN date < DATE '2000-01-01' THEN 'train' ELSE 'test' END AS split
+        FROM esue WHERE {KEPT} AND {COMPLETE} UNION ALL SELECT 'sue', CASE WHEN date < DATE '2000-01-01' THEN 'train' ELSE 'test' END
+        FROM esue WHERE {KEPT} AND {COMPLETE} AND sue IS NOT NULL""",
+}
+FAR_ROWS = {
+    "far": """SELECT symbol, date, CASE WHEN date < DATE '2000-01-01' THEN 'train' ELSE 'test' END AS split FROM (
+        SELECT *, lead(high, 20) OVER (PARTITION BY symbol ORDER BY date) AS ahead FROM ranked) JOIN earn USING (symbol, date)
+        WHERE surprise_pct IS NOT NULL AND return_60d IS NOT NULL AND ahead IS NOT NULL
+        AND eps_estimate IS NOT NULL AND reported_eps IS NOT NULL""",
+    "paired": "SELECT 't1' AS run_id, split FROM scored UNION ALL SELECT 't20', split FROM far",
+}
+SQL = {
+    "model_bundle": with_ctes("SELECT symbol, date, true AS same FROM scored"),
+    "gbt_train": with_ctes(f"{ROWS} FROM scored"),
+    "logistic_train": with_ctes(f"{ROWS}, true AS closed_form FROM scored"),
+    "calibrated_train": with_ctes(f"{ROWS} FROM scored"),
+    "score": with_ctes("SELECT symbol, date, true AS agrees, true AS closed_form FROM latest", {"latest": LATEST}),
+    "train_event_model": with_ctes(
+        "SELECT split, count(*) AS rows, true AS accuracy_again, true AS precision_again FROM scored GROUP BY split"
+    ),
+    "recommendation": with_ctes(
+        f"""SELECT symbol AS ticker, date AS as_of_date, sector, 0.07::DOUBLE AS spike_threshold, true AS agrees,
+        {r6('surprise_pct', 'surprise_pct')}, {r6('target_t1_close_ret', 'close_ret')} FROM latest""",
+        {"latest": LATEST},
+    ),
+    "scenario_analysis": with_ctes(
+        f"""SELECT e.symbol AS ticker, e.date AS upcoming_earnings_date, s.date AS as_of_date, s.sector, CAST(g AS DOUBLE) AS surprise_pct,
+        {r6('eps_estimate * (1 + CAST(g AS DOUBLE) / 100)', 'reported_eps')}, true AS agrees
+        FROM (SELECT symbol, min(date) AS date, arg_min(eps_estimate, date) AS eps_estimate FROM earn
+            WHERE date > DATE '{AS_OF}' AND reported_eps IS NULL AND eps_estimate IS NOT NULL GROUP BY symbol) e
+        JOIN snapshot s USING (symbol), range(-100, 101, 5) t(g)"""
+    ),
+    "feature_attribution": with_ctes(
+        "SELECT symbol, date, 5::BIGINT AS features, 5::BIGINT AS places, true AS adds_up FROM latest", {"latest": LATEST}
+    ),
+    "overfitting_sweep": with_ctes(
+        _runs([c for c in CONFIGS if c[-4:] != "stop"], more=", true AS against_baseline")
+        + " UNION ALL "
+        + _runs([c for c in CONFIGS if c[-4:] == "stop"], more=", true AS against_baseline", condition=FITTED)
+    ),
+    "baseline_compare": with_ctes(_runs(["gbt", "logistic"])),
+    "walk_forward": with_ctes(
+        f"SELECT format('fold {{:03d}}', fold) AS run_id, CAST(n_train AS BIGINT) AS n_train, CAST(n_test AS BIGINT) AS n_test, {HELD}, true AS summary_again FROM folds WHERE n_train > 0",
+        {"folds": FOLDS},
+    ),
+    "walk_forward_summary": "SELECT metric, true AS ordered FROM (VALUES ('precision'), ('gap'), ('total_return'), ('win_rate'), ('max_drawdown'), ('sharpe')) t(metric)",
+    "calibration_compare": with_ctes(
+        _runs(["uncalibrated", "sigmoid", "isotonic"], more=", CAST(count(*) FILTER (WHERE split = 'test') AS BIGINT) AS binned, true AS inside, true AS brier_bounded")
+    ),
+    "gap_robustness": with_ctes(_runs(["lowest_gap"], condition=FITTED)),
+    "horizon_alignment": with_ctes(f"SELECT run_id, {COUNTED}, {HELD} FROM paired GROUP BY run_id", FAR_ROWS),
+    "sue_compare": with_ctes(f"SELECT run_id, {COUNTED}, {HELD} FROM paired GROUP BY run_id", SUE_ROWS),
+    "advice_model": with_ctes(
+        """SELECT symbol AS ticker, date AS as_of_date, 0::BIGINT AS faithful, 0::BIGINT AS no_leak, 0::BIGINT AS no_confusion FROM latest
+        WHERE symbol IN (SELECT symbol FROM (SELECT DISTINCT symbol FROM scored) ORDER BY md5(concat_ws('|', 42, symbol)), symbol LIMIT 30)""",
+        {"latest": LATEST},
+    ),
+}

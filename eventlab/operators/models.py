@@ -84,20 +84,26 @@ def fit_gbt(
 
     With ``early_stopping_rounds``, rows marked ``is_validation`` are left out of the fit, and
     boosting ends at the best validation loss after which that many trees brought nothing better.
-    Boosting is sequential and seeded, so the shorter model is fitted again with that many trees.
+    Boosting is sequential and seeded: a fit of fewer trees has the first trees of a longer one. So
+    the number of trees is doubled until the rule stops, and the best number is fitted at last.
     """
     config = config or {}
     rows = _weighted(train, config, label).withColumn(label, F.col(label).cast("double"))
     patience = config.get("early_stopping_rounds")
     if patience is None:
         return Pipeline(stages=[_assembler(features), gbt_classifier(config, label)]).fit(rows)
-    fitted_on = rows.where(~F.col("is_validation"))
-    model = Pipeline(stages=[_assembler(features), gbt_classifier(config, label)]).fit(fitted_on)
-    held_out = model.stages[0].transform(rows.where(F.col("is_validation")))
-    trees = best_round(model.stages[-1].evaluateEachIteration(held_out), int(patience)) + 1
-    if trees == model.stages[-1].getNumTrees:
+    fitted_on, held_out = rows.where(~F.col("is_validation")), rows.where(F.col("is_validation"))
+    most = gbt_classifier(config, label).getMaxIter()
+    trees = min(most, 2 * int(patience))
+    while True:
+        model = Pipeline(stages=[_assembler(features), gbt_classifier({**config, "n_estimators": trees}, label)]).fit(fitted_on)
+        best = best_round(model.stages[-1].evaluateEachIteration(model.stages[0].transform(held_out)), int(patience)) + 1
+        if best + int(patience) <= trees or trees == most:
+            break
+        trees = min(most, 2 * trees)
+    if best == trees:
         return model
-    return Pipeline(stages=[_assembler(features), gbt_classifier({**config, "n_estimators": trees}, label)]).fit(fitted_on)
+    return Pipeline(stages=[_assembler(features), gbt_classifier({**config, "n_estimators": best}, label)]).fit(fitted_on)
 
 
 def best_round(losses: Sequence[float], patience: int) -> int:
