@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, licenses, mixing, nearcopies, packing, perplexity, quality, revisits, suffixes, vectors
+from . import check_sql, hilbert, licenses, mixing, nearcopies, packing, perplexity, quality, revisits, suffixes, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,4 +74,9 @@ QUERIES: dict[str, Query] = {
     "op9_license_automaton": op9_license_automaton,
     "op10_sum_of_squares": op10_sum_of_squares,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_host_rules": check_sql.HOST_RULES,
+    "op4_suffix_dedup": check_sql.REPEATED_BYTES,
+    "op5_product_quantisation": check_sql.VECTOR_LINKS,
+    "op8_warc_revisits": check_sql.REVISITS,
+}

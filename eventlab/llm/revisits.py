@@ -165,6 +165,6 @@ def digest(resolved: DataFrame) -> DataFrame:
         "response_id",
         "status",
         F.array_join(pairs, "\n").alias("headers"),
-        F.length("body").cast("bigint").alias("body_chars"),
+        F.coalesce(F.length("body"), F.lit(0)).cast("bigint").alias("body_chars"),
         F.md5("body").alias("body_md5"),
     )
