@@ -52,7 +52,7 @@ def probability_bin(probability: Column, bins: int) -> Column:
 
 
 def clean_ticker(ticker: Column) -> Column:
-    """Share classes are written with a hyphen (BRK.B -> BRK-B); blanks become NULL."""
+    """Share classes are written with a hyphen (X.B -> X-B); blanks become NULL."""
     dashed = F.replace(F.trim(ticker), F.lit("."), F.lit("-"))
     return F.nullif(dashed, F.lit(""))
 

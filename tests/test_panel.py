@@ -16,14 +16,15 @@ def closes(spark, data):
 
 def test_adjust_scales_open_high_low(spark):
     raw = spark.createDataFrame(
-        [(100.0, 105.0, 99.0, 100.0, 50.0)], "open double, high double, low double, close double, adjusted_close double"
+        [(36.0, 48.0, 32.0, 40.0, 10.0), (7.0, 9.0, 5.0, 8.0, 8.0)],
+        "open double, high double, low double, close double, adjusted_close double",
     )
-    row = P.adjust_ohlc(raw).first()
-    assert (row["open"], row["high"], row["low"], row["close"]) == (50.0, 52.5, 49.5, 100.0)
+    got = [(r["open"], r["high"], r["low"], r["close"]) for r in P.adjust_ohlc(raw).orderBy("open").collect()]
+    assert got == [(7.0, 9.0, 5.0, 8.0), (9.0, 12.0, 8.0, 40.0)]
 
 
 def test_adjust_leaves_tables_without_adjusted_close(spark):
-    raw = spark.createDataFrame([(100.0, 105.0)], "open double, close double")
+    raw = spark.createDataFrame([(3.5, 4.25)], "open double, close double")
     assert P.adjust_ohlc(raw).collect() == raw.collect()
 
 
@@ -47,18 +48,18 @@ def test_last_metadata_row_wins(spark):
 def test_momentum_stays_inside_a_symbol(spark):
     panel = closes(
         spark,
-        [("A", "2024-01-01", 100.0), ("B", "2024-01-01", 10.0), ("A", "2024-01-02", 110.0), ("B", "2024-01-02", 5.0), ("A", "2024-01-03", 121.0)],
+        [("U", "2031-05-05", 40.0), ("V", "2031-05-05", 3.0), ("U", "2031-05-07", 30.0), ("V", "2031-05-06", 12.0), ("U", "2031-05-08", 45.0), ("V", "2031-05-09", 9.0)],
     )
     got = rows(P.momentum(panel, (1, 2)).select("symbol", "date", "return_1d", "return_2d"), "symbol", "date")
-    assert [r[2] for r in got] == [None, pytest.approx(0.1), pytest.approx(0.1), None, pytest.approx(-0.5)]
-    assert [r[3] for r in got] == [None, None, pytest.approx(0.21), None, None]
+    assert [r[2] for r in got] == [None, pytest.approx(-0.25), pytest.approx(0.5), None, pytest.approx(3.0), pytest.approx(-0.25)]
+    assert [r[3] for r in got] == [None, None, pytest.approx(0.125), None, None, pytest.approx(2.0)]
 
 
 def test_sector_rank_is_the_average_percentile(spark):
-    data = [("a", 0.01), ("b", 0.05), ("c", 0.03)]
-    panel = spark.createDataFrame([(day("2024-01-01"), "x", s, r) for s, r in data], "date date, sector string, symbol string, return_60d double")
+    data = [("p", -0.4), ("q", 0.7), ("r", 0.0), ("s", 0.2)]
+    panel = spark.createDataFrame([(day("2031-05-05"), "x", s, r) for s, r in data], "date date, sector string, symbol string, return_60d double")
     got = {r["symbol"]: r["sector_rank_60d"] for r in P.sector_rank(panel).collect()}
-    assert got == {"a": pytest.approx(1 / 3), "b": pytest.approx(1.0), "c": pytest.approx(2 / 3)}
+    assert got == {"p": 0.25, "r": 0.5, "s": 0.75, "q": 1.0}
 
 
 def test_sector_rank_of_ties_and_missing_returns(spark):
@@ -76,36 +77,39 @@ def ohlc(spark, data):
 
 
 def test_forward_returns(spark):
-    panel = ohlc(spark, [("A", "2024-01-01", 100.0, 101.0, 99.0, 100.0), ("A", "2024-01-02", 102.0, 110.0, 98.0, 108.0)])
-    first, last = rows(P.forward_returns(panel).select("date", "target_t1_close_ret", "target_t1_high_ret"), "date")
-    assert first[1:] == (pytest.approx(0.08), pytest.approx(0.10))
-    assert last[1:] == (None, None)
+    bars = [("U", "2031-05-05", 20.0, 21.0, 19.0, 20.0), ("U", "2031-05-06", 22.0, 25.0, 15.0, 18.0), ("U", "2031-05-07", 9.0, 27.0, 9.0, 27.0)]
+    ahead = P.forward_returns(ohlc(spark, bars)).select("date", *[f"target_t1_{p}_ret" for p in ("open", "high", "low", "close")])
+    first, second, last = rows(ahead, "date")
+    assert first[1:] == pytest.approx((0.1, 0.25, -0.25, -0.1))
+    assert second[1:] == pytest.approx((-0.5, 0.5, -0.5, 0.5))
+    assert last[1:] == (None,) * 4
 
 
 def test_label_is_strict_and_zero_for_missing(spark):
-    frame = spark.createDataFrame([(1, 0.03), (2, 0.01), (3, 0.02), (4, 0.02000001), (5, None)], "i int, target_t1_high_ret double")
-    assert [r["target_spike_class"] for r in L.label_spike(frame, 0.02).orderBy("i").collect()] == [1, 0, 0, 1, 0]
+    frame = spark.createDataFrame([(1, 0.5), (2, 0.1251), (3, 0.125), (4, -0.3), (5, None)], "i int, target_t1_high_ret double")
+    assert [r["target_spike_class"] for r in L.label_spike(frame, 0.125).orderBy("i").collect()] == [1, 1, 0, 0, 0]
 
 
 BARRIER_CASES = {
-    # symbol: bars after the entry at 100 as (high, low, close), expected label
-    "TP": ([(106.0, 99.0, 101.0), (100.0, 90.0, 95.0)], 1.0),
-    "SL": ([(101.0, 96.0, 97.0), (110.0, 99.0, 108.0)], 0.0),
-    "BOTH": ([(106.0, 96.0, 100.0), (100.0, 100.0, 100.0)], 0.0),
-    "VERT": ([(101.0, 99.0, 100.5), (102.0, 99.0, 101.0)], 1.0),
-    "DOWN": ([(101.0, 99.0, 100.5), (102.0, 99.0, 99.5)], 0.0),
-    "THIN": ([(101.0, 99.0, 100.5)], None),
-    "EARLY": ([(106.0, 99.0, 100.5)], 1.0),
+    # Bars after an entry at 50 as (high, low, close), with barriers at 60 and 45, and the expected label.
+    "gain first": ([(61.0, 47.0, 52.0), (50.0, 30.0, 31.0), (50.0, 50.0, 50.0)], 1.0),
+    "loss first": ([(55.0, 44.0, 46.0), (70.0, 50.0, 69.0), (69.0, 69.0, 69.0)], 0.0),
+    "both in a day": ([(59.0, 46.0, 50.0), (60.0, 45.0, 58.0), (58.0, 58.0, 58.0)], 0.0),
+    "last day up": ([(52.0, 48.0, 49.0), (53.0, 47.0, 48.0), (54.0, 48.0, 50.5)], 1.0),
+    "last day down": ([(52.0, 48.0, 51.0), (53.0, 47.0, 52.0), (54.0, 48.0, 49.0)], 0.0),
+    "last day even": ([(52.0, 48.0, 51.0), (53.0, 47.0, 52.0), (54.0, 48.0, 50.0)], 0.0),
+    "history ends": ([(52.0, 48.0, 51.0)], None),
+    "gain before the end": ([(52.0, 48.0, 51.0), (60.0, 47.0, 51.0)], 1.0),
 }
 
 
 def test_triple_barrier(spark):
     data = []
     for symbol, (bars, _) in BARRIER_CASES.items():
-        data.append((symbol, "2024-01-01", 100.0, 100.0, 100.0, 100.0))
+        data.append((symbol, "2031-05-05", 50.0, 50.0, 50.0, 50.0))
         for i, (high, low, close) in enumerate(bars):
-            data.append((symbol, f"2024-01-0{i + 2}", 100.0, high, low, close))
-    got = L.triple_barrier(ohlc(spark, data), 0.05, 0.03, 2).where(F.col("date") == day("2024-01-01"))
+            data.append((symbol, f"2031-05-{i + 6:02d}", 50.0, high, low, close))
+    got = L.triple_barrier(ohlc(spark, data), 0.2, 0.1, 3).where(F.col("date") == day("2031-05-05"))
     assert {r["symbol"]: r["target_spike_class"] for r in got.collect()} == {s: e for s, (_, e) in BARRIER_CASES.items()}
 
 
@@ -133,35 +137,38 @@ def test_first_duplicate_hides_the_others(spark):
 
 
 def test_standardised_surprise(spark):
-    data = [("A", str(day("2023-01-01") + dt.timedelta(90 * i)), 1.0, 1.0, float(v)) for i, v in enumerate([2, 4, 6, 8, 10])]
-    data += [("B", str(day("2023-01-01") + dt.timedelta(90 * i)), 1.0, 1.0, 3.0) for i in range(6)]
+    """The surprise over the deviation of up to eight earlier ones, from the fifth on."""
+    import statistics
+
+    surprises = [3.0, -1.0, 0.5, 7.0, 2.0, -4.0, 1.0, 1.5, 9.0, -2.5, 6.0]
+    data = [("U", str(day("2031-01-01") + dt.timedelta(91 * i)), 1.0, 1.0, v) for i, v in enumerate(surprises)]
+    data += [("FLAT", str(day("2031-01-01") + dt.timedelta(91 * i)), 1.0, 1.0, -2.0) for i in range(7)]
     got = rows(E.standardised_surprise(earnings(spark, data)).select("symbol", "date", "sue"), "symbol", "date")
-    sues = [r[2] for r in got if r[0] == "A"]
-    assert sues[:4] == [None] * 4
-    assert sues[4] == pytest.approx(10 / 2.581988897471611)
-    assert all(r[2] is None for r in got if r[0] == "B")
+    expected = [None if i < 4 else v / statistics.stdev(surprises[max(0, i - 8) : i]) for i, v in enumerate(surprises)]
+    assert [r[2] for r in got if r[0] == "U"][4:] == pytest.approx(expected[4:])
+    assert [r[2] for r in got if r[0] == "U"][:4] == [None] * 4
+    assert all(r[2] is None for r in got if r[0] == "FLAT")
 
 
 def test_upcoming_and_next(spark):
     events = earnings(
         spark,
-        [("MSFT", "2026-03-01", 2.0, None, None), ("AAPL", "2026-02-01", 1.0, None, None), ("AAPL", "2026-05-01", 1.5, None, None), ("OLD", "2025-01-01", 1.0, None, None), ("DONE", "2026-02-01", 1.0, 1.0, 0.0), ("NONE", "2026-02-01", None, None, None), ("NOSNAP", "2026-02-01", 1.0, None, None)],
+        [("VOLE", "2026-03-01", 2.0, None, None), ("UNAU", "2026-02-01", 1.0, None, None), ("UNAU", "2026-05-01", 1.5, None, None), ("OLD", "2025-01-01", 1.0, None, None), ("DONE", "2026-02-01", 1.0, 1.0, 0.0), ("NONE", "2026-02-01", None, None, None), ("NOSNAP", "2026-02-01", 1.0, None, None)],
     )
     snapshot = spark.createDataFrame(
-        [("AAPL", day("2025-12-31"), "tech", 0.1), ("MSFT", day("2025-12-31"), "tech", 0.2), ("DONE", day("2025-12-31"), "x", 0.0)],
+        [("UNAU", day("2025-12-31"), "tech", 0.1), ("VOLE", day("2025-12-31"), "tech", 0.2), ("DONE", day("2025-12-31"), "x", 0.0)],
         "symbol string, date date, sector string, return_60d double",
     )
     as_of = day("2026-01-01")
-    assert [r[0] for r in rows(E.upcoming_earnings(events, snapshot, as_of), "date")] == ["AAPL", "MSFT", "AAPL"]
+    assert [r[0] for r in rows(E.upcoming_earnings(events, snapshot, as_of), "date")] == ["UNAU", "VOLE", "UNAU"]
     soonest = rows(E.next_upcoming(events, snapshot, as_of).select("symbol", "event_date", "eps_estimate"), "symbol")
-    assert soonest == [("AAPL", day("2026-02-01"), 1.0), ("MSFT", day("2026-03-01"), 2.0)]
-    assert E.for_ticker(events, " msft ").count() == 1
+    assert soonest == [("UNAU", day("2026-02-01"), 1.0), ("VOLE", day("2026-03-01"), 2.0)]
+    assert E.for_ticker(events, " vole ").count() == 1
 
 
 def test_scenario_grid(spark):
-    grid = rows(E.scenario_grid(spark.createDataFrame([(2.0,)], "eps_estimate double"), -10, 10, 5), "surprise_pct")
-    assert [r[1] for r in grid] == [-10, -5, 0, 5, 10]
-    assert [r[2] for r in grid] == pytest.approx([1.8, 1.9, 2.0, 2.1, 2.2])
+    grid = rows(E.scenario_grid(spark.createDataFrame([(0.8,)], "eps_estimate double"), -50, 50, 25), "surprise_pct")
+    assert [(r[1], r[2]) for r in grid] == [(-50, pytest.approx(0.4)), (-25, pytest.approx(0.6)), (0, pytest.approx(0.8)), (25, pytest.approx(1.0)), (50, pytest.approx(1.2))]
 
 
 def series(spark, days=70):

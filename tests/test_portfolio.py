@@ -19,16 +19,16 @@ def trades(spark, data, run="r"):
 
 
 def test_signals_are_strictly_above_the_threshold(spark):
-    df = spark.createDataFrame([("A", 0.9), ("B", 0.51), ("C", 0.5), ("D", 0.7)], "symbol string, y_pred_proba double")
-    assert sorted(r["symbol"] for r in PO.filter_signals(df).collect()) == ["A", "B", "D"]
+    df = spark.createDataFrame([("p", 0.2501), ("q", 0.25), ("r", 1.0), ("s", 0.0), ("t", None)], "symbol string, y_pred_proba double")
+    assert sorted(r["symbol"] for r in PO.filter_signals(df, 0.25).collect()) == ["p", "r"]
 
 
 def test_limit_order(spark):
     df = spark.createDataFrame(
-        [(1, 0.09, 0.02), (2, 0.04, -0.01), (3, 0.07, 0.0)], "i int, target_t1_high_ret double, target_t1_close_ret double"
+        [(1, 0.31, -0.2), (2, 0.1249, 0.11), (3, 0.125, 0.3)], "i int, target_t1_high_ret double, target_t1_close_ret double"
     )
-    got = [r["realized_return"] for r in PO.limit_order_returns(df, 0.07).orderBy("i").collect()]
-    assert got == [0.07, -0.01, 0.07]
+    got = [r["realized_return"] for r in PO.limit_order_returns(df, 0.125).orderBy("i").collect()]
+    assert got == [0.125, 0.11, 0.125]
 
 
 def test_payoff(spark):
@@ -38,7 +38,7 @@ def test_payoff(spark):
 
 
 def test_payoff_without_losses_is_null(spark):
-    row = PO.payoff_stats(trades(spark, [("2024-01-01", "a", 0.1)])).first()
+    row = PO.payoff_stats(trades(spark, [("2031-05-06", "a", 0.33), ("2031-05-06", "b", 0.01)])).first()
     assert (row["avg_loss"], row["payoff_ratio"]) == (0.0, None)
 
 
@@ -60,26 +60,28 @@ def test_exactly_n_trades_go(spark):
 
 
 def test_daily_returns(spark):
-    df = trades(spark, [("2024-01-01", "a", 0.05), ("2024-01-01", "b", -0.03)])
-    assert PO.daily_returns(df).first()["daily_return"] == pytest.approx(0.009)
+    df = trades(spark, [("2031-05-06", "a", 0.12), ("2031-05-06", "b", 0.0), ("2031-05-06", "c", -0.06), ("2031-05-07", "a", 0.4)])
+    got = rows(PO.daily_returns(df, cost=0.005).select("date", "daily_return"), "date")
+    assert [r[1] for r in got] == pytest.approx([0.02 - 0.005, 0.4 - 0.005])
 
 
 def test_cap_leaves_capital_idle(spark):
-    single = trades(spark, [("2024-01-01", "a", -0.2)])
-    assert PO.daily_returns(single, cost=0.0, cap=0.2).first()["daily_return"] == pytest.approx(-0.04)
-    five = trades(spark, [("2024-01-01", s, 0.01 * i) for i, s in enumerate("abcde")])
-    capped, free = PO.daily_returns(five, cap=0.2).first(), PO.daily_returns(five).first()
+    two = trades(spark, [("2031-05-06", "a", -0.5), ("2031-05-06", "b", 0.1)])
+    assert PO.daily_returns(two, cost=0.0, cap=0.25).first()["daily_return"] == pytest.approx(-0.1)
+    many = trades(spark, [("2031-05-06", f"s{i}", 0.03 * i - 0.05) for i in range(9)])
+    capped, free = PO.daily_returns(many, cap=0.25).first(), PO.daily_returns(many).first()
     assert capped["daily_return"] == pytest.approx(free["daily_return"])
 
 
 def test_equity_and_kpis(spark):
-    df = trades(spark, [("2024-01-01", "a", 0.10), ("2024-01-02", "a", -0.05)])
-    curve = PO.equity_curve(PO.daily_returns(df, cost=0.0), capital=1000.0)
-    assert [r[-1] for r in rows(curve.select("date", "equity"), "date")] == pytest.approx([1100.0, 1045.0])
+    returns = [0.5, -0.2, 0.25, -0.4, 0.1]
+    df = trades(spark, [(f"2031-05-0{i + 5}", "a", r) for i, r in enumerate(returns)])
+    curve = PO.equity_curve(PO.daily_returns(df, cost=0.0), capital=200.0)
+    assert [r[-1] for r in rows(curve.select("date", "equity"), "date")] == pytest.approx([300.0, 240.0, 300.0, 180.0, 198.0])
     row = PO.backtest_kpis(df, cost=0.0).first()
-    assert row["total_return"] == pytest.approx(-0.05)
-    assert row["win_rate"] == 0.5
-    assert row["max_drawdown"] == pytest.approx(-0.05)
+    assert row["total_return"] == pytest.approx(198 / 300 - 1)
+    assert row["win_rate"] == pytest.approx(0.6)
+    assert row["max_drawdown"] == pytest.approx(-0.4)
 
 
 def test_a_single_day_has_no_sharpe(spark):
@@ -102,21 +104,24 @@ def test_runs_without_trades_have_zeros(spark):
 
 
 def test_tranches_cap_a_day(spark):
-    df = trades(spark, [("2024-01-01", s, 0.1) for s in "abc"])
-    assert sorted(r["symbol"] for r in PO.tranche_trades(df, 5, 2).collect()) == ["a", "b"]
+    df = trades(spark, [("2031-05-05", s, 0.1) for s in ("z", "m", "b", "q")])
+    assert sorted(r["symbol"] for r in PO.tranche_trades(df, 3, 3).collect()) == ["b", "m", "q"]
 
 
 def test_tranche_is_free_exactly_in_time(spark):
-    df = trades(spark, [("2024-01-01", "a", 0.1), ("2024-01-05", "b", 0.1), ("2024-01-08", "c", 0.1)])
-    assert sorted(r["symbol"] for r in PO.tranche_trades(df, 5, 1).collect()) == ["a", "c"]
+    # From a Thursday, three business days end on Tuesday.
+    df = trades(spark, [("2031-05-08", "a", 0.1), ("2031-05-12", "b", 0.1), ("2031-05-13", "c", 0.1), ("2031-05-15", "d", 0.1)])
+    assert sorted(r["symbol"] for r in PO.tranche_trades(df, 3, 1).collect()) == ["a", "c"]
 
 
 def test_tranche_weight_and_default_count(spark):
-    df = trades(spark, [("2024-01-01", s, 0.1) for s in "abcdef"])
-    accepted = PO.tranche_trades(df, 5)
-    assert accepted.count() == 5
-    daily = PO.tranche_daily_returns(accepted, 5, cost=0.0).first()
-    assert daily["daily_return"] == pytest.approx(0.1)
+    df = trades(spark, [("2031-05-05", f"s{i}", 0.02 * i) for i in range(9)])
+    accepted = PO.tranche_trades(df, 7)
+    assert accepted.count() == 7
+    daily = PO.tranche_daily_returns(accepted, 7, cost=0.0).first()
+    assert daily["daily_return"] == pytest.approx(0.06)
+    wide = PO.tranche_daily_returns(accepted, 7, 14, cost=0.01).first()
+    assert wide["daily_return"] == pytest.approx(7 * (0.06 - 0.01) / 14)
 
 
 def brute_force_tranches(pdf, horizon, n):
