@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import width
 from .textblocks import text_blocks
 from .tokens import ENCODED_BYTES, default_vocabulary, encoder
 
@@ -132,7 +133,8 @@ def pack(
     fields = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     pieces = rows.mapInArrow(_encode(vocabulary, length, end_id, with_ids), f"{fields}, group int{extra}")
     names = [*PIECES, *PLACES, *(["ids"] if with_ids else [])]
-    dealt_out = pieces.repartitionById(groups, "group")
+    # A task packs one group after another where there are more groups than partitions.
+    dealt_out = pieces.repartitionById(min(groups, width(docs.sparkSession)), "group")
     return dealt_out.mapInArrow(_pack(length, names), f"{fields}, sequence_id bigint, offset bigint{extra}")
 
 
