@@ -35,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .textblocks import BYTE_CODE, Block, mix, powers, BASE, prefix_hash, span_hash, text_blocks
+from .textblocks import BASE, BYTE_CODE, Block, mix, powers, prefix_hash, span_hash, text_blocks
 
 KEY = 20
 DEPTH = 50
 HOT = 1000
 #: Entries that a task merges before it sends them.
-FLUSH = 1_000_000
+FLUSH = 500_000
+#: Strings of hot keys that are hashed at one go.
+DEALT = 20_000
 #: Stands for a missing id, which is larger than any other.
 LAST_ID = (1 << 63) - 1
 
@@ -194,6 +196,13 @@ def _by_document(found: dict[str, np.ndarray]) -> Callable[[int, int], slice | n
     return entries
 
 
+def _string_keys(contexts: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """Hashes of the string that starts at a place of each context."""
+    string = np.take_along_axis(contexts, starts[:, None] + np.arange(depth), 1)
+    with np.errstate(over="ignore"):
+        return mix((BYTE_CODE[string] * powers(BASE, depth)).sum(1, dtype=np.uint64), 3)
+
+
 def _cut_contexts(width: int, depth: int) -> Callable:
     """For every document: the contexts that must be compared, and those already covered."""
     reach, fields = depth - KEY, _context_fields(depth)
@@ -238,9 +247,7 @@ def _cut_contexts(width: int, depth: int) -> Callable:
                         deal = np.repeat(deal, reach + 1)
                         valid = (offset <= left[deal]) & (reach - offset <= right[deal])
                         deal, offset = deal[valid], offset[valid]
-                        string = np.take_along_axis(cut[deal], (reach - offset)[:, None] + np.arange(depth), 1)
-                        with np.errstate(over="ignore"):
-                            own = mix((BYTE_CODE[string] * powers(BASE, depth)).sum(1, dtype=np.uint64), 3)
+                        own = np.concatenate([_string_keys(cut[deal[i : i + DEALT]], reach - offset[i : i + DEALT], depth) for i in range(0, max(len(deal), 1), DEALT)])
                         key = np.r_[key[pick], own]
                         pick = np.r_[pick, deal]
                         only = np.r_[only, offset.astype(np.int8)]
