@@ -28,15 +28,13 @@ def data(spark):
 
 
 def test_split_and_validation(spark):
-    frame = spark.createDataFrame(
-        [(day(d), v, 1) for d, v in (("2022-01-01", 1.0), ("2022-06-01", 1.0), ("2022-12-31", None), ("2023-01-01", 1.0), ("2023-05-01", 1.0))],
-        "date date, f double, y int",
-    )
-    split = SP.chrono_split(frame, day("2023-01-01"), ["f"], "y")
-    assert {r["split"]: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 2, "test": 2}
-    marked = SP.validation_slice(split.where("split = 'train'"), day("2022-06-01"))
-    assert sorted(r["is_validation"] for r in marked.collect()) == [False, True]
-    assert SP.chrono_split(frame, day("2023-01-01"), ["f"], "y", embargo_days=300).where("split = 'train'").count() == 1
+    days = ["2030-04-01", "2030-08-08", "2030-08-09", "2030-12-31", "2031-05-05", "2031-05-06", "2031-09-09"]
+    frame = spark.createDataFrame([(day(d), None if i == 3 else 0.5 * i, i % 2) for i, d in enumerate(days)], "date date, f double, y int")
+    split = SP.chrono_split(frame, day("2031-05-05"), ["f"], "y")
+    assert {r["split"]: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 3, "test": 3}
+    marked = SP.validation_slice(split.where("split = 'train'"), day("2030-08-09"))
+    assert sorted(r["is_validation"] for r in marked.collect()) == [False, False, True]
+    assert SP.chrono_split(frame, day("2031-05-05"), ["f"], "y", embargo_days=269).where("split = 'train'").count() == 2
 
 
 def fold_frame(spark, dates):
@@ -44,14 +42,16 @@ def fold_frame(spark, dates):
 
 
 def test_folds_are_contiguous_and_skip_empty_windows(spark):
-    frame = fold_frame(spark, ["2022-06-01", "2022-11-01", "2023-02-01", "2023-08-01", "2023-10-01"])
-    got = rows(SP.walk_forward_folds(frame, day("2023-01-01"), 6), "fold")
-    assert got == [(1, day("2023-01-01"), day("2023-07-01"), 2, 1), (2, day("2023-07-01"), day("2024-01-01"), 3, 2)]
-    gappy = fold_frame(spark, ["2023-01-05", "2024-02-01"])
-    assert [r[1] for r in rows(SP.walk_forward_folds(gappy, day("2023-01-01"), 6), "fold")] == [day("2023-01-01"), day("2024-01-01")]
-    assert SP.walk_forward_folds(fold_frame(spark, ["2022-01-01"]), day("2023-01-01")).count() == 0
+    frame = fold_frame(spark, ["2030-11-30", "2031-02-03", "2031-02-28", "2031-05-31", "2031-06-01", "2032-01-15"])
+    got = rows(SP.walk_forward_folds(frame, day("2031-03-01"), 3), "fold")
+    assert got == [
+        (1, day("2031-03-01"), day("2031-06-01"), 3, 1),
+        (2, day("2031-06-01"), day("2031-09-01"), 4, 1),
+        (3, day("2031-12-01"), day("2032-03-01"), 5, 1),
+    ]
+    assert SP.walk_forward_folds(frame, day("2033-03-01")).count() == 0
     with pytest.raises(ValueError):
-        SP.walk_forward_folds(frame, day("2023-01-31"))
+        SP.walk_forward_folds(frame, day("2031-03-31"))
 
 
 def test_fold_boundaries_inside_a_month(spark):

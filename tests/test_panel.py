@@ -171,25 +171,31 @@ def test_scenario_grid(spark):
     assert [(r[1], r[2]) for r in grid] == [(-50, pytest.approx(0.4)), (-25, pytest.approx(0.6)), (0, pytest.approx(0.8)), (25, pytest.approx(1.0)), (50, pytest.approx(1.2))]
 
 
-def series(spark, days=70):
-    start = day("2024-01-01")
+def series(spark, days=80):
+    start = day("2031-03-03")
     data = []
     for i in range(days):
-        close = 100 + 0.5 * i
-        data.append(("AAA", start + dt.timedelta(i), close, close + 1, close - 1, close, 1e6))
+        close = 40.0 + i % 9 + 0.25 * i
+        data.append(("UNAU", start + dt.timedelta(i), close, close + 2, close - 0.5, close, 3e4))
     return spark.createDataFrame(data, "symbol string, date date, open double, high double, low double, close double, volume double")
 
 
+def event_at(spark, i):
+    return earnings(spark, [("UNAU", str(day("2031-03-03") + dt.timedelta(i)), 0.9, 0.72, -20.0)])
+
+
 def test_event_features_end_to_end(spark):
-    meta = spark.createDataFrame([("AAA", "tech")], "symbol string, sector string")
-    events = earnings(spark, [("AAA", str(day("2024-01-01") + dt.timedelta(65)), 1.5, 1.6, 6.67)])
-    got = PF.event_features(series(spark), meta, events).collect()
+    meta = spark.createDataFrame([("UNAU", "ships")], "symbol string, sector string")
+    got = PF.event_features(series(spark), meta, event_at(spark, 72)).collect()
+    close = [40.0 + i % 9 + 0.25 * i for i in range(80)]
     assert len(got) == 1
-    assert got[0]["return_60d"] == pytest.approx(132.5 / 102.5 - 1)
+    assert got[0]["return_60d"] == pytest.approx(close[72] / close[12] - 1)
+    assert got[0]["return_14d"] == pytest.approx(close[72] / close[58] - 1)
     assert got[0]["sector_rank_60d"] == 1.0
-    assert got[0]["target_spike_class"] == 0
+    assert got[0]["target_t1_high_ret"] == pytest.approx((close[73] + 2 - close[72]) / close[72])
+    assert got[0]["target_spike_class"] == 1
     snapshot = PF.price_snapshot(series(spark), meta).collect()
-    assert [r["date"] for r in snapshot] == [day("2024-01-01") + dt.timedelta(69)]
+    assert [r["date"] for r in snapshot] == [day("2031-03-03") + dt.timedelta(79)]
 
 
 def test_event_features_checks_its_windows(spark):
@@ -198,8 +204,8 @@ def test_event_features_checks_its_windows(spark):
 
 
 def test_event_features_with_barrier_and_sue(spark):
-    meta = spark.createDataFrame([("AAA", "tech")], "symbol string, sector string")
-    events = earnings(spark, [("AAA", str(day("2024-01-01") + dt.timedelta(65)), 1.5, 1.6, 6.67)])
+    meta = spark.createDataFrame([("UNAU", "ships")], "symbol string, sector string")
+    events = event_at(spark, 72)
     row = PF.event_features(series(spark), meta, events, barrier={"days": 3}, with_sue=True).first()
     assert row["target_spike_class"] == 1.0
     assert row["sue"] is None

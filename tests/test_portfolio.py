@@ -206,10 +206,14 @@ def test_no_run_is_one_task(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
 
 
-def test_percentiles(spark):
-    df = spark.range(100).select(F.lit("r").alias("run_id"), F.col("id").cast("double").alias("x"))
-    row = R.confidence_interval(df, ["x"]).first()
-    assert (row["lower"], row["upper"], row["includes_zero"]) == (pytest.approx(2.475), pytest.approx(96.525), False)
+def test_interval(spark):
+    """Positions between two values are interpolated; ties and missing values are no values of their own."""
+    data = [("r", v) for v in (-3.0, None, 5.0, 5.0, 9.0, 21.0)] + [(None, 4.0), (None, 6.0)]
+    df = spark.createDataFrame(data, "run_id string, x double")
+    got = {r["run_id"]: (r["lower"], r["upper"], r["includes_zero"]) for r in R.confidence_interval(df, ["x"], level=0.5).collect()}
+    assert got == {"r": (5.0, 9.0, False), None: (4.5, 5.5, False)}
+    wide = {r["run_id"]: (r["lower"], r["upper"], r["includes_zero"]) for r in R.confidence_interval(df, ["x"], level=0.9).collect()}
+    assert wide["r"] == (pytest.approx(-1.4), pytest.approx(18.6), True)
 
 
 def test_random_exposure_matches_the_days(spark):

@@ -15,9 +15,9 @@ def at(minute):
 def log(spark):
     return spark.createDataFrame(
         [
-            ("c", at(30), '{"depth": 6, "eta": 0.1}', 0.75, 0.35, 0.9, 0.85, 0.6, 0.55, -0.1, 1.5),
-            ("a", at(0), '{"depth": 3}', 0.7, 0.3, 0.8, 0.62, 0.1, 0.5, -0.2, 1.0),
-            ("b", at(10), None, 0.72, 0.4, None, None, None, None, None, None),
+            ("c", at(95), '{"depth": 9, "eta": 0.02}', 0.875, 0.5, 0.96, 0.9, -0.25, 0.44, -0.3, -0.75),
+            ("a", at(3), '{"depth": 2}', 0.5, 0.25, 0.66, 0.375, 0.5, 0.61, -0.05, 2.25),
+            ("b", at(41), None, 0.61, 0.31, None, None, None, None, None, None),
         ],
         "run_id string, timestamp timestamp, config_json string, accuracy double, precision double, train_accuracy double, "
         "train_precision double, total_return double, win_rate double, max_drawdown double, sharpe double",
@@ -31,7 +31,7 @@ def test_labels_follow_time(spark):
 
 def test_config_columns(spark):
     got = rows(R.config_expand(log(spark), ["depth", "eta"]).select("run_id", "config_depth", "config_eta"), "run_id")
-    assert got == [("a", "3", None), ("b", None, None), ("c", "6", "0.1")]
+    assert got == [("a", "2", None), ("b", None, None), ("c", "9", "0.02")]
 
 
 def test_config_keys(spark):
@@ -51,9 +51,9 @@ def test_config_diff(spark):
     got = {r["run_label"]: r for r in R.config_diff(log(spark).where("run_id <> 'b'"), ()).collect()}
     assert set(got) == {"Run 2"}
     changed = {k: (v["old"], v["new"]) for k, v in got["Run 2"]["config_changed"].items()}
-    assert changed == {"depth": ("3", "6"), "eta": (None, "0.1")}
-    assert got["Run 2"]["accuracy_delta"] == pytest.approx(0.05)
-    assert got["Run 2"]["total_return_delta"] == pytest.approx(0.5)
+    assert changed == {"depth": ("2", "9"), "eta": (None, "0.02")}
+    assert got["Run 2"]["accuracy_delta"] == pytest.approx(0.375)
+    assert got["Run 2"]["total_return_delta"] == pytest.approx(-0.75)
 
 
 def test_unchanged_absent_keys_are_not_reported(spark):
@@ -63,17 +63,17 @@ def test_unchanged_absent_keys_are_not_reported(spark):
 
 def test_gaps(spark):
     got = {r["run_label"]: r["gap"] for r in R.train_test_gap(log(spark), keys=()).collect()}
-    assert got == {"Run 1": pytest.approx(0.32), "Run 2": None, "Run 3": pytest.approx(0.5)}
+    assert got == {"Run 1": pytest.approx(0.125), "Run 2": None, "Run 3": pytest.approx(0.4)}
     assert R.train_test_gap(log(spark), "accuracy", ()).columns[1] == "train_accuracy"
     complete = R.gap_vs_backtest(log(spark), keys=())
     assert [r["run_label"] for r in complete.orderBy("run_label").collect()] == ["Run 1", "Run 3"]
-    assert R.gap_correlation(complete).first()["gap_sharpe"] == pytest.approx(1.0)
+    assert R.gap_correlation(complete).first()["gap_sharpe"] == pytest.approx(-1.0)
     assert R.lowest_gap(complete, 1).first()["run_label"] == "Run 1"
 
 
 def test_counts_and_top(spark):
     assert tuple(R.run_counts(log(spark), ()).first()) == (3, 2)
-    assert [r["run_id"] for r in R.top_runs(log(spark), "precision", 2).collect()] == ["b", "c"]
+    assert [r["run_id"] for r in R.top_runs(log(spark), "precision", 2).collect()] == ["c", "b"]
 
 
 def test_log_round_trip(spark, tmp_path):
@@ -90,6 +90,6 @@ def test_log_round_trip(spark, tmp_path):
     newer = kpis.select("run_id", (F.col("logged_at") + F.expr("INTERVAL 1 HOUR")).alias("logged_at"), F.lit(0.9).alias("sharpe"))
     store.append_backtest(newer)
     got = {r["run_id"]: (r["total_return"], r["sharpe"]) for r in store.load().collect()}
-    assert got == {"a": (0.1, 0.9), "b": (None, None), "c": (None, None)}
+    assert got == {"a": (0.5, 0.9), "b": (None, None), "c": (None, None)}
     with pytest.raises(ValueError, match="ghost"):
         store.append_backtest(kpis.withColumn("run_id", F.lit("ghost")))

@@ -17,8 +17,8 @@ HEADER = "date,open,high,low,close,adjusted_close,volume\n"
 def price_dir(tmp_path):
     folder = tmp_path / "prices"
     folder.mkdir()
-    (folder / "ZEPH.csv").write_text(HEADER + "2024-01-02,100,105,99,100,50,1000\n2024-01-03,101,106,100,102,51,\n")
-    (folder / "QUOK.csv").write_text(HEADER + "2024-01-02,10,11,9,10,10,5\n")
+    (folder / "ZEPH.csv").write_text(HEADER + "2031-05-05,32,48,24,40,10,700\n2031-05-06,12,13,11,12,12,\n")
+    (folder / "QUOK.csv").write_text(HEADER + "2031-05-05,3,4,2,3,3,9\n")
     (folder / "EMPTY.csv").write_text("")
     (folder / "notes.txt").write_text("not prices")
     return str(folder)
@@ -26,8 +26,8 @@ def price_dir(tmp_path):
 
 def test_price_panel(spark, price_dir):
     got = rows(PR.price_panel(spark, price_dir).select("symbol", "date", "open", "high", "low", "close", "volume"), "symbol", "date")
-    assert got[1] == ("ZEPH", day("2024-01-02"), 50.0, 52.5, 49.5, 50.0, 1000.0)
-    assert got[2][-2:] == (51.0, None)
+    assert got[1] == ("ZEPH", day("2031-05-05"), 8.0, 12.0, 6.0, 10.0, 700.0)
+    assert got[2][-2:] == (12.0, None)
     assert [r[0] for r in got] == ["QUOK", "ZEPH", "ZEPH"]
 
 
