@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from eventlab.operators import membership as MB
 from eventlab.operators import models as M
 from eventlab.operators import serving as S
 from eventlab.operators import splits as SP
@@ -221,6 +222,19 @@ def sue_compare(spark, sf):
     return _facts(X.sue_compare(K.features(spark, sf, with_sue=True), K.SPLIT_DATE, DEFAULT))
 
 
+def survivorship_models(spark, sf):
+    life = MB.ticker_lifespans(*K.membership(spark, sf))
+    return _facts(X.survivorship_models(K.features(spark, sf), life, K.SPLIT_DATE, DEFAULT))
+
+
+def alignment_models(spark, sf):
+    """Each label's own model; the limit order trades the high label's signals, so both trade alike in number."""
+    table = X.alignment_models(K.features(spark, sf), K.features(spark, sf, label_price="close"), K.SPLIT_DATE, K.THRESHOLD, DEFAULT)
+    table = stored(table, "alignment")
+    trades = {r["run_id"]: r["trades"] for r in table.select("run_id", "trades").collect()}
+    return _facts(table, F.lit(trades["mismatched"] == trades["limit_order_aligned"]).alias("same_signals"))
+
+
 def advice_model(spark, sf):
     """Explanations of the fitted model's recommendations for sampled tickers, checked: the fixed text invents nothing."""
     split, model = _fitted(spark, sf, "logistic")
@@ -235,7 +249,8 @@ QUERIES = {
     for f in (
         gbt_train, logistic_train, calibrated_train, score, train_event_model, model_bundle, recommendation,
         scenario_analysis, feature_attribution, overfitting_sweep, baseline_compare, walk_forward,
-        walk_forward_summary, calibration_compare, gap_robustness, horizon_alignment, sue_compare, advice_model,
+        walk_forward_summary, calibration_compare, gap_robustness, horizon_alignment, sue_compare, survivorship_models, alignment_models,
+        advice_model,
     )
 }
 
@@ -306,6 +321,16 @@ SQL = {
     "gap_robustness": with_ctes(_runs(["lowest_gap"], condition=FITTED)),
     "horizon_alignment": with_ctes(f"SELECT run_id, {COUNTED}, {HELD} FROM paired GROUP BY run_id", FAR_ROWS),
     "sue_compare": with_ctes(f"SELECT run_id, {COUNTED}, {HELD} FROM paired GROUP BY run_id", SUE_ROWS),
+    "survivorship_models": with_ctes(
+        f"""SELECT run_id, {COUNTED}, {HELD} FROM paired GROUP BY run_id""",
+        {
+            "paired": """SELECT 'all_incl_delisted' AS run_id, split FROM scored UNION ALL
+            SELECT 'current_only', split FROM scored WHERE symbol IN (SELECT symbol FROM life WHERE is_current)"""
+        },
+    ),
+    "alignment_models": with_ctes(
+        _runs(["mismatched", "close_aligned", "limit_order_aligned"], more=", true AS same_signals")
+    ),
     "advice_model": with_ctes(
         """SELECT symbol AS ticker, date AS as_of_date, 0::BIGINT AS faithful, 0::BIGINT AS no_leak, 0::BIGINT AS no_confusion FROM latest
         WHERE symbol IN (SELECT symbol FROM (SELECT DISTINCT symbol FROM scored) ORDER BY md5(concat_ws('|', 42, symbol)), symbol LIMIT 30)""",

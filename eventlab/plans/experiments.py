@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..operators.metrics import brier_score, calibration_curve, classification_metrics, fold_summary
+from ..operators.membership import universe_current
 from ..operators.models import train_event_model
-from ..operators.portfolio import RUN, backtest_kpis, exclude_top_each, payoff_stats
+from ..operators.portfolio import RUN, backtest_kpis, exclude_top_each, limit_order_returns, payoff_stats
 from ..operators.splits import chrono_split, validation_slice, walk_forward_folds
 from ..schemas import FEATURES, KPIS, LABEL, RETURN, SUE_FEATURES, target
 from ..storage import stored
@@ -191,3 +192,37 @@ def horizon_alignment(
     test = one.where(F.col("split") == "test")
     kpis = event_backtest(test, cap=CAP).unionByName(tranche_backtest(known, horizon, ret=ret))
     return metrics.join(kpis, list(RUN))
+
+
+def survivorship_models(
+    features: DataFrame, lifespans: DataFrame, split_date: dt.date, config: Mapping[str, object] | None = None
+) -> DataFrame:
+    """A model fitted and traded on every symbol, and one on current members only."""
+    everyone = stored(chrono_split(features, split_date), "universe")
+    survivors = stored(universe_current(everyone, lifespans), "universe")
+    fits = [lambda: run_config(everyone, "all_incl_delisted", "gbt", config), lambda: run_config(survivors, "current_only", "gbt", config)]
+    return compare(_fit_all(fits))
+
+
+def alignment_models(
+    high: DataFrame,
+    close: DataFrame,
+    split_date: dt.date,
+    threshold: float,
+    config: Mapping[str, object] | None = None,
+    cap: float = CAP,
+) -> DataFrame:
+    """A model of the high label, sold at the close or by a limit order, and one of the close label.
+
+    ``high`` and ``close`` are the same features under both labels.
+    """
+    fits = [
+        lambda: run_config(stored(chrono_split(high, split_date)), "mismatched", "gbt", config),
+        lambda: run_config(stored(chrono_split(close, split_date)), "close_aligned", "gbt", config),
+    ]
+    runs = _fit_all(fits)
+    of_high = runs.where(F.col("run_id") == "mismatched").withColumn("run_id", F.lit("limit_order_aligned"))
+    limited = limit_order_returns(of_high.where(F.col("split") == "test"), threshold)
+    metrics = _gap(classification_metrics(of_high, [*RUN, "split"]), RUN)
+    limit = metrics.join(event_backtest(limited, cap=cap, ret="realized_return"), list(RUN))
+    return compare(runs, cap).unionByName(limit)
