@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import small_batches
 from .textblocks import Block, prefix_hash, span_hash, spans, text_blocks
 
 #: Phrases that are counted wherever they stand, with their labels.
@@ -340,7 +341,7 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, phrases: dic
     labels. A missing text is empty; other columns are ignored.
     """
     used = standard_templates() if templates is None else tuple(templates.items())
-    rows = files.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    rows = small_batches(files).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     struct = "places array<struct<word: bigint, label: string>>, spans array<struct<label: string, start: bigint, end: bigint, share: double>>"
     return rows.mapInArrow(_scan(used, tuple(phrases.items())), f"doc_id bigint, n_words bigint, {struct}")
 

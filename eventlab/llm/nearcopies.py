@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .graph import Forest, components
 from .orderhash import MIN_SIMILARITY, SKETCHES, shingles, similarity, sketches
 from .suffixes import LAST_ID
-from .tables import free_name, join_groups, stored
+from .tables import free_name, join_groups, small_batches, stored
 from .textblocks import text_blocks
 
 #: Members of a bucket that are compared at one go; larger ones are cut into blocks.
@@ -186,7 +186,7 @@ def _distinct_cells(cells: DataFrame) -> DataFrame:
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID))
-    return docs.select(doc.alias("doc"), _tag(text).alias("tag"), text.alias("text"))
+    return small_batches(docs).select(doc.alias("doc"), _tag(text).alias("tag"), text.alias("text"))
 
 
 def _tag(text: Column) -> Column:

@@ -65,7 +65,6 @@ def sketches(value: np.ndarray, own: np.ndarray, n: int, picked: int = PICKED, c
     """Sketch keys, one row per text. Rows of texts without shingles are zero."""
     out = np.zeros((n, count), np.uint64)
     size = np.bincount(own, minlength=n)
-    start = np.cumsum(size) - size
     share = np.minimum(1.0, CANDIDATES / np.maximum(size, 1))
     limit = np.where(share >= 1, np.iinfo(np.uint64).max, (share * 2.0**63).astype(np.uint64) * np.uint64(2))[own]
     need = np.minimum(picked, size)
@@ -88,7 +87,6 @@ def sketches(value: np.ndarray, own: np.ndarray, n: int, picked: int = PICKED, c
             here = kept[place == i]
             key[own[here]] = mix(key[own[here]] ^ value[here], 40 + i)
         out[:, j] = np.where(size > 0, mix(key, 50 + j) | np.uint64(1), 0)
-    del start
     return out
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import width
+from .tables import small_batches
 from .textblocks import text_blocks
 from .tokens import ENCODED_BYTES, default_vocabulary, encoder
 
@@ -128,7 +129,7 @@ def pack(
     """
     groups = max(1, -(-docs.count() // group_docs))
     dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), dealt.alias("group"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), dealt.alias("group"))
     extra = ", ids binary" if with_ids else ""
     fields = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     pieces = rows.mapInArrow(_encode(vocabulary, length, end_id, with_ids), f"{fields}, group int{extra}")

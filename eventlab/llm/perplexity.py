@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .tables import join_groups, stored
+from .tables import join_groups, small_batches, stored
 from .textblocks import take_spans, text_blocks
 
 ORDER = 5
@@ -282,7 +282,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) ->
     width = blobs.width(spark)
     groups = width * blobs.GROUPS
     missing = F.lit((1 << 63) - 1)
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.coalesce(F.col("doc_id").cast("bigint"), missing).alias("doc"),
         F.xxhash64("lang", "text").alias("row"),
         F.col("lang").cast("string"),

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import free_name, join_groups, stored, text_key
+from .tables import free_name, join_groups, small_batches, stored, text_key
 from .textblocks import Block, mix, prefix_hash, span_hash, spans, text_blocks, words
 
 #: Fixed values of the rules.
@@ -112,7 +112,7 @@ def measured(docs: DataFrame, name: str = "measured") -> DataFrame:
     """The documents with a struct of `METRICS`. A missing text counts as an empty one."""
     kind = T.StructType([T.StructField(m, T.LongType()) for m in METRICS])
     out = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
-    return docs.mapInArrow(_measure_batches(name), out)
+    return small_batches(docs).mapInArrow(_measure_batches(name), out)
 
 
 def base_failed(m: Column) -> Column:

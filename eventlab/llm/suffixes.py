@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
+from .tables import small_batches
 from .textblocks import BASE, BYTE_CODE, Block, mix, powers, prefix_hash, span_hash, text_blocks
 
 KEY = 20
@@ -424,7 +425,7 @@ def _hits(docs: DataFrame, depth: int, hot: int, extra: list) -> tuple:
     width = blobs.width(spark)
     groups = width * blobs.GROUPS
     doc = F.coalesce("doc_id", F.lit(LAST_ID))
-    rows = docs.select(F.col("doc_id").cast("bigint"), doc.cast("bigint").alias("doc"), F.col("text").cast("string"), *extra)
+    rows = small_batches(docs).select(F.col("doc_id").cast("bigint"), doc.cast("bigint").alias("doc"), F.col("text").cast("string"), *extra)
     found = rows.select("doc", "text").mapInArrow(_find_anchors(width, depth), blobs.schema(ANCHORS))
     replies = blobs.send(found).mapInArrow(_group_anchors(groups, hot), blobs.schema(REPLIES))
     texts = rows.withColumn("part", blobs.group_of(F.col("doc"), groups)).groupBy("part")

@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import scratch
+from ..storage import stored
+
+__all__ = ["free_name", "join_groups", "small_batches", "stored", "text_key"]
 
 #: A key is hot if it holds more than this share of all rows; so there are fewer than 1000 of them.
 HOT_SHARE = 1000
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The table, written as Parquet to the session's shared folder and read again.
+#: Bytes of rows that Spark hands to Python at once.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The rows, for an operator that hands whole texts to Python.
 
-    It cuts the lineage like a checkpoint, but keeps columns and statistics.
+    Bounds the session's Arrow batches, which Spark, the worker and its results each hold: a task's
+    memory then does not grow with the length of the texts. A smaller bound of the session stays.
     """
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = re.match("([0-9]+)", conf.get(key, "") or "")
+    if not have or not 0 < int(have[1]) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: Column) -> DataFrame:

@@ -121,11 +121,6 @@ def words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return spans(~SPACE[block.data], block.offsets)
 
 
-def places(rows: np.ndarray, n: int) -> np.ndarray:
-    """Where the entries of each of n rows start and end, for entries sorted by row: n + 1 numbers."""
-    return np.searchsorted(rows, np.arange(n + 1))
-
-
 def take_spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indexes of all elements of the runs, run after run."""
     total = int(lengths.sum())

@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import cases  # noqa: E402
 import corpus_pipeline  # noqa: E402
 
-from eventlab.llm import hilbert, licenses, mixing, nearcopies, packing, perplexity, quality, suffixes  # noqa: E402
+from eventlab.llm import hilbert, licenses, mixing, nearcopies, perplexity, quality, suffixes  # noqa: E402
 
 N = len(cases.rows())
 
