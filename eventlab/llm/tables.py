@@ -27,7 +27,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     memory then does not grow with the length of the texts. A smaller bound of the session stays.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    have = re.match("([0-9]+)", conf.get(key, "") or "")
+    have = re.fullmatch("([0-9]+)b?", conf.get(key))
     if not have or not 0 < int(have[1]) <= BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return df
