@@ -96,4 +96,4 @@ def test_buckets_are_cut_even_if_rows_are_hashed_by_the_key(spark, tmp_path):
     numbered = number_rows(hashed, ["sector"], F.pmod(F.hash("symbol"), F.lit(8)), ["symbol", "date"], "rn")
     ranked = percent_ranks(hashed, ["sector"], "close", "rank")
     for df in (numbered, ranked):
-        assert re.search(r"Exchange hashpartitioning\(sector#\d+, _bucket#\d+", plan(df))
+        assert re.search(r"Exchange hashpartitioning\((sector|_group)#\d+, _bucket#\d+", plan(df))
