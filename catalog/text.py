@@ -213,18 +213,16 @@ RECOMMENDED = f"""SELECT symbol AS ticker, date AS as_of_date, sector, y_pred AS
 LATEST = """SELECT * FROM recommended QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY as_of_date DESC) = 1"""
 PROMPT = "concat_ws(chr(10), " + ", ".join(
     [
-        "'Explain this prediction to a reader without a finance background, in two or three sentences.'",
-        "'Begin with the explanation. Use only numbers from the list; do not invent or estimate any.'",
-        "'Ticker: ' || ticker",
-        "'Sector: ' || sector",
-        "'Latest reported event: ' || as_of_date",
-        "'Predicted class: ' || predicted_label",
-        "'Confidence in that class: ' || percent",
-        "'A spike is a move above: 0.070000'",
-        "'Inputs of the model:'",
-        *[f"'* {f} = ' || {N.format(f)}" for f in FEATURES],
-        "'The model does not predict the size of a move, so do not state a future gain or loss.'",
-        f"'History, not a forecast: after this event the close moved ' || {N.format('close_ret')} || ' and the high moved ' || {N.format('high_ret')} || '.'",
+        *["'" + rule.replace("'", "''") + "'" for rule in S.RULES],
+        "'symbol=' || ticker",
+        "'sector=' || sector",
+        "'event_day=' || as_of_date",
+        *[f"'{f}=' || {N.format(f)}" for f in FEATURES],
+        "'spike_means_above=0.070000'",
+        "'class=' || predicted_label",
+        "'certainty=' || percent",
+        f"'past_close_move=' || {N.format('close_ret')}",
+        f"'past_high_move=' || {N.format('high_ret')}",
     ]
 ) + ")"
 CLOSE_TEXT = "printf('%.4f', floor((abs(close_ret) * 100) * 1e4 + 0.5) / 1e4)"
@@ -244,9 +242,8 @@ PASSED = {"faithful": "invented", "no_leak": "leaks", "no_confusion": "confusion
 SQL = {
     "render_prompt": with_ctes(f"SELECT ticker, {PROMPT} AS prompt FROM latest", TEXTS),
     "render_fallback": with_ctes(
-        """SELECT ticker, 'After the event of ' || as_of_date || ' the model''s class for ' || ticker || ' is ''' || predicted_label
-        || ''', with a confidence of ' || percent || '. It rests on the latest event on file for ' || ticker
-        || ' and not on today''s market.' AS explanation FROM latest""",
+        """SELECT ticker, predicted_label || ' is what the model gives ' || ticker || ' (' || percent || ' certain), judging by its report of '
+        || as_of_date || '; nothing newer went into this.' AS explanation FROM latest""",
         TEXTS,
     ),
     "recommendation_rule": with_ctes(

@@ -221,6 +221,16 @@ def _number(value: Column) -> Column:
     return F.when(value.isNotNull(), text).otherwise(F.lit("unknown"))
 
 
+#: What a prompt asks for, above its facts.
+RULES = (
+    "TASK: write a short paragraph, in everyday words, on why the class below fits the facts.",
+    "RULES: repeat figures only as they stand here and do not add others.",
+    "RULES: the past_ facts describe what already happened; do not turn them into an outlook.",
+    "RULES: the class says whether, never how far, a price moves; do not name a coming change.",
+    "FACTS:",
+)
+
+
 def render_prompt(recommendations: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """``prompt``: every value of a recommendation as ``key=value`` facts, and what a text may do with them."""
     outcome = F.col("historical_outcome")
@@ -235,15 +245,8 @@ def render_prompt(recommendations: DataFrame, features: Sequence[str] = FEATURES
         "past_close_move": _number(outcome["close_ret"]),
         "past_high_move": _number(outcome["high_ret"]),
     }
-    rules = (
-        "TASK: write a short paragraph, in everyday words, on why the class below fits the facts.",
-        "RULES: repeat figures only as they stand here and do not add others.",
-        "RULES: the past_ facts describe what already happened; do not turn them into an outlook.",
-        "RULES: the class says whether, never how far, a price moves; do not name a coming change.",
-        "FACTS:",
-    )
     listed = [F.concat(F.lit(f"{name}="), value) for name, value in facts.items()]
-    return recommendations.withColumn("prompt", F.concat_ws("\n", *[F.lit(r) for r in rules], *listed))
+    return recommendations.withColumn("prompt", F.concat_ws("\n", *[F.lit(r) for r in RULES], *listed))
 
 
 def render_fallback(recommendations: DataFrame) -> DataFrame:
