@@ -4,10 +4,12 @@ Vectors are scaled to length one. Coarse centroids make inverted lists; the resi
 its centroid is coded by subspaces. A vector asks the lists near it, compares the codes there by
 table lookup, and reranks what may be close enough by exact cosine in double precision.
 
-* Probes: a neighbour of cosine t is at most r = sqrt(2 - 2t) away. It can only be in another list
-  if the step towards it crosses the plane between both centroids. A random step of length r goes
-  r / sqrt(dimensions) along a given direction, so a list is asked if its plane is nearer than
-  ``reach`` times that. The number of probes follows from the data, not from a parameter.
+* Probes: a neighbour of cosine t is at most r = sqrt(2 - 2t) away. If it is in another list, the step
+  towards it crosses the plane between both centroids, so one of the two is at most r / 2 from that
+  plane. A vector asks every list whose plane is that near: no pair is missed, whatever the directions
+  in which the vectors differ. The number of probes follows from the data, not from a parameter.
+* Pairs over two lists count where the vector nearer to the plane asks, once, for both directions.
+  Inside a list both ask.
 * Codes: with the code's own error e (stored), the distance to the coded vector differs from the
   true one by e at most. Everything within r + e is reranked, so codes lose nothing.
 * Equal vectors are one class before all that. A list of many vectors is dealt to blocks, so neither
@@ -40,7 +42,6 @@ MAX_LISTS = 2048
 BLOCK = 1024
 SUBSPACE = 4
 CODES = 256
-REACH = 3.0
 #: What single precision may add to a distance.
 SLACK = np.float32(1e-3)
 ROWS = 1024
@@ -96,12 +97,19 @@ class Index:
         sq = (c * c).sum(1)
         return np.sqrt(np.maximum(sq[:, None] + sq - 2 * c @ c.T, 0))
 
-    def probes(self, x: np.ndarray, between: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and lists to ask."""
+    def probes(self, x: np.ndarray, own: np.ndarray, between: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and lists to ask: those whose plane to the own list is within half the radius."""
         far = (self.centres * self.centres).sum(1) - 2 * (x @ self.centres.T)
-        own = far.argmin(1)
         ahead = far - far[np.arange(len(x)), own][:, None]
-        return np.nonzero(ahead <= 2 * reach * between[own])
+        return np.nonzero(ahead <= radius * between[own] + SLACK)
+
+    def depth(self, x: np.ndarray, own: np.ndarray, other: int | np.ndarray) -> np.ndarray:
+        """How far vectors are on their list's side of the plane, times the centroids' distance.
+
+        Row by row in double precision, so that both vectors of a pair get the same from any batch.
+        """
+        a, b = self.centres[own].astype(np.float64), self.centres[other].astype(np.float64)
+        return ((x - (a + b) / 2) * (a - b)).sum(1)
 
 
 def rows_of(column: pa.Array, d: int) -> np.ndarray:
@@ -128,10 +136,10 @@ def _count(index: Index, d: int) -> Callable:
 def _fields(d: int, index: Index) -> dict[str, str]:
     """The original vectors travel, as doubles: whatever their type was, the verdict is exact."""
     codes = f"V{len(index.cuts)}"
-    return {"node": "i8", "copies": "i8", "list": "i4", "vector": f"V{8 * d}", "codes": codes, "square": "f4", "error": "f4"}
+    return {"node": "i8", "copies": "i8", "home": "i4", "list": "i4", "vector": f"V{8 * d}", "codes": codes, "square": "f4", "error": "f4"}
 
 
-def _deal(index: Index, d: int, blocks: np.ndarray, width: int, reach: float) -> Callable:
+def _deal(index: Index, d: int, blocks: np.ndarray, width: int, radius: float) -> Callable:
     """Every vector to the block of its list, and as a question to all blocks of the lists it asks."""
     first = np.cumsum(blocks) - blocks
     fields = _fields(d, index)
@@ -146,26 +154,26 @@ def _deal(index: Index, d: int, blocks: np.ndarray, width: int, reach: float) ->
                 x = scaled(raw)
                 own, codes, square, error = index.encode(x)
                 block = first[own] + blobs.group_of_ids(node, 1 << 30) % blocks[own]
-                packed = {"node": node, "copies": copies[at : at + 4096], "list": block, "vector": raw.view(f"V{8 * d}").ravel()}
+                packed = {"node": node, "copies": copies[at : at + 4096], "home": own, "list": block, "vector": raw.view(f"V{8 * d}").ravel()}
                 packed |= {"codes": np.ascontiguousarray(codes).view(f"V{codes.shape[1]}").ravel(), "square": square, "error": error}
                 yield _kind(blobs.pack(spread(block, width), packed, fields), 0)
                 asked: list[tuple[np.ndarray, np.ndarray]] = []
                 for i in range(0, len(x), ROWS):
-                    row, lists = index.probes(x[i : i + ROWS], between, reach)
+                    row, lists = index.probes(x[i : i + ROWS], own[i : i + ROWS], between, radius)
                     n = blocks[lists]
                     row = np.repeat(row + i, n)
                     asked.append((row, np.repeat(first[lists], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)))
                 row, block = (np.concatenate(c) for c in zip(*asked, strict=True))
-                yield _questions(row, block, node, raw)
+                yield _questions(row, block, node, copies[at : at + 4096], own, raw)
 
-    def _questions(row: np.ndarray, block: np.ndarray, node: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+    def _questions(row: np.ndarray, block: np.ndarray, node: np.ndarray, copies: np.ndarray, own: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
         """A question goes to a partition once, with all blocks that it asks there."""
         part = spread(block, width)
         order = np.lexsort((block, row, part))
         row, block, part = row[order], block[order], part[order]
         lead = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])])
         count = np.diff(np.r_[lead, len(row)])
-        columns = {"node": node[row[lead]], "copies": count, "list": count, "vector": raw.view(f"V{8 * d}").ravel()[row[lead]]}
+        columns = {"node": node[row[lead]], "copies": copies[row[lead]], "home": own[row[lead]], "list": count, "vector": raw.view(f"V{8 * d}").ravel()[row[lead]]}
         columns |= {"codes": np.zeros(len(lead), fields["codes"]), "square": np.zeros(len(lead)), "error": np.zeros(len(lead))}
         packed = blobs.pack(part[lead], columns, fields)
         lists = [pa.scalar(blobs.squeeze(b.astype("i4")), pa.binary()) for b in np.split(block, np.flatnonzero(part[1:] != part[:-1]) + 1)]
@@ -207,7 +215,8 @@ def _answer(index: Index, d: int, min_cosine: float) -> Callable:
                 found = blobs.unpack(row.drop_columns(["codes"]), {k: v for k, v in fields.items() if k != "codes"})
                 count = found["list"].astype(np.int64)
                 blocks = blobs.expand(row.column("codes")[0].as_py(), "i4", int(count.sum()))
-                yield from _search(found["node"], np.frombuffer(found["vector"].tobytes(), np.float64).reshape(-1, d), count, blocks, lists, forest)
+                x = np.frombuffer(found["vector"].tobytes(), np.float64).reshape(-1, d)
+                yield from _search(found["node"], found["copies"], found["home"], x, count, blocks, lists, forest)
         nodes, roots = forest.edges()
         if len(nodes):
             yield _out(1, nodes, roots)
@@ -220,12 +229,14 @@ def _answer(index: Index, d: int, min_cosine: float) -> Callable:
         for name, mine in zip(names.tolist(), np.split(order, at[1:]), strict=True):
             raw = np.frombuffer(merged["vector"][mine].tobytes(), np.float64).reshape(-1, d)
             codes = merged["codes"][mine].view(np.uint8).reshape(len(mine), -1)
-            centre = index.centres[nearest(scaled(raw[:1]), index.centres)[0]]
+            home = int(merged["home"][mine[0]])
             length = np.sqrt((raw * raw).sum(1))
-            out[name] = (merged["node"][mine], merged["copies"][mine], raw, length, codes, merged["square"][mine], merged["error"][mine], centre)
+            out[name] = (merged["node"][mine], merged["copies"][mine], raw, length, codes, merged["square"][mine], merged["error"][mine], home)
         return out
 
-    def _search(node: np.ndarray, x: np.ndarray, count: np.ndarray, blocks: np.ndarray, lists: dict, forest: Forest) -> Iterator[pa.RecordBatch]:
+    def _search(
+        node: np.ndarray, own_copies: np.ndarray, own: np.ndarray, x: np.ndarray, count: np.ndarray, blocks: np.ndarray, lists: dict, forest: Forest
+    ) -> Iterator[pa.RecordBatch]:
         links = np.zeros(len(node), np.int64)
         of = np.repeat(np.arange(len(node)), count)
         for at in range(0, len(node), ROWS):
@@ -239,8 +250,9 @@ def _answer(index: Index, d: int, min_cosine: float) -> Callable:
             for name, asks in zip(names.tolist(), np.split(rows[order], first[1:]), strict=True):
                 if name not in lists:
                     continue
-                other, copies, vector, its_length, codes, square, error, centre = lists[name]
-                dot = np.repeat((chunk[asks] @ centre)[:, None], len(other), 1)
+                other, copies, vector, its_length, codes, square, error, home = lists[name]
+                back = np.zeros(len(other), np.int64)
+                dot = np.repeat((chunk[asks] @ index.centres[home])[:, None], len(other), 1)
                 for i, table in enumerate(tables):
                     dot += table[asks][:, codes[:, i]]
                 distance = np.sqrt(np.maximum(1 + square - 2 * dot, 0))
@@ -251,10 +263,21 @@ def _answer(index: Index, d: int, min_cosine: float) -> Callable:
                     cosine = np.einsum("ij,ij->i", raw[p], vector[q]) / (length[p] * its_length[q])
                     linked = (cosine >= min_cosine) & (node[at + p] != other[q])
                     p, q = at + p[linked], q[linked]
+                    across = own[p] != home
+                    counts = ~across
+                    if across.any():
+                        a1, b1 = p[across], q[across]
+                        mine_deep = index.depth(x[a1] / length[a1 - at, None], own[a1], home)
+                        its_deep = index.depth(vector[b1] / its_length[b1, None], np.full(len(b1), home), own[a1])
+                        counts[across] = (mine_deep < its_deep) | ((mine_deep == its_deep) & (node[a1] < other[b1]))
+                    p, q, across = p[counts], q[counts], across[counts]
                     np.add.at(links, p, copies[q])
-                    for one, two in zip(node[p].tolist(), other[q].tolist(), strict=True):
-                        if one > two:
-                            forest.join(one, two)
+                    np.add.at(back, q[across], own_copies[p[across]])
+                    new = across | (node[p] > other[q])
+                    for one, two in zip(node[p[new]].tolist(), other[q[new]].tolist(), strict=True):
+                        forest.join(one, two)
+                if back.any():
+                    yield _out(0, other[back > 0], back[back > 0])
         some = np.flatnonzero(links)
         yield _out(0, node[some], links[some])
 
@@ -264,7 +287,7 @@ def _answer(index: Index, d: int, min_cosine: float) -> Callable:
     return run
 
 
-def _links(classes: DataFrame, d: int, min_cosine: float, per_list: int, reach: float) -> DataFrame:
+def _links(classes: DataFrame, d: int, min_cosine: float, per_list: int) -> DataFrame:
     """``kind, a, b``: links of each node found anywhere, and edges that connect them."""
     spark = classes.sparkSession
     width = blobs.width(spark)
@@ -277,7 +300,7 @@ def _links(classes: DataFrame, d: int, min_cosine: float, per_list: int, reach:
     blocks = np.ones(len(index.centres), np.int64)
     for row in counted.collect():  # one row per list, MAX_LISTS at most
         blocks[row["list"]] = -(-row["n"] // BLOCK)
-    packed = rows.mapInArrow(_deal(index, d, blocks, width, reach * np.sqrt((2 - 2 * min_cosine) / d)), f"{blobs.schema(_fields(d, index))}, kind int")
+    packed = rows.mapInArrow(_deal(index, d, blocks, width, np.sqrt(2 - 2 * min_cosine)), f"{blobs.schema(_fields(d, index))}, kind int")
     return blobs.send(packed).sortWithinPartitions("kind").mapInArrow(_answer(index, d, min_cosine), "kind int, a bigint, b bigint")
 
 
@@ -285,7 +308,6 @@ def near_duplicates(
     vectors: DataFrame,
     min_cosine: float = MIN_COSINE,
     per_list: int = PER_LIST,
-    reach: float = REACH,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
 ) -> DataFrame:
@@ -309,7 +331,7 @@ def near_duplicates(
     spark = vectors.sparkSession
     found = spark.createDataFrame([], "kind int, a bigint, b bigint")
     for d in lengths:
-        found = found.union(_links(classes, d, min_cosine, per_list, reach))
+        found = found.union(_links(classes, d, min_cosine, per_list))
     found = stored(found, "links")
     links = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     roots = components(found.where("kind = 1").select("a", "b"))

@@ -53,6 +53,27 @@ def test_links(spark, cloud, block, monkeypatch):
     assert all(got[i][2] == (got[i][1] == i) for i in expected)
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_links_in_few_directions(spark, block, monkeypatch):
+    """Vectors of 256 dimensions that vary in 20 of them: every link and component is found."""
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    r = np.random.default_rng(12)
+    x = r.normal(size=(1500, 20))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = r.normal(size=x.shape)
+    turn -= (turn * x).sum(1, keepdims=True) * x
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    c = r.uniform(0.9, 0.95, (len(x), 1))
+    basis, _ = np.linalg.qr(r.normal(size=(256, 20)))
+    low = (np.concatenate([x, c * x + np.sqrt(1 - c * c) * turn, x[:30]]) @ basis.T).astype(np.float32)
+    ids = r.permutation(len(low))
+    df = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, low, strict=True)], SCHEMA)
+    got = {i.vec_id: (i.n_links, i.component_id) for i in vectors.near_duplicates(df, per_list=40).collect()}
+    expected = plain(ids.tolist(), low)
+    assert sum(k for k, _ in expected.values()) >= 3000
+    assert got == expected
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     data = [
