@@ -104,7 +104,7 @@ def score(spark, sf):
 
 def train_event_model(spark, sf):
     """Metrics per split beside the same ones, counted from the scored rows."""
-    _, scored, metrics = M.train_event_model(_split(spark, sf), "logistic")
+    _, scored, metrics = M.train_event_model(_split(spark, sf), config=DEFAULT)
     hit = (F.col("y_pred") == F.col(LABEL)).cast("double")
     taken = F.sum("y_pred")
     again = scored.groupBy("split").agg(

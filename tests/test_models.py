@@ -6,6 +6,7 @@ import pytest
 from conftest import day, rows
 from pyspark.sql import functions as F
 
+from catalog import models as CM
 from eventlab.operators import metrics as M
 from eventlab.operators import models as MO
 from eventlab.operators import serving as S
@@ -229,3 +230,17 @@ def test_recommendation_keeps_outcome_apart(spark, data):
     assert row["predicted_label"] in ("Spike", "No Spike") and row["confidence"] >= 0.5
     assert set(row["feature_values"]) == set(X)
     assert row["historical_outcome"]["close_ret"] is None
+
+
+def test_train_event_model_query_fits_default_trees(spark, small_dir, monkeypatch):
+    asked, fit = [], MO.fit
+
+    def recorded(kind, train, config, *more):
+        asked.append((kind, config))
+        return fit(kind, train, SMALL if kind == "gbt" else config, *more)
+
+    monkeypatch.setattr(MO, "fit", recorded)
+    found = CM.train_event_model(spark, small_dir).collect()
+    assert asked == [("gbt", {})]
+    assert sorted(r["split"] for r in found) == ["test", "train"]
+    assert all(r["accuracy_again"] and r["precision_again"] for r in found)
