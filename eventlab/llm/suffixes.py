@@ -85,11 +85,17 @@ def anchors(block: Block, sums: np.ndarray, depth: int) -> tuple[np.ndarray, np.
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     starts = np.arange(n - KEY + 1)
     hashes = span_hash(sums, starts, starts + KEY)
-    chosen = _smallest((hashes & ~_PLACE) | starts.astype(np.uint64), reach)
+    # A place shares a number with its hash, so longer blocks go by runs that count from their own start.
+    step, found = int(_PLACE) + 2 - reach, []
+    for first in range(0, max(len(hashes) - reach + 1, 1), step):
+        run = hashes[first : first + step + reach - 1]
+        least = _smallest((run & ~_PLACE) | np.arange(len(run), dtype=np.uint64), reach)
+        found.append((least & _PLACE).astype(np.int64) + first)
+    chosen = np.concatenate(found)
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, block.offsets[:-1][long], 1)
     np.add.at(edge, block.offsets[1:][long] - depth + 1, -1)
-    at = (chosen[np.cumsum(edge)[: len(chosen)] > 0] & _PLACE).astype(np.int64)
+    at = chosen[np.cumsum(edge)[: len(chosen)] > 0]
     at = at[np.r_[True, at[1:] != at[:-1]]]
     rows = np.searchsorted(block.offsets, at, "right") - 1
     return at, rows, hashes[at]

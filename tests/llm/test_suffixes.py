@@ -7,6 +7,7 @@ import pytest
 from cases import frame, rows
 
 from eventlab.llm import suffixes
+from eventlab.llm.textblocks import Block, prefix_hash
 
 
 def plain(data, depth):
@@ -61,3 +62,14 @@ def test_radix_passes_drop_what_is_alone():
 def test_cuts_keep_characters_whole():
     data = np.frombuffer("aéb".encode(), np.uint8)
     assert suffixes.whole_characters(data, np.array([True, True, False, False])).tolist() == [True, False, False, False]
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    """A text longer than a place can count gets the anchors that it would get if places were wider."""
+    data = np.random.default_rng(4).integers(97, 123, 5000).astype(np.uint8)
+    block = Block(0, 2, data, np.array([0, 4300, 5000]))
+    expected = suffixes.anchors(block, prefix_hash(data), suffixes.DEPTH)
+    monkeypatch.setattr(suffixes, "_PLACE", np.uint64((1 << 9) - 1))
+    got = suffixes.anchors(block, prefix_hash(data), suffixes.DEPTH)
+    assert expected[0].max() > 4300
+    assert all((a == b).all() for a, b in zip(got, expected, strict=True))
