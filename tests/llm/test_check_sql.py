@@ -30,7 +30,7 @@ def test_other_queries_give_rows(spark, name):
 
 
 def test_names():
-    assert [int(name.split("_")[0][2:]) for name in QUERIES] == list(range(1, 11))
+    assert [int(name.split("_")[0][2:]) for name in QUERIES] == list(range(1, 14))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
