@@ -1,21 +1,22 @@
-"""Queries that fit models.
+"""Queries that fit models, and return what they found.
 
-SQL cannot fit them, but it knows which rows they see and what must hold for their figures: each
-query returns keys and counts, and whether probabilities, metrics and contributions, computed
-again from scored rows, coefficients and trees, come out the same.
+SQL cannot fit a model. It checks the first levels of a boosted tree, whose sums and cuts it can state, and
+three queries of the logistic model, whose probabilities have a closed form; the others return their figures and are held
+against plain Python on small tables.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from eventlab.operators import boosting as BO
 from eventlab.operators import membership as MB
 from eventlab.operators import models as M
 from eventlab.operators import serving as S
 from eventlab.operators import splits as SP
 from eventlab.operators import textcheck as C
 from eventlab.operators.events import latest_event
+from eventlab.operators.metrics import class_weight
 from eventlab.operators.resample import seeded_ticker_sample
 from eventlab.plans import experiments as X
 from eventlab.schemas import FEATURES, LABEL
@@ -23,33 +24,30 @@ from eventlab.sources import market as K
 from eventlab.storage import scratch, stored
 
 from .ctes import with_ctes
-from .panel import AS_OF, COMPLETE, EVENT_SUE, FOLDS, KEPT, _snapshot
+from .panel import AS_OF, _snapshot
 from .shape import r6, tidy
 
 DEFAULT: dict = {}  # the library's own defaults: 100 trees of depth 6
-LOW_GAP = {
-    "scale_pos_weight": "balanced",
-    "min_split_loss": 0.001,
-    "max_depth": 3,
-    "min_child_weight": 5,
-    "subsample": 0.7,
-    "colsample_bytree": 0.7,
-    "n_estimators": 500,
-    "early_stopping_rounds": 20,
-}
-BALANCED = {"scale_pos_weight": "balanced", "min_split_loss": 0.001}
-SMALL_TREES = {"max_depth": 3, "min_child_weight": 5, "subsample": 0.7, "colsample_bytree": 0.7}
-# Named by what is fitted: Spark's trees have a least gain, but no penalty on leaves.
+# The configurations of the study, as it names them.
+REGULARISED = {"reg_alpha": 0.1, "reg_lambda": 1.0, "scale_pos_weight": "balanced"}
+TREE_COMPLEXITY = {"max_depth": 3, "min_child_weight": 5, "subsample": 0.7, "colsample_bytree": 0.7}
+EARLY_STOPPING = {"n_estimators": 500, "early_stopping_rounds": 20}
+LOW_GAP = {**REGULARISED, **TREE_COMPLEXITY, **EARLY_STOPPING}
 CONFIGS = {
     "baseline": DEFAULT,
-    "balanced+least_gain": BALANCED,
-    "small_trees": SMALL_TREES,
-    "balanced+least_gain+small_trees": {**BALANCED, **SMALL_TREES},
-    "balanced+least_gain+small_trees+early_stop": LOW_GAP,
+    "regularised": REGULARISED,
+    "tree_complexity": TREE_COMPLEXITY,
+    "regularised+tree_complexity": {**REGULARISED, **TREE_COMPLEXITY},
+    "regularised+tree_complexity+early_stopping": LOW_GAP,
+}
+#: Cuts for the checked levels of a tree, away from values that features take exactly.
+EDGES = {
+    "eps_estimate": [0.5 * i + 0.0123 for i in range(24)],
+    "reported_eps": [0.5 * i + 0.0123 for i in range(24)],
+    "surprise_pct": [5.0 * i + 0.0123 for i in range(-16, 17)],
+    "return_60d": [0.01 * i + 0.00123 for i in range(-15, 16)],
+    "sector_rank_60d": [0.05 * i + 0.0123 for i in range(20)],
 }
-
-
-_fits: dict[tuple, tuple] = {}
 
 
 def _split(spark, sf):
@@ -57,12 +55,8 @@ def _split(spark, sf):
 
 
 def _fitted(spark, sf, kind="gbt", config=None):
-    """Split and model; queries of one session that ask for the same model share its fit."""
-    key = (spark.sparkContext.applicationId, sf, kind, repr(config))
-    if key not in _fits:
-        split = _split(spark, sf)
-        _fits[key] = split, M.fit(kind, split.where(F.col("split") == "train"), config, FEATURES, LABEL)
-    return _fits[key]
+    split = _split(spark, sf)
+    return split, M.fit(kind, split.where(F.col("split") == "train"), config, FEATURES, LABEL)
 
 
 def _agrees():
@@ -79,21 +73,57 @@ def _closed_form(model):
     return (F.abs(1 / (1 + F.exp(-margin)) - F.col("y_pred_proba")) < 1e-9).alias("closed_form")
 
 
-def _scored(spark, sf, kind, config, *facts):
+def _scored(spark, sf, kind, config, *shown):
     split, model = _fitted(spark, sf, kind, config)
-    return tidy(M.score(model, split).select("symbol", "date", "split", LABEL, _agrees(), *[f(model) for f in facts]))
+    return tidy(M.score(model, split).select("symbol", "date", "split", LABEL, *[f(model) for f in shown]))
+
+
+def _class(model):
+    return F.col("y_pred")
+
+
+def _probability(model):
+    return F.col("y_pred_proba")
 
 
 def gbt_train(spark, sf):
-    return _scored(spark, sf, "gbt", DEFAULT)
+    return _scored(spark, sf, "gbt", DEFAULT, _class, _probability)
+
+
+def boosted_train(spark, sf):
+    """Penalised trees with the production parameters, stopped on the validation rows."""
+    split = SP.validation_slice(_split(spark, sf), K.VALIDATION_DATE)
+    marked = split.withColumn("is_validation", F.col("is_validation") & (F.col("split") == "train"))
+    model = M.fit("boosted", marked.where(F.col("split") == "train"), LOW_GAP, FEATURES, LABEL)
+    return tidy(M.score(model, marked).select("symbol", "date", "split", "is_validation", LABEL, "y_pred", "y_pred_proba"))
+
+
+def boosted_levels(spark, sf):
+    """The first two levels of a penalised tree: sums of gradients, and the best cut of every node and feature."""
+    train = _split(spark, sf).where(F.col("split") == "train")
+    config = BO.BoostConfig.of({**CONFIGS["regularised"], **TREE_COMPLEXITY})
+    weight = class_weight(train, label=LABEL).first()["scale_pos_weight"]
+    edges = [EDGES[f] for f in FEATURES]
+    rows = stored(BO.binned(train, FEATURES, LABEL, edges, weight, F.lit(0).cast("bigint"), F.lit(False)), "binned")
+    tree, nodes, found = BO.Tree(), [0], None
+    for _ in range(2):
+        columns = range(len(FEATURES))
+        sums = BO.gradient_histogram(rows, len(FEATURES), 2 + max(map(len, edges)), [], tree, nodes, columns)
+        level = stored(BO.best_cuts(sums, config), "cuts")
+        found = level if found is None else found.unionByName(level)
+        nodes = BO.split_nodes(tree, level.collect(), edges, config)
+    unit = float(BO.UNIT)
+    name = F.element_at(F.array(*[F.lit(f) for f in FEATURES]), F.col("feature") + 1)
+    shown = ["node", name.alias("feature"), "n", "bin", "gain", *[(F.col(c) / unit).alias(c) for c in ("g", "h", "gl", "hl")]]
+    return tidy(found.select(*shown))
 
 
 def logistic_train(spark, sf):
-    return _scored(spark, sf, "logistic", None, _closed_form)
+    return _scored(spark, sf, "logistic", None, lambda model: _agrees(), _closed_form)
 
 
 def calibrated_train(spark, sf):
-    return _scored(spark, sf, "calibrated", {"method": "sigmoid", "cv": 3, "base_config": DEFAULT})
+    return _scored(spark, sf, "calibrated", {"method": "sigmoid", "cv": 3, "base_config": DEFAULT}, _class, _probability)
 
 
 def score(spark, sf):
@@ -103,15 +133,8 @@ def score(spark, sf):
 
 
 def train_event_model(spark, sf):
-    """Metrics per split beside the same ones, counted from the scored rows."""
-    _, scored, metrics = M.train_event_model(_split(spark, sf), config=DEFAULT)
-    hit = (F.col("y_pred") == F.col(LABEL)).cast("double")
-    taken = F.sum("y_pred")
-    again = scored.groupBy("split").agg(
-        F.avg(hit).alias("a"), F.when(taken > 0, F.sum(F.col("y_pred") * F.col(LABEL)) / taken).otherwise(0.0).alias("p")
-    )
-    same = [F.abs(F.col(x) - F.col(y)) < 1e-12 for x, y in (("accuracy", "a"), ("precision", "p"))]
-    return tidy(metrics.join(again, "split").select("split", "rows", same[0].alias("accuracy_again"), same[1].alias("precision_again")))
+    """Accuracy and precision per split of the default trees."""
+    return tidy(M.train_event_model(_split(spark, sf), config=DEFAULT)[2])
 
 
 def model_bundle(spark, sf):
@@ -129,110 +152,73 @@ def model_bundle(spark, sf):
 def recommendation(spark, sf):
     split, model = _fitted(spark, sf, "gbt", DEFAULT)
     rows = S.recommendation(split, model, spike_threshold=K.THRESHOLD)
-    label = F.when(F.col("predicted_class") == 1, "Spike").otherwise("No Spike") == F.col("predicted_label")
-    return tidy(
-        rows.select(
-            "ticker", "as_of_date", "sector", "spike_threshold",
-            (label & F.col("confidence").between(0.5, 1)).alias("agrees"),
-            F.element_at("feature_values", F.lit("surprise_pct")).alias("surprise_pct"),
-            F.col("historical_outcome.close_ret").alias("close_ret"),
-        )
-    )
+    features = [F.element_at("feature_values", F.lit(f)).alias(f) for f in FEATURES]
+    outcome = [F.col(f"historical_outcome.{c}").alias(c) for c in ("close_ret", "high_ret")]
+    shown = ["ticker", "as_of_date", "sector", "predicted_class", "predicted_label", "confidence", "spike_threshold"]
+    return tidy(rows.select(*shown, *features, *outcome))
 
 
 def scenario_analysis(spark, sf):
     _, model = _fitted(spark, sf, "gbt", DEFAULT)
     rows = S.scenario_analysis(K.earnings(spark, sf), _snapshot(spark, sf), model, AS_OF)
-    p = F.col("spike_probability")
-    label = F.when(p > 0.5, "Spike").otherwise("No Spike") == F.col("predicted_label")
     shown = ["ticker", "upcoming_earnings_date", "as_of_date", "sector", "surprise_pct", "reported_eps"]
-    return tidy(rows.select(*shown, (label & p.between(0, 1)).alias("agrees")))
+    return tidy(rows.select(*shown, "spike_probability", "predicted_label"))
 
 
 def feature_attribution(spark, sf):
-    """The ranked contributions of each ticker's latest event, and whether they add up to its log-odds."""
+    """The ranked contributions of each feature to the log-odds of each ticker's latest event."""
     split, model = _fitted(spark, sf, "gbt", DEFAULT)
-    latest = latest_event(split)
-    told = S.feature_attribution(latest, model, split.where(F.col("split") == "train"))
-    margin = (2 * vector_to_array("rawPrediction")[1]).alias("margin")
-    own = model.transform(latest).select("symbol", margin)
-    ranked = S.attribution_rank(told).groupBy("symbol", "date").agg(
-        F.sum("contribution").alias("whole"), F.count("*").alias("features"), F.countDistinct("place").alias("places")
-    )
-    rows = ranked.join(told.select("symbol", "base"), "symbol").join(own, "symbol")
-    adds_up = F.abs(F.col("whole") + F.col("base") - F.col("margin")) < 1e-6
-    return tidy(rows.select("symbol", "date", "features", "places", adds_up.alias("adds_up")))
-
-
-def _facts(table, *more):
-    """Size of both splits, and what must hold between the figures of a run."""
-    gap = F.abs(F.col("train_precision") - F.col("precision") - F.col("gap")) < 1e-12
-    rates = F.col("accuracy").between(0, 1) & F.col("precision").between(0, 1) & F.col("win_rate").between(0, 1)
-    bounds = (F.col("max_drawdown") <= 0) & (F.col("trades") <= F.col("n_test"))
-    return tidy(table.select("run_id", "n_train", "n_test", gap.alias("gap_again"), (rates & bounds).alias("in_range"), *more))
+    told = stored(S.feature_attribution(latest_event(split), model, split.where(F.col("split") == "train")), "attribution")
+    ranked = S.attribution_rank(told).select("symbol", "date", "feature", "contribution", "place")
+    return tidy(ranked.join(told.select("symbol", "base"), "symbol"))
 
 
 def overfitting_sweep(spark, sf):
-    table = X.overfitting_sweep(K.features(spark, sf), K.SPLIT_DATE, K.VALIDATION_DATE, CONFIGS)
-    return _facts(table, ((F.col("gap_vs_baseline") == 0) | (F.col("run_id") != "baseline")).alias("against_baseline"))
+    return tidy(X.overfitting_sweep(K.features(spark, sf), K.SPLIT_DATE, K.VALIDATION_DATE, CONFIGS))
 
 
 def baseline_compare(spark, sf):
-    return _facts(X.baseline_compare(K.features(spark, sf), K.SPLIT_DATE, DEFAULT))
+    return tidy(X.baseline_compare(K.features(spark, sf), K.SPLIT_DATE, DEFAULT))
 
 
 def walk_forward(spark, sf):
-    """Every fold's model, with the summary of the same folds counted again."""
-    per_fold, summary = X.walk_forward(K.features(spark, sf), K.SPLIT_DATE, 6, DEFAULT)
-    mean = summary.where(F.col("metric") == "total_return").first()["mean"]
-    again = per_fold.agg(F.avg("total_return")).first()[0]
-    return _facts(per_fold, F.lit(abs(mean - again) < 1e-12).alias("summary_again"))
+    """Metrics, gap and KPIs of every fold's own model."""
+    return tidy(X.walk_forward(K.features(spark, sf), K.SPLIT_DATE, 6, DEFAULT)[0])
 
 
 def walk_forward_summary(spark, sf):
-    """The folds' summary: a metric lies between its least and largest value."""
-    _, summary = X.walk_forward(K.features(spark, sf), K.SPLIT_DATE, 6, DEFAULT)
-    ordered = (F.col("min") <= F.col("mean") + 1e-12) & (F.col("mean") <= F.col("max") + 1e-12) & (F.col("std") >= 0)
-    return tidy(summary.select("metric", ordered.alias("ordered")))
+    """Mean, spread, least and largest value of each metric over the folds."""
+    return tidy(X.walk_forward(K.features(spark, sf), K.SPLIT_DATE, 6, DEFAULT)[1])
 
 
 def calibration_compare(spark, sf):
-    """Three scores with their reliability per bin: the bins hold all test rows and give the Brier score's bounds."""
+    """Three scores with their Brier score and KPIs, one row for each filled reliability bin."""
     table, curve = X.calibration_compare(K.features(spark, sf), K.SPLIT_DATE, DEFAULT, cv=5)
-    inside = F.col("mean_predicted").between(F.col("bin_low") - 1e-9, F.col("bin_high") + 1e-9) & F.col("fraction_positive").between(0, 1)
-    # The score is at least what the bins' means leave.
-    least = F.sum(F.col("count") * F.pow(F.col("mean_predicted") - F.col("fraction_positive"), 2)) / F.sum("count")
-    bins = curve.groupBy("run_id").agg(F.sum("count").alias("binned"), F.bool_and(inside).alias("inside"), least.alias("least"))
-    joined = table.join(bins, "run_id")
-    return _facts(joined, "binned", "inside", (F.col("brier_score") >= F.col("least") - 1e-9).alias("brier_bounded"))
+    return tidy(table.join(curve.withColumnRenamed("count", "binned"), "run_id"))
 
 
 def gap_robustness(spark, sf):
-    return _facts(X.gap_robustness(K.features(spark, sf), K.SPLIT_DATE, K.VALIDATION_DATE, LOW_GAP))
+    return tidy(X.gap_robustness(K.features(spark, sf), K.SPLIT_DATE, K.VALIDATION_DATE, LOW_GAP))
 
 
 def horizon_alignment(spark, sf):
     daily = K.features(spark, sf)
     long = K.features(spark, sf, horizon=20, label_price="close")
-    table = X.horizon_alignment(daily, long, 20, K.SPLIT_DATE, DEFAULT)
-    return _facts(table).where("run_id = 't1'").unionByName(_facts(table).where("run_id = 't20'"))
+    return tidy(X.horizon_alignment(daily, long, 20, K.SPLIT_DATE, DEFAULT))
 
 
 def sue_compare(spark, sf):
-    return _facts(X.sue_compare(K.features(spark, sf, with_sue=True), K.SPLIT_DATE, DEFAULT))
+    return tidy(X.sue_compare(K.features(spark, sf, with_sue=True), K.SPLIT_DATE, DEFAULT))
 
 
 def survivorship_models(spark, sf):
     life = MB.ticker_lifespans(*K.membership(spark, sf))
-    return _facts(X.survivorship_models(K.features(spark, sf), life, K.SPLIT_DATE, DEFAULT))
+    return tidy(X.survivorship_models(K.features(spark, sf), life, K.SPLIT_DATE, DEFAULT))
 
 
 def alignment_models(spark, sf):
-    """Each label's own model; the limit order trades the high label's signals, so both trade alike in number."""
-    table = X.alignment_models(K.features(spark, sf), K.features(spark, sf, label_price="close"), K.SPLIT_DATE, K.THRESHOLD, DEFAULT)
-    table = stored(table, "alignment")
-    trades = {r["run_id"]: r["trades"] for r in table.select("run_id", "trades").collect()}
-    return _facts(table, F.lit(trades["mismatched"] == trades["limit_order_aligned"]).alias("same_signals"))
+    """Each label's own model; the limit order trades the high label's signals."""
+    return tidy(X.alignment_models(K.features(spark, sf), K.features(spark, sf, label_price="close"), K.SPLIT_DATE, K.THRESHOLD, DEFAULT))
 
 
 def advice_model(spark, sf):
@@ -247,90 +233,67 @@ def advice_model(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        gbt_train, logistic_train, calibrated_train, score, train_event_model, model_bundle, recommendation,
+        gbt_train, boosted_train, boosted_levels, logistic_train, calibrated_train, score, train_event_model, model_bundle, recommendation,
         scenario_analysis, feature_attribution, overfitting_sweep, baseline_compare, walk_forward,
         walk_forward_summary, calibration_compare, gap_robustness, horizon_alignment, sue_compare, survivorship_models, alignment_models,
         advice_model,
     )
 }
 
-COUNTED = """CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS n_train, CAST(count(*) FILTER (WHERE split = 'test') AS BIGINT) AS n_test"""
-HELD = "true AS gap_again, true AS in_range"
 LATEST = "SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1"
-
-
-def _runs(names, source="scored", more="", condition="true"):
-    listed = ", ".join(f"('{n}')" for n in names)
-    return f"""SELECT run_id, {COUNTED}, {HELD}{more} FROM (SELECT * EXCLUDE (run_id) FROM {source}), (VALUES {listed}) t(run_id)
-        WHERE {condition} GROUP BY run_id"""
-
-
 ROWS = "SELECT symbol, date, split, CAST(target_spike_class AS BIGINT) AS target_spike_class, true AS agrees"
-FITTED = "split = 'test' OR date < DATE '1999-01-01'"
-SUE_ROWS = {
-    "esue": EVENT_SUE,
-    "paired": f"""SELECT 'raw_surprise' AS run_id, CASE WHEN date < DATE '2000-01-01' THEN 'train' ELSE 'test' END AS split
-        FROM esue WHERE {KEPT} AND {COMPLETE} UNION ALL SELECT 'sue', CASE WHEN date < DATE '2000-01-01' THEN 'train' ELSE 'test' END
-        FROM esue WHERE {KEPT} AND {COMPLETE} AND sue IS NOT NULL""",
-}
-FAR_ROWS = {
-    "far": """SELECT symbol, date, CASE WHEN date < DATE '2000-01-01' THEN 'train' ELSE 'test' END AS split FROM (
-        SELECT *, lead(high, 20) OVER (PARTITION BY symbol ORDER BY date) AS ahead FROM ranked) JOIN earn USING (symbol, date)
-        WHERE surprise_pct IS NOT NULL AND return_60d IS NOT NULL AND ahead IS NOT NULL
-        AND eps_estimate IS NOT NULL AND reported_eps IS NOT NULL""",
-    "paired": "SELECT 't1' AS run_id, split FROM scored UNION ALL SELECT 't20', split FROM far",
+
+_ALPHA, _LAMBDA, _LEAST = REGULARISED["reg_alpha"], REGULARISED["reg_lambda"], TREE_COMPLEXITY["min_child_weight"]
+
+
+def _score(g, h):
+    """What a leaf of these sums gains."""
+    return f"pow(greatest(abs(({g})::DOUBLE / {BO.UNIT}) - {_ALPHA}, 0), 2) / (({h})::DOUBLE / {BO.UNIT} + {_LAMBDA})"
+
+
+def _level(rows):
+    """Sums and best cut of every (node, feature), from long rows with a bin."""
+    gain = f"{_score('gl', 'hl')} + {_score('ga - gl', 'ha - hl')} - {_score('ga', 'ha')}"
+    least = _LEAST * BO.UNIT
+    return f"""SELECT node, feature, max(ga) AS g, max(ha) AS h, max(na) AS n, arg_max(bin, (gain, -bin)) FILTER (WHERE ok) AS bin,
+        arg_max(gl, (gain, -bin)) FILTER (WHERE ok) AS gl, arg_max(hl, (gain, -bin)) FILTER (WHERE ok) AS hl, max(gain) FILTER (WHERE ok) AS gain
+    FROM (SELECT *, {gain} AS gain, nl < na AND hl >= {least} AND ha - hl >= {least} AND {gain} > {BO.LEAST_GAIN} AS ok
+        FROM (SELECT node, feature, bin, sum(g) OVER run AS gl, sum(h) OVER run AS hl, sum(n) OVER run AS nl,
+                sum(g) OVER whole AS ga, sum(h) OVER whole AS ha, sum(n) OVER whole AS na
+            FROM (SELECT node, feature, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM {rows} GROUP BY node, feature, bin)
+            WINDOW run AS (PARTITION BY node, feature ORDER BY bin), whole AS (PARTITION BY node, feature)))
+    GROUP BY node, feature"""
+
+
+_BINS = " UNION ALL ".join(
+    f"SELECT symbol, date, {i} AS feature, 1 + len(list_filter({EDGES[f]}, lambda e: e < {f}))::INTEGER AS bin, g, h FROM graded"
+    for i, f in enumerate(FEATURES)
+)
+LEVELS = {
+    "graded": f"""SELECT t.*, round(w * (0.5 - target_spike_class) * {BO.UNIT})::BIGINT AS g, round(w * 0.25 * {BO.UNIT})::BIGINT AS h
+        FROM (SELECT *, CASE WHEN target_spike_class = 1 THEN (SELECT (count(*) FILTER (WHERE target_spike_class = 0))::DOUBLE
+            / count(*) FILTER (WHERE target_spike_class = 1) FROM scored WHERE split = 'train') ELSE 1 END AS w
+        FROM scored WHERE split = 'train') t""",
+    "cells": _BINS,
+    "rooted": "SELECT *, 0 AS node FROM cells",
+    "first_level": _level("rooted"),
+    "root_cut": "SELECT feature, bin FROM first_level WHERE bin IS NOT NULL ORDER BY gain DESC, feature LIMIT 1",
+    "sided": """SELECT c.* EXCLUDE (node), CASE WHEN o.bin <= r.bin THEN 1 ELSE 2 END AS node FROM rooted c
+        JOIN rooted o USING (symbol, date) JOIN root_cut r ON o.feature = r.feature""",
+    "second_level": _level("sided"),
 }
+_NAMED = "[" + ", ".join(f"'{f}'" for f in FEATURES) + "][feature + 1]"
+
 SQL = {
     "model_bundle": with_ctes("SELECT symbol, date, true AS same FROM scored"),
-    "gbt_train": with_ctes(f"{ROWS} FROM scored"),
+    "boosted_levels": with_ctes(
+        f"""SELECT CAST(node AS BIGINT) AS node, {_NAMED} AS feature, CAST(n AS BIGINT) AS n, CAST(bin AS BIGINT) AS bin, {r6('gain')},
+        {", ".join(r6(f"{c}::DOUBLE / {BO.UNIT}", c) for c in ("g", "h", "gl", "hl"))}
+        FROM (SELECT * FROM first_level UNION ALL SELECT * FROM second_level)""",
+        LEVELS,
+    ),
     "logistic_train": with_ctes(f"{ROWS}, true AS closed_form FROM scored"),
-    "calibrated_train": with_ctes(f"{ROWS} FROM scored"),
     "score": with_ctes("SELECT symbol, date, true AS agrees, true AS closed_form FROM latest", {"latest": LATEST}),
-    "train_event_model": with_ctes(
-        "SELECT split, count(*) AS rows, true AS accuracy_again, true AS precision_again FROM scored GROUP BY split"
-    ),
-    "recommendation": with_ctes(
-        f"""SELECT symbol AS ticker, date AS as_of_date, sector, 0.07::DOUBLE AS spike_threshold, true AS agrees,
-        {r6('surprise_pct', 'surprise_pct')}, {r6('target_t1_close_ret', 'close_ret')} FROM latest""",
-        {"latest": LATEST},
-    ),
-    "scenario_analysis": with_ctes(
-        f"""SELECT e.symbol AS ticker, e.date AS upcoming_earnings_date, s.date AS as_of_date, s.sector, CAST(g AS DOUBLE) AS surprise_pct,
-        {r6('eps_estimate * (1 + CAST(g AS DOUBLE) / 100)', 'reported_eps')}, true AS agrees
-        FROM (SELECT symbol, min(date) AS date, arg_min(eps_estimate, date) AS eps_estimate FROM earn
-            WHERE date > DATE '{AS_OF}' AND reported_eps IS NULL AND eps_estimate IS NOT NULL GROUP BY symbol) e
-        JOIN snapshot s USING (symbol), range(-100, 101, 5) t(g)"""
-    ),
-    "feature_attribution": with_ctes(
-        "SELECT symbol, date, 5::BIGINT AS features, 5::BIGINT AS places, true AS adds_up FROM latest", {"latest": LATEST}
-    ),
-    "overfitting_sweep": with_ctes(
-        _runs([c for c in CONFIGS if c[-4:] != "stop"], more=", true AS against_baseline")
-        + " UNION ALL "
-        + _runs([c for c in CONFIGS if c[-4:] == "stop"], more=", true AS against_baseline", condition=FITTED)
-    ),
-    "baseline_compare": with_ctes(_runs(["gbt", "logistic"])),
-    "walk_forward": with_ctes(
-        f"SELECT format('fold {{:03d}}', fold) AS run_id, CAST(n_train AS BIGINT) AS n_train, CAST(n_test AS BIGINT) AS n_test, {HELD}, true AS summary_again FROM folds WHERE n_train > 0",
-        {"folds": FOLDS},
-    ),
-    "walk_forward_summary": "SELECT metric, true AS ordered FROM (VALUES ('precision'), ('gap'), ('total_return'), ('win_rate'), ('max_drawdown'), ('sharpe')) t(metric)",
-    "calibration_compare": with_ctes(
-        _runs(["uncalibrated", "sigmoid", "isotonic"], more=", CAST(count(*) FILTER (WHERE split = 'test') AS BIGINT) AS binned, true AS inside, true AS brier_bounded")
-    ),
-    "gap_robustness": with_ctes(_runs(["lowest_gap"], condition=FITTED)),
-    "horizon_alignment": with_ctes(f"SELECT run_id, {COUNTED}, {HELD} FROM paired GROUP BY run_id", FAR_ROWS),
-    "sue_compare": with_ctes(f"SELECT run_id, {COUNTED}, {HELD} FROM paired GROUP BY run_id", SUE_ROWS),
-    "survivorship_models": with_ctes(
-        f"""SELECT run_id, {COUNTED}, {HELD} FROM paired GROUP BY run_id""",
-        {
-            "paired": """SELECT 'all_incl_delisted' AS run_id, split FROM scored UNION ALL
-            SELECT 'current_only', split FROM scored WHERE symbol IN (SELECT symbol FROM life WHERE is_current)"""
-        },
-    ),
-    "alignment_models": with_ctes(
-        _runs(["mismatched", "close_aligned", "limit_order_aligned"], more=", true AS same_signals")
-    ),
     "advice_model": with_ctes(
         """SELECT symbol AS ticker, date AS as_of_date, 0::BIGINT AS faithful, 0::BIGINT AS no_leak, 0::BIGINT AS no_confusion FROM latest
         WHERE symbol IN (SELECT symbol FROM (SELECT DISTINCT symbol FROM scored) ORDER BY md5(concat_ws('|', 42, symbol)), symbol LIMIT 30)""",

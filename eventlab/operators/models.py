@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_int
 from ..schemas import FEATURES, LABEL
+from .boosting import BoostedModel, fit_boosted
 from .metrics import class_weight, classification_metrics
 
 SEED = 42
@@ -47,7 +48,7 @@ def gbt_classifier(config: Mapping[str, object] | None = None, label: str = LABE
 
     ``early_stopping_rounds`` is left to `fit_gbt`: Spark's own stop has a tolerance but no
     patience. Spark has no L1/L2 penalty for trees, so ``reg_alpha`` and ``reg_lambda`` are
-    refused rather than ignored.
+    refused rather than ignored; `boosting.fit_boosted` has them.
     """
     config = dict(config or {})
     params: dict[str, object] = dict(GBT_DEFAULTS)
@@ -208,7 +209,7 @@ def fit_calibrated(
         return CalibratedModel(list(pool.map(fit_fold, range(cv))), label)
 
 
-Model = PipelineModel | CalibratedModel
+Model = PipelineModel | CalibratedModel | BoostedModel
 
 
 def score(model: Model, df: DataFrame) -> DataFrame:
@@ -221,7 +222,9 @@ def score(model: Model, df: DataFrame) -> DataFrame:
 
 
 def fit(kind: str, train: DataFrame, config: Mapping[str, object] | None, features: Sequence[str], label: str) -> Model:
-    """Fit a model by kind: ``gbt``, ``logistic`` or ``calibrated``."""
+    """Fit a model by kind: ``gbt``, ``boosted`` (penalised second-order trees), ``logistic`` or ``calibrated``."""
+    if kind == "boosted":
+        return fit_boosted(train, config, features, label)
     if kind == "gbt":
         return fit_gbt(train, config, features, label)
     if kind == "logistic":
@@ -258,6 +261,9 @@ def save_bundle(model: Model, path: str, metadata: Mapping[str, object], spark:
             calibrator.write().overwrite().save(f"{path}/fold-{i}/calibrator")
         kind = type(model.folds[0][1]).__name__
         extra = {"model_kind": kind, "folds": len(model.folds)}
+    elif isinstance(model, BoostedModel):
+        spark.createDataFrame([(model.to_json(),)], "value string").write.mode("overwrite").text(f"{path}/model")
+        extra = {"model_kind": "BoostedModel", "folds": 0}
     else:
         model.write().overwrite().save(f"{path}/model")
         extra = {"model_kind": "PipelineModel", "folds": 0}
@@ -271,6 +277,8 @@ def load_bundle(path: str, spark: SparkSession) -> tuple[Model, dict]:
         metadata = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
     except Exception as error:
         raise FileNotFoundError(f"no model bundle at {path}: train one and call save_bundle first") from error
+    if metadata["model_kind"] == "BoostedModel":
+        return BoostedModel.from_json(spark.read.text(f"{path}/model").first()["value"]), metadata
     if metadata["folds"] == 0:
         return PipelineModel.load(f"{path}/model"), metadata
     loader = LogisticRegressionModel if metadata["model_kind"] == "LogisticRegressionModel" else IsotonicRegressionModel

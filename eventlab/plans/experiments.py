@@ -72,16 +72,23 @@ def compare(runs: DataFrame, cap: float = CAP, ret: str = RETURN) -> DataFrame:
 
 
 def overfitting_sweep(
-    features: DataFrame, split_date: dt.date, validation_date: dt.date, configs: Mapping[str, Mapping[str, object]]
+    features: DataFrame,
+    split_date: dt.date,
+    validation_date: dt.date,
+    configs: Mapping[str, Mapping[str, object]],
+    kind: str = "boosted",
 ) -> DataFrame:
-    """Train/test gap of each configuration against the ``baseline`` one."""
+    """Train/test gap, metrics and KPIs of each configuration against the ``baseline`` one.
+
+    All configurations are fitted by the same booster, so they differ in their parameters alone.
+    """
     split = stored(chrono_split(features, split_date))
 
     def fit(label: str, config: Mapping[str, object]) -> DataFrame:
         rows = validation_slice(split, validation_date) if "early_stopping_rounds" in config else split
         if "is_validation" in rows.columns:
             rows = rows.withColumn("is_validation", F.col("is_validation") & (F.col("split") == "train"))
-        return run_config(rows, label, "gbt", config).drop("is_validation")
+        return run_config(rows, label, kind, config).drop("is_validation")
 
     runs = _fit_all([lambda label=label, config=config: fit(label, config) for label, config in configs.items()])
     table = stored(compare(runs), "sweep")
@@ -162,11 +169,12 @@ def gap_robustness(
     validation_date: dt.date,
     config: Mapping[str, object],
     ns: Sequence[int] = (5, 10, 20),
+    kind: str = "boosted",
 ) -> DataFrame:
     """The low-gap configuration with its return after each trim."""
     split = validation_slice(chrono_split(features, split_date), validation_date)
     split = split.withColumn("is_validation", F.col("is_validation") & (F.col("split") == "train"))
-    runs = run_config(stored(split), "lowest_gap", "gbt", config).drop("is_validation")
+    runs = run_config(stored(split), "lowest_gap", kind, config).drop("is_validation")
     return robust_compare(stored(runs), ns)
 
 

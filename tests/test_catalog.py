@@ -10,7 +10,6 @@ import pytest
 from conftest import SMALL_DIR
 
 import catalog
-from eventlab.operators import models
 
 QUERIES, SQL = catalog.collect()
 TYPES = {
@@ -35,10 +34,6 @@ def duck():
 def results(request, spark):
     """Schema and rows of the selected queries, run a few at a time: small jobs are mostly planning."""
 
-    # Fewer trees than the queries fit: their number is a parameter, and the facts hold for any.
-    saved = dict(models.GBT_DEFAULTS)
-    models.GBT_DEFAULTS["maxIter"] = 5
-
     def run(name: str):
         df = QUERIES[name](spark, SMALL_DIR)
         return df.schema, df.toPandas()
@@ -46,7 +41,6 @@ def results(request, spark):
     chosen = [i.callspec.params["name"] for i in request.session.items if i.module is request.module and hasattr(i, "callspec")]
     with ThreadPoolExecutor(6) as pool:
         yield {name: pool.submit(run, name) for name in chosen}
-    models.GBT_DEFAULTS.update(saved)
 
 
 def normal(frame: pd.DataFrame) -> pd.DataFrame:
@@ -78,5 +72,13 @@ def test_query_equals_sql(results, duck, name):
             assert (a.astype(str) == b.astype(str)).all(), c
 
 
-def test_every_query_has_sql():
-    assert set(SQL) == set(QUERIES)
+#: SQL cannot fit their models; test_experiments.py holds their figures against plain Python.
+FITTED = {
+    "gbt_train", "boosted_train", "calibrated_train", "train_event_model", "recommendation", "scenario_analysis",
+    "feature_attribution", "overfitting_sweep", "baseline_compare", "walk_forward", "walk_forward_summary",
+    "calibration_compare", "gap_robustness", "horizon_alignment", "sue_compare", "survivorship_models", "alignment_models",
+}
+
+
+def test_every_other_query_has_sql():
+    assert set(QUERIES) - set(SQL) == FITTED
