@@ -8,7 +8,7 @@ from eventlab.sources import html as H
 from eventlab.sources import market as K
 from eventlab.sources import prices as PR
 from eventlab.sources import tables as TB
-from eventlab.storage import scratch
+from eventlab.storage import scratch, stored
 from eventlab.streaming import ingest as I
 
 from .ctes import with_ctes
@@ -19,13 +19,25 @@ CIK_CHUNK = 50
 ROWS_PER_PAGE = 20
 
 
+#: Columns of landed price files, by the symbol's remainder: as declared, in another order, with unknown columns
+#: between them, and without a volume.
+LAYOUTS = [
+    ["date", "open", "high", "low", "close", "adjusted_close", "volume"],
+    ["volume", "low", "high", "date", "adjusted_close", "close", "open"],
+    ["exchange", "close", "date", "open", "split", "adjusted_close", "high", "low", "volume"],
+    ["open", "date", "high", "close", "low", "adjusted_close"],
+]
+
+
 def _landed_bars(spark, sf):
-    """Raw bars as one CSV folder per symbol."""
+    """Raw bars as CSVs of four layouts, several files each, with symbols whose files lack the date."""
     path = scratch(spark, "prices")
-    raw = K.raw_prices(spark, sf).select(
-        "date", "open", "high", "low", "close", "adjusted_close", "volume", "symbol"
-    )
-    raw.repartition("symbol").write.partitionBy("symbol").option("header", True).csv(path)
+    raw = stored(K.raw_prices(spark, sf).withColumns({"exchange": F.lit("X, Y"), "split": F.lit(1)}), "bars")
+    for i, layout in enumerate(LAYOUTS):
+        bars = raw.where(F.col("symbol") % len(LAYOUTS) == i).select(*layout, "symbol")
+        bars.repartition("symbol").write.partitionBy("symbol").option("header", True).csv(f"{path}/layout-{i}")
+    undated = raw.where(F.col("symbol") % 5 == 0).select("open", "close", (-F.col("symbol")).alias("symbol"))
+    undated.repartition("symbol").write.partitionBy("symbol").option("header", True).csv(f"{path}/undated")
     return path
 
 
@@ -34,6 +46,22 @@ def price_panel(spark, sf):
     return tidy(panel.withColumn("symbol", F.col("symbol").cast("bigint")))
 
 
+def unread_price_files(spark, sf):
+    """Landed files that lack a date column, by symbol and what they lack."""
+    found = PR.unread_price_files(spark, _landed_bars(spark, sf))
+    symbol = F.regexp_extract("file", "/symbol=([^/]+)/", 1).cast("bigint")
+    return found.select(symbol.alias("symbol"), F.array_join("missing", ",").alias("missing"), "header").distinct()
+
+
+def metadata_by_name(spark, sf):
+    """Metadata landed with its columns in another order and one of them left out, read by name."""
+    path = scratch(spark, "metadata")
+    rows = K.metadata(spark, sf).select("name", "symbol", F.lit("x").alias("unknown"), "sector")
+    rows.withColumnRenamed("name", "official_name").write.option("header", True).csv(path)
+    read = TB.read_metadata(spark, path)
+    return read.select(F.col("symbol").cast("bigint").alias("symbol"), "official_name", "sector", "industry", "date_added")
+
+
 def landed_prices_json(spark, sf):
     """A JSON array of bars per symbol; some carry the provider's warning."""
     path = scratch(spark, "prices-json")
@@ -133,13 +161,22 @@ def stream_ingest(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        price_panel, landed_prices_json, landed_sec_json, html_table_rows, html_changes, quality_gate,
+        price_panel, unread_price_files, metadata_by_name, landed_prices_json, landed_sec_json, html_table_rows, html_changes, quality_gate,
         pages_without_table, feature_sink, panel_sink, stream_ingest,
     )
 }
 
 SQL = {
-    "price_panel": with_ctes(f"SELECT symbol, date, {r6_all('open', 'high', 'low', 'close', 'volume')} FROM px"),
+    "price_panel": with_ctes(
+        f"""SELECT symbol, date, {r6_all('open', 'high', 'low', 'close')}, CASE WHEN symbol % 4 <> 3 THEN {r6('volume').removesuffix(' AS volume')} END AS volume
+        FROM px"""
+    ),
+    "unread_price_files": with_ctes(
+        "SELECT -symbol AS symbol, 'date' AS missing, 'open,close' AS header FROM px WHERE symbol % 5 = 0 GROUP BY symbol"
+    ),
+    "metadata_by_name": with_ctes(
+        "SELECT symbol, name AS official_name, sector, CAST(NULL AS VARCHAR) AS industry, CAST(NULL AS DATE) AS date_added FROM meta"
+    ),
     "landed_prices_json": with_ctes(
         f"""SELECT symbol, count(*) AS bars, count(CASE WHEN symbol % 7 = 0 THEN 1 END) AS warnings,
         {r6('max(close)', 'highest_close')}, {r6('sum(volume)', 'volume')} FROM px GROUP BY symbol"""

@@ -8,11 +8,12 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import clean_ticker, nan_to_null
 from ..schemas import MEMBERSHIP_CHANGES, METADATA, RAW_EARNINGS
+from .csvfiles import read_by_name
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A CSV with a header and a declared schema, NaN as NULL."""
-    return nan_to_null(spark.read.schema(schema).option("header", True).csv(path))
+    """CSVs with headers, their columns found by name, NaN as NULL; a column that a file lacks is null."""
+    return nan_to_null(read_by_name(spark, path, schema))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from conftest import day, rows
 from pyspark.sql import functions as F
 
 from eventlab.schemas import RAW_PRICES
+from eventlab.sources import csvfiles as CF
 from eventlab.sources import html as H
 from eventlab.sources import prices as PR
 from eventlab.sources import tables as TB
@@ -31,6 +32,59 @@ def test_price_panel(spark, price_dir):
     assert [r[0] for r in got] == ["QUOK", "ZEPH", "ZEPH"]
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    """Another order, unknown columns, missing ones, quotes, capitals, blank first lines, odd file names."""
+    folder = tmp_path / "mixed"
+    (folder / "symbol=IN.F").mkdir(parents=True)
+    (folder / "AAA.csv").write_text("date,close,open,high,low,volume,adjusted_close\n2031-05-05,40,32,48,24,700,10\n")
+    (folder / "B B.csv").write_text('\n"Volume", open ,"date",note,adjusted_close,HIGH,low,close\n9,3,2031-05-06,"a, b",3,4,2,3\n')
+    (folder / "C[1].csv").write_text("open,date\n5,2031-05-07\n")  # no close, adjusted or not
+    (folder / "D.csv").write_text("adjusted_close,date,open\n7,2031-05-08,6\n")  # nothing to scale by
+    (folder / "E.csv").write_text("open,close\n1,2\n")  # no date
+    (folder / "F.csv").write_text("date,open,high,low,close,adjusted_close,volume\n")
+    (folder / "G.csv").write_text("")
+    (folder / "H.csv").write_text("\ufeffdate,date,adjusted_close,close\n2031-05-09,2031-01-01,8,16\n")
+    (folder / "symbol=IN.F" / "part-1.csv").write_text("low,date\n,2031-05-10\n")
+    got = rows(PR.price_panel(spark, str(folder)).select("symbol", "open", "high", "low", "close", "volume", "date"), "symbol")
+    assert got == [
+        ("AAA", 8.0, 12.0, 6.0, 10.0, 700.0, day("2031-05-05")),
+        ("B B", 3.0, 4.0, 2.0, 3.0, 9.0, day("2031-05-06")),
+        ("C[1]", 5.0, None, None, None, None, day("2031-05-07")),
+        ("D", 6.0, None, None, 7.0, None, day("2031-05-08")),
+        ("H", None, None, None, 8.0, None, day("2031-05-09")),
+        ("IN.F", None, None, None, None, None, day("2031-05-10")),
+    ]
+    unread = PR.unread_price_files(spark, str(folder)).collect()
+    assert [(r["file"].rsplit("/", 1)[1], r["missing"], r["header"]) for r in unread] == [("E.csv", ["date"], "open,close")]
+    raw = PR.raw_price_files(spark, str(folder))
+    assert raw.columns == [*RAW_PRICES.names, "symbol"] and raw.count() == 6
+    (tmp_path / "none").mkdir()
+    assert PR.price_panel(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_one_scan_for_each_layout(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(12):
+        columns = "date,open,adjusted_close,close" if i % 2 else "close,extra,open,date"
+        values = "2031-05-05,1,2,2" if i % 2 else "2,x,1,2031-05-05"
+        (folder / f"S{i}.csv").write_text(f"{columns}\n{values}\n")
+    assert len(CF.scans(spark, str(folder), RAW_PRICES, ["date"])) == 2
+    panel = PR.price_panel(spark, str(folder))
+    assert panel.where("open = 1").count() == 12
+    plan = panel.select("symbol", "open")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 2
+
+
+def test_tables_are_read_by_name(spark, tmp_path):
+    path = tmp_path / "changes.csv"
+    path.write_text("removed_ticker,date,seq,reason\nOLD,2031-02-03,4,size\n,2031-02-04,5,\n")
+    assert rows(TB.read_changes(spark, str(path)), "seq") == [(4, day("2031-02-03"), None, "OLD"), (5, day("2031-02-04"), None, None)]
+    earnings = tmp_path / "e.csv"
+    earnings.write_text("surprise_pct,earnings_date,symbol\n5.5,2031-01-02 08:00:00+00:00,AA\n")
+    assert rows(TB.earnings_clean(TB.read_raw_earnings(spark, str(earnings))), "date") == [("AA", day("2031-01-02"), None, None, 5.5)]
+
+
 def test_duplicate_bars_are_found(spark, price_dir):
     panel = PR.price_panel(spark, price_dir)
     assert PR.require_unique_bars(panel) is panel
