@@ -24,6 +24,22 @@ def membership_asof(spark, sf):
     return MB.membership_asof(current, changes, DATES)
 
 
+def membership_on_event_days(spark, sf):
+    """Members on every day that has an announcement."""
+    days = K.earnings(spark, sf).select(F.col("date").alias("as_of"))
+    return MB.membership_asof(*K.membership(spark, sf), days)
+
+
+def membership_intervals(spark, sf):
+    return MB.membership_intervals(*K.membership(spark, sf))
+
+
+def universe_point_in_time(spark, sf):
+    """Feature rows of symbols that were members on the day of the announcement."""
+    rows = MB.universe_point_in_time(K.features(spark, sf), *K.membership(spark, sf))
+    return tidy(rows.select("symbol", "date", "target_spike_class"))
+
+
 def ticker_lifespans(spark, sf):
     return MB.ticker_lifespans(*K.membership(spark, sf))
 
@@ -122,7 +138,7 @@ def ingest_progress(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        membership_asof, ticker_lifespans, master_list, ticker_universe, membership_changes, universe_current,
+        membership_asof, membership_on_event_days, membership_intervals, universe_point_in_time, ticker_lifespans, master_list, ticker_universe, membership_changes, universe_current,
         universe_all, survivorship_delta, survivorship_compare, metadata_build, metadata_rejected,
         metadata_partition, classify_metadata, normalise_ticker, incremental_ingest, ingest_progress,
     )
@@ -137,7 +153,37 @@ CLASSIFIED = """SELECT m.symbol, l.date_added, l.date_removed,
 UNIVERSES = """SELECT *, 'all_incl_delisted' AS universe FROM test
     UNION ALL SELECT *, 'current_only' AS universe FROM test WHERE symbol IN (SELECT symbol FROM life WHERE is_current)"""
 
+#: The state of (symbol, as_of) pairs by undoing later changes, for any table ``asked`` of such pairs.
+REWOUND = """SELECT as_of, symbol FROM (
+    SELECT a.as_of, a.symbol, -1 AS seq, 0 AS step, a.symbol IN (SELECT symbol FROM members) AS member FROM asked a
+    UNION ALL
+    SELECT a.as_of, a.symbol, seq, CASE op WHEN 'add' THEN 0 ELSE 1 END, op = 'remove'
+    FROM asked a JOIN changes c ON c.symbol = a.symbol AND c.date > a.as_of)
+    QUALIFY row_number() OVER (PARTITION BY as_of, symbol ORDER BY seq DESC, step DESC) = 1 AND member"""
+EVERYONE = "(SELECT symbol FROM members UNION SELECT symbol FROM changes)"
+
 SQL = {
+    "membership_on_event_days": with_ctes(
+        REWOUND, {"asked": f"SELECT DISTINCT e.date AS as_of, m.symbol FROM earn e CROSS JOIN {EVERYONE} m"}
+    ),
+    "membership_intervals": with_ctes(
+        """SELECT symbol, nullif(min(day), DATE '1900-01-01') AS valid_from, CASE WHEN bool_or(next IS NULL) THEN NULL ELSE max(next) END AS valid_to
+        FROM (SELECT *, sum(starts) OVER (PARTITION BY symbol ORDER BY day) AS run
+            FROM (SELECT *, CASE WHEN lag(next) OVER (PARTITION BY symbol ORDER BY day) = day THEN 0 ELSE 1 END AS starts
+                FROM (SELECT p.symbol, p.day, p.next FROM pieces p JOIN rewound r ON r.symbol = p.symbol AND r.as_of = p.day)))
+        GROUP BY symbol, run""",
+        {
+            "edges": f"""SELECT symbol, date AS day FROM changes UNION SELECT symbol, DATE '1900-01-01' FROM {EVERYONE}""",
+            "pieces": "SELECT symbol, day, lead(day) OVER (PARTITION BY symbol ORDER BY day) AS next FROM edges",
+            "asked": "SELECT symbol, day AS as_of FROM edges",
+            "rewound": REWOUND,
+        },
+    ),
+    "universe_point_in_time": with_ctes(
+        """SELECT symbol, date, CAST(target_spike_class AS BIGINT) AS target_spike_class FROM feat
+        WHERE (symbol, date) IN (SELECT (symbol, as_of) FROM rewound)""",
+        {"asked": "SELECT DISTINCT symbol, date AS as_of FROM feat", "rewound": REWOUND},
+    ),
     "membership_asof": with_ctes(
         f"""SELECT as_of, symbol FROM (
             SELECT as_of, symbol, -1 AS seq, 0 AS step, true AS member FROM members, (VALUES {AS_OF_ROWS}) a(as_of)

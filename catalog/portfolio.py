@@ -231,11 +231,12 @@ def _hash(*parts: str) -> str:
 
 RANKED = f"SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {RET} DESC NULLS LAST, date, symbol) AS best FROM sig"
 DRAWS = {
-    "numbered": f"""SELECT date, symbol, {RET}, row_number() OVER (ORDER BY {_hash('symbol', 'date')} % 65536, date, symbol) - 1 AS draw,
-        count(*) OVER () AS n FROM sig""",
+    "numbered": f"""SELECT date, symbol, {RET}, row_number() OVER (ORDER BY date, symbol, {RET}) - 1 AS place, count(*) OVER () AS n FROM sig""",
+    "shares": f"""SELECT rep, ({_hash('42', 'rep', 'place')} % n) // {R.BLOCK} AS block, count(*) AS draws, any_value(n) AS n
+        FROM numbered CROSS JOIN range(0, {REPS}) r(rep) GROUP BY rep, block""",
     "resampled": f"""SELECT 'rule' AS run_id, rep, t.date, t.{RET} FROM
-        (SELECT rep, {_hash('42', 'rep', 'draw')} % n AS pick FROM numbered CROSS JOIN range(0, {REPS}) r(rep))
-        JOIN numbered t ON t.draw = pick""",
+        (SELECT rep, block, n, unnest(range(draws)) AS draw FROM shares) d JOIN numbered t
+        ON t.place = block * {R.BLOCK} + {_hash("'own'", '42', 'rep', 'block', 'draw')} % least({R.BLOCK}, d.n - block * {R.BLOCK})""",
     **kpi_ctes("resampled", "run_id, rep"),
 }
 RANDOM = {

@@ -10,6 +10,7 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -24,29 +25,73 @@ def change_events(changes: DataFrame) -> DataFrame:
     )
 
 
-def membership_asof(current: DataFrame, changes: DataFrame, dates: Sequence[dt.date]) -> DataFrame:
-    """Members on each date, by undoing every later change from the current set.
+#: Days in a bin of the interval join.
+BIN_DAYS = 32
 
-    Changes are undone in ``seq`` order, so a ticker ends in the state its last undone
-    operation leaves it in, or in its current state if nothing later touched it.
+
+def membership_intervals(current: DataFrame, changes: DataFrame) -> DataFrame:
+    """When each ticker was a member: ``(symbol, valid_from, valid_to)``, from the first day on, before the second.
+
+    A null start is since ever, a null end is open. The state on a day follows from undoing every later change from the
+    current set in ``seq`` order: the last one undone decides, or the current state if none is later. So
+    the state before a change's day is the last undone among the changes of that day and later ones, a running maximum
+    from the newest day back. Changes of a ticker and day are summed up first, so a ticker has at most one row per day. Changes
+    without a date cannot be undone and are ignored.
     """
-    as_of = F.explode(F.array(*[F.lit(d) for d in dates])).alias("as_of")
-    now = current.select(
-        as_of, "symbol", F.lit(-1).cast("bigint").alias("seq"), F.lit(0).alias("step"), F.lit(True).alias("member")
-    )
-    undone = (
-        change_events(changes)
-        .select(as_of, "symbol", "date", "seq", "step", (F.col("op") == "remove").alias("member"))
-        .where(F.col("date") > F.col("as_of"))
-        .drop("date")
-    )
-    return (
-        now.unionByName(undone)
-        .groupBy("as_of", "symbol")
-        .agg(F.max_by("member", F.struct("seq", "step")).alias("member"))
-        .where("member")
-        .select("as_of", "symbol")
+    member = (F.col("op") == "remove").alias("member")
+    days = change_events(changes).where(F.col("date").isNotNull()).groupBy("symbol", "date").agg(F.max(F.struct("seq", "step", member)).alias("undone"))
+    back = W.partitionBy("symbol").orderBy(F.desc("date"))
+    before = days.select(
+        "symbol",
+        F.lead("date").over(back).alias("valid_from"),
+        F.col("date").alias("valid_to"),
+        F.max("undone").over(back.rowsBetween(W.unboundedPreceding, 0))["member"].alias("member"),
     )
+    last = days.groupBy("symbol").agg(F.max("date").alias("valid_from"))
+    now = current.select("symbol").distinct().join(last, "symbol", "left").select("symbol", "valid_from", F.lit(None).cast("date").alias("valid_to"))
+    pieces = before.where("member").drop("member").unionByName(now)
+    # Pieces that touch are one interval.
+    forth = W.partitionBy("symbol").orderBy(F.asc_nulls_first("valid_from"))
+    starts = ~F.coalesce(F.col("valid_from") == F.lag("valid_to").over(forth), F.lit(False))
+    numbered = pieces.withColumn("_starts", starts.cast("int")).withColumn("_run", F.sum("_starts").over(forth.rowsBetween(W.unboundedPreceding, 0)))
+    end = F.max(F.struct(F.col("valid_to").isNull().alias("open"), "valid_to"))["valid_to"]
+    return numbered.groupBy("symbol", "_run").agg(F.min(F.struct("valid_from"))["valid_from"].alias("valid_from"), end.alias("valid_to")).drop("_run")
+
+
+def _holds(day: Column) -> Column:
+    """Whether a day lies in an interval."""
+    return F.coalesce(F.col("valid_from") <= day, F.lit(True)) & F.coalesce(day < F.col("valid_to"), F.lit(True))
+
+
+def membership_asof(current: DataFrame, changes: DataFrame, dates: DataFrame | Sequence[dt.date]) -> DataFrame:
+    """Members on each date, by undoing every later change from the current set: ``(as_of, symbol)``.
+
+    ``dates`` is a list, or a table with an ``as_of`` column of any length; repeated and missing dates count once and not
+    at all. Intervals and dates are cut into bins of `BIN_DAYS` days, so that the interval join is an equality join on
+    the bin, whose pairs nearly all hold.
+    """
+    if not isinstance(dates, DataFrame):
+        dates = current.sparkSession.createDataFrame([(d,) for d in dates], "as_of date")
+    asked = dates.select(F.col("as_of").cast("date").alias("as_of")).where(F.col("as_of").isNotNull()).distinct()
+    span = asked.agg(F.min("as_of").alias("low"), F.max("as_of").alias("high")).first()
+    if span["low"] is None:
+        return asked.join(current.select("symbol"), F.lit(False))
+
+    def bin_of(day: Column) -> Column:
+        return F.floor(F.unix_date(day) / BIN_DAYS).cast("int")
+
+    low, high = F.lit(span["low"]), F.lit(span["high"])
+    reached = membership_intervals(current, changes).where(F.coalesce(F.col("valid_from") <= high, F.lit(True)) & F.coalesce(F.col("valid_to") > low, F.lit(True)))
+    # `greatest` and `least` pass over nulls, that is over open ends.
+    bins = F.explode(F.sequence(bin_of(F.greatest("valid_from", low)), bin_of(F.least(F.date_sub("valid_to", 1), high))))
+    found = asked.withColumn("_bin", bin_of(F.col("as_of"))).join(reached.withColumn("_bin", bins), "_bin")
+    return found.where(_holds(F.col("as_of"))).select("as_of", "symbol")
+
+
+def universe_point_in_time(features: DataFrame, current: DataFrame, changes: DataFrame) -> DataFrame:
+    """Rows whose symbol was a member on the row's own date: the universe without survivorship bias."""
+    intervals = membership_intervals(current, changes).withColumnRenamed("symbol", "_symbol")
+    return features.join(intervals, (F.col("symbol") == F.col("_symbol")) & _holds(F.col("date")), "left_semi")
 
 
 def ticker_lifespans(current: DataFrame, changes: DataFrame) -> DataFrame:

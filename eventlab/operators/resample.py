@@ -8,13 +8,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import number_rows, percentiles
+from ..functions.ordering import number_rows, number_sorted, percentiles
 from ..functions.scalars import hash_int
 from ..schemas import KPIS, RETURN
 from ..storage import stored
 from .portfolio import COST, RUN, backtest_kpis
 
-TRADE_BUCKETS = 65536
+#: Trades of a block, which draws its share by itself.
+BLOCK = 64
 #: Candidates of a day and seed that one task ranks.
 DAY_PART = 4096
 
@@ -28,28 +29,41 @@ def bootstrap_trades(
 ) -> DataFrame:
     """``reps`` resamples with replacement, each as large as the run, with ``rep`` as a key.
 
-    Trades are numbered inside hash buckets, every trade is also a draw position, and the
-    trade a position draws is found by an equality join on that number: uniform keys
-    however the trades are spread over symbols and days.
+    Trades are numbered by day and cut into blocks of `BLOCK`. First every draw picks a block, by a hash, in proportion
+    to its trades; only the number of draws per (rep, block) is kept, summed up where it arises. Then every block draws
+    that many of its own trades, by another hash. So no draw meets a trade in a join, and as blocks
+    follow the days, a day's draws of a rep are summed up in the task that makes them.
     """
     keys = list(keys)
     slim = trades.select(*keys, "date", "symbol", ret)
-    bucket = hash_int(F.col("symbol"), F.col("date")) % TRADE_BUCKETS
-    ranked = number_rows(slim, keys, bucket, ["date", "symbol"], "_place", total="_size")
-    # Stored once: the draws and the trades that they find come from the same rows, and Spark knows
-    # their bytes, by which alone it decides whether to broadcast them.
-    numbered = stored(ranked.withColumns({"draw": F.col("_place") - 1, "_run": F.struct(*keys)}), "draws")
-    # Never NULL, and known to be: else the join would test it first and hash every draw twice.
-    pick = F.coalesce(hash_int(F.lit(seed), F.col("rep"), F.col("draw")) % F.col("_size"), F.lit(0))
+    numbered = number_sorted(slim, keys, ["date", "symbol", ret], "_place")
+    run = numbered.select(*keys, "date", "symbol", ret, (F.col("_place") - 1).alias("_at"))
+    blocks = (
+        run.groupBy(F.struct(*keys).alias("_run"), F.floor(F.col("_at") / BLOCK).alias("_block"))
+        .agg(F.sort_array(F.collect_list(F.struct("_at", "date", "symbol", F.col(ret).alias("_ret")))).alias("_trades"))
+    )
+    blocks = stored(blocks, "blocks")
+    sizes = blocks.groupBy("_run").agg(F.sum(F.size("_trades")).alias("_size"))
+    # Never NULL, and known to be: else later steps would test it and hash every draw twice.
+    pick = F.coalesce(F.floor((hash_int(F.lit(seed), F.col("rep"), F.col("_at")) % F.col("_size")) / BLOCK), F.lit(0))
     drawn = (
-        numbered.select("_run", "draw", "_size")
-        # Few rows become reps times as many: spread them first.
-        .repartition("_run", "draw")
+        blocks.select("_run", F.size("_trades").alias("_own"), (F.col("_block") * BLOCK).alias("_first"))
+        .join(sizes, "_run")
+        # A few blocks become many draws: spread them first.
+        .repartition("_run", "_first")
         .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-        .select("_run", "rep", pick.alias("draw"))
+        .withColumn("_at", F.explode(F.sequence("_first", F.col("_first") + F.col("_own") - 1)))
+        .groupBy("_run", "rep", pick.alias("_block"))
+        .agg(F.count("*").alias("_draws"))
+    )
+    taken = hash_int(F.lit("own"), F.lit(seed), F.col("rep"), F.col("_block"), F.col("draw")) % F.size("_trades")
+    found = (
+        drawn.join(blocks, ["_run", "_block"])
+        .withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_draws") - 1)))
+        .withColumn("_trade", F.get("_trades", taken.cast("int")))
     )
-    found = drawn.join(numbered.drop("_place", "_size"), ["_run", "draw"])
-    return found.select(*keys, "draw", "rep", "date", "symbol", ret)
+    names = [F.col(f"_run.{k}").alias(k) for k in keys]
+    return found.select(*names, (F.col("_block") * BLOCK + F.col("draw")).alias("draw"), "rep", "_trade.date", "_trade.symbol", F.col("_trade._ret").alias(ret))
 
 
 def bootstrap_kpis(

@@ -24,7 +24,7 @@ FILE = "_file"
 def headers(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """``(file, header)``: the first line of every file that has one, blank lines aside.
 
-    Only the first block of a file is read; a task keeps one line of each of its files.
+    A pass over the files' text, in which a task keeps one line of each of its files and sends no more.
     """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
     first = lines.where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
