@@ -229,14 +229,23 @@ def _hash(*parts: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15) AS BIGINT)"
 
 
+def _part(digest: str, i: int, width: int) -> str:
+    return f"CAST('0x' || substr({digest}, {1 + width * i}, {width}) AS BIGINT)"
+
+
 RANKED = f"SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {RET} DESC NULLS LAST, date, symbol) AS best FROM sig"
 DRAWS = {
     "numbered": f"""SELECT date, symbol, {RET}, row_number() OVER (ORDER BY date, symbol, {RET}) - 1 AS place, count(*) OVER () AS n FROM sig""",
-    "shares": f"""SELECT rep, ({_hash('42', 'rep', 'place')} % n) // {R.BLOCK} AS block, count(*) AS draws, any_value(n) AS n
-        FROM numbered CROSS JOIN range(0, {REPS}) r(rep) GROUP BY rep, block""",
-    "resampled": f"""SELECT 'rule' AS run_id, rep, t.date, t.{RET} FROM
-        (SELECT rep, block, n, unnest(range(draws)) AS draw FROM shares) d JOIN numbered t
-        ON t.place = block * {R.BLOCK} + {_hash("'own'", '42', 'rep', 'block', 'draw')} % least({R.BLOCK}, d.n - block * {R.BLOCK})""",
+    "pairs": f"""SELECT rep, p, n, md5(concat_ws('|', 42, rep, p)) AS digest FROM (SELECT max(n) AS n FROM numbered),
+        LATERAL (SELECT unnest(range((n + 1) // 2)) AS p), range(0, {REPS}) r(rep)""",
+    "shares": f"""SELECT rep, pick % n // {R.BLOCK} AS block, count(*) AS draws, any_value(n) AS n FROM (
+        SELECT rep, n, {_part('digest', 0, 15)} AS pick FROM pairs UNION ALL
+        SELECT rep, n, {_part('digest', 1, 15)} FROM pairs WHERE 2 * p + 1 < n) GROUP BY rep, block""",
+    "quads": """SELECT rep, block, draws, n, q, md5(concat_ws('|', 'own', 42, rep, block, q)) AS digest
+        FROM (SELECT *, unnest(range((draws + 3) // 4)) AS q FROM shares)""",
+    "resampled": f"""SELECT 'rule' AS run_id, rep, t.date, t.{RET} FROM (
+        {' UNION ALL '.join(f"SELECT rep, block, n, {_part('digest', i, 8)} AS pick FROM quads WHERE 4 * q + {i} < draws" for i in range(4))}) d
+        JOIN numbered t ON t.place = block * {R.BLOCK} + pick % least({R.BLOCK}, d.n - block * {R.BLOCK})""",
     **kpi_ctes("resampled", "run_id, rep"),
 }
 RANDOM = {

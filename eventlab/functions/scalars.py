@@ -64,8 +64,17 @@ def lookup_ticker(ticker: Column) -> Column:
 
 def hash_int(*parts: Column) -> Column:
     """A 60-bit number from md5, the same on every engine and for every partitioning."""
-    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    return digest_part(digest(*parts), 0, 15)
+
+
+def digest(*parts: Column) -> Column:
+    """The md5 of the parts as hexadecimal digits."""
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+
+
+def digest_part(digits: Column | str, i: int, width: int) -> Column:
+    """The i-th number of ``width`` digits in a digest, from 0; 15 digits at most."""
+    return F.conv(F.substring(digits, 1 + width * i, width), 16, 10).cast("bigint")
 
 
 def run_id(timestamp: Column) -> Column:

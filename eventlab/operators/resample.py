@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import number_rows, number_sorted, percentiles
-from ..functions.scalars import hash_int
+from ..functions.scalars import digest, digest_part
 from ..schemas import KPIS, RETURN
 from ..storage import stored
 from .portfolio import COST, RUN, backtest_kpis
@@ -44,26 +44,32 @@ def bootstrap_trades(
     )
     blocks = stored(blocks, "blocks")
     sizes = blocks.groupBy("_run").agg(F.sum(F.size("_trades")).alias("_size"))
-    # Never NULL, and known to be: else later steps would test it and hash every draw twice.
-    pick = F.coalesce(F.floor((hash_int(F.lit(seed), F.col("rep"), F.col("_at")) % F.col("_size")) / BLOCK), F.lit(0))
+    # A digest makes two picks of a block, for the draws 2p and 2p + 1; an odd last draw stands alone.
+    picks = [F.floor(digest_part("_digest", i, 15) % F.col("_size") / BLOCK) for i in range(2)]
+    pairs = F.sequence(F.col("_block") * (BLOCK // 2), F.col("_block") * (BLOCK // 2) + F.floor((F.col("_own") - 1) / 2))
     drawn = (
-        blocks.select("_run", F.size("_trades").alias("_own"), (F.col("_block") * BLOCK).alias("_first"))
+        blocks.select("_run", "_block", F.size("_trades").alias("_own"))
         .join(sizes, "_run")
         # A few blocks become many draws: spread them first.
-        .repartition("_run", "_first")
+        .repartition("_run", "_block")
         .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-        .withColumn("_at", F.explode(F.sequence("_first", F.col("_first") + F.col("_own") - 1)))
-        .groupBy("_run", "rep", pick.alias("_block"))
+        .withColumn("_pair", F.explode(pairs))
+        .withColumn("_digest", digest(F.lit(seed), F.col("rep"), F.col("_pair")))
+        .withColumn("_block", F.explode(F.when(2 * F.col("_pair") + 1 < F.col("_size"), F.array(*picks)).otherwise(F.array(picks[0]))))
+        .groupBy("_run", "rep", "_block")
         .agg(F.count("*").alias("_draws"))
     )
-    taken = hash_int(F.lit("own"), F.lit(seed), F.col("rep"), F.col("_block"), F.col("draw")) % F.size("_trades")
+    # Another one makes four picks inside a block.
+    own = F.array(*[F.get("_trades", (digest_part("_digest", i, 8) % F.size("_trades")).cast("int")) for i in range(4)])
+    left = F.least(F.lit(4).cast("bigint"), F.col("_draws") - 4 * F.col("_quad")).cast("int")
     found = (
         drawn.join(blocks, ["_run", "_block"])
-        .withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_draws") - 1)))
-        .withColumn("_trade", F.get("_trades", taken.cast("int")))
+        .withColumn("_quad", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_draws") - 1) / 4))))
+        .withColumn("_digest", digest(F.lit("own"), F.lit(seed), F.col("rep"), F.col("_block"), F.col("_quad")))
+        .select("_run", "rep", F.explode(F.slice(own, F.lit(1), left)).alias("_trade"))
     )
     names = [F.col(f"_run.{k}").alias(k) for k in keys]
-    return found.select(*names, (F.col("_block") * BLOCK + F.col("draw")).alias("draw"), "rep", "_trade.date", "_trade.symbol", F.col("_trade._ret").alias(ret))
+    return found.select(*names, "rep", "_trade.date", "_trade.symbol", F.col("_trade._ret").alias(ret))
 
 
 def bootstrap_kpis(
