@@ -45,8 +45,8 @@ CODES = 256
 #: What single precision may add to a distance.
 SLACK = np.float32(1e-3)
 ROWS = 1024
-#: Different lengths of vectors that one call compares, each length by itself.
-MAX_DIMENSIONS = 16
+#: Lengths of vectors whose links are stored together.
+LENGTHS_AT_ONCE = 16
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -118,9 +118,22 @@ def rows_of(column: pa.Array, d: int) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
+def in_range(x: np.ndarray) -> np.ndarray:
+    """Vectors as doubles whose largest component lies between a half and one, so that no square leaves the range.
+
+    They are scaled by powers of two, which changes no cosine, not even by rounding; what gets
+    lost is less than 1e-300 of the largest component.
+    """
+    wide = x.astype(np.float64)
+    _, power = np.frexp(np.abs(wide).max(1, initial=0.0))
+    # In two steps, as the power itself may be out of range.
+    half = -power // 2
+    return np.ldexp(np.ldexp(wide, half[:, None]), (-power - half)[:, None])
+
+
 def scaled(x: np.ndarray) -> np.ndarray:
     """Vectors of length one, in single precision: for search, not for the verdict."""
-    wide = x.astype(np.float64)
+    wide = in_range(x)
     return (wide / np.sqrt((wide * wide).sum(1))[:, None]).astype(np.float32)
 
 
@@ -134,7 +147,7 @@ def _count(index: Index, d: int) -> Callable:
 
 
 def _fields(d: int, index: Index) -> dict[str, str]:
-    """The original vectors travel, as doubles: whatever their type was, the verdict is exact."""
+    """The vectors travel as doubles, scaled by powers of two: whatever their type was, the verdict is exact."""
     codes = f"V{len(index.cuts)}"
     return {"node": "i8", "copies": "i8", "home": "i4", "list": "i4", "vector": f"V{8 * d}", "codes": codes, "square": "f4", "error": "f4"}
 
@@ -148,7 +161,7 @@ def _deal(index: Index, d: int, blocks: np.ndarray, width: int, radius: float) -
         between = index.between()
         for batch in batches:
             nodes, copies = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
-            vectors = rows_of(batch.column("vector"), d).astype(np.float64)
+            vectors = in_range(rows_of(batch.column("vector"), d))
             for at in range(0, len(nodes), 4096):
                 raw, node = np.ascontiguousarray(vectors[at : at + 4096]), nodes[at : at + 4096]
                 x = scaled(raw)
@@ -164,7 +177,8 @@ def _deal(index: Index, d: int, blocks: np.ndarray, width: int, radius: float) -
                     row = np.repeat(row + i, n)
                     asked.append((row, np.repeat(first[lists], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)))
                 row, block = (np.concatenate(c) for c in zip(*asked, strict=True))
-                yield _questions(row, block, node, copies[at : at + 4096], own, raw)
+                if len(row):
+                    yield _questions(row, block, node, copies[at : at + 4096], own, raw)
 
     def _questions(row: np.ndarray, block: np.ndarray, node: np.ndarray, copies: np.ndarray, own: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
         """A question goes to a partition once, with all blocks that it asks there."""
@@ -314,7 +328,8 @@ def near_duplicates(
     """``vec_id, n_links, component_id, kept``, one row per input row.
 
     Vectors that are missing, empty, zero, or hold a missing or non-finite component link with nothing, and so do
-    vectors of different lengths among each other. Equal vectors are linked. Rows that share an id count
+    vectors of different lengths among each other: each length is searched by itself, one after another, however many
+    there are. Components may be as large or small as doubles are. Equal vectors are linked. Rows that share an id count
     each. A missing id is never the smallest of a component that has another.
     """
     v = F.col("vector")
@@ -325,14 +340,15 @@ def near_duplicates(
     rows = rows.withColumn("class", F.when(fine, own))
     grouped = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    lengths = [r[0] for r in classes.groupBy(F.size("vector").alias("d")).count().orderBy("d").limit(MAX_DIMENSIONS + 1).collect()]
-    if len(lengths) > MAX_DIMENSIONS:
-        raise ValueError(f"vectors have more than {MAX_DIMENSIONS} different lengths")
+    lengths = [r[0] for r in classes.groupBy(F.size("vector").alias("d")).count().orderBy("d").collect()]
     spark = vectors.sparkSession
     found = spark.createDataFrame([], "kind int, a bigint, b bigint")
-    for d in lengths:
-        found = found.union(_links(classes, d, min_cosine, per_list))
-    found = stored(found, "links")
+    if not lengths:
+        found = stored(found, "links")
+    for at in range(0, len(lengths), LENGTHS_AT_ONCE):
+        for d in lengths[at : at + LENGTHS_AT_ONCE]:
+            found = found.union(_links(classes, d, min_cosine, per_list))
+        found = stored(found, "links")
     links = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     roots = components(found.where("kind = 1").select("a", "b"))
     narrow = classes.select("node", "class", "rep", "n")

@@ -88,6 +88,35 @@ def test_awkward_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_tiny_and_huge_components(spark):
+    """Directions at sizes from 1e-320 to 1e308, where squares leave the range of doubles."""
+    r = np.random.default_rng(30)
+    x = r.normal(size=(40, 6))
+    near = x[:20] + 0.02 * r.normal(size=(20, 6))
+    plain_x = np.concatenate([x, near])
+    sizes = 10.0 ** r.choice([-300, -170, -20, 0, 150, 200, 300], len(plain_x))
+    data = [(i, (v * s).tolist(), 0) for i, (v, s) in enumerate(zip(plain_x, sizes, strict=True))]
+    extra = [(100, [1e-170, 1e-170]), (101, [2e-170, 2e-170]), (102, [1e200, 1e200]), (103, [2e200, 2e200]), (104, [1e308, -1e308]), (105, [5e-324, 0.0]), (106, [1e-310, 1e-320])]
+    df = spark.createDataFrame(data + [(i, v, 0) for i, v in extra], "vec_id bigint, embedding array<double>, label int")
+    got = {i.vec_id: (i.n_links, i.component_id) for i in vectors.near_duplicates(df, per_list=10).collect()}
+    expected = plain(list(range(len(plain_x))), plain_x)
+    assert sum(k for k, _ in expected.values()) >= 40
+    assert {i: got[i] for i in expected} == expected
+    assert [got[i] for i, _ in extra] == [(3, 100)] * 4 + [(0, 104)] + [(1, 105)] * 2
+
+
+def test_any_number_of_lengths(spark):
+    r = np.random.default_rng(31)
+    data = []
+    for d in range(1, 20):
+        v = r.normal(size=d)
+        data += [(10 * d, v.tolist(), 0), (10 * d + 1, (2 * v + 1e-3).tolist(), 0), (10 * d + 2, (-v).tolist(), 0)]
+    got = {i.vec_id: (i.n_links, i.component_id) for i in vectors.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()}
+    for d in range(1, 20):
+        own = [np.array(v) for i, v, _ in data if i // 10 == d]
+        assert {i: got[i] for i in range(10 * d, 10 * d + 3)} == plain(list(range(10 * d, 10 * d + 3)), np.array(own))
+
+
 def test_double_vectors_are_judged_as_they_are(spark):
     least = 0.9
     a, b = [1.0, 0.0], [least, (1 - least * least) ** 0.5]
