@@ -19,12 +19,16 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordering import number_rows
 from ..functions.scalars import hash_int
 from ..schemas import FEATURES, LABEL
+from ..storage import stored
 from .boosting import BoostedModel, fit_boosted
 from .metrics import class_weight, classification_metrics
 
 SEED = 42
+#: Ranges of the hash in which rows are numbered for folds.
+FOLD_BUCKETS = 4096
 
 # Config names users of boosted trees know, and the Spark parameter each one sets.
 GBT_PARAMETERS = {
@@ -172,6 +176,26 @@ def _with_margin(scored: DataFrame, out: str) -> DataFrame:
     )
 
 
+def stratified_folds(rows: DataFrame, cv: int, label: str = LABEL) -> DataFrame:
+    """The rows with ``_fold``, 0 to ``cv - 1``: each class dealt in turn, whatever its size and the partitioning."""
+    bucket = hash_int(F.lit(SEED), F.col("symbol"), F.col("date")) % FOLD_BUCKETS
+    ranked = number_rows(rows, [label], bucket, ["symbol", "date"], "_rank")
+    return ranked.withColumn("_fold", ((F.col("_rank") - 1) % cv).cast("int")).drop("_rank")
+
+
+def smoothed(rows: DataFrame, label: str = LABEL) -> DataFrame:
+    """Each row as two weighted ones, a positive and a negative, with the smoothed target as their shares in ``_part``.
+
+    With P positive and N negative rows a positive counts (P + 1) / (P + 2) and a negative 1 / (N + 2), so that a
+    probability fitted to few rows stays away from 0 and 1.
+    """
+    counts = rows.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
+    target = F.when(F.col(label) == 1, (counts["p"] + 1) / (counts["p"] + 2)).otherwise(1 / (counts["n"] + 2))
+    both = F.array(*[F.struct(F.lit(y).alias("y"), w.alias("w")) for y, w in ((1.0, target), (0.0, 1 - target))])
+    split = rows.withColumn("_both", F.explode(both))
+    return split.withColumns({label: F.col("_both.y"), "_part": F.col("_both.w")}).drop("_both")
+
+
 def fit_calibrated(
     train: DataFrame,
     method: str = "sigmoid",
@@ -182,13 +206,14 @@ def fit_calibrated(
 ) -> CalibratedModel:
     """Cross-fitted calibration: each fold's map is fitted on rows its trees did not see.
 
-    Folds follow from a hash of symbol and date. The sigmoid is a plain logistic
-    regression of the label on the margin, without target smoothing.
+    Folds are stratified: rows are numbered within their class, in the order of a hash of symbol and date, and dealt in
+    turn, so every fold has its share of each class to within a row. The sigmoid is fitted to smoothed targets, see
+    `smoothed`, the isotonic map to the labels.
     """
     if method not in ("sigmoid", "isotonic"):
         raise ValueError("method must be 'sigmoid' or 'isotonic'")
-    rows = train.withColumn(label, F.col(label).cast("double"))
-    fold = hash_int(F.lit(SEED), F.col("symbol"), F.col("date")) % cv
+    rows = stored(stratified_folds(train.withColumn(label, F.col(label).cast("double")), cv, label), "folds")
+    fold = F.col("_fold")
 
     def fit_fold(k: int) -> tuple:
         base = fit_gbt(rows.where(fold != k), base_config, features, label)
@@ -197,12 +222,13 @@ def fit_calibrated(
             estimator = LogisticRegression(
                 featuresCol="_margin",
                 labelCol=label,
+                weightCol="_part",
                 probabilityCol="_calibrated",
                 rawPredictionCol="_raw",
                 predictionCol="_class",
             )
-        else:
-            estimator = IsotonicRegression(featuresCol="_margin", labelCol=label, predictionCol="_calibrated")
+            return base, estimator.fit(smoothed(held_out, label))
+        estimator = IsotonicRegression(featuresCol="_margin", labelCol=label, predictionCol="_calibrated")
         return base, estimator.fit(held_out)
 
     with ThreadPoolExecutor(cv) as pool:

@@ -157,6 +157,73 @@ def test_calibration_round_trip(spark, data, method, tmp_path):
         MO.fit_calibrated(train, "platt", 2, SMALL, X, "y")
 
 
+def test_folds_have_their_share_of_each_class(data):
+    rows = data.where("split = 'train'").withColumn("y", F.col("y").cast("double"))
+    folds = MO.stratified_folds(rows, 4, "y")
+    sizes = {}
+    for r in folds.groupBy("y", "_fold").count().collect():
+        sizes.setdefault(r["y"], []).append(r["count"])
+    assert set(folds.columns) == {*rows.columns, "_fold"} and folds.count() == rows.count()
+    assert all(len(n) == 4 and max(n) - min(n) <= 1 for n in sizes.values())
+    again = MO.stratified_folds(rows.repartition(5), 4, "y")
+    assert folds.select("symbol", "date", "_fold").exceptAll(again.select("symbol", "date", "_fold")).count() == 0
+
+
+def plain_sigmoid(margins, labels):
+    """Slope and intercept for smoothed targets, by Newton steps."""
+    p, n = sum(labels), len(labels) - sum(labels)
+    x = np.column_stack([margins, np.ones(len(margins))])
+    t = np.where(np.array(labels) == 1, (p + 1) / (p + 2), 1 / (n + 2))
+    beta = np.zeros(2)
+    for _ in range(60):
+        q = 1 / (1 + np.exp(-x @ beta))
+        beta -= np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x, x.T @ (q - t))
+    return beta
+
+
+def test_sigmoid_fits_smoothed_targets(data):
+    """Every fold's map, and the mean of both, against plain Newton steps on the margins of its held-out rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    train = data.where("split = 'train'")
+    model = MO.fit_calibrated(train, "sigmoid", 2, SMALL, X, "y")
+    folds = MO.stratified_folds(train.withColumn("y", F.col("y").cast("double")), 2, "y")
+    test = data.where("split = 'test'").orderBy("date", "symbol")
+    expected = 0
+    for k, (base, calibrator) in enumerate(model.folds):
+        margin = vector_to_array("rawPrediction")[1].alias("m")
+        held = base.transform(folds.where(F.col("_fold") == k)).select(margin, "y").collect()
+        slope, intercept = plain_sigmoid([r["m"] for r in held], [r["y"] for r in held])
+        assert calibrator.coefficients[0] == pytest.approx(slope, abs=1e-3) and calibrator.intercept == pytest.approx(intercept, abs=1e-3)
+        m = np.array([r["m"] for r in base.transform(test).select(margin).collect()])
+        expected = expected + 1 / (1 + np.exp(-(slope * m + intercept))) / 2
+    assert np.allclose([r["y_pred_proba"] for r in MO.score(model, test).collect()], expected, atol=1e-3)
+
+
+def test_isotonic_equals_pooled_blocks(data):
+    """The isotonic map of a fold at its own margins is what pooling adjacent violators gives."""
+    from pyspark.ml.functions import vector_to_array
+
+    train = data.where("split = 'train'")
+    model = MO.fit_calibrated(train, "isotonic", 2, SMALL, X, "y")
+    folds = MO.stratified_folds(train.withColumn("y", F.col("y").cast("double")), 2, "y")
+    base, calibrator = model.folds[0]
+    held = MO._with_margin(base.transform(folds.where("_fold = 0")), "_margin")
+    rows = sorted((r["m"], r["y"], r["_calibrated"]) for r in calibrator.transform(held).select(vector_to_array("_margin")[0].alias("m"), "y", "_calibrated").collect())
+    ties = {}
+    for m, y, _ in rows:
+        total, n = ties.get(m, (0, 0))
+        ties[m] = (total + y, n + 1)
+    blocks = []
+    for block in ties.values():
+        while blocks and blocks[-1][0] / blocks[-1][1] >= block[0] / block[1]:
+            total, n = blocks.pop()
+            block = (total + block[0], n + block[1])
+        blocks.append(block)
+    values = [total / n for total, n in blocks for _ in range(n)]
+    assert [c for _, _, c in rows] == pytest.approx(values)
+
+
 def test_bundle_of_a_missing_model(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="save_bundle"):
         MO.load_bundle(str(tmp_path / "none"), spark)
