@@ -26,6 +26,8 @@ FEATURE_COLUMNS = (
     "close volume eps_estimate reported_eps surprise_pct return_14d return_60d sector_rank_60d "
     "target_t1_open_ret target_t1_high_ret target_t1_low_ret target_t1_close_ret"
 ).split()
+#: Trading days of the long barrier.
+YEAR = 250
 OHLC = ["open", "high", "low", "close"]
 
 
@@ -120,6 +122,11 @@ def triple_barrier_long(spark, sf):
     return tidy(rows.select("symbol", "date", "target_spike_class"))
 
 
+def triple_barrier_year(spark, sf):
+    rows = L.triple_barrier(_panel(spark, sf), 0.12, 0.12, YEAR)
+    return tidy(rows.select("symbol", "date", "target_spike_class"))
+
+
 def _barrier_sql(take: float, stop: float, days: int) -> str:
     legs = []
     for h in range(1, days + 1):
@@ -260,7 +267,7 @@ QUERIES = {
     for f in (
         event_features, event_features_sue, event_features_barrier, price_snapshot, adjust_ohlc, bars,
         panel_union, duplicate_bars, sector_join, momentum, sector_rank, forward_returns, forward_returns_20,
-        label_spike, label_spike_close, triple_barrier, triple_barrier_long, event_join, earnings_first, sue,
+        label_spike, label_spike_close, triple_barrier, triple_barrier_long, triple_barrier_year, event_join, earnings_first, sue,
         pead_rule, upcoming_filter, upcoming_earnings, next_upcoming, scenario_grid, latest_snapshot, latest_event,
         dataset_health, ticker_list, dropna_filters, earnings_clean, chrono_split, validation_slice,
         walk_forward_folds, fold_assign, class_weight, spike_rate, complete_features,
@@ -328,6 +335,18 @@ SQL = {
     "triple_barrier": with_ctes(
         f"SELECT symbol, date, {_barrier_sql(0.05, 0.03, 5)} AS target_spike_class FROM panel {BY_SYMBOL}"
     ),
+    "triple_barrier_year": with_ctes(
+        f"""SELECT t.symbol, t.date, coalesce(any_value(label), any_value(CASE WHEN t.after > t.close THEN 1.0 WHEN t.after IS NOT NULL THEN 0.0 END))::DOUBLE
+            AS target_spike_class FROM numbered t LEFT JOIN (
+                SELECT t.symbol, t.date, arg_min(CASE WHEN (f.low - t.close) / t.close <= -0.12 THEN 0.0 ELSE 1.0 END, f.rn) AS label
+                FROM numbered t JOIN numbered f ON f.symbol = t.symbol AND f.rn > t.rn AND f.rn <= t.rn + {YEAR}
+                WHERE (f.low - t.close) / t.close <= -0.12 OR (f.high - t.close) / t.close >= 0.12 GROUP BY t.symbol, t.date
+            ) l ON l.symbol = t.symbol AND l.date = t.date GROUP BY t.symbol, t.date""",
+        {
+            "numbered": f"""SELECT symbol, date, close, low, high, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn,
+                lead(close, {YEAR}) OVER (PARTITION BY symbol ORDER BY date) AS after FROM panel"""
+        },
+    ),
     "triple_barrier_long": with_ctes(
         f"SELECT symbol, date, {_barrier_sql(0.09, 0.09, 30)} AS target_spike_class FROM panel {BY_SYMBOL}"
     ),

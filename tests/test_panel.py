@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from conftest import day, rows
@@ -113,6 +114,35 @@ def test_triple_barrier(spark):
     assert {r["symbol"]: r["target_spike_class"] for r in got.collect()} == {s: e for s, (_, e) in BARRIER_CASES.items()}
 
 
+def test_long_barriers_equal_the_bars_one_by_one(spark, monkeypatch):
+    """Both ways, on walks with gaps, jumps to the barrier itself, missing and negative prices, and short symbols."""
+    r = random.Random(8)
+    data = []
+    for s, n in (("a", 300), ("b", 90), ("c", 3), ("d", 1), ("e", 160)):
+        price = 50.0
+        for i in range(n):
+            price = 50.0 if r.random() < 0.05 else price * (1 + r.gauss(0, 0.01))
+            bar = [price, price * (1 + abs(r.gauss(0, 0.02))), price * (1 - abs(r.gauss(0, 0.02))), price]
+            if s == "e":
+                bar = [None if r.random() < 0.1 else x if r.random() < 0.9 else r.choice([0.0, -50.0, 60.0, 45.0]) for x in bar]
+            data.append((s, str(day("2030-01-01") + dt.timedelta(i)), *bar))
+    panel = ohlc(spark, data).repartition(3)
+    for days in (1, 2, 7, 33, 64, 250):
+        monkeypatch.setattr(L, "BARS_WITH_A_ROW", 1000)
+        wanted = rows(L.triple_barrier(panel, 0.2, 0.1, days).select("symbol", "date", "target_spike_class"), "symbol", "date")
+        monkeypatch.setattr(L, "BARS_WITH_A_ROW", 0)
+        found = L.triple_barrier(panel, 0.2, 0.1, days)
+        assert found.columns == [*panel.columns, "target_spike_class"]
+        assert rows(found.select("symbol", "date", "target_spike_class"), "symbol", "date") == wanted
+    assert len({r[2] for r in wanted}) == 3
+
+
+def test_long_barriers_collect_no_bars(spark):
+    panel = ohlc(spark, [("a", "2031-05-05", 1.0, 1.0, 1.0, 1.0)])
+    plan = L.triple_barrier(panel, 0.2, 0.1, 250)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_snapshot_takes_the_last_known_value_per_column(spark):
     panel = spark.createDataFrame(
         [("A", day("2024-01-01"), 1.0, 0.1, "x"), ("A", day("2024-01-02"), None, 0.2, "x"), ("A", day("2024-01-03"), 3.0, None, "x"), ("B", day("2024-01-01"), 1.0, None, "y")],
