@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
@@ -116,6 +117,7 @@ def feature_attribution(
     The contributions and the base add up to a row's log-odds. A linear model compares with the
     means of all background rows. Boosted trees compare with the rows they were fitted on, which
     are in the trees: where a feature is unknown, both branches count by the rows that took them.
+    Every path is a rule of a few features, so the work grows with the paths, however many features there are.
     A calibrated model is explained by the mean log-odds of its trees.
     """
     features, keys = list(features), list(keys)
@@ -168,38 +170,92 @@ def tree_nodes(forest: GBTClassificationModel, spark: SparkSession) -> list[tupl
     return [(weights[int(i)], own.drop(columns=["treeID", "id"]).fillna(0.0).to_numpy()) for i, own in nodes.groupby("treeID")]
 
 
-def coalition_worth(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Expected prediction of rows for every set of known features, numbered by its bits."""
-    k = x.shape[1]
-    member = (np.arange(2**k)[:, None] >> np.arange(k)) & 1 == 1
+@dataclass(frozen=True)
+class LeafRule:
+    """A path to a leaf: one interval per feature on it, and the share of the rows that its cuts on the feature keep."""
 
-    def below(node: int) -> np.ndarray | float:
+    value: float
+    features: tuple[int, ...]
+    low: tuple[float, ...]
+    high: tuple[float, ...]
+    shares: tuple[float, ...]
+
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        """Which intervals rows lie in, low excluded. A missing value goes right at every cut."""
+        own = x[:, self.features]
+        low, high = np.array(self.low), np.array(self.high)
+        return (np.isneginf(low) | ~(own <= low)) & (np.isposinf(high) | (own <= high))
+
+
+def leaf_rules(weight: float, tree: np.ndarray) -> list[LeafRule]:
+    """The paths of a tree. Their number is bounded by the tree, not by the data or its features."""
+    out: list[LeafRule] = []
+
+    def walk(node: int, path: dict[int, tuple[float, float, float]]) -> None:
         feature, threshold, left, right, prediction, rows = tree[node]
         if left < 0:
-            return prediction
-        yes, no, f = below(int(left)), below(int(right)), int(feature)
-        share = tree[int(left), 5] / rows
-        chosen = np.where((x[:, f] <= threshold)[:, None], yes, no)
-        return np.where(member[:, f], chosen, share * yes + (1 - share) * no)
+            low, high, shares = zip(*path.values(), strict=True) if path else ((), (), ())
+            out.append(LeafRule(weight * prediction, tuple(path), low, high, shares))
+            return
+        low, high, share = path.get(int(feature), (-np.inf, np.inf, 1.0))
+        taken = tree[int(left), 5] / rows
+        walk(int(left), path | {int(feature): (low, min(high, threshold), share * taken)})
+        walk(int(right), path | {int(feature): (max(low, threshold), high, share * (1 - taken))})
+
+    walk(0, {})
+    return out
 
-    return np.broadcast_to(below(0), (len(x), 2**k))
+
+def rule_shares(known: np.ndarray, shares: Sequence[float]) -> np.ndarray:
+    """Shapley values of the features of a rule of value one, for rows of which intervals hold.
+
+    A known feature counts 1 or 0, an unknown one its share. For each feature the other ones make the
+    polynomial of factors (share + known z); its coefficient of z to the s sums up all sets of s known features, which
+    count s! (d - s - 1)! / d! each.
+    """
+    rows, d = known.shape
+    out = np.empty((rows, d))
+    order = np.array([factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)])
+    for i in range(d):
+        sets = np.zeros((rows, d))
+        sets[:, 0] = 1.0
+        for j in (j for j in range(d) if j != i):
+            further = sets * shares[j]
+            further[:, 1:] += sets[:, :-1] * known[:, j, None]
+            sets = further
+        out[:, i] = (known[:, i] - shares[i]) * (sets @ order)
+    return out
+
+
+#: Features of a rule up to which its values are kept for all patterns of intervals.
+PATTERN_FEATURES = 10
 
 
 def _explain(trees: list[tuple[float, np.ndarray]], features: list[str], keys: list[str]) -> Callable:
-    k = len(features)
-    sets = np.arange(2**k)
-    size = np.array([bin(s).count("1") for s in sets])
-    joining = np.array([factorial(s) * factorial(k - s - 1) / factorial(k) for s in range(k)])
-    shares = np.stack([np.where(sets >> f & 1, joining[size - 1], -joining[np.minimum(size, k - 1)]) for f in range(k)], 1)
+    rules = [rule for weight, tree in trees for rule in leaf_rules(weight, tree)]
+    base = sum(rule.value * float(np.prod(rule.shares)) for rule in rules)
+
+    def patterns(d: int) -> np.ndarray:
+        return ((np.arange(2**d)[:, None] >> np.arange(d)) & 1).astype(np.float64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = [rule.value * rule_shares(patterns(len(rule.features)), rule.shares) if 0 < len(rule.features) <= PATTERN_FEATURES else None for rule in rules]
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 rows = whole.iloc[at : at + 1000]
                 x = rows[[f"_in_{f}" for f in features]].to_numpy(np.float64)
-                worth = sum(w * coalition_worth(tree, x) for w, tree in trees)
-                told = pd.DataFrame(worth @ shares, columns=[f"_phi_{f}" for f in features], index=rows.index)
-                yield pd.concat([rows[keys], pd.Series(worth[:, 0], name="base", index=rows.index), told], axis=1)
+                told = np.zeros((len(rows), len(features)))
+                for rule, table in zip(rules, tables, strict=True):
+                    if not rule.features:
+                        continue
+                    holds = rule.holds(x)
+                    if table is None:
+                        part = rule.value * rule_shares(holds.astype(np.float64), rule.shares)
+                    else:
+                        part = table[holds @ (1 << np.arange(len(rule.features)))]
+                    told[:, rule.features] += part
+                shown = pd.DataFrame(told, columns=[f"_phi_{f}" for f in features], index=rows.index)
+                yield pd.concat([rows[keys], pd.Series(base, name="base", index=rows.index), shown], axis=1)
 
     return run
 

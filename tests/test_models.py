@@ -267,6 +267,58 @@ def test_attribution_adds_up_and_finds_the_driver(spark, data):
     assert S.attribution_rank(told).where("place = 1").count() == 6
 
 
+def test_rule_values_equal_all_sets():
+    """The polynomial against the sum over sets of known features, missing values and repeated cuts on a feature included."""
+    from itertools import combinations
+    from math import factorial
+
+    r = random.Random(4)
+    k = 5
+    for _ in range(20):
+        tree = []
+
+        def grow(depth, rows, tree=tree):
+            at = len(tree)
+            tree.append(None)
+            if depth == 0 or rows < 2:
+                tree[at] = [-1, 0, -1, -1, r.gauss(0, 1), rows]
+            else:
+                taken = r.randrange(1, rows)
+                left, right = grow(depth - 1, taken), grow(depth - 1, rows - taken)
+                tree[at] = [r.randrange(k), r.gauss(0, 1), left, right, 0.0, rows]
+            return at
+
+        grow(4, 60)
+        nodes = np.array(tree, float)
+        x = np.array([[r.gauss(0, 1) if r.random() > 0.1 else np.nan for _ in range(k)] for _ in range(6)])
+        found = np.zeros((6, k))
+        for rule in S.leaf_rules(1.0, nodes):
+            if rule.features:
+                found[:, rule.features] += rule.value * S.rule_shares(rule.holds(x).astype(float), rule.shares)
+        for row in range(6):
+            worth = lambda known: expected_prediction(nodes, known, x[row])  # noqa: E731, B023
+            for f in range(k):
+                others = [o for o in range(k) if o != f]
+                value = sum(factorial(n) * factorial(k - n - 1) / factorial(k) * (worth((*c, f)) - worth(c)) for n in range(k) for c in combinations(others, n))
+                assert found[row, f] == pytest.approx(value, abs=1e-9)
+
+
+def test_attribution_of_forty_features(spark):
+    r = random.Random(6)
+    names = [f"f{i:02d}" for i in range(40)]
+    rows = [(f"s{i}", day("2021-01-01") + dt.timedelta(i), *(x := [r.gauss(0, 1) for _ in names]), int(x[7] + 0.5 * x[31] > 0)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "symbol string, date date, " + ", ".join(f"{n} double" for n in names) + ", y int").cache()
+    model = MO.fit_gbt(frame, {"n_estimators": 10, "max_depth": 5}, names, "y")
+    some = frame.limit(40).cache()
+    told = {t["symbol"]: t for t in S.feature_attribution(some, model, frame, names).collect()}
+    odds = F.ln(F.col("y_pred_proba") / (1 - F.col("y_pred_proba")))
+    for t in MO.score(model, some).select("symbol", odds.alias("m")).collect():
+        parts = told[t["symbol"]]["attribution"]
+        assert len(parts) == 40 and sum(parts.values()) + told[t["symbol"]]["base"] == pytest.approx(t["m"], abs=1e-6)
+    total = {n: sum(abs(t["attribution"][n]) for t in told.values()) for n in names}
+    assert sorted(total, key=total.get)[-2:] == ["f31", "f07"]
+
+
 @pytest.mark.parametrize("kind", ["logistic", "calibrated"])
 def test_attribution_of_other_models(spark, data, kind):
     train = data.where("split = 'train'")
