@@ -163,7 +163,3 @@ def horizon_rule(predictions: DataFrame, horizon: int, ns: Sequence[int] = (5, 1
     accepted = tranche_trades(trades, horizon)
     kpis = tranche_backtest(predictions, horizon, ret=ret)
     return kpis.join(payoff_stats(accepted, ret=ret), list(RUN))
-
-
-def label_counts(df: DataFrame, label: str = LABEL) -> DataFrame:
-    return df.groupBy(label).agg(F.count("*").alias("rows"))
