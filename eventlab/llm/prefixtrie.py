@@ -34,7 +34,7 @@ FAMILY = 20
 #: At most this many turns, less one, are taken over.
 HEADS = 4
 #: A subtree with more turns than this, counted for every conversation, is not given to one shard.
-SUBTREE_ROWS = 4096
+SUBTREE_ROWS = 512
 #: Nodes of a shard, about.
 SHARD_NODES = 1 << 15
 #: Turns of a conversation that one task sums up.
