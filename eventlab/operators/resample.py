@@ -18,6 +18,8 @@ from .portfolio import COST, RUN, backtest_kpis
 BLOCK = 64
 #: Candidates of a day and seed that one task ranks.
 DAY_PART = 4096
+#: Standard deviations by which the limit of the draws is set beyond what a day needs.
+SPARE = 2.5
 
 
 def bootstrap_trades(
@@ -103,21 +105,42 @@ def confidence_interval(
 def exposure_matched_trades(
     candidates: DataFrame, trades: DataFrame, seeds: int = 20, keys: Sequence[str] = RUN
 ) -> DataFrame:
-    """Per seed and day as many random candidates as the run really traded."""
+    """Per seed and day as many random candidates as the run really traded, all of them if there are fewer.
+
+    They are the candidates with the smallest hashes of (seed, date, symbol). A hash below a limit that the day's
+    counts set is likely among them, so a candidate is multiplied only by the seeds for which its own is; days and
+    seeds for which too few are (about one in a hundred) get the hashes above the limit as well.
+    """
     keys = list(keys)
     day = F.struct(*keys, "date")
     wanted = trades.groupBy(day.alias("_day")).agg(F.count("*").alias("_wanted"))
     offered = candidates.groupBy(day.alias("_day")).agg(F.count("*").alias("_offered"))
-    pool = (
-        candidates.withColumn("_day", day)
-        .join(wanted.join(offered, "_day"), "_day")
-        .withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-        .withColumn("_draw", F.md5(F.concat_ws("|", "seed", "date", "symbol")))
+    days = stored(wanted.join(offered, "_day"), "days")
+    pool = candidates.withColumn("_day", day).join(days, "_day")
+    limit = (F.col("_wanted") + SPARE * F.sqrt("_wanted") + 1) / F.col("_offered")
+
+    def draw(seed: Column) -> Column:
+        return F.md5(F.concat_ws("|", seed, "date", "symbol"))
+
+    def share(hexed: Column) -> Column:
+        return F.conv(F.substring(hexed, 1, 8), 16, 10).cast("bigint") / 2.0**32
+
+    every = F.sequence(F.lit(0), F.lit(seeds - 1))
+    low = F.filter(every, lambda seed: share(draw(seed)) < limit)
+    columns = [*candidates.columns, "_day", "_wanted", "_offered", "seed"]
+    near = stored(pool.withColumn("seed", F.explode(low)).select(*columns), "draws")
+    found = near.groupBy("_day", "seed").agg(F.count("*").alias("_found"))
+    short = (
+        days.withColumn("seed", F.explode(every))
+        .join(found, ["_day", "seed"], "left")
+        .where(F.coalesce("_found", F.lit(0)) < F.least("_wanted", "_offered"))
+        .select("_day", "seed")
     )
+    far = pool.join(short, "_day").where(share(draw(F.col("seed"))) >= limit).select(*columns)
     # A day is cut into equal ranges of the hash, one for every `DAY_PART` candidates.
-    share = F.conv(F.substring("_draw", 1, 8), 16, 10).cast("bigint") / 2.0**32
-    bucket = F.floor(share * F.ceil(F.col("_offered") / DAY_PART))
-    ranked = number_rows(pool, [*keys, "seed", "date"], bucket, ["_draw", "symbol"], "_place")
+    drawn = near.unionByName(far).withColumn("_draw", draw(F.col("seed")))
+    bucket = F.floor(share(F.col("_draw")) * F.ceil(F.col("_offered") / DAY_PART))
+    ranked = number_rows(drawn, [*keys, "seed", "date"], bucket, ["_draw", "symbol"], "_place")
     return ranked.where(F.col("_place") <= F.col("_wanted")).select(*candidates.columns, "seed")
 
 

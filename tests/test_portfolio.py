@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 
 import pandas as pd
@@ -226,6 +227,45 @@ def test_random_exposure_matches_the_days(spark):
     assert drawn.select("seed").distinct().count() == 5
 
 
+@pytest.mark.parametrize("spare", [2.5, -1.5])
+def test_random_exposure_takes_the_smallest_hashes(spark, monkeypatch, spare):
+    """Also on days and seeds whose limit left too few, where more is wanted than offered, and for NULL keys."""
+    monkeypatch.setattr(R, "SPARE", spare)
+    data = [(f"r{run}" if run else None, day, f"s{i}") for run in range(3) for day in range(1, 6) for i in range(12 * day * (run + 1))]
+    pool = spark.createDataFrame(data, "run_id string, d int, symbol string").select(
+        "run_id", F.make_date(F.lit(2024), F.lit(1), "d").alias("date"), "symbol", F.lit(0.5).alias("x")
+    )
+    real = pool.where("substring(symbol, 2, 9) % 5 = 0").unionByName(pool.where("day(date) = 1 and run_id = 'r1'"))
+    seeds = 6
+    got = {tuple(r) for r in R.exposure_matched_trades(pool, real, seeds, ["run_id"]).select("run_id", "date", "seed", "symbol").collect()}
+    offered, wanted = {}, {}
+    for r in pool.collect():
+        offered.setdefault((r.run_id, r.date), []).append(r.symbol)
+    for r in real.collect():
+        wanted[r.run_id, r.date] = wanted.get((r.run_id, r.date), 0) + 1
+    assert wanted["r1", day("2024-01-01")] > len(offered["r1", day("2024-01-01")])
+    expected = set()
+    for (run, when), symbols in offered.items():
+        for seed in range(seeds):
+            ranked = sorted(symbols, key=lambda s: hashlib.md5(f"{seed}|{when}|{s}".encode()).hexdigest())
+            expected |= {(run, when, seed, s) for s in ranked[: wanted[run, when]]}
+    assert got == expected
+
+
+def test_random_exposure_multiplies_few_candidates(spark, monkeypatch):
+    pool = sample_trades(spark, 4000)
+    real = pool.where(F.pmod(F.xxhash64("symbol"), F.lit(50)) == 0)
+    kept = []
+
+    def count(df, label="table"):
+        kept.append((label, df.count()))
+        return df
+
+    monkeypatch.setattr(R, "stored", count)
+    drawn = R.exposure_matched_trades(pool, real, 20)
+    assert dict(kept)["draws"] < 3 * drawn.count() < 0.1 * 20 * pool.count()
+
+
 def test_ticker_sample_is_seeded(spark):
     df = spark.range(100).select(F.concat(F.lit("s"), "id").alias("symbol"))
     a = {r["symbol"] for r in R.seeded_ticker_sample(df, 30).collect()}
