@@ -121,12 +121,27 @@ def run_log_load(spark, sf):
     return tidy(log.load().select("run_id", "config_json", "accuracy", "precision", "train_precision", *KPIS))
 
 
+def run_log_compact(spark, sf):
+    """KPIs, a correction logged for the same time, a compaction, a later Sharpe ratio, a late fact that counts no more."""
+    log = _log(spark, sf)
+    runs = K.run_log(spark, sf).where(F.col("total_return").isNotNull()).withColumn("logged_at", F.col("timestamp"))
+    log.append_backtest(runs)
+    log.append_backtest(runs.where("total_return > 0").select("run_id", "logged_at", (F.col("total_return") / 2).alias("total_return")))
+    log.compact()
+    later = F.col("timestamp") + F.expr("INTERVAL 1 HOUR")
+    log.append_backtest(runs.where("win_rate > 0.5").select("run_id", later.alias("logged_at"), (F.col("sharpe") + 1).alias("sharpe")))
+    earlier = F.col("timestamp") - F.expr("INTERVAL 1 HOUR")
+    log.append_backtest(runs.select("run_id", earlier.alias("logged_at"), F.lit(-9.0).alias("max_drawdown")))
+    log.compact()
+    return tidy(log.load().select("run_id", *KPIS))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         run_labels, config_expand, config_long, report_table, config_diff, train_test_gap, gap_vs_backtest,
         run_counts, gap_correlation, gap_correlation_all, top_runs, lowest_gap, run_log_append, run_log_upsert,
-        run_log_load,
+        run_log_load, run_log_compact,
     )
 }
 
@@ -188,4 +203,10 @@ SQL = {
         f"""SELECT run_id, config_json, {r6_all('accuracy', 'precision', 'train_precision', 'total_return')},
         {', '.join(r6(f'CASE WHEN total_return IS NOT NULL THEN {k} END', k) for k in KPIS[1:])} FROM runs"""
     ),
+    "run_log_compact": with_ctes(
+        f"""SELECT run_id, {r6('CASE WHEN total_return > 0 THEN total_return / 2 ELSE total_return END', 'total_return')},
+        {r6('CASE WHEN total_return IS NOT NULL THEN win_rate END', 'win_rate')},
+        {r6('CASE WHEN total_return IS NOT NULL THEN coalesce(max_drawdown, -9) END', 'max_drawdown')},
+        {r6('CASE WHEN total_return IS NOT NULL THEN CASE WHEN win_rate > 0.5 THEN sharpe + 1 ELSE sharpe END END', 'sharpe')} FROM runs"""
+    ),
 }

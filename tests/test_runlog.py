@@ -1,4 +1,5 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from conftest import rows
@@ -93,3 +94,88 @@ def test_log_round_trip(spark, tmp_path):
     assert got == {"a": (0.5, 0.9), "b": (None, None), "c": (None, None)}
     with pytest.raises(ValueError, match="ghost"):
         store.append_backtest(kpis.withColumn("run_id", F.lit("ghost")))
+
+
+def kpi_rows(spark, data):
+    return spark.createDataFrame(data, "run_id string, logged_at string, total_return double, sharpe double").withColumn(
+        "logged_at", F.col("logged_at").cast("timestamp")
+    )
+
+
+def loaded(store):
+    return {r["run_id"]: (r["total_return"], r["sharpe"]) for r in store.load().collect()}
+
+
+def new_store(spark, path, runs):
+    store = RunLog(spark, str(path))
+    store.append_training(spark.createDataFrame([(r,) for r in runs], "run_id string"))
+    return store
+
+
+def test_equal_times_go_by_commit(spark, tmp_path):
+    store = new_store(spark, tmp_path / "log", "ab")
+    at = "2024-03-01 10:00:00"
+    store.append_backtest(kpi_rows(spark, [("a", at, 0.9, 2.0), ("b", None, 0.1, None)]))
+    store.append_backtest(kpi_rows(spark, [("a", at, 0.2, None), ("a", at, 0.3, None), ("b", "2024-02-01 00:00:00", None, 7.0)]))
+    # A late commit of an earlier time changes nothing.
+    store.append_backtest(kpi_rows(spark, [("a", "2024-01-01 00:00:00", 0.7, 0.7)]))
+    want = {"a": (0.3, 2.0), "b": (0.1, 7.0)}
+    assert loaded(store) == want
+    assert store.compact() is not None and store.compact() is None
+    assert loaded(store) == want and len(store.commits()) == 1
+    store.append_backtest(kpi_rows(spark, [("a", at, 0.4, None)]))
+    assert loaded(store) == {**want, "a": (0.4, 2.0)}
+    store.compact()
+    assert loaded(store) == {**want, "a": (0.4, 2.0)}
+    # What counts no more is gone: two values of a, two of b.
+    assert store.backtests.count() == 4
+
+
+def test_a_compaction_is_bounded_by_the_runs(spark, tmp_path):
+    store = new_store(spark, tmp_path / "log", "a")
+    for i in range(6):
+        store.append_backtest(kpi_rows(spark, [("a", f"2024-01-{i + 1:02d} 00:00:00", float(j), 1.0) for j in range(5)]))
+    before = loaded(store)
+    store.compact()
+    assert loaded(store) == before == {"a": (4.0, 1.0)}
+    assert store.backtests.count() == 1
+
+
+def test_writers_and_compactions_side_by_side(spark, tmp_path):
+    runs = [f"r{i}" for i in range(6)]
+    store = new_store(spark, tmp_path / "log", runs)
+
+    def write(run):
+        own = RunLog(spark, str(tmp_path / "log"))
+        for i in range(2):
+            own.append_backtest(kpi_rows(spark, [(run, f"2024-01-0{i + 1} 00:00:00", float(i), None)]))
+
+    def compact(_):
+        RunLog(spark, str(tmp_path / "log")).compact()
+
+    with ThreadPoolExecutor(4) as pool:
+        for done in [*pool.map(write, runs[:3]), *pool.map(compact, range(2)), *pool.map(write, runs[3:]), *pool.map(compact, range(2))]:
+            assert done is None
+    assert loaded(store) == {r: (1.0, None) for r in runs}
+
+
+def test_two_compactions_of_the_same_commits(spark, tmp_path, monkeypatch):
+    store = new_store(spark, tmp_path / "log", "ab")
+    for i, run in enumerate("aab"):
+        store.append_backtest(kpi_rows(spark, [(run, f"2024-01-0{i + 1} 00:00:00", float(i), None)]))
+    seen = store.commits()
+    store.compact()
+    slow = RunLog(spark, str(tmp_path / "log"))
+    monkeypatch.setattr(slow, "commits", lambda: seen)
+    slow.compact()
+    assert len(store.commits()) == 2
+    assert loaded(store) == {"a": (1.0, None), "b": (2.0, None)}
+    store.compact()
+    assert store.backtests.count() == 2 and loaded(store) == {"a": (1.0, None), "b": (2.0, None)}
+
+
+def test_rows_without_a_commit_are_not_seen(spark, tmp_path):
+    store = new_store(spark, tmp_path / "log", "a")
+    store.append_backtest(kpi_rows(spark, [("a", "2024-01-01 00:00:00", 0.5, None)]))
+    kpi_rows(spark, [("a", "2025-01-01 00:00:00", 0.9, None)]).write.parquet(f"{store.backtest_path}/commit=lost")
+    assert loaded(store) == {"a": (0.5, None)}
