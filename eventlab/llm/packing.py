@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import width
-from .tables import small_batches
+from .tables import small_batches, stored
 from .textblocks import text_blocks
 from .tokens import ENCODED_BYTES, default_vocabulary, encoder
 
@@ -40,21 +40,21 @@ def cut(n: int, length: int) -> list[tuple[int, int]]:
 
 
 def _encode(vocabulary: str | None, length: int, end_id: int, with_ids: bool) -> Callable:
-    names = [*PIECES, "group", *(["ids"] if with_ids else [])]
+    names = [*PIECES, *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary or default_vocabulary()).encode
         end = np.array([end_id], "<u4")
         for batch in batches:
-            docs, groups = batch.column("doc_id").to_pylist(), batch.column("group").to_pylist()
+            docs = batch.column("doc_id").to_pylist()
             for block in text_blocks(batch.column("text"), ENCODED_BYTES):
                 rows: list[tuple] = []
                 for row, own_ids in enumerate(encode(block), block.first):
                     ids = memoryview(np.concatenate([own_ids, end]).tobytes())
                     for i, (start, size) in enumerate(cut(len(ids) // 4, length)):
                         own = ids[4 * start : 4 * (start + size)]
-                        rows.append((docs[row], i, start, size, zlib.crc32(own), groups[row], *([bytes(own)] if with_ids else [])))
-                kinds = [*PIECES.values(), pa.int32(), *([pa.binary()] if with_ids else [])]
+                        rows.append((docs[row], i, start, size, zlib.crc32(own), *([bytes(own)] if with_ids else [])))
+                kinds = [*PIECES.values(), *([pa.binary()] if with_ids else [])]
                 arrays = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -93,23 +93,30 @@ def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _pack(length: int, names: list[str]) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [b for b in batches if b.num_rows]
-        if not found:
-            return
-        table = pa.Table.from_batches(found).combine_chunks()
-        group = table.column("group").to_numpy()
-        sequence, offset = np.empty(len(group), np.int64), np.empty(len(group), np.int64)
-        sizes = table.column("length").to_numpy()
-        for one in np.unique(group):
-            mine = np.flatnonzero(group == one)
-            # Longest first; equal lengths are interchangeable.
-            mine = mine[np.argsort(-sizes[mine], kind="stable")]
-            bins, at = sum_of_squares(sizes[mine], length)
-            sequence[mine], offset[mine] = (int(one) << 32) + bins, at
-        table = table.drop_columns("group").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+    """Packs batches that come sorted by group, and longest first in a group; holds one group at a time."""
+
+    def packed(found: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(found)
+        sequence, offset = sum_of_squares(table.column("length").to_numpy(), length)
+        sequence += int(table.column("group")[0].as_py()) << 32
+        table = table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
         yield from table.select(names).to_batches(max_chunksize=10_000)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[pa.RecordBatch] = []
+        for batch in batches:
+            group = batch.column("group").to_numpy()
+            edges = np.flatnonzero(np.diff(group)) + 1
+            for start, end in zip([0, *edges], [*edges, len(group)], strict=True):
+                if start == end:
+                    continue
+                if own and own[0].column("group")[0].as_py() != group[start]:
+                    yield from packed(own)
+                    own = []
+                own.append(batch.slice(start, end - start))
+        if own:
+            yield from packed(own)
+
     return run
 
 
@@ -123,20 +130,22 @@ def pack(
 ) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
-    A missing text is an empty one; every document ends with the end id, so none is lost. Rows are
-    dealt by their place in the input, so repeated rows and ids spread. ``with_ids`` adds the ids as
-    little-endian unsigned 32-bit numbers. Other columns are ignored.
+    A missing text is an empty one; every document ends with the end id, so none is lost. Pieces are
+    stored and dealt to groups by their place in the stored table: repeated rows and ids spread, and a lost
+    executor, after which rows may come in another order, cannot deal a piece twice or not at all. ``with_ids``
+    adds the ids as little-endian unsigned 32-bit numbers. Other columns are ignored.
     """
-    groups = max(1, -(-docs.count() // group_docs))
-    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")
-    rows = small_batches(docs).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), dealt.alias("group"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     extra = ", ids binary" if with_ids else ""
     fields = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    pieces = rows.mapInArrow(_encode(vocabulary, length, end_id, with_ids), f"{fields}, group int{extra}")
+    pieces = stored(rows.mapInArrow(_encode(vocabulary, length, end_id, with_ids), f"{fields}{extra}"), "pieces")
+    groups = max(1, -(-pieces.where("piece = 0").count() // group_docs))
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")
     names = [*PIECES, *PLACES, *(["ids"] if with_ids else [])]
     # A task packs one group after another where there are more groups than partitions.
-    dealt_out = pieces.repartitionById(min(groups, width(docs.sparkSession)), "group")
-    return dealt_out.mapInArrow(_pack(length, names), f"{fields}, sequence_id bigint, offset bigint{extra}")
+    dealt_out = pieces.withColumn("group", dealt).repartitionById(min(groups, width(docs.sparkSession)), "group")
+    ordered = dealt_out.sortWithinPartitions("group", F.desc("length"), "doc_id", "piece", "ids_crc32")
+    return ordered.mapInArrow(_pack(length, names), f"{fields}, sequence_id bigint, offset bigint{extra}")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
