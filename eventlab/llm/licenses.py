@@ -4,8 +4,12 @@ The automaton holds every run of words of every template. Streamed through it, e
 file gets the length of the longest template run that ends there. Long maximal matches are
 chained, template by template, into spans; a notice with changed words still forms one span.
 
-Only stretches of template words that hold three consecutive words of a template are
-streamed; nothing else can match three words. They are found for whole blocks at once.
+Only stretches of template words that hold three consecutive words of a template, or the whole of a
+shorter one, are streamed; nothing else can match as much. They are found for whole blocks at once.
+
+Notices of one family share most of their words. Of spans that overlap by more than half of the shorter
+one, the one that covers most words stays, and of equal ones the one whose template is covered best: a notice
+with an additional clause, another version or another name gets the label of its own template.
 """
 
 from __future__ import annotations
@@ -47,15 +51,44 @@ TEMPLATES = {
         " to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF"
         " ANY KIND, either express or implied."
     ),
+    "bsd-2": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
+        " conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the"
+        " following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and"
+        " the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED"
+        " BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE"
+        " IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    ),
     "bsd-3": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
-        " conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the"
-        " following disclaimer."
+        " conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the"
+        " following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and"
+        " the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the"
+        " copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without"
+        " specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS"
+        " OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR"
+        " PURPOSE ARE DISCLAIMED."
+    ),
+    "gpl-2": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as"
+        " published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
     ),
     "gpl-3": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as"
         " published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "lgpl-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"
+        " as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "lgpl-3": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"
+        " as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "agpl-3": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"
+        " as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
     "mpl-2": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed"
         " with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
@@ -186,13 +219,16 @@ class Model:
     vocabulary: dict[bytes, int]
     hashes: np.ndarray
     of_hash: np.ndarray
-    seeds: np.ndarray
+    #: Runs of one, two and three words that begin a stretch.
+    seeds: dict[int, np.ndarray]
 
 
 @lru_cache(maxsize=4)
 def model(templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str], ...]) -> Model:
     """Built once per process from (text, label) pairs."""
     texts = [(split_words(text), label) for text, label in (*templates, *phrases)]
+    if not all(tokens for tokens, _ in texts):
+        raise ValueError("a phrase or a template has no word")
     vocabulary: dict[bytes, int] = {}
     for tokens, _ in texts:
         for token in tokens:
@@ -204,17 +240,19 @@ def model(templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str]
     found = [(split_words(text), label) for text, label in phrases]
     places = [(automaton.find([vocabulary[t] for t in tokens]), len(tokens), label) for tokens, label in found]
     n = len(vocabulary) + 1
-    seeds = set()
+    seeds: dict[int, set[int]] = {k: set() for k in range(1, SEED_WORDS + 1)}
     for tokens, _ in texts:
         ids = [vocabulary[t] for t in tokens]
-        seeds.update((a * n + b) * n + c for a, b, c in zip(ids, ids[1:], ids[2:], strict=False))
+        size = min(len(ids), SEED_WORDS)
+        for i in range(len(ids) - size + 1):
+            seeds[size].add(sum(x * n**k for k, x in enumerate(reversed(ids[i : i + size]))))
     listed = [np.frombuffer(t, np.uint8) for t in vocabulary]
     joined = np.concatenate(listed)
     ends = np.cumsum([len(x) for x in listed])
     hashes = span_hash(prefix_hash(joined), ends - [len(x) for x in listed], ends)
     order = np.argsort(hashes)
     sizes = [(label, len(tokens)) for tokens, label in texts]
-    return Model(sizes, automaton, places, vocabulary, hashes[order], order + 1, np.array(sorted(seeds)))
+    return Model(sizes, automaton, places, vocabulary, hashes[order], order + 1, {k: np.array(sorted(v)) for k, v in seeds.items() if v})
 
 
 def standard_templates() -> tuple[tuple[str, str], ...]:
@@ -232,11 +270,21 @@ def stretches(block: Block, m: Model) -> tuple[np.ndarray, list[tuple[int, int,
     at = np.minimum(np.searchsorted(m.hashes, hashes), len(m.hashes) - 1)
     ids = np.where(m.hashes[at] == hashes, m.of_hash[at], 0).astype(np.int64)
     known = ids > 0
-    three = np.flatnonzero(known[:-2] & known[1:-1] & known[2:] & (rows[:-2] == rows[2:]))
     n = len(m.vocabulary) + 1
-    code = (ids[three] * n + ids[three + 1]) * n + ids[three + 2]
-    found = np.minimum(np.searchsorted(m.seeds, code), len(m.seeds) - 1)
-    seeds = three[m.seeds[found] == code]
+    begun = []
+    for size, wanted in m.seeds.items():
+        last = len(ids) - size + 1
+        if last <= 0:
+            continue
+        whole = rows[:last] == rows[size - 1 :]
+        code = np.zeros(last, np.int64)
+        for k in range(size):
+            whole &= known[k : k + last]
+            code = code * n + ids[k : k + last]
+        at = np.flatnonzero(whole)
+        place = np.minimum(np.searchsorted(wanted, code[at]), len(wanted) - 1)
+        begun.append(at[wanted[place] == code[at]])
+    seeds = np.unique(np.concatenate(begun)) if begun else np.empty(0, np.int64)
     if not len(seeds):
         return counts, []
     before = np.searchsorted(starts, block.offsets)
@@ -292,6 +340,15 @@ def chain(matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     return [tuple(s) for s in spans_]
 
 
+def resolve(found: list[tuple[str, int, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """The spans (label, start, end, words covered, share) that no better one overlaps by over half of the shorter, without the words covered."""
+    kept: list[tuple[str, int, int, float]] = []
+    for label, start, end, _, share in sorted(found, key=lambda s: (-s[3], -s[4], s[1], s[0])):
+        if all(2 * (min(end, b) - max(start, a)) <= min(end - start, b - a) for _, a, b, _ in kept):
+            kept.append((label, start, end, share))
+    return sorted(kept, key=lambda s: s[1])
+
+
 RESULT = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -316,12 +373,14 @@ def _scan(templates: tuple, phrases: tuple) -> object:
                     places[block.first + row] += [(first + at, label) for at, label in here]
                     matches.setdefault(row, []).extend((first + a, first + b, t, end) for a, b, t, end in long)
                 for row, own in matches.items():
+                    spanned = []
                     for template, start, end, covered in chain(own):
                         label, size = m.templates[template]
                         share = covered / size
                         # Templates of a few words are phrases; they are places, not spans.
                         if size > MIN_MATCH and (share >= MIN_SHARE or covered >= MIN_COVERED):
-                            found[block.first + row].append((label, start, end, min(1.0, share)))
+                            spanned.append((label, start, end, covered, min(1.0, share)))
+                    found[block.first + row] += resolve(spanned)
             columns = [
                 batch.column("doc_id"),
                 pa.array(np.concatenate(counts) if counts else [], pa.int64()),
@@ -338,7 +397,8 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, phrases: dic
 
     ``places`` are phrases (first word and label), ``spans`` stretches covered by a template (label,
     first word, word after the last, share of the template). Templates and phrases map texts to
-    labels. A missing text is empty; other columns are ignored.
+    labels; a phrase may have any number of words, a template makes spans if it has more than
+    `MIN_MATCH`. One without words is an error. A missing text is empty; other columns are ignored.
     """
     used = standard_templates() if templates is None else tuple(templates.items())
     rows = small_batches(files).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))

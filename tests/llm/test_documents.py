@@ -225,6 +225,39 @@ def test_license_spans(spark):
     assert got[1].spans == [] and got[2].spans == []
 
 
+@pytest.mark.parametrize("phrases", [{"gpl licensed": "gpl", "mit": "mit"}, {"mit": "mit"}, {"a b c d": "four", "b c": "two", "c": "one"}])
+@pytest.mark.parametrize("templates", [None, {}])
+def test_short_phrases(spark, phrases, templates):
+    """Phrases of one and two words, beside templates and alone, at the ends of texts and in a row."""
+    r = np.random.default_rng(3)
+    pool = ["gpl", "licensed", "mit", "a", "b", "c", "d", "other", "free", "software"]
+    texts = [(i, " ".join(r.choice(pool, int(n)))) for i, n in enumerate(r.integers(0, 40, 60))] + [(100, "gpl"), (101, "licensed"), (102, "MIT"), (103, None)]
+    scanned = licenses.scan(spark.createDataFrame(texts, "doc_id bigint, text string"), templates, phrases)
+    got = {x.doc_id: sorted((p.word, p.label) for p in x.places) for x in scanned.collect()}
+    for doc, text in texts:
+        words = (text or "").lower().split()
+        split = {tuple(p.split()): label for p, label in phrases.items()}
+        assert got[doc] == sorted((i, label) for p, label in split.items() for i in range(len(words)) if tuple(words[i : i + len(p)]) == p)
+
+
+def test_phrases_without_words_are_refused():
+    with pytest.raises(ValueError, match="no word"):
+        licenses.model((), (("--", "x"),))
+
+
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
+def test_every_notice_gets_its_own_label(spark, label):
+    notice = licenses.TEMPLATES[label]
+    words = notice.split()
+    changed = " ".join(words[: len(words) // 2] + ["inserted"] + words[len(words) // 2 :])
+    other = licenses.TEMPLATES["isc" if label == "mit" else "mit"]
+    texts = [(0, notice), (1, f"Copyright some one. {changed} More text."), (2, f"{notice} and {other}")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert [s.label for s in got[0].spans] == [label] and got[0].spans[0].share == 1.0
+    assert [s.label for s in got[1].spans] == [label]
+    assert [s.label for s in got[2].spans] == [label, "isc" if label == "mit" else "mit"]
+
+
 def test_matching_statistics():
     model = licenses.model((("a b c a b d", "x"), ("b c a c", "y")), (("a b c", "p"),))
     known = {v: k.decode() for k, v in model.vocabulary.items()}
