@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ordering import number_sorted
+from ..functions.ordering import number_sorted, sort_rows
 from .tables import free_name, stored
 
 SHARDS = 40
@@ -58,18 +58,22 @@ def curve_index(levels: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _text_numbers(rows: DataFrame, names: Sequence[str]) -> dict[str, Column]:
-    """Text columns as numbers in code point order, by the seven bytes after what all values share."""
-    if not names:
-        return {}
-    found = rows.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.min, F.max)]).first()
-    out = {}
-    for c in names:
-        low, high = ((found[f"{f}_{c}"] or "").encode() for f in ("min", "max"))
-        same = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
-        cut = F.substring(F.col(c).cast("binary"), same + 1, 7)
-        out[c] = F.conv(F.rpad(F.hex(cut), 14, "0"), 16, 10).cast("bigint")
-    return out
+def _text_quantiles(rows: DataFrame, name: str, steps: Sequence[float]) -> list[str]:
+    """For each step the smallest text that this share of the texts do not exceed, in code point order.
+
+    Whole texts are compared. Distinct ones are counted and sorted over the cluster, cut into parts.
+    """
+    counted = rows.na.drop(subset=[name]).groupBy(F.col(name).alias("text")).agg(F.count("*").alias("n"))
+    placed = sort_rows(counted, [], ["text"])
+    sizes = placed.groupBy("_part").agg(F.sum("n").alias("size"))
+    across = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # One row for each part.
+    before = sizes.select("_part", F.coalesce(F.sum("size").over(across), F.lit(0)).alias("lower"), F.sum("size").over(W.partitionBy()).alias("total"))
+    inside = W.partitionBy("_part").orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
+    upto = F.col("lower") + F.col("upto")
+    ranked = placed.withColumn("upto", F.sum("n").over(inside)).join(before, "_part")
+    found = ranked.agg(*[F.min(F.when(upto >= step * F.col("total"), F.col("text"))) for step in steps]).first()
+    return [x for x in found if x is not None]
 
 
 def levels(rows: DataFrame, dims: Sequence[str], bits: int) -> list[Column]:
@@ -78,13 +82,17 @@ def levels(rows: DataFrame, dims: Sequence[str], bits: int) -> list[Column]:
     A missing value has level 0. Only the quantiles, at most 2 ** bits of each column, come to the driver.
     """
     texts = [c for c in dims if isinstance(rows.schema[c].dataType, T.StringType)]
-    numbers = {c: F.col(c).cast("double") for c in dims} | _text_numbers(rows, texts)
+    values = {c: F.col(c) if c in texts else F.col(c).cast("double") for c in dims}
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    found = rows.agg(*[F.percentile_approx(numbers[c], steps, ACCURACY).alias(f"q{i}") for i, c in enumerate(dims)]).first()
+    found = {c: _text_quantiles(rows, c, steps) for c in texts}
+    numbers = [c for c in dims if c not in texts]
+    if numbers:
+        row = rows.agg(*[F.percentile_approx(values[c], steps, ACCURACY) for c in numbers]).first()
+        found |= {c: x or [] for c, x in zip(numbers, row, strict=True)}
     out = []
-    for i, c in enumerate(dims):
+    for c in dims:
         # A frequent value takes several quantiles; so frequent values lie far apart on the grid.
-        below = [F.when(numbers[c] > b, n).otherwise(0) for b, n in sorted(Counter(found[f"q{i}"] or []).items())]
+        below = [F.when(values[c] > b, n).otherwise(0) for b, n in sorted(Counter(found[c]).items())]
         out.append(F.coalesce(sum(below, F.lit(0)), F.lit(0)).cast("int"))
     return out
 

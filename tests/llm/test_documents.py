@@ -187,6 +187,25 @@ def test_budgets_are_met():
     assert (mixing.fill_budget(np.array([0, 5]), np.array([3, 2]), 5) == [0, 1]).all()
 
 
+def test_levels_compare_whole_texts(spark):
+    """Texts that differ after long shared beginnings, beside frequent, equal, empty and missing ones."""
+    r = np.random.default_rng(8)
+    hosts = [f"http{'s' if i % 2 else ''}://www.{'shared-name-' * 3}{i:03d}.example" for i in range(60)]
+    texts = [*r.choice(hosts, 400), *["http://www.hot.example"] * 300, "", "\u00e9", "\U0001f600", "z" * 5000, None, None]
+    sizes = [int(x) for x in r.integers(0, 1000, len(texts))]
+    df = spark.createDataFrame(list(zip(map(lambda t: None if t is None else str(t), texts), sizes, strict=True)), "source string, size bigint")
+    bits = 4
+    made = hilbert.levels(df, ["source", "size"], bits)
+    got = {(x.source, x.level) for x in df.select("source", made[0].alias("level")).collect()}
+    ordered = sorted((str(t) for t in texts if t is not None), key=lambda t: t.encode())
+    edges = [ordered[math.ceil(i * len(ordered) / 2**bits) - 1].encode() for i in range(1, 2**bits)]
+    assert got == {(None if t is None else str(t), 0 if t is None else sum(str(t).encode() > e for e in edges)) for t in texts}
+    # The hosts are told apart: far more than the two beginnings.
+    assert len({level for _, level in got}) >= 8
+    none = spark.createDataFrame([(None, 1)], "source string, size bigint")
+    assert none.select(*hilbert.levels(none, ["source", "size"], bits)).collect()[0][0] == 0
+
+
 def plain_places(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
