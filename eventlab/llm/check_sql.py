@@ -30,23 +30,26 @@ WITH words AS (
     SELECT *, n_words < {quality.MIN_WORDS} OR n_repeat_words * 100 > n_words * {quality.MAX_REPEAT_PERCENT} AS base_failed FROM measured
 ), strict AS (
     SELECT *, base_failed OR n_symbols * 100 > word_chars * {quality.MAX_SYMBOL_PERCENT}
-        OR n_dup_lines * 100 > n_words * {quality.MAX_DUP_LINE_PERCENT} AS strict_failed FROM judged
+        OR n_dup_lines * 100 > n_words * {quality.MAX_DUP_LINE_PERCENT} AS strict_failed,
+        base_failed OR n_symbols * 100 > word_chars * {quality.MAX_SYMBOL_PERCENT * quality.WIDE_MARGIN}
+        OR n_dup_lines * 100 > n_words * {quality.MAX_DUP_LINE_PERCENT * quality.WIDE_MARGIN} AS wide_failed FROM judged
 ), hosts AS (
-    SELECT host, count(*) AS host_docs, count(*) FILTER (WHERE base_failed) AS host_failed FROM judged GROUP BY host
+    SELECT host, count(*) AS host_docs, count(*) FILTER (WHERE strict_failed) AS host_failed FROM strict GROUP BY host
 ), sums AS (
     SELECT count(*) AS k, sum(host_docs)::DOUBLE AS n, sum(host_failed) / sum(host_docs) AS m,
         sum(host_docs::DOUBLE * host_docs) AS squares, sum(host_failed::DOUBLE * host_failed / host_docs) AS moment FROM hosts
 ), spread AS (
     SELECT m, CASE WHEN n - squares / n > 0 THEN (moment - n * m * m - m * (1 - m) * (k - 1)) / (n - squares / n) ELSE 0 END AS v FROM sums
 ), rated AS (
-    SELECT host, host_docs, host_failed, CASE WHEN v <= 0 THEN m
+    SELECT host, host_docs, host_failed,
+        least({quality.MAX_HOST_RATE}::DOUBLE, m + {quality.PRIOR_DEVIATIONS} * sqrt(least(greatest(v, 0), m * (1 - m)))) AS host_limit, CASE WHEN v <= 0 THEN m
         ELSE (host_failed + m * greatest(m * (1 - m) / v - 1, 0)) / (host_docs + greatest(m * (1 - m) / v - 1, 0)) END AS rate
     FROM hosts, spread
 )
 SELECT doc_id, s.host, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
     CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, host_docs, host_failed,
-    round(rate, 6) AS host_rate, rate <= {quality.MAX_HOST_RATE} AS host_trusted, base_failed,
-    NOT base_failed AND (rate <= {quality.MAX_HOST_RATE} OR NOT strict_failed) AS kept
+    round(rate, 6) AS host_rate, round(host_limit, 6) AS host_limit, rate <= host_limit AS host_trusted, base_failed,
+    NOT wide_failed AND (rate <= host_limit OR NOT strict_failed) AS kept
 FROM strict s JOIN rated r ON s.host IS NOT DISTINCT FROM r.host
 """
 

@@ -1,9 +1,10 @@
 """Quality rules for documents, and what they say about whole hosts.
 
-Every document is measured by itself. Failures are counted by host (the document's source),
-and a host's failure rate is shrunk towards the other hosts by a beta prior that is fitted to
-all hosts. A host whose shrunk rate is too high is distrusted, and its documents must also
-pass the stricter rules.
+Every document is measured by itself. Failures of all rules are counted by host (the document's
+source), and a host's failure rate is shrunk towards the other hosts by a beta prior that is fitted
+to all hosts. A host whose shrunk rate lies above the upper end of that prior, or above
+`MAX_HOST_RATE`, is distrusted, and its documents must also pass the stricter rules. On a trusted
+host a document only goes if it breaks the base rules, or a stricter one by a wide margin.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ WINDOW = 3
 #: Limits of the stricter rules: symbols per 100 word characters, repeated lines per 100 words.
 MAX_SYMBOL_PERCENT = 10
 MAX_DUP_LINE_PERCENT = 10
-#: Shrunk share of failing documents above which a host is distrusted.
-MAX_HOST_RATE = 0.5
+#: How many times over a stricter limit a document goes on a trusted host too.
+WIDE_MARGIN = 2
+#: Shrunk share of failing documents above which a host is distrusted, whatever the other hosts are like.
+MAX_HOST_RATE = 0.1
+#: A host is distrusted, too, if its rate is so many deviations of the prior above the prior's mean.
+PRIOR_DEVIATIONS = 2
 
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _IS_SYMBOL = np.zeros(256, bool)
@@ -119,19 +124,20 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < MIN_WORDS) | (m["n_repeat_words"] * 100 > m["n_words"] * MAX_REPEAT_PERCENT)
 
 
-def strict_failed(m: Column) -> Column:
-    """The base rules, and those that only count on a distrusted host."""
-    symbols = m["n_symbols"] * 100 > m["word_chars"] * MAX_SYMBOL_PERCENT
-    lines = m["n_dup_lines"] * 100 > m["n_words"] * MAX_DUP_LINE_PERCENT
+def strict_failed(m: Column, margin: int = 1) -> Column:
+    """The base rules and the stricter ones, whose limits are multiplied by the margin."""
+    symbols = m["n_symbols"] * 100 > m["word_chars"] * MAX_SYMBOL_PERCENT * margin
+    lines = m["n_dup_lines"] * 100 > m["n_words"] * MAX_DUP_LINE_PERCENT * margin
     return base_failed(m) | symbols | lines
 
 
 def host_verdicts(rows: DataFrame, host: str, failed: Column, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """One row per host: ``host_docs, host_failed, host_rate, host_trusted, all_docs``.
+    """One row per host: ``host_docs, host_failed, host_rate, host_limit, host_trusted, all_docs``.
 
     Rates follow a beta distribution whose mean and strength are fitted to all hosts by
     moments (the spread of the observed rates, less what the size of the hosts explains).
-    With one host, or no spread beyond chance, all hosts get the common rate.
+    With one host, or no spread beyond chance, all hosts get the common rate. The limit is the
+    prior's mean and `PRIOR_DEVIATIONS` deviations, at most ``max_rate``.
     """
     counted = rows.groupBy(host).agg(F.count("*").alias("host_docs"), F.sum(failed.cast("bigint")).alias("host_failed"))
     hosts = stored(counted, "hosts")
@@ -139,11 +145,13 @@ def host_verdicts(rows: DataFrame, host: str, failed: Column, max_rate: float =
     sums = {"hosts": F.count("*"), "docs": F.sum(size), "failed": F.sum(bad), "squares": F.sum(size * size), "moment": F.sum(bad * bad / size)}
     found = hosts.agg(*[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in sums.items()]).first()
     mean, strength = beta_prior(**found.asDict())
+    limit = min(max_rate, mean + PRIOR_DEVIATIONS * beta_deviation(mean, strength))
     if strength is None:
         shrunk = F.lit(mean)
     else:
         shrunk = (bad + F.lit(mean * strength)) / (size + F.lit(strength))
-    rated = hosts.withColumn("host_rate", shrunk).withColumn("host_trusted", F.col("host_rate") <= max_rate)
+    rated = hosts.withColumn("host_rate", shrunk).withColumn("host_limit", F.lit(limit))
+    rated = rated.withColumn("host_trusted", F.col("host_rate") <= F.col("host_limit"))
     return rated.withColumn("all_docs", F.lit(int(found["docs"])))
 
 
@@ -165,6 +173,11 @@ def beta_prior(hosts: float, docs: float, failed: float, squares: float, moment:
     return mean, max(chance / variance - 1, 0.0)
 
 
+def beta_deviation(mean: float, strength: float | None) -> float:
+    """Standard deviation of the prior; none where all rates are equal."""
+    return 0.0 if strength is None else (mean * (1 - mean) / (strength + 1)) ** 0.5
+
+
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     """``doc_id``, the host, the metrics, the host's figures, ``base_failed`` and ``kept``.
 
@@ -173,10 +186,10 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     rows = measured(docs.select("doc_id", F.col(host).alias("host"), F.col("text").cast("string")))
     rows = stored(rows.select("doc_id", "host", "measured"), "quality")
     m = F.col("measured")
-    hosts = host_verdicts(rows, "host", base_failed(m))
+    hosts = host_verdicts(rows, "host", strict_failed(m))
     joined = join_groups(rows, hosts, "host", "host_docs", F.col("all_docs"))
-    kept = ~base_failed(m) & (F.col("host_trusted") | ~strict_failed(m))
-    figures = ["host_docs", "host_failed", "host_rate", "host_trusted"]
+    kept = ~strict_failed(m, WIDE_MARGIN) & (F.col("host_trusted") | ~strict_failed(m))
+    figures = ["host_docs", "host_failed", "host_rate", "host_limit", "host_trusted"]
     return joined.select("doc_id", "host", "measured.*", *figures, base_failed(m).alias("base_failed"), kept.alias("kept"))
 
 
@@ -187,14 +200,14 @@ def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     """
     name = free_name(docs.columns, "measured")
     narrow = measured(docs.select(F.col(host).alias("host"), F.col("text").cast("string"))).select("host", "measured")
-    hosts = host_verdicts(narrow, "host", base_failed(F.col("measured")))
+    hosts = host_verdicts(narrow, "host", strict_failed(F.col("measured")))
+    hosts = hosts.select(text_key(F.col("host")).alias("host_key"), "host_docs", "host_trusted", "all_docs")
     rows = measured(docs, name)
     m = F.col(name)
-    key = free_name(docs.columns, "host_key")
-    # Only rows that fail a stricter rule ask for their host. The others, a hot host's among them,
-    # take keys that no host has, and so any partition.
-    spread = F.concat(F.lit("h"), F.monotonically_increasing_id().cast("string"))
-    asked = F.when(strict_failed(m), text_key(F.col(f"`{host}`"))).otherwise(spread)
-    good = rows.where(~base_failed(m)).select(*[F.col(f"`{c}`") for c in docs.columns], asked.alias(key))
-    bad = hosts.where("NOT host_trusted").select(text_key(F.col("host")).alias(key))
-    return good.join(bad, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Only rows that fail a stricter rule ask for their host; the others take keys that no host has.
+    nobody = F.concat(F.lit("h"), F.monotonically_increasing_id().cast("string"))
+    asked = F.when(strict_failed(m), text_key(F.col(f"`{host}`"))).otherwise(nobody)
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = rows.where(~strict_failed(m, WIDE_MARGIN)).select(packed, asked.alias("host_key"))
+    joined = join_groups(rows, hosts, "host_key", "host_docs", F.col("all_docs"))
+    return joined.where(F.coalesce(F.col("host_trusted"), F.lit(True))).select("doc.*")

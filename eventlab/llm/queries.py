@@ -22,7 +22,7 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
-    return judged.withColumn("host_rate", F.round("host_rate", 6))
+    return judged.withColumns({c: F.round(c, 6) for c in ("host_rate", "host_limit")})
 
 
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

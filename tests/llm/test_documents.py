@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from cases import frame, prose, rows
+from pyspark.sql import functions as F
 
 from eventlab.llm import hilbert, licenses, mixing, perplexity, quality
 
@@ -56,6 +57,36 @@ def test_host_verdicts(spark):
     assert kept == {i for i, r in found.items() if r.kept}
 
 
+def test_wide_margins_go_on_trusted_hosts(spark):
+    """Hosts in the proportions of real tables: the verdict changes rows, and no clean document goes."""
+    clean, light, heavy, lines = prose(1, 80), prose(2, 80) + " #" * 80, " ".join(f"{w}$$$" for w in prose(3, 80).split()), (prose(4, 5) + "\n") * 2
+    lines = "".join(f"{prose(50 + i, 6)}\n" for i in range(12)) + lines * 8
+    data = [(i, clean, f"host{i % 5}") for i in range(1000)]
+    data += [(1000 + i, clean, "spammy") for i in range(40)] + [(1100 + i, light, "spammy") for i in range(20)]
+    data += [(2000, light, "host0"), (2001, heavy, "host0"), (2002, heavy, None), (2003, lines, "spammy"), (2004, clean, None)]
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(data, "doc_id bigint, text string, source string")).collect()}
+    assert found[0].host_trusted and not found[1000].host_trusted
+    assert all(r.kept for r in found.values() if r.n_symbols == 0 and r.n_dup_lines == 0 and not r.base_failed)
+    assert not any(found[1100 + i].kept or found[1100 + i].base_failed for i in range(20))
+    assert [found[i].kept for i in (2000, 2001, 2002, 2003, 2004)] == [True, False, False, False, True]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in data], "doc_id bigint, text string, source string, host_trusted string, doc int")
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in found.items() if r.kept}
+
+
+def test_limit_follows_the_prior(spark):
+    """Below the fixed limit, a host far above the others is distrusted; equal hosts are not."""
+    failed = F.col("doc_id") < F.when(F.col("host") == "odd", 80).otherwise(10)
+    rows_of = lambda names: spark.createDataFrame([(i, h) for h in names for i in range(1000)], "doc_id bigint, host string")
+    hosts = [f"h{i}" for i in range(30)]
+    found = {r.host: r for r in quality.host_verdicts(rows_of([*hosts, "odd"]), "host", failed).collect()}
+    assert not found["odd"].host_trusted and found["odd"].host_rate < quality.MAX_HOST_RATE
+    assert all(found[h].host_trusted for h in hosts)
+    assert found["odd"].host_limit < quality.MAX_HOST_RATE
+    assert all(r.host_trusted for r in quality.host_verdicts(rows_of(hosts), "host", failed).collect())
+
+
 def test_prior_by_moments():
     rates = np.array([0.1, 0.3, 0.2, 0.6])
     n = np.array([50.0, 80.0, 100.0, 20.0])
