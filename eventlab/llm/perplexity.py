@@ -7,8 +7,10 @@ with log probabilities. Shards are chosen by the two bytes before the last one,
 above the second share, so one shard answers a whole n-gram. The two lowest levels have at most
 256 * 256 entries, whatever the input, and travel with the code.
 
-A document is kept if its perplexity is within a high quantile of its language. The quantiles are
-taken over trusted documents that the model has not seen, one in `HELD_OUT`.
+A document has the perplexity of its whole text, and for each length in `WINDOWS` that of its worst run
+of so many bytes: a long text may hide a junk passage, or a single word that trusted texts never have.
+It is kept if each of them is within a high quantile of its language. The quantiles are taken over
+trusted documents that the model has not seen, one in `HELD_OUT`.
 """
 
 from __future__ import annotations
@@ -25,7 +27,11 @@ from .tables import join_groups, small_batches, stored
 from .textblocks import take_spans, text_blocks
 
 ORDER = 5
-QUANTILE = 0.999
+#: Lengths in bytes of the runs that are judged by themselves: a passage, and a word.
+WINDOWS = (64, 8)
+QUANTILE = 0.99
+#: Log probabilities are added as whole multiples of 1 / `UNIT`, so that sums do not depend on the order.
+UNIT = 1 << 20
 #: Trusted documents that set the thresholds instead of training the model: one in so many.
 HELD_OUT = 5
 #: Discount where the counts that it is estimated from do not occur, and the least of all.
@@ -252,31 +258,52 @@ def _answer(low: dict[str, np.ndarray]) -> Callable:
     return run
 
 
-SCORES = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("n_bytes", pa.int64()), ("log_sum", pa.float64())])
+SCORES = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("n_bytes", pa.int64()), ("log_means", pa.list_(pa.float64()))])
 
 
-def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-    found = blobs.unpack(answers, ASKED)
-    order = np.argsort(found["key"])
-    key, value = found["key"][order], found["value"][order].astype(np.float64)
-    out = []
-    for doc, row, sizes, data in _unpack(texts):
-        logs = value[np.searchsorted(key, ngrams(data, sizes))] if len(data) else np.zeros(0)
-        sums = np.zeros(len(logs) + 1)
-        np.cumsum(logs, out=sums[1:])
-        ends = np.cumsum(sizes)
-        arrays = [pa.array(x) for x in (doc, row, sizes, sums[ends] - sums[ends - sizes])]
-        out.append(pa.RecordBatch.from_arrays(arrays, schema=SCORES))
-    return pa.Table.from_batches(out, schema=SCORES)
+def worst_runs(sums: np.ndarray, ends: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Smallest mean of a run of so many bytes in each text, or that of a whole shorter text.
+
+    ``sums`` are running sums with a 0 in front; empty texts get 0.
+    """
+    starts = ends - sizes
+    found = (sums[ends] - sums[starts]) / np.maximum(sizes, 1)
+    long = np.flatnonzero(sizes > length)
+    if len(long):
+        runs = np.append(sums[length:] - sums[:-length], 0)
+        edges = np.stack([starts[long], ends[long] - length + 1], axis=1).ravel()
+        found[long] = np.minimum.reduceat(runs, edges)[::2] / length
+    return found
+
+
+def _score(windows: tuple[int, ...]) -> Callable:
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        found = blobs.unpack(answers, ASKED)
+        order = np.argsort(found["key"])
+        key, value = found["key"][order], np.rint(found["value"][order].astype(np.float64) * UNIT).astype(np.int64)
+        out = []
+        for doc, row, sizes, data in _unpack(texts):
+            sums = np.zeros(len(data) + 1, np.int64)
+            if len(data):
+                np.cumsum(value[np.searchsorted(key, ngrams(data, sizes))], out=sums[1:])
+            ends = np.cumsum(sizes)
+            means = [(sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1), *(worst_runs(sums, ends, sizes, n) for n in windows)]
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(means, axis=1).ravel() / UNIT), len(means))
+            arrays = [*(pa.array(x) for x in (doc, row, sizes)), lists.cast(pa.list_(pa.float64()))]
+            out.append(pa.RecordBatch.from_arrays(arrays, schema=SCORES))
+        return pa.Table.from_batches(out, schema=SCORES)
+
+    return run
 
 
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """``doc_id, lang, n_bytes, perplexity, threshold, kept``, one row per document.
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+    """``doc_id, lang, n_bytes, perplexity, threshold``, ``worst_N, worst_N_threshold`` for each window, ``kept``.
 
-    ``trusted`` has the ``doc_id`` of documents that the model learns from. The threshold of a language (a
-    missing one included) is the quantile of its held-out trusted documents, or of all of these where it
-    has none. A document without text has no perplexity and is not kept; without held-out documents
-    every document with text is kept. Perplexity is per byte, rounded to 6 places.
+    One row per document. ``trusted`` has the ``doc_id`` of documents that the model learns from. The
+    thresholds of a language (a missing one included) are the quantiles of its held-out trusted documents,
+    or of all of these where it has none. ``worst_N`` is the highest perplexity of N bytes in a row, that of
+    the whole text if it has no more. A document without text has no perplexity and is not kept; without
+    held-out documents every document with text is kept. Perplexity is per byte, rounded to 6 places.
     """
     spark = docs.sparkSession
     width = blobs.width(spark)
@@ -300,17 +327,22 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) ->
     kinds = f"{blobs.schema(MODEL)}, kind int, asker int"
     asked = texts.applyInArrow(_ask(width), kinds).union(model.mapInArrow(_send_model(width), kinds))
     answers = blobs.send(asked).sortWithinPartitions("kind").mapInArrow(_answer(low), blobs.schema(ASKED))
-    scored = texts.cogroup(answers.groupBy("part")).applyInArrow(_score, "doc bigint, row bigint, n_bytes bigint, log_sum double")
+    scored = texts.cogroup(answers.groupBy("part")).applyInArrow(_score(windows), "doc bigint, row bigint, n_bytes bigint, log_means array<double>")
     scores = stored(scored.distinct(), "scores")
 
-    perplexity = F.when(F.col("n_bytes") > 0, F.round(F.exp(-F.col("log_sum") / F.col("n_bytes")), 6))
+    measures = ["perplexity", *(f"worst_{n}" for n in windows)]
+    limit_of = {m: "threshold" if m == "perplexity" else f"{m}_threshold" for m in measures}
+    values = [F.when(F.col("n_bytes") > 0, F.round(F.exp(-F.col("log_means")[i]), 6)).alias(m) for i, m in enumerate(measures)]
     names = rows.select("doc", "row", "lang")
-    judged = names.join(scores, ["doc", "row"]).select("doc", "lang", "n_bytes", perplexity.alias("perplexity"))
+    judged = names.join(scores, ["doc", "row"]).select("doc", "lang", "n_bytes", *values)
     judged = stored(judged.join(good, "doc", "left"), "judged")
-    known = F.col("perplexity").isNotNull() & F.col("held_out")
-    level = F.percentile_approx(F.when(known, F.col("perplexity")), quantile, ACCURACY)
-    common = judged.agg(level).first()[0]
-    limits = judged.groupBy("lang").agg(F.coalesce(level, F.lit(common).cast("double")).alias("threshold"), F.count("*").alias("docs"))
-    joined = join_groups(judged, limits, "lang", "docs", F.lit(max(1, judged.count())))
-    kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return joined.select(F.nullif(F.col("doc"), missing).alias("doc_id"), "lang", "n_bytes", "perplexity", "threshold", kept.alias("kept"))
+    levels = {m: F.percentile_approx(F.when(F.col("held_out"), F.col(m)), quantile, ACCURACY) for m in measures}
+    common = judged.agg(*[level.alias(m) for m, level in levels.items()], F.count("*").alias("docs")).first()
+    own = [F.coalesce(level, F.lit(common[m]).cast("double")).alias(limit_of[m]) for m, level in levels.items()]
+    limits = judged.groupBy("lang").agg(*own, F.count("*").alias("docs"))
+    joined = join_groups(judged, limits, "lang", "docs", F.lit(max(1, common["docs"])))
+    kept = F.col("perplexity").isNotNull()
+    for m in measures:
+        kept &= F.coalesce(F.col(m) <= F.col(limit_of[m]), F.lit(True))
+    shown = [c for m in measures for c in (m, limit_of[m])]
+    return joined.select(F.nullif(F.col("doc"), missing).alias("doc_id"), "lang", "n_bytes", *shown, kept.alias("kept"))

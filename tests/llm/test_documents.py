@@ -364,8 +364,39 @@ def test_perplexity(spark):
         data = bytes(perplexity.ORDER - 1) + text.encode()
         logs = [math.log(p(data[j : j + perplexity.ORDER])) for j in range(len(text.encode()))]
         assert got[i].perplexity == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-4)
+        for n in perplexity.WINDOWS:
+            runs = [sum(logs[j : j + n]) / n for j in range(len(logs) - n + 1)] or [sum(logs) / len(logs)]
+            assert got[i][f"worst_{n}"] == pytest.approx(math.exp(-min(runs)), rel=1e-4)
+        assert got[i].kept == all(got[i][m] <= got[i][t] for m, t in (("perplexity", "threshold"), ("worst_64", "worst_64_threshold"), ("worst_8", "worst_8_threshold")))
+    for lang in ("en", "de"):
+        mine = [r.worst_8 for i, r in got.items() if i in held and r.lang == lang]
+        assert mine and {r.worst_8_threshold for r in got.values() if r.lang == lang} == {max(mine)}
     assert not got[101].kept
-    assert sum(got[i].kept for i in trusted) >= 18
+    assert sum(got[i].kept for i in held) == len(held)
+
+
+def test_worst_runs():
+    r = np.random.default_rng(4)
+    sizes = np.array([0, 3, 8, 9, 40, 0, 1, 100, 8, 0])
+    logs, ends = r.integers(-9, 0, sizes.sum()), np.cumsum(sizes)
+    sums = np.r_[0, np.cumsum(logs)]
+    for n in (1, 8, 64, 500):
+        got = perplexity.worst_runs(sums, ends, sizes, n)
+        for i, (a, b) in enumerate(zip(ends - sizes, ends, strict=True)):
+            runs = [logs[j : j + n].mean() for j in range(a, b - n + 1)] or ([logs[a:b].mean()] if b > a else [0])
+            assert got[i] == pytest.approx(min(runs))
+
+
+def test_a_strange_passage_in_a_long_text(spark):
+    """A passage or a word that trusted texts never have is found, however long the rest is."""
+    trusted = {i: prose(i, 200, words=5) for i in range(60)}
+    long = prose(99, 4000, words=5)
+    others = {100: long, 101: long + " " + "zzkx qqvw jjpy " * 6 + long, 102: long + " wxyzzyxw " + long}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in (trusted | others).items()], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in perplexity.classify(docs, docs.where("doc_id < 60").select("doc_id")).collect()}
+    assert got[101].worst_64 > got[101].worst_64_threshold and not got[101].kept
+    assert got[102].worst_8 > got[102].worst_8_threshold and not got[102].kept
+    assert got[102].perplexity < 1.01 * got[100].perplexity
 
 
 def test_perplexity_without_trusted_documents(spark):
