@@ -107,9 +107,8 @@ def boosted_levels(spark, sf):
     rows = stored(BO.binned(train, FEATURES, LABEL, edges, weight, F.lit(0).cast("bigint"), F.lit(False)), "binned")
     tree, nodes, found = BO.Tree(), [0], None
     for _ in range(2):
-        columns = range(len(FEATURES))
-        sums = BO.gradient_histogram(rows, len(FEATURES), 2 + max(map(len, edges)), [], tree, nodes, columns)
-        level = stored(BO.best_cuts(sums, config), "cuts")
+        growing = BO.Growth(2 + max(map(len, edges)), tree, nodes, range(len(FEATURES)))
+        level = stored(BO.best_cuts(BO.gradient_histogram(rows, {0: growing}), {0: config}), "cuts")
         found = level if found is None else found.unionByName(level)
         nodes = BO.split_nodes(tree, level.collect(), edges, config)
     unit = float(BO.UNIT)

@@ -1,14 +1,15 @@
 """Second-order boosted trees with penalised leaves, fitted by histograms.
 
-Features are cut into bins once. A level of a tree is one job: every task adds up the gradients and
-Hessians of its rows by (node, feature, bin), the tasks' sums meet by node and feature, and the best cut
-follows from running sums over the bins; the driver sees one candidate for each. A
+Features are cut into bins once, and rows are kept in blocks of NumPy columns. A level of a tree is one job: every task
+adds up the gradients and Hessians of its rows by (node, feature, bin), the tasks' sums meet by node and feature, and the
+best cut follows from running sums over the bins; the driver sees one candidate for each. A
 leaf of gradient G and Hessian H weighs ``-sign(G) * max(|G| - alpha, 0) / (H + lambda)``.
 
-The margin of every row is a stored column, written anew after `STORE_EVERY` trees; in between, tasks add
-the few trees since. So boosting goes on from the last tree, the number of jobs is linear in the trees,
-and early stopping needs one fit: the loss of the held-out rows comes with the next tree's first
-level.
+Several fits grow side by side: a job serves the level of all of them, so a study of many configurations has as
+many jobs as its longest fit. The margin of every row is a column that goes on by one tree at a time and is cached; it is
+written to storage after every `STORE_EVERY` trees, which cuts the lineage. So a job adds no earlier trees, the number of
+jobs is linear in the trees, and early stopping needs one fit: the loss of the held-out rows comes with the next tree's
+first level.
 
 Gradients are rounded to multiples of 1 / `UNIT`, and sums are whole numbers: the trees do not depend on
 how rows are partitioned. Row samples follow from a hash of the row's key.
@@ -18,8 +19,10 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, fields
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,9 +38,17 @@ from .metrics import class_weight
 UNIT = 1 << 22
 #: Trees after which the margins are stored again.
 STORE_EVERY = 16
+#: Rows of a block.
+BLOCK_ROWS = 16384
+#: Fits that are prepared at the same time.
+SIDE_BY_SIDE = 4
 #: A cut must gain more than this, whatever the rounding of the sums.
 LEAST_GAIN = 1e-6
-HISTOGRAM = "node int, feature int, bin int, g bigint, h bigint, n bigint"
+HISTOGRAM = "fit int, node int, feature int, bin int, g bigint, h bigint, n bigint"
+CUTS = "fit int, node int, feature int, g bigint, h bigint, n bigint, bin int, gain double, gl bigint, hl bigint"
+#: A row is a block of one fit's rows: the bytes of each column, and of the bins feature by feature.
+BLOCKS = "fit int, key binary, y binary, w binary, v binary, m binary, b binary"
+KINDS = {"key": np.int64, "y": np.float64, "w": np.float64, "v": np.bool_, "m": np.float64, "b": np.int16}
 #: Node of the histogram's row that holds the held-out rows' loss (g) and number (n).
 HELD_OUT = -1
 
@@ -97,25 +108,28 @@ class Tree:
             self.value.append(v)
         return left, left + 1
 
-    def leaves(self, goes_left: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], n: int) -> np.ndarray:
-        """The leaf of each row; ``goes_left(rows, features, nodes)`` decides at inner nodes."""
-        feature, left, right = (np.array(x) for x in (self.feature, self.left, self.right))
-        node = np.zeros(n, np.int64)
-        rows = np.arange(n)
-        while len(rows):
-            rows = rows[feature[node[rows]] >= 0]
-            at = node[rows]
-            node[rows] = np.where(goes_left(rows, feature[at], at), left[at], right[at])
+    def leaves(self, x: np.ndarray, cuts: Sequence[float]) -> np.ndarray:
+        """The leaf of each row of ``x``, which has a row per feature. Left goes what is not above the cut."""
+        n = x.shape[1]
+        feature, cut = np.maximum(self.feature, 0), np.array(cuts)
+        # A leaf is its own child, so all rows take as many steps as the tree is deep.
+        own = np.arange(len(feature))
+        below = np.stack([np.where(np.array(side) < 0, own, side) for side in (self.left, self.right)], 1).ravel()
+        depth = [0] * len(feature)
+        for i, f in enumerate(self.feature):
+            if f >= 0:
+                depth[self.left[i]] = depth[self.right[i]] = depth[i] + 1
+        node, rows, values = np.zeros(n, np.int64), np.arange(n), np.ascontiguousarray(x).ravel()
+        for _ in range(max(depth)):
+            node = below[2 * node + (values[feature[node] * n + rows] > cut[node])]
         return node
 
     def leaves_of_bins(self, bins: np.ndarray) -> np.ndarray:
-        cut = np.array(self.bin)
-        return self.leaves(lambda rows, f, node: bins[rows, f] <= cut[node], len(bins))
+        return self.leaves(bins, self.bin)
 
     def leaves_of_values(self, x: np.ndarray) -> np.ndarray:
         """A missing value goes left."""
-        cut = np.array(self.threshold)
-        return self.leaves(lambda rows, f, node: ~(x[rows, f] > cut[node]), len(x))
+        return self.leaves(x, self.threshold)
 
 
 @dataclass
@@ -134,8 +148,8 @@ class BoostedModel:
 
         @F.pandas_udf("double")
         def total(*columns: pd.Series) -> pd.Series:
-            x = np.column_stack([c.to_numpy(np.float64, na_value=np.nan) for c in columns])
-            out = np.zeros(len(x))
+            x = np.stack([c.to_numpy(np.float64, na_value=np.nan) for c in columns])
+            out = np.zeros(x.shape[1])
             for tree in trees:
                 out += np.array(tree.value)[tree.leaves_of_values(x)]
             return pd.Series(out)
@@ -169,29 +183,45 @@ def quantile_edges(rows: DataFrame, features: Sequence[str], max_bin: int) -> li
 
 
 def binned(
-    rows: DataFrame, features: Sequence[str], label: str, edges: Sequence[Sequence[float]], positive: float, key: Column, held_out: Column
+    rows: DataFrame, features: Sequence[str], label: str, edges: Sequence[Sequence[float]], positive: float, key: Column, held_out: Column, fit: int = 0
 ) -> DataFrame:
-    """``key, y, w, v, m`` and a column of bins per feature. Bin 0 is a missing value; bin b lies above b - 1 edges."""
-    k = len(features)
+    """Blocks of ``key, y, w, v, m`` and the bins of the features. Bin 0 is a missing value; bin b lies above b - 1 edges."""
     cuts = [np.array(e) for e in edges]
-    schema = "key bigint, y double, w double, v boolean, m double, " + ", ".join(f"b{i} smallint" for i in range(k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[dict[str, np.ndarray]] = []
         for batch in batches:
-            columns = [batch.column(i) for i in range(4)]
+            part = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(KINDS[c]) for c in ("key", "y", "w", "v")}
+            bins = np.zeros((len(cuts), batch.num_rows), np.int16)
             for i, cut in enumerate(cuts):
-                x = batch.column(4 + i).to_numpy(zero_copy_only=False).astype(np.float64)
-                bins = 1 + np.searchsorted(cut, x, "left")
-                columns.append(pa.array(np.where(np.isnan(x), 0, bins).astype(np.int16)))
-            margins = pa.array(np.zeros(batch.num_rows))
-            yield pa.RecordBatch.from_arrays([*columns[:4], margins, *columns[4:]], names=["key", "y", "w", "v", "m", *(f"b{i}" for i in range(k))])
+                x = batch.column(f"x{i}").to_numpy(zero_copy_only=False).astype(np.float64)
+                bins[i] = np.where(np.isnan(x), 0, 1 + np.searchsorted(cut, x, "left"))
+            waiting.append({**part, "m": np.zeros(batch.num_rows), "b": bins})
+            if sum(len(w["y"]) for w in waiting) >= BLOCK_ROWS:
+                yield _block(fit, waiting)
+                waiting = []
+        if waiting:
+            yield _block(fit, waiting)
 
     y = F.col(label).cast("double")
     slim = rows.select(
         key.cast("bigint").alias("key"), y.alias("y"), F.when(y > 0, float(positive)).otherwise(1.0).alias("w"),
         held_out.alias("v"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)],
     )
-    return slim.where("y IS NOT NULL").mapInArrow(run, schema)
+    return slim.where("y IS NOT NULL").mapInArrow(run, BLOCKS)
+
+
+def _block(fit: int, parts: Sequence[dict[str, np.ndarray]]) -> pa.RecordBatch:
+    whole = [np.concatenate([p[c] for p in parts], -1).tobytes() for c in KINDS]
+    return pa.RecordBatch.from_arrays([pa.array([fit], pa.int32()), *[pa.array([x], pa.binary()) for x in whole]], names=["fit", *KINDS])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """The blocks of a task, each with its fit and columns; the bins have a row per feature."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            columns = {c: np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in KINDS.items()}
+            yield batch.column("fit")[i].as_py(), {**columns, "b": columns["b"].reshape(-1, len(columns["y"]))}
 
 
 def _uniform(key: np.ndarray, seed: int) -> np.ndarray:
@@ -204,79 +234,82 @@ def _uniform(key: np.ndarray, seed: int) -> np.ndarray:
     return (x >> np.uint64(11)) / float(1 << 53)
 
 
-def _read(batch: pa.RecordBatch, k: int, recent: Sequence[Tree]) -> tuple[np.ndarray, np.ndarray]:
-    """Bins and present margins."""
-    bins = np.column_stack([batch.column(f"b{i}").to_numpy() for i in range(k)]) if k else np.zeros((batch.num_rows, 0), np.int16)
-    margin = batch.column("m").to_numpy().copy()
-    for tree in recent:
-        margin += np.array(tree.value)[tree.leaves_of_bins(bins)]
-    return bins, margin
+@dataclass
+class Growth:
+    """A growing tree of one fit: its open nodes, the features it may use and the share and seed of its row sample."""
 
+    bins: int
+    tree: Tree
+    nodes: Sequence[int]
+    columns: Sequence[int]
+    sample: tuple[float, int] = (1.0, 0)
 
-def gradient_histogram(
-    rows: DataFrame, k: int, bins: int, recent: Sequence[Tree], tree: Tree, nodes: Sequence[int], columns: Sequence[int], sample: tuple[float, int] = (1.0, 0)
-) -> DataFrame:
-    """One task's sums by (node, feature, bin), in units of 1 / `UNIT`, for the open nodes of a growing tree.
+
+def gradient_histogram(rows: DataFrame, growing: Mapping[int, Growth]) -> DataFrame:
+    """One task's sums by (fit, node, feature, bin), in units of 1 / `UNIT`, for the open nodes of growing trees.
 
     Rows of another task's sums are not added yet. A root's histogram also has the loss of the held-out rows.
     """
-    share, seed = sample
-    place = {node: i for i, node in enumerate(nodes)}
+    growing = dict(growing)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, len(nodes) * len(columns) * bins), np.int64)
-        loss, held = 0, 0
-        slot_of = np.full(len(tree.feature), -1)
-        for node, i in place.items():
-            slot_of[node] = i
-        for batch in batches:
-            b, margin = _read(batch, k, recent)
-            y, w = batch.column("y").to_numpy(), batch.column("w").to_numpy()
-            v = batch.column("v").to_numpy(zero_copy_only=False).astype(bool)
-            p = 1 / (1 + np.exp(-margin))
-            if v.any() and 0 in place:
+        sums = {fit: np.zeros((3, len(g.columns), len(g.nodes) * g.bins), np.int64) for fit, g in growing.items()}
+        held = {fit: [0, 0] for fit in growing}
+        for fit, block in _blocks(batches):
+            if fit not in growing:
+                continue
+            to = growing[fit]
+            y, w, v = block["y"], block["w"], block["v"]
+            p = 1 / (1 + np.exp(-block["m"]))
+            if 0 in to.nodes and v.any():
                 right = np.clip(np.where(y[v] > 0, p[v], 1 - p[v]), 1e-16, 1)
-                loss += int(np.rint(-np.log(right) * UNIT).sum())
-                held += int(v.sum())
-            slot = slot_of[tree.leaves_of_bins(b)]
+                held[fit][0] += int(np.rint(-np.log(right) * UNIT).sum())
+                held[fit][1] += int(v.sum())
+            slot_of = np.full(len(to.tree.feature), -1)
+            slot_of[list(to.nodes)] = np.arange(len(to.nodes))
+            slot = slot_of[to.tree.leaves_of_bins(block["b"])]
             used = ~v & (slot >= 0)
+            share, seed = to.sample
             if share < 1:
-                used &= _uniform(batch.column("key").to_numpy(), seed) < share
+                used &= _uniform(block["key"], seed) < share
             g, h = np.rint(w * (p - y) * UNIT)[used], np.rint(w * p * (1 - p) * UNIT)[used]
-            for j, f in enumerate(columns):
-                at = (slot[used] * len(columns) + j) * bins + b[used, f]
+            first = slot[used] * to.bins
+            for j, f in enumerate(to.columns):
+                at = first + block["b"][f][used]
                 for i, weights in enumerate((g, h, None)):
-                    sums[i] += np.rint(np.bincount(at, weights, sums.shape[1])).astype(np.int64)
-        some = np.flatnonzero(sums[2])
-        node, j = np.array(nodes, np.int64)[some // (len(columns) * bins)], some // bins % len(columns)
-        out = [node, np.array(columns, np.int64)[j], some % bins, *sums[:, some]]
-        if held:
-            out = [np.r_[x, last] for x, last in zip(out, (HELD_OUT, -1, 0, loss, 0, held), strict=True)]
-        kinds = [pa.int32()] * 3 + [pa.int64()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["node", "feature", "bin", "g", "h", "n"])
+                    sums[fit][i, j] += np.rint(np.bincount(at, weights, sums[fit].shape[2])).astype(np.int64)
+        for fit, to in growing.items():
+            j, at = np.nonzero(sums[fit][2])
+            node, feature = np.array(to.nodes, np.int64)[at // to.bins], np.array(to.columns, np.int64)[j]
+            out = [np.full(len(at), fit), node, feature, at % to.bins, *sums[fit][:, j, at]]
+            if held[fit][1]:
+                out = [np.r_[x, last] for x, last in zip(out, (fit, HELD_OUT, -1, 0, held[fit][0], 0, held[fit][1]), strict=True)]
+            kinds = [pa.int32()] * 4 + [pa.int64()] * 3
+            names = ["fit", "node", "feature", "bin", "g", "h", "n"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
 
     return rows.mapInArrow(run, HISTOGRAM)
 
 
-def best_cuts(histogram: DataFrame, config: BoostConfig) -> DataFrame:
-    """Per (node, feature) the sums of the node, and the cut of the largest gain with its left side's sums.
+def best_cuts(histogram: DataFrame, configs: Mapping[int, BoostConfig]) -> DataFrame:
+    """Per (fit, node, feature) the sums of the node, and the cut of the largest gain with its left side's sums.
 
-    Columns ``node, feature, g, h, n, bin, gain, gl, hl``; the last four are null if no cut is allowed or
-    gains enough. Equal gains go to the lower bin. Tasks' sums meet by node and feature, at most one row for each bin and
-    task.
+    Columns ``fit, node, feature, g, h, n, bin, gain, gl, hl``; the last four are null if no cut is allowed or
+    gains enough. Equal gains go to the lower bin. Tasks' sums meet by fit, node and feature, at most one row for each bin
+    and task.
     """
+    configs = dict(configs)
 
-    def score(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    def score(g: np.ndarray, h: np.ndarray, config: BoostConfig) -> np.ndarray:
         shrunk = np.maximum(np.abs(g) / UNIT - config.reg_alpha, 0.0)
         room = h / UNIT + config.reg_lambda
         return np.divide(shrunk * shrunk, room, out=np.zeros(len(room)), where=room > 0)
 
-    def best(sums: dict[int, np.ndarray]) -> tuple:
-        bins = np.array(sorted(sums))
-        total = np.cumsum(np.stack([sums[b] for b in bins.tolist()]), 0)
+    def best(bins: np.ndarray, sums: np.ndarray, config: BoostConfig) -> tuple:
+        total = np.cumsum(sums, 0)
         g, h, n = total[-1]
         gl, hl, nl = total.T
-        gain = score(gl, hl) + score(g - gl, h - hl) - score(total[-1:, 0], total[-1:, 1])
+        gain = score(gl, hl, config) + score(g - gl, h - hl, config) - score(total[-1:, 0], total[-1:, 1], config)
         least = config.min_child_weight * UNIT
         allowed = (nl < n) & (hl >= least) & (h - hl >= least) & (gain > max(config.min_split_loss, LEAST_GAIN))
         if not allowed.any():
@@ -285,19 +318,27 @@ def best_cuts(histogram: DataFrame, config: BoostConfig) -> DataFrame:
         return int(g), int(h), int(n), int(bins[at]), float(gain[at]), int(gl[at]), int(hl[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[int, int], dict[int, np.ndarray]] = {}
-        for batch in batches:
-            node, feature, bin_ = (batch.column(c).to_pylist() for c in ("node", "feature", "bin"))
-            sums = np.column_stack([batch.column(c).to_numpy() for c in "ghn"])
-            for i, group in enumerate(zip(node, feature, strict=True)):
-                own = groups.setdefault(group, {})
-                own[bin_[i]] = own[bin_[i]] + sums[i] if bin_[i] in own else sums[i]
-        found = [(*group, *best(sums)) for group, sums in groups.items()]
-        if found:
-            arrays = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.float64(), pa.int64(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["node", "feature", "g", "h", "n", "bin", "gain", "gl", "hl"])
-
-    return histogram.repartition("node", "feature").mapInArrow(run, "node int, feature int, g bigint, h bigint, n bigint, bin int, gain double, gl bigint, hl bigint")
+        parts = list(batches)
+        if not sum(part.num_rows for part in parts):
+            return
+        table = pa.Table.from_batches(parts)
+        place = np.stack([table.column(c).to_numpy() for c in ("fit", "node", "feature", "bin")], 1)
+        sums = np.stack([table.column(c).to_numpy() for c in "ghn"], 1)
+        order = np.lexsort(place.T[::-1])
+        place, sums = place[order], sums[order]
+        moved = np.diff(place, axis=0) != 0
+        first = np.flatnonzero(np.r_[True, moved.any(1)])
+        place, sums = place[first], np.add.reduceat(sums, first, 0)
+        starts = np.flatnonzero(np.r_[True, (np.diff(place[:, :3], axis=0) != 0).any(1)])
+        found = []
+        for low, high in zip(starts, np.r_[starts[1:], len(place)], strict=True):
+            group = place[low, :3].tolist()
+            found.append((*group, *best(place[low:high, 3], sums[low:high], configs[group[0]])))
+        kinds = (*[pa.int32()] * 3, *[pa.int64()] * 3, pa.int32(), pa.float64(), pa.int64(), pa.int64())
+        arrays = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["fit", "node", "feature", "g", "h", "n", "bin", "gain", "gl", "hl"])
+
+    return histogram.repartition("fit", "node", "feature").mapInArrow(run, CUTS)
 
 
 def _columns_of(tree: int, k: int, config: BoostConfig) -> list[int]:
@@ -323,37 +364,122 @@ def split_nodes(tree: Tree, found: Sequence[Row], edges: Sequence[Sequence[float
     return made
 
 
-def grow(rows: DataFrame, edges: Sequence[Sequence[float]], recent: Sequence[Tree], number: int, config: BoostConfig) -> tuple[Tree | None, float | None]:
-    """The next tree, and the held-out loss before it. No tree if there is nothing to fit."""
-    k, bins = len(edges), 2 + max(map(len, edges), default=0)
-    columns = _columns_of(number, k, config)
-    tree, loss = Tree(), None
-    open_nodes = [0]
-    for depth in range(max(config.max_depth, 1)):
-        sums = gradient_histogram(rows, k, bins, recent, tree, open_nodes, columns, (config.subsample, config.seed + 2 + number))
-        found = best_cuts(sums, config).collect()  # one row per open node and feature
-        if depth == 0:
-            held = next((r for r in found if r["node"] == HELD_OUT), None)
-            loss = held["g"] / UNIT / held["n"] if held else None
-            root = next((r for r in found if r["node"] == 0), None)
-            if root is None:
-                return None, loss
-            tree.value[0] = config.learning_rate * leaf_weight(root["g"] / UNIT, root["h"] / UNIT, config.reg_alpha, config.reg_lambda)
-            if config.max_depth < 1:
-                break
-        open_nodes = split_nodes(tree, found, edges, config)
-        if not open_nodes:
-            break
-    return tree, loss
-
-
-def _with_margins(rows: DataFrame, k: int, recent: Sequence[Tree]) -> DataFrame:
+@dataclass
+class Fit:
+    """One of several fits that grow together: its parameters and cuts, and what it has so far."""
+
+    config: BoostConfig
+    edges: list[list[float]]
+    rows: DataFrame
+    trees: list[Tree] = field(default_factory=list)
+    losses: list[float] = field(default_factory=list)
+
+    @property
+    def best(self) -> int:
+        return min(range(len(self.losses)), key=self.losses.__getitem__)
+
+    def growth(self, tree: Tree, nodes: Sequence[int], number: int) -> Growth:
+        bins = 2 + max(map(len, self.edges), default=0)
+        columns = _columns_of(number, len(self.edges), self.config)
+        return Growth(bins, tree, nodes, columns, (self.config.subsample, self.config.seed + 2 + number))
+
+    def add(self, tree: Tree | None, loss: float | None, number: int) -> bool:
+        """Take the next tree, and the loss before it; whether to go on."""
+        patience = self.config.early_stopping_rounds
+        if loss is not None:
+            self.losses.append(loss)
+            if patience and len(self.losses) - 1 - self.best >= patience:
+                return False
+        if tree is None or number == self.config.n_estimators:
+            return False
+        self.trees.append(tree)
+        return number + 1 < self.config.n_estimators + (1 if patience else 0)
+
+
+def grow(rows: DataFrame, fits: Mapping[int, Fit], going: Sequence[int], number: int) -> dict[int, tuple[Tree | None, float | None]]:
+    """The next tree of each fit, and the held-out loss before it. No tree if there is nothing to fit."""
+    trees: dict[int, Tree | None] = {fit: Tree() for fit in going}
+    losses: dict[int, float | None] = dict.fromkeys(going)
+    nodes = {fit: [0] for fit in going}
+    depth = 0
+    while nodes:
+        growing = {fit: fits[fit].growth(trees[fit], open_nodes, number) for fit, open_nodes in nodes.items()}
+        cuts = best_cuts(gradient_histogram(rows, growing), {fit: fits[fit].config for fit in growing})
+        found: dict[int, list[Row]] = {fit: [] for fit in growing}
+        for r in cuts.collect():  # one row per fit, open node and feature
+            found[r["fit"]].append(r)
+        depth += 1
+        for fit, own in found.items():
+            config, tree = fits[fit].config, trees[fit]
+            if depth == 1:
+                held = next((r for r in own if r["node"] == HELD_OUT), None)
+                losses[fit] = held["g"] / UNIT / held["n"] if held else None
+                root = next((r for r in own if r["node"] == 0), None)
+                if root is None:
+                    trees[fit] = None
+                    del nodes[fit]
+                    continue
+                tree.value[0] = config.learning_rate * leaf_weight(root["g"] / UNIT, root["h"] / UNIT, config.reg_alpha, config.reg_lambda)
+            nodes[fit] = split_nodes(tree, own, fits[fit].edges, config) if config.max_depth >= 1 else []
+            if depth >= config.max_depth or not nodes[fit]:
+                del nodes[fit]
+    return {fit: (trees[fit], losses[fit]) for fit in going}
+
+
+def _with_margins(rows: DataFrame, trees: Mapping[int, Tree]) -> DataFrame:
+    """The blocks of the fits that go on, their margins one tree further."""
+    trees = dict(trees)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, margin = _read(batch, k, recent)
-            yield batch.set_column(batch.schema.get_field_index("m"), "m", pa.array(margin))
+        for fit, block in _blocks(batches):
+            tree = trees[fit]
+            yield _block(fit, [{**block, "m": block["m"] + np.array(tree.value)[tree.leaves_of_bins(block["b"])]}])
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.where(F.col("fit").isin(*trees)).mapInArrow(run, BLOCKS)
+
+
+def _prepared(train: DataFrame, config: BoostConfig, fit: int, features: Sequence[str], label: str, key: Sequence[str], edges: Mapping[str, Sequence[float]] | None) -> Fit:
+    held_out = F.coalesce(F.col("is_validation"), F.lit(False)) if config.early_stopping_rounds else F.lit(False)
+    fitted_on = train.where(~held_out & F.col(label).isNotNull())
+    positive = config.scale_pos_weight
+    if positive == "balanced":
+        positive = class_weight(fitted_on, label=label).first()["scale_pos_weight"] or 1.0
+    cuts = [sorted(map(float, edges[f])) for f in features] if edges else quantile_edges(fitted_on, features, config.max_bin)
+    known = [F.col(c).cast("string") for c in (key if set(key) <= set(train.columns) else features)]
+    return Fit(config, cuts, binned(train, features, label, cuts, float(positive), hash_int(F.lit(config.seed), *known), held_out, fit))
+
+
+def fit_boosted_each(
+    runs: Sequence[tuple[DataFrame, Mapping[str, object] | BoostConfig | None]],
+    features: Sequence[str] = FEATURES,
+    label: str = LABEL,
+    key: Sequence[str] = ("symbol", "date"),
+    edges: Mapping[str, Sequence[float]] | None = None,
+) -> list[BoostedModel]:
+    """`fit_boosted` of several (training rows, parameters), grown in the same jobs."""
+    features = list(features)
+    configs = [c if isinstance(c, BoostConfig) else BoostConfig.of(c) for _, c in runs]
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        made = pool.map(lambda i: _prepared(runs[i][0], configs[i], i, features, label, key, edges), range(len(runs)))
+        fits = dict(enumerate(made))
+    rows = stored(reduce(DataFrame.unionAll, [f.rows for f in fits.values()]), "binned")
+    going = [i for i, f in fits.items() if f.config.n_estimators + bool(f.config.early_stopping_rounds) > 0]
+    number = 0
+    while going:
+        before = rows
+        if number:
+            moved = _with_margins(rows, {i: fits[i].trees[-1] for i in going})
+            rows = stored(moved, "margins") if number % STORE_EVERY == 0 else moved.persist()
+        grown = grow(rows, fits, going, number)  # its first level fills the cache
+        if before is not rows:
+            before.unpersist()
+        going = [i for i in going if fits[i].add(*grown[i], number)]
+        number += 1
+    rows.unpersist()
+    for f in fits.values():
+        if f.config.early_stopping_rounds and f.losses:
+            f.trees = f.trees[: max(1, f.best)]
+    return [BoostedModel(features, f.trees, f.edges, label, f.losses) for f in fits.values()]
 
 
 def fit_boosted(
@@ -371,33 +497,4 @@ def fit_boosted(
     rows are fitted on. Rows without a label are left out, and a missing feature goes left. ``key`` names the columns
     whose hash draws row samples, ``edges`` the cuts to use in place of quantiles.
     """
-    config = config if isinstance(config, BoostConfig) else BoostConfig.of(config)
-    features, patience = list(features), config.early_stopping_rounds
-    held_out = F.coalesce(F.col("is_validation"), F.lit(False)) if patience else F.lit(False)
-    fitted_on = train.where(~held_out & F.col(label).isNotNull())
-    positive = config.scale_pos_weight
-    if positive == "balanced":
-        positive = class_weight(fitted_on, label=label).first()["scale_pos_weight"] or 1.0
-    cuts = [sorted(map(float, edges[f])) for f in features] if edges else quantile_edges(fitted_on, features, config.max_bin)
-    known = [F.col(c).cast("string") for c in (key if set(key) <= set(train.columns) else features)]
-    rows = stored(binned(train, features, label, cuts, float(positive), hash_int(F.lit(config.seed), *known), held_out), "binned")
-
-    trees: list[Tree] = []
-    recent: list[Tree] = []
-    losses: list[float] = []
-    for number in range(config.n_estimators + (1 if patience else 0)):
-        if len(recent) == STORE_EVERY:
-            rows, recent = stored(_with_margins(rows, len(features), recent), "margins"), []
-        tree, loss = grow(rows, cuts, recent, number, config)
-        if loss is not None:
-            losses.append(loss)
-            best = min(range(len(losses)), key=losses.__getitem__)
-            if patience and len(losses) - 1 - best >= patience:
-                break
-        if tree is None or number == config.n_estimators:
-            break
-        trees.append(tree)
-        recent.append(tree)
-    if patience and losses:
-        trees = trees[: max(1, min(range(len(losses)), key=losses.__getitem__))]
-    return BoostedModel(features, trees, cuts, label, losses)
+    return fit_boosted_each([(train, config)], features, label, key, edges)[0]

@@ -23,7 +23,7 @@ from ..functions.ordering import number_rows
 from ..functions.scalars import hash_int
 from ..schemas import FEATURES, LABEL
 from ..storage import stored
-from .boosting import BoostedModel, fit_boosted
+from .boosting import BoostedModel, fit_boosted, fit_boosted_each
 from .metrics import class_weight, classification_metrics
 
 SEED = 42
@@ -260,6 +260,28 @@ def fit(kind: str, train: DataFrame, config: Mapping[str, object] | None, featur
     raise ValueError(f"unknown model kind {kind!r}")
 
 
+#: Models that are fitted side by side; each fit is a long series of short jobs.
+SIDE_BY_SIDE = 4
+
+
+def fit_each(
+    kind: str, runs: Sequence[tuple[DataFrame, Mapping[str, object] | None]], features: Sequence[str] = FEATURES, label: str = LABEL
+) -> list[Model]:
+    """`fit` of several (training rows, config). Boosted trees grow in the same jobs, other models side by side."""
+    if kind == "boosted":
+        return fit_boosted_each(runs, features, label)
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        return list(pool.map(lambda run: fit(kind, run[0], run[1], features, label), runs))
+
+
+def score_split(model: Model, split: DataFrame) -> DataFrame:
+    """All scored rows; with an ``is_validation`` column only those fitted on and the test rows."""
+    scored = score(model, split)
+    if "is_validation" in split.columns:
+        scored = scored.where((F.col("split") == "test") | ~F.col("is_validation"))
+    return scored
+
+
 def train_event_model(
     split: DataFrame,
     kind: str = "gbt",
@@ -273,9 +295,7 @@ def train_event_model(
     """
     train = split.where(F.col("split") == "train")
     model = fit(kind, train, config, features, label)
-    scored = score(model, split)
-    if "is_validation" in split.columns:
-        scored = scored.where((F.col("split") == "test") | ~F.col("is_validation"))
+    scored = score_split(model, split)
     return model, scored, classification_metrics(scored, ["split"], label)
 
 

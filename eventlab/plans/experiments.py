@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import brier_score, calibration_curve, classification_metrics, fold_summary
 from ..operators.membership import universe_current
-from ..operators.models import train_event_model
+from ..operators.models import SIDE_BY_SIDE, fit_each, score_split, train_event_model
 from ..operators.portfolio import RUN, backtest_kpis, exclude_top_each, limit_order_returns, payoff_stats
 from ..operators.splits import chrono_split, validation_slice, walk_forward_folds
 from ..schemas import FEATURES, KPIS, LABEL, RETURN, SUE_FEATURES, target
@@ -24,10 +24,6 @@ def _stack(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-#: Models that are fitted side by side; each fit is a long series of short jobs.
-SIDE_BY_SIDE = 4
-
-
 def _fit_all(fits: Sequence[Callable[[], DataFrame]]) -> DataFrame:
     """The scored rows of independent fits, stored once so that no model scores twice."""
     with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
@@ -80,17 +76,24 @@ def overfitting_sweep(
 ) -> DataFrame:
     """Train/test gap, metrics and KPIs of each configuration against the ``baseline`` one.
 
-    All configurations are fitted by the same booster, so they differ in their parameters alone.
+    All configurations are fitted by the same booster, so they differ in their parameters alone; their trees
+    grow in the same jobs.
     """
     split = stored(chrono_split(features, split_date))
 
-    def fit(label: str, config: Mapping[str, object]) -> DataFrame:
+    def rows_of(config: Mapping[str, object]) -> DataFrame:
         rows = validation_slice(split, validation_date) if "early_stopping_rounds" in config else split
         if "is_validation" in rows.columns:
             rows = rows.withColumn("is_validation", F.col("is_validation") & (F.col("split") == "train"))
-        return run_config(rows, label, kind, config).drop("is_validation")
+        return rows
 
-    runs = _fit_all([lambda label=label, config=config: fit(label, config) for label, config in configs.items()])
+    parts = [rows_of(config) for config in configs.values()]
+    models = fit_each(kind, [(rows.where(F.col("split") == "train"), config) for rows, config in zip(parts, configs.values(), strict=True)])
+    scored = [
+        score_split(model, rows).withColumn("run_id", F.lit(label)).drop("is_validation")
+        for label, model, rows in zip(configs, models, parts, strict=True)
+    ]
+    runs = stored(_stack(scored), "scored")
     table = stored(compare(runs), "sweep")
     base = table.where(F.col("run_id") == "baseline").select(F.col("gap").alias("_base")).first()
     return table.withColumn("gap_vs_baseline", F.col("gap") - F.lit(base["_base"]))

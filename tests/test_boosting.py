@@ -135,6 +135,25 @@ def test_margins_are_carried_on(frame, monkeypatch):
     assert B.fit_boosted(frame, config, X, "y", edges=EDGES).to_json() == at_once.to_json()
 
 
+def test_fits_grow_in_the_same_jobs(spark, frame, monkeypatch):
+    stopping = {"n_estimators": 30, "max_depth": 3, "learning_rate": 0.8, "reg_lambda": 0.1, "early_stopping_rounds": 3}
+    configs = [PENALISED, {**PENALISED, "subsample": 0.6, "scale_pos_weight": "balanced", "n_estimators": 5}, stopping]
+    alone = [B.fit_boosted(frame, config, X, "y", edges=EDGES) for config in configs]
+    levels, cuts = [], B.best_cuts
+    monkeypatch.setattr(B, "best_cuts", lambda *a: levels.append(len(a[1])) or cuts(*a))
+    together = B.fit_boosted_each([(frame, config) for config in configs], X, "y", edges=EDGES)
+    assert [m.to_json() for m in together] == [m.to_json() for m in alone]
+    longest = max(len(alone[1].trees), len(alone[2].losses))
+    assert len(levels) <= 3 * longest and levels[0] == 3  # one job a level serves all fits
+
+
+def test_a_job_adds_no_earlier_trees(frame, monkeypatch):
+    added, move = [], B._with_margins
+    monkeypatch.setattr(B, "_with_margins", lambda rows, trees: added.append(len(trees)) or move(rows, trees))
+    B.fit_boosted(frame, {**PENALISED, "n_estimators": 4}, X, "y", edges=EDGES)
+    assert added == [1, 1, 1]
+
+
 def test_early_stopping_is_one_fit(frame, rows, monkeypatch):
     jobs = []
     grow = B.grow
