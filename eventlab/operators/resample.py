@@ -3,25 +3,69 @@ depend on partitioning, retries or the number of executors."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ordering import number_rows, number_sorted, percentiles
-from ..functions.scalars import digest, digest_part
 from ..schemas import KPIS, RETURN
 from ..storage import stored
 from .portfolio import COST, RUN, backtest_kpis
 
 #: Trades of a block, which draws its share by itself.
 BLOCK = 64
+#: Blocks in a row that one group draws from.
+PART = 4
+#: Pairs of a rep's draws that are counted at a time, and digests that are made at a time.
+STRETCH = 1 << 19
+DIGESTS = 1 << 14
 #: Candidates of a day and seed that one task ranks.
 DAY_PART = 4096
 #: Standard deviations by which the limit of the draws is set beyond what a day needs.
 SPARE = 2.5
 
 
+def block_draws(sizes: DataFrame, reps: int, seed: int) -> DataFrame:
+    """How often each rep draws each block: ``_run, rep, _block, _draws``, from ``_run`` and its number of trades ``_size``.
+
+    A digest makes two picks, for the draws 2p and 2p + 1; an odd last draw stands alone. A task counts whole
+    stretches of a rep's draws, `STRETCH` pairs of them, so a row stands for as many draws as meet in a block.
+    """
+    schema = T.StructType(
+        [sizes.schema["_run"], T.StructField("rep", T.IntegerType()), T.StructField("_block", T.LongType()), T.StructField("_draws", T.LongType())]
+    )
+
+    def counted(rep: int, first: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.zeros((size - 1) // BLOCK + 1, np.int64)
+        last = min(first + STRETCH, (size + 1) // 2)
+        for low in range(first, last, DIGESTS):
+            high = min(low + DIGESTS, last)
+            made = np.frombuffer(b"".join([md5(b"%d|%d|%d" % (seed, rep, p)).digest() for p in range(low, high)]), np.uint8).reshape(-1, 16)
+            picks = [np.ascontiguousarray(made[:, i : i + 8]).view(">u8").ravel().astype(np.uint64) for i in (0, 7)]
+            places = np.concatenate([picks[0] >> np.uint64(4), (picks[1] & np.uint64((1 << 60) - 1))[: size // 2 - low]]) % np.uint64(size)
+            counts += np.bincount((places // np.uint64(BLOCK)).astype(np.int64), minlength=len(counts))
+        blocks = np.flatnonzero(counts)
+        return blocks, counts[blocks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (rep, first, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("rep", "_first", "_size")), strict=True)):
+                blocks, draws = counted(rep, first, size)
+                same = batch.column("_run").take(pa.array(np.full(len(blocks), i)))
+                yield pa.RecordBatch.from_arrays([same, pa.array(np.full(len(blocks), rep, np.int32)), pa.array(blocks), pa.array(draws)], names=schema.names)
+
+    stretches = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_size") - 1) / 2), F.lit(STRETCH).cast("bigint"))
+    work = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_first", F.explode(stretches))
+    # A few small rows are much work: a number of tasks is named, as Spark would join them by their bytes.
+    tasks = max(64, 4 * sizes.sparkSession.sparkContext.defaultParallelism)
+    return work.select("_run", "rep", "_first", "_size").repartition(tasks, "_run", "rep", "_first").mapInArrow(run, schema)
+
+
 def bootstrap_trades(
     trades: DataFrame,
     reps: int = 2000,
@@ -33,45 +77,40 @@ def bootstrap_trades(
 
     Trades are numbered by day and cut into blocks of `BLOCK`. First every draw picks a block, by a hash, in proportion
     to its trades; only the number of draws per (rep, block) is kept, summed up where it arises. Then every block draws
-    that many of its own trades, by another hash. So no draw meets a trade in a join, and as blocks
-    follow the days, a day's draws of a rep are summed up in the task that makes them.
+    that many of its own trades, by another hash. So no draw is shuffled, and as a task takes `PART` blocks in a row and
+    blocks follow the days, a day's draws of a rep are summed up in the task that makes them.
     """
     keys = list(keys)
     slim = trades.select(*keys, "date", "symbol", ret)
     numbered = number_sorted(slim, keys, ["date", "symbol", ret], "_place")
-    run = numbered.select(*keys, "date", "symbol", ret, (F.col("_place") - 1).alias("_at"))
-    blocks = (
-        run.groupBy(F.struct(*keys).alias("_run"), F.floor(F.col("_at") / BLOCK).alias("_block"))
-        .agg(F.sort_array(F.collect_list(F.struct("_at", "date", "symbol", F.col(ret).alias("_ret")))).alias("_trades"))
-    )
-    blocks = stored(blocks, "blocks")
-    sizes = blocks.groupBy("_run").agg(F.sum(F.size("_trades")).alias("_size"))
-    # A digest makes two picks of a block, for the draws 2p and 2p + 1; an odd last draw stands alone.
-    picks = [F.floor(digest_part("_digest", i, 15) % F.col("_size") / BLOCK) for i in range(2)]
-    pairs = F.sequence(F.col("_block") * (BLOCK // 2), F.col("_block") * (BLOCK // 2) + F.floor((F.col("_own") - 1) / 2))
-    drawn = (
-        blocks.select("_run", "_block", F.size("_trades").alias("_own"))
-        .join(sizes, "_run")
-        # A few blocks become many draws: spread them first.
-        .repartition("_run", "_block")
-        .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-        .withColumn("_pair", F.explode(pairs))
-        .withColumn("_digest", digest(F.lit(seed), F.col("rep"), F.col("_pair")))
-        .withColumn("_block", F.explode(F.when(2 * F.col("_pair") + 1 < F.col("_size"), F.array(*picks)).otherwise(F.array(picks[0]))))
-        .groupBy("_run", "rep", "_block")
-        .agg(F.count("*").alias("_draws"))
-    )
-    # Another one makes four picks inside a block.
-    own = F.array(*[F.get("_trades", (digest_part("_digest", i, 8) % F.size("_trades")).cast("int")) for i in range(4)])
-    left = F.least(F.lit(4).cast("bigint"), F.col("_draws") - 4 * F.col("_quad")).cast("int")
-    found = (
-        drawn.join(blocks, ["_run", "_block"])
-        .withColumn("_quad", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_draws") - 1) / 4))))
-        .withColumn("_digest", digest(F.lit("own"), F.lit(seed), F.col("rep"), F.col("_block"), F.col("_quad")))
-        .select("_run", "rep", F.explode(F.slice(own, F.lit(1), left)).alias("_trade"))
-    )
-    names = [F.col(f"_run.{k}").alias(k) for k in keys]
-    return found.select(*names, "rep", "_trade.date", "_trade.symbol", F.col("_trade._ret").alias(ret))
+    at = F.col("_place") - 1
+    part = F.floor(at / (BLOCK * PART)).alias("_part")
+    run = stored(numbered.select(F.struct(*keys).alias("_run"), part, at.alias("_at"), "date", "symbol", F.col(ret).alias("_ret")), "numbered")
+    sizes = run.groupBy("_run").agg(F.count("*").alias("_size"))
+    drawn = block_draws(sizes, reps, seed).withColumn("_part", F.floor(F.col("_block") / PART))
+    schema = T.StructType([*(slim.schema[k] for k in keys), T.StructField("rep", T.IntegerType()), *(slim.schema[c] for c in ("date", "symbol", ret))])
+
+    def draw(counts: pa.Table, own: pa.Table) -> pa.Table:
+        own = own.sort_by("_at")
+        rep, block, draws = (counts.column(c).to_numpy() for c in ("rep", "_block", "_draws"))
+        # A digest makes four picks inside a block.
+        quads = (draws + 3) // 4
+        made = b"".join(
+            [md5(b"own|%d|%d|%d|%d" % (seed, r, b, q)).digest() for r, b, n in zip(rep.tolist(), block.tolist(), quads.tolist(), strict=True) for q in range(n)]
+        )
+        picks = np.frombuffer(made, ">u4").astype(np.int64)
+        row = np.repeat(np.arange(len(rep)), 4 * quads)
+        kept = np.arange(len(row)) - np.repeat(4 * (np.cumsum(quads) - quads), 4 * quads) < draws[row]
+        row, picks = row[kept], picks[kept]
+        place = own.column("_at").to_numpy() // BLOCK
+        first = np.searchsorted(place, block, "left")
+        size = np.searchsorted(place, block, "right") - first
+        found = own.take(pa.array(first[row] + picks % size[row]))
+        names = [found.column("_run").combine_chunks().field(i) for i in range(len(keys))] if keys else []
+        return pa.table([*names, pa.array(rep[row]), *(found.column(c) for c in ("date", "symbol", "_ret"))], names=schema.names)
+
+    group = ["_run", "_part"]
+    return drawn.groupBy(*group).cogroup(run.groupBy(*group)).applyInArrow(draw, schema)
 
 
 def bootstrap_kpis(

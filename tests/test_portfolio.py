@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import random
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -177,6 +178,22 @@ def test_bootstrap_keeps_the_size_and_draws_with_replacement(spark):
     assert all(r["d"] < 40 for r in sizes)
 
 
+def test_bootstrap_counts_a_reps_draws_where_they_arise(spark, monkeypatch):
+    sizes = spark.createDataFrame([(("a",), 1001), (("b",), 3)], "_run struct<run_id:string>, _size bigint")
+    found = R.block_draws(sizes, 5, 42)
+    assert found.rdd.getNumPartitions() > 1  # whatever the bytes
+    shown = sorted((r["_run"]["run_id"], r["rep"], r["_block"], r["_draws"]) for r in found.collect())
+    assert len({r[:3] for r in shown}) == len(shown) and max(r[2] for r in shown) == 1000 // R.BLOCK
+    for run, size in (("a", 1001), ("b", 3)):
+        assert all(sum(r[3] for r in shown if r[:2] == (run, rep)) == size for rep in range(5))
+    digests = [hashlib.md5(f"42|4|{p}".encode()).hexdigest() for p in range(501)]
+    picks = [int(d[i : i + 15], 16) % 1001 // R.BLOCK for d in digests for i in (0, 15)][:1001]
+    assert {r[2]: r[3] for r in shown if r[:2] == ("a", 4)} == dict(Counter(picks))
+    monkeypatch.setattr(R, "STRETCH", 100)
+    cut = R.block_draws(sizes, 5, 42).groupBy("_run", "rep", "_block").agg({"_draws": "sum"}).collect()
+    assert sorted((r[0][0], *r[1:]) for r in cut) == shown
+
+
 def test_bootstrap_of_constant_returns(spark):
     df = trades(spark, [(f"2024-01-0{i}", "a", 0.05) for i in range(1, 5)])
     assert {r["win_rate"] for r in R.bootstrap_kpis(df, 20).collect()} == {1.0}
