@@ -29,15 +29,20 @@ LAYOUTS = [
 ]
 
 
+#: Tasks put their files into place themselves; by default the driver moves them one by one. The folder is new, and a
+#: repeated task writes the same names.
+BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
 def _landed_bars(spark, sf):
     """Raw bars as CSVs of four layouts, several files each, with symbols whose files lack the date."""
     path = scratch(spark, "prices")
     raw = stored(K.raw_prices(spark, sf).withColumns({"exchange": F.lit("X, Y"), "split": F.lit(1)}), "bars")
     for i, layout in enumerate(LAYOUTS):
         bars = raw.where(F.col("symbol") % len(LAYOUTS) == i).select(*layout, "symbol")
-        bars.repartition("symbol").write.partitionBy("symbol").option("header", True).csv(f"{path}/layout-{i}")
+        bars.repartition("symbol").write.partitionBy("symbol").options(**BY_TASKS).option("header", True).csv(f"{path}/layout-{i}")
     undated = raw.where(F.col("symbol") % 5 == 0).select("open", "close", (-F.col("symbol")).alias("symbol"))
-    undated.repartition("symbol").write.partitionBy("symbol").option("header", True).csv(f"{path}/undated")
+    undated.repartition("symbol").write.partitionBy("symbol").options(**BY_TASKS).option("header", True).csv(f"{path}/undated")
     return path
 
 

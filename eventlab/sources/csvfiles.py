@@ -8,6 +8,7 @@ their headers have the declared columns, and every group is one scan with its ow
 from __future__ import annotations
 
 import csv
+import os
 import re
 from collections.abc import Sequence
 from functools import reduce
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import stored
+
 #: Column of the scans with the path of a row's file, as Spark writes it.
 FILE = "_file"
 
@@ -48,25 +51,50 @@ def _readable(file: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(file))
 
 
+def _arranged(spark: SparkSession, path: str, schema: T.StructType, wanted: set[str], glob: str) -> dict[tuple, list[str]]:
+    """Paths by arrangement of the declared columns: a folder all of whose files share one stands for them, whatever their
+    number. Only different headers and such paths come to the driver."""
+    found = stored(headers(spark, path, glob), "headers")
+    ids: dict[tuple | None, int] = {None: 0}  # files without a required column
+    of_header = []
+    for row in found.select("header").distinct().collect():
+        where, width = places(row["header"], schema)
+        fits = all(where[i] is not None for i, f in enumerate(schema) if f.name.lower() in wanted)
+        of_header.append((row["header"], ids.setdefault((where, width) if fits else None, len(ids))))
+    if len(ids) == 1:
+        return {}
+    known = found.join(spark.createDataFrame(of_header, "header string, id int"), "header").select("file", "id")
+    ends = found.agg(F.min("file").alias("low"), F.max("file").alias("high")).first()
+    # Every path between the first and the last begins as both do; below a pattern, folders may hold other files.
+    shared = os.path.commonprefix([ends["low"], ends["high"]]).rpartition("/")[0]
+    folders = not re.search(r"[*?\[\]{}]", path) and ends["low"] != ends["high"]
+    parts = F.split(F.substring(F.col("file"), len(shared) + 1, 1 << 20), "/")
+    within = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(i.alias("depth"), F.concat(F.lit(shared), F.array_join(F.slice(parts, 1, i), "/")).alias("at")))
+    own = F.struct(F.size(parts).alias("depth"), F.col("file").alias("at"))
+    places_of = known.select("file", "id", F.explode(F.concat(within, F.array(own)) if folders else F.array(own)).alias("in")).select("file", "id", "in.*")
+    pure = places_of.groupBy("at").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low = high").select("at")
+    highest = places_of.join(pure, "at").groupBy("file").agg(F.min_by(F.struct("id", "at"), "depth").alias("top"))
+    arrangements = {i: arrangement for arrangement, i in ids.items()}
+    groups: dict[tuple, list[str]] = {}
+    for row in highest.select("top.*").where("id > 0").distinct().collect():
+        groups.setdefault(arrangements[row["id"]], []).append(row["at"])
+    return groups
+
+
 def scans(spark: SparkSession, path: str, schema: T.StructType, required: Sequence[str] = (), glob: str = "*") -> list[DataFrame]:
     """One scan for each arrangement of the declared columns, with those that its files have, and `FILE`.
 
     Files without a required column are left out; `files_without` names them. Other columns are not
-    read. Paths pass through the driver, as they do when Spark lists files itself.
+    read. A scan is given whole folders where all their files have its arrangement.
     """
-    wanted = {c.lower() for c in required}
-    groups: dict[tuple, list[str]] = {}
-    for row in headers(spark, path, glob).collect():
-        where, width = places(row["header"], schema)
-        if all(where[i] is not None for i, f in enumerate(schema) if f.name.lower() in wanted):
-            groups.setdefault((where, width), []).append(row["file"])
+    groups = _arranged(spark, path, schema, {c.lower() for c in required}, glob)
     out = []
     for (where, width), files in sorted(groups.items(), key=lambda g: str(g[0])):
         fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
         for place, f in zip(where, schema, strict=True):
             if place is not None:
                 fields[place] = f
-        reader = spark.read.schema(T.StructType(fields)).option("header", True).option("recursiveFileLookup", True)
+        reader = spark.read.schema(T.StructType(fields)).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
         present = [f.name for place, f in zip(where, schema, strict=True) if place is not None]
         out.append(reader.csv([_readable(f) for f in sorted(files)]).select(*present, F.col("_metadata.file_path").alias(FILE)))
     return out
