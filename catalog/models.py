@@ -201,8 +201,7 @@ def gap_robustness(spark, sf):
 
 
 def horizon_alignment(spark, sf):
-    daily = K.features(spark, sf)
-    long = K.features(spark, sf, horizon=20, label_price="close")
+    daily, long = K.features_each(spark, sf, [(1, "high"), (20, "close")])
     return tidy(X.horizon_alignment(daily, long, 20, K.SPLIT_DATE, DEFAULT))
 
 
@@ -217,7 +216,8 @@ def survivorship_models(spark, sf):
 
 def alignment_models(spark, sf):
     """Each label's own model; the limit order trades the high label's signals."""
-    return tidy(X.alignment_models(K.features(spark, sf), K.features(spark, sf, label_price="close"), K.SPLIT_DATE, K.THRESHOLD, DEFAULT))
+    high, close = K.features_each(spark, sf, [(1, "high"), (1, "close")])
+    return tidy(X.alignment_models(high, close, K.SPLIT_DATE, K.THRESHOLD, DEFAULT))
 
 
 def advice_model(spark, sf):

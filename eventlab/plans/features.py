@@ -10,6 +10,7 @@ from ..operators.events import event_join, standardised_surprise
 from ..operators.labels import label_spike, triple_barrier
 from ..operators.panel import attach_sector_rank, forward_returns, latest_snapshot, momentum, sector_join, sector_ranks
 from ..schemas import LABEL, target
+from ..storage import stored
 
 
 def _check_windows(windows: Sequence[int], rank_window: int, required: Sequence[int]) -> None:
@@ -55,6 +56,36 @@ def event_features(
     rank_return = f"return_{rank_window}d"
     events = events.na.drop(subset=[rank_return, target(horizon, "high")])
     ranked = attach_sector_rank(events, sector_ranks(moved, rank_window), rank_window, "inner")
+    return _shown(ranked, horizon, rank_window, extra)
+
+
+def event_features_each(
+    prices: DataFrame,
+    metadata: DataFrame,
+    earnings: DataFrame,
+    labels: Sequence[tuple[int, str]],
+    *,
+    windows: Sequence[int] = (14, 60),
+    rank_window: int = 60,
+    threshold: float = 0.02,
+) -> list[DataFrame]:
+    """`event_features` for several (horizon, label price), over one pass of the panel.
+
+    The event rows with the outcomes of all horizons are stored; labels follow from them row by row.
+    """
+    _check_windows(windows, rank_window, (14,))
+    moved = momentum(sector_join(prices, metadata), windows)
+    ahead = moved
+    for horizon in sorted({h for h, _ in labels}):
+        ahead = forward_returns(ahead, horizon)
+    events = event_join(ahead, earnings).na.drop(subset=[f"return_{rank_window}d"])
+    ranked = stored(attach_sector_rank(events, sector_ranks(moved, rank_window), rank_window, "inner"), "events")
+    labelled = [label_spike(ranked.na.drop(subset=[target(h, "high")]), threshold, h, price) for h, price in labels]
+    return [_shown(rows, h, rank_window) for rows, (h, _) in zip(labelled, labels, strict=True)]
+
+
+def _shown(ranked: DataFrame, horizon: int, rank_window: int, extra: Sequence[str] = ()) -> DataFrame:
+    rank_return = f"return_{rank_window}d"
     return ranked.select(
         "date",
         "symbol",

@@ -8,6 +8,7 @@ tables.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.ordering import number_rows
 from ..functions.scalars import to_places
 from ..operators.splits import chrono_split
-from ..plans.features import event_features
+from ..plans.features import event_features, event_features_each
 
 SPLIT_DATE = dt.date(2000, 1, 1)
 VALIDATION_DATE = dt.date(1999, 1, 1)
@@ -175,6 +176,11 @@ def features(spark: SparkSession, sf: str, **options) -> DataFrame:
     return event_features(prices(spark, sf), metadata(spark, sf), earnings(spark, sf), **options)
 
 
+def features_each(spark: SparkSession, sf: str, labels: Sequence[tuple[int, str]]) -> list[DataFrame]:
+    """`features` for several (horizon, label price), built together."""
+    return event_features_each(prices(spark, sf), metadata(spark, sf), earnings(spark, sf), labels, threshold=THRESHOLD)
+
+
 def rule_score(df: DataFrame) -> DataFrame:
     """A fixed score in place of a fitted model, so that results can be checked exactly."""
     linear = sum((F.col(c) * w for c, w in RULE_WEIGHTS.items()), F.lit(-0.5))
