@@ -159,7 +159,6 @@ def calibration_compare(
 
 def sue_compare(features: DataFrame, split_date: dt.date, config: Mapping[str, object] | None = None) -> DataFrame:
     """The raw surprise against the standardised one as a feature. Needs a ``sue`` column."""
-    features = stored(features, "features")
 
     def fit(label: str, names: Sequence[str]) -> DataFrame:
         return run_config(stored(chrono_split(features, split_date, names)), label, "gbt", config, names)
