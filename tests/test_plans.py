@@ -97,3 +97,22 @@ def test_buckets_are_cut_even_if_rows_are_hashed_by_the_key(spark, tmp_path):
     ranked = percent_ranks(hashed, ["sector"], "close", "rank")
     for df in (numbered, ranked):
         assert re.search(r"Exchange hashpartitioning\((sector|_group)#\d+, _bucket#\d+", plan(df))
+
+
+def test_features_of_several_labels_are_those_built_alone(spark):
+    import datetime as dt
+
+    from eventlab.plans import features as FT
+
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(110)]
+    bars = [(d, s, 10.0 + s + i % 7, 12.0 + s + i % 5, 9.0, 10.0 + s + (i * (s + 3)) % 11, 100.0) for s in range(3) for i, d in enumerate(days)]
+    prices = spark.createDataFrame(bars, "date date, symbol bigint, open double, high double, low double, close double, volume double")
+    metadata = spark.createDataFrame([(s, "x") for s in range(3)], "symbol bigint, sector string")
+    told = [(s, days[i], 1.0, 1.5, 50.0) for s in range(3) for i in (5, 70, 85, 95, 109)]
+    earnings = spark.createDataFrame(told, "symbol bigint, date date, eps_estimate double, reported_eps double, surprise_pct double")
+    labels = [(1, "high"), (20, "close"), (1, "close")]
+    each = FT.event_features_each(prices, metadata, earnings, labels, threshold=0.07)
+    for (horizon, price), found in zip(labels, each, strict=True):
+        alone = FT.event_features(prices, metadata, earnings, horizon=horizon, label_price=price, threshold=0.07)
+        assert found.columns == alone.columns and found.count() > 0
+        assert sorted(map(str, found.collect())) == sorted(map(str, alone.collect()))

@@ -238,3 +238,21 @@ def test_scratch_follows_the_session_setting():
 def test_nan_prices_become_null(spark, tmp_path):
     (tmp_path / "N.csv").write_text(HEADER + "2024-01-02,NaN,1,1,1,1,1\n")
     assert PR.raw_price_files(spark, str(tmp_path)).select(F.col("open").isNull().alias("n")).first()["n"]
+
+
+def test_a_folder_of_one_arrangement_stands_for_its_files(spark, tmp_path):
+    """Only different headers and folders pass through the driver; a file of another arrangement is named itself."""
+    from eventlab.schemas import RAW_PRICES
+    from eventlab.sources import csvfiles as CF
+
+    for i in range(6):
+        for folder, header, line in (("a", "date,close", f"2020-01-0{i + 1},{i}"), ("b", "close,date", f"{i},2020-02-0{i + 1}")):
+            (tmp_path / folder / f"symbol={i}").mkdir(parents=True)
+            (tmp_path / folder / f"symbol={i}" / "x.csv").write_text(f"{header}\n{line}\n")
+    (tmp_path / "b" / "symbol=9").mkdir()
+    (tmp_path / "b" / "symbol=9" / "x.csv").write_text("open,close\n1,2\n")
+    groups = CF._arranged(spark, str(tmp_path), RAW_PRICES, {"date"}, "*.csv")
+    named = sorted(len(paths) for paths in groups.values())
+    assert named == [1, 6] and any(paths[0].endswith("/a") for paths in groups.values())
+    found = CF.read_by_name(spark, str(tmp_path), RAW_PRICES, ["date"], "*.csv").collect()
+    assert sorted((str(r["date"]), r["close"]) for r in found) == sorted([(f"2020-01-0{i + 1}", i) for i in range(6)] + [(f"2020-02-0{i + 1}", i) for i in range(6)])
