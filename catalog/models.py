@@ -104,17 +104,17 @@ def boosted_levels(spark, sf):
     config = BO.BoostConfig.of({**CONFIGS["regularised"], **TREE_COMPLEXITY})
     weight = class_weight(train, label=LABEL).first()["scale_pos_weight"]
     edges = [EDGES[f] for f in FEATURES]
-    rows = stored(BO.binned(train, FEATURES, LABEL, edges, weight, F.lit(0).cast("bigint"), F.lit(False)), "binned")
-    tree, nodes, found = BO.Tree(), [0], None
+    rows = BO.blocks(stored(BO.binned(train, FEATURES, LABEL, edges, weight, F.lit(0).cast("bigint"), F.lit(False)), "binned"))
+    tree, nodes, found = BO.Tree(), [0], []
     for _ in range(2):
         growing = BO.Growth(2 + max(map(len, edges)), tree, nodes, range(len(FEATURES)))
-        level = stored(BO.best_cuts(BO.gradient_histogram(rows, {0: growing}), {0: config}), "cuts")
-        found = level if found is None else found.unionByName(level)
-        nodes = BO.split_nodes(tree, level.collect(), edges, config)
+        level = BO.best_cuts(BO.gradient_histogram(rows, {0: growing}), {0: config}, growing.sums)
+        found += level
+        nodes = BO.split_nodes(tree, level, edges, config)
     unit = float(BO.UNIT)
     name = F.element_at(F.array(*[F.lit(f) for f in FEATURES]), F.col("feature") + 1)
     shown = ["node", name.alias("feature"), "n", "bin", "gain", *[(F.col(c) / unit).alias(c) for c in ("g", "h", "gl", "hl")]]
-    return tidy(found.select(*shown))
+    return tidy(spark.createDataFrame(found, BO.CUTS).select(*shown))
 
 
 def logistic_train(spark, sf):

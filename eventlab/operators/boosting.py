@@ -1,8 +1,9 @@
 """Second-order boosted trees with penalised leaves, fitted by histograms.
 
-Features are cut into bins once, and rows are kept in blocks of NumPy columns. A level of a tree is one job: every task
-adds up the gradients and Hessians of its rows by (node, feature, bin), the tasks' sums meet by node and feature, and the
-best cut follows from running sums over the bins; the driver sees one candidate for each. A
+Features are cut into bins once, and rows are kept in blocks of NumPy columns, an RDD that is cached. A level of a tree is
+one small job without a query plan: every task adds up the gradients and Hessians of its rows by node, feature and bin,
+and the best cut follows from running sums over the bins. A few sums (`DIRECT_SUMS`) meet at the driver, more meet in
+tasks by node and feature, and the driver sees one candidate for each. A
 leaf of gradient G and Hessian H weighs ``-sign(G) * max(|G| - alpha, 0) / (H + lambda)``.
 
 Several fits grow side by side: a job serves the level of all of them, so a study of many configurations has as
@@ -27,12 +28,13 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_int
 from ..schemas import FEATURES, LABEL
-from ..storage import stored
+from ..storage import scratch, stored
 from .metrics import class_weight
 
 UNIT = 1 << 22
@@ -44,8 +46,12 @@ BLOCK_ROWS = 16384
 SIDE_BY_SIDE = 4
 #: A cut must gain more than this, whatever the rounding of the sums.
 LEAST_GAIN = 1e-6
-HISTOGRAM = "fit int, node int, feature int, bin int, g bigint, h bigint, n bigint"
+#: A task's sums of a node and feature are one array. Up to this many of a level are added up at the driver.
+DIRECT_SUMS = 2048
+#: Nodes and features that a task adds up, if there are more.
+SUMS_A_TASK = 64
 CUTS = "fit int, node int, feature int, g bigint, h bigint, n bigint, bin int, gain double, gl bigint, hl bigint"
+CUT = Row(*[c.split()[0] for c in CUTS.split(", ")])
 #: A row is a block of one fit's rows: the bytes of each column, and of the bins feature by feature.
 BLOCKS = "fit int, key binary, y binary, w binary, v binary, m binary, b binary"
 KINDS = {"key": np.int64, "y": np.float64, "w": np.float64, "v": np.bool_, "m": np.float64, "b": np.int16}
@@ -216,12 +222,14 @@ def _block(fit: int, parts: Sequence[dict[str, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([fit], pa.int32()), *[pa.array([x], pa.binary()) for x in whole]], names=["fit", *KINDS])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """The blocks of a task, each with its fit and columns; the bins have a row per feature."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            columns = {c: np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in KINDS.items()}
-            yield batch.column("fit")[i].as_py(), {**columns, "b": columns["b"].reshape(-1, len(columns["y"]))}
+def blocks(rows: DataFrame) -> RDD:
+    """The blocks as (fit, columns by name); the bins have a row per feature."""
+
+    def read(row: Row) -> tuple[int, dict[str, np.ndarray]]:
+        columns = {c: np.frombuffer(row[c], kind) for c, kind in KINDS.items()}
+        return row["fit"], {**columns, "b": columns["b"].reshape(-1, len(columns["y"]))}
+
+    return rows.rdd.map(read)
 
 
 def _uniform(key: np.ndarray, seed: int) -> np.ndarray:
@@ -244,18 +252,24 @@ class Growth:
     columns: Sequence[int]
     sample: tuple[float, int] = (1.0, 0)
 
+    @property
+    def sums(self) -> int:
+        """The most arrays of sums that a task makes: by node and feature, and one for the held-out rows."""
+        return len(self.nodes) * len(self.columns) + 1
 
-def gradient_histogram(rows: DataFrame, growing: Mapping[int, Growth]) -> DataFrame:
-    """One task's sums by (fit, node, feature, bin), in units of 1 / `UNIT`, for the open nodes of growing trees.
 
-    Rows of another task's sums are not added yet. A root's histogram also has the loss of the held-out rows.
+def gradient_histogram(rows: RDD, growing: Mapping[int, Growth]) -> RDD:
+    """Every task's sums for the open nodes of growing trees: ``(fit, node, feature)`` and an array of g, h and n by bin.
+
+    Sums are in units of 1 / `UNIT`; those of several tasks are not added yet. A root's histogram also has the loss of the
+    held-out rows.
     """
     growing = dict(growing)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[tuple[int, dict[str, np.ndarray]]]) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
         sums = {fit: np.zeros((3, len(g.columns), len(g.nodes) * g.bins), np.int64) for fit, g in growing.items()}
         held = {fit: [0, 0] for fit in growing}
-        for fit, block in _blocks(batches):
+        for fit, block in parts:
             if fit not in growing:
                 continue
             to = growing[fit]
@@ -279,24 +293,22 @@ def gradient_histogram(rows: DataFrame, growing: Mapping[int, Growth]) -> DataFr
                 for i, weights in enumerate((g, h, None)):
                     sums[fit][i, j] += np.rint(np.bincount(at, weights, sums[fit].shape[2])).astype(np.int64)
         for fit, to in growing.items():
-            j, at = np.nonzero(sums[fit][2])
-            node, feature = np.array(to.nodes, np.int64)[at // to.bins], np.array(to.columns, np.int64)[j]
-            out = [np.full(len(at), fit), node, feature, at % to.bins, *sums[fit][:, j, at]]
+            for slot, node in enumerate(to.nodes):
+                for j, feature in enumerate(to.columns):
+                    own = sums[fit][:, j, slot * to.bins : (slot + 1) * to.bins]
+                    if own[2].any():
+                        yield (fit, int(node), int(feature)), own.copy()
             if held[fit][1]:
-                out = [np.r_[x, last] for x, last in zip(out, (fit, HELD_OUT, -1, 0, held[fit][0], 0, held[fit][1]), strict=True)]
-            kinds = [pa.int32()] * 4 + [pa.int64()] * 3
-            names = ["fit", "node", "feature", "bin", "g", "h", "n"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
+                yield (fit, HELD_OUT, -1), np.array([[held[fit][0]], [0], [held[fit][1]]], np.int64)
 
-    return rows.mapInArrow(run, HISTOGRAM)
+    return rows.mapPartitions(run)
 
 
-def best_cuts(histogram: DataFrame, configs: Mapping[int, BoostConfig]) -> DataFrame:
+def best_cuts(histogram: RDD, configs: Mapping[int, BoostConfig], sums: int) -> list[Row]:
     """Per (fit, node, feature) the sums of the node, and the cut of the largest gain with its left side's sums.
 
-    Columns ``fit, node, feature, g, h, n, bin, gain, gl, hl``; the last four are null if no cut is allowed or
-    gains enough. Equal gains go to the lower bin. Tasks' sums meet by fit, node and feature, at most one row for each bin
-    and task.
+    Fields ``fit, node, feature, g, h, n, bin, gain, gl, hl``; the last four are null if no cut is allowed or
+    gains enough. Equal gains go to the lower bin. A task has at most ``sums`` arrays of sums.
     """
     configs = dict(configs)
 
@@ -305,40 +317,29 @@ def best_cuts(histogram: DataFrame, configs: Mapping[int, BoostConfig]) -> DataF
         room = h / UNIT + config.reg_lambda
         return np.divide(shrunk * shrunk, room, out=np.zeros(len(room)), where=room > 0)
 
-    def best(bins: np.ndarray, sums: np.ndarray, config: BoostConfig) -> tuple:
-        total = np.cumsum(sums, 0)
-        g, h, n = total[-1]
-        gl, hl, nl = total.T
-        gain = score(gl, hl, config) + score(g - gl, h - hl, config) - score(total[-1:, 0], total[-1:, 1], config)
+    def best(found: tuple[tuple[int, int, int], np.ndarray]) -> tuple:
+        place, by_bin = found
+        config, bins = configs[place[0]], np.flatnonzero(by_bin[2])
+        total = np.cumsum(by_bin[:, bins], 1)
+        g, h, n = total[:, -1]
+        gl, hl, nl = total
+        gain = score(gl, hl, config) + score(g - gl, h - hl, config) - score(total[0, -1:], total[1, -1:], config)
         least = config.min_child_weight * UNIT
         allowed = (nl < n) & (hl >= least) & (h - hl >= least) & (gain > max(config.min_split_loss, LEAST_GAIN))
         if not allowed.any():
-            return int(g), int(h), int(n), None, None, None, None
+            return *place, int(g), int(h), int(n), None, None, None, None
         at = int(np.where(allowed, gain, -np.inf).argmax())
-        return int(g), int(h), int(n), int(bins[at]), float(gain[at]), int(gl[at]), int(hl[at])
+        return *place, int(g), int(h), int(n), int(bins[at]), float(gain[at]), int(gl[at]), int(hl[at])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not sum(part.num_rows for part in parts):
-            return
-        table = pa.Table.from_batches(parts)
-        place = np.stack([table.column(c).to_numpy() for c in ("fit", "node", "feature", "bin")], 1)
-        sums = np.stack([table.column(c).to_numpy() for c in "ghn"], 1)
-        order = np.lexsort(place.T[::-1])
-        place, sums = place[order], sums[order]
-        moved = np.diff(place, axis=0) != 0
-        first = np.flatnonzero(np.r_[True, moved.any(1)])
-        place, sums = place[first], np.add.reduceat(sums, first, 0)
-        starts = np.flatnonzero(np.r_[True, (np.diff(place[:, :3], axis=0) != 0).any(1)])
-        found = []
-        for low, high in zip(starts, np.r_[starts[1:], len(place)], strict=True):
-            group = place[low, :3].tolist()
-            found.append((*group, *best(place[low:high, 3], sums[low:high], configs[group[0]])))
-        kinds = (*[pa.int32()] * 3, *[pa.int64()] * 3, pa.int32(), pa.float64(), pa.int64(), pa.int64())
-        arrays = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["fit", "node", "feature", "g", "h", "n", "bin", "gain", "gl", "hl"])
-
-    return histogram.repartition("fit", "node", "feature").mapInArrow(run, CUTS)
+    tasks = histogram.getNumPartitions()
+    if tasks * sums <= DIRECT_SUMS:
+        whole: dict[tuple[int, int, int], np.ndarray] = {}
+        for place, own in histogram.collect():
+            whole[place] = whole[place] + own if place in whole else own
+        cuts = [best(found) for found in whole.items()]
+    else:
+        cuts = histogram.reduceByKey(np.add, min(tasks, -(-sums // SUMS_A_TASK))).map(best).collect()
+    return [CUT(*cut) for cut in cuts]
 
 
 def _columns_of(tree: int, k: int, config: BoostConfig) -> list[int]:
@@ -396,7 +397,7 @@ class Fit:
         return number + 1 < self.config.n_estimators + (1 if patience else 0)
 
 
-def grow(rows: DataFrame, fits: Mapping[int, Fit], going: Sequence[int], number: int) -> dict[int, tuple[Tree | None, float | None]]:
+def grow(rows: RDD, fits: Mapping[int, Fit], going: Sequence[int], number: int) -> dict[int, tuple[Tree | None, float | None]]:
     """The next tree of each fit, and the held-out loss before it. No tree if there is nothing to fit."""
     trees: dict[int, Tree | None] = {fit: Tree() for fit in going}
     losses: dict[int, float | None] = dict.fromkeys(going)
@@ -404,9 +405,9 @@ def grow(rows: DataFrame, fits: Mapping[int, Fit], going: Sequence[int], number:
     depth = 0
     while nodes:
         growing = {fit: fits[fit].growth(trees[fit], open_nodes, number) for fit, open_nodes in nodes.items()}
-        cuts = best_cuts(gradient_histogram(rows, growing), {fit: fits[fit].config for fit in growing})
+        cuts = best_cuts(gradient_histogram(rows, growing), {fit: fits[fit].config for fit in growing}, sum(g.sums for g in growing.values()))
         found: dict[int, list[Row]] = {fit: [] for fit in growing}
-        for r in cuts.collect():  # one row per fit, open node and feature
+        for r in cuts:  # one row per fit, open node and feature
             found[r["fit"]].append(r)
         depth += 1
         for fit, own in found.items():
@@ -426,16 +427,22 @@ def grow(rows: DataFrame, fits: Mapping[int, Fit], going: Sequence[int], number:
     return {fit: (trees[fit], losses[fit]) for fit in going}
 
 
-def _with_margins(rows: DataFrame, trees: Mapping[int, Tree]) -> DataFrame:
+def _with_margins(rows: RDD, trees: Mapping[int, Tree]) -> RDD:
     """The blocks of the fits that go on, their margins one tree further."""
     trees = dict(trees)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fit, block in _blocks(batches):
-            tree = trees[fit]
-            yield _block(fit, [{**block, "m": block["m"] + np.array(tree.value)[tree.leaves_of_bins(block["b"])]}])
+    def move(found: tuple[int, dict[str, np.ndarray]]) -> tuple[int, dict[str, np.ndarray]]:
+        fit, block = found
+        tree = trees[fit]
+        return fit, {**block, "m": block["m"] + np.array(tree.value)[tree.leaves_of_bins(block["b"])]}
+
+    return rows.filter(lambda found: found[0] in trees).map(move)
+
 
-    return rows.where(F.col("fit").isin(*trees)).mapInArrow(run, BLOCKS)
+def _stored_blocks(rows: RDD, path: str) -> RDD:
+    """The blocks, written to the path and read again: the lineage ends there."""
+    rows.saveAsPickleFile(path)
+    return rows.context.pickleFile(path, 1)
 
 
 def _prepared(train: DataFrame, config: BoostConfig, fit: int, features: Sequence[str], label: str, key: Sequence[str], edges: Mapping[str, Sequence[float]] | None) -> Fit:
@@ -462,14 +469,16 @@ def fit_boosted_each(
     with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
         made = pool.map(lambda i: _prepared(runs[i][0], configs[i], i, features, label, key, edges), range(len(runs)))
         fits = dict(enumerate(made))
-    rows = stored(reduce(DataFrame.unionAll, [f.rows for f in fits.values()]), "binned")
+    binned_rows = stored(reduce(DataFrame.unionAll, [f.rows for f in fits.values()]), "binned")
+    rows = blocks(binned_rows).persist(StorageLevel.MEMORY_AND_DISK)
     going = [i for i, f in fits.items() if f.config.n_estimators + bool(f.config.early_stopping_rounds) > 0]
     number = 0
     while going:
         before = rows
         if number:
             moved = _with_margins(rows, {i: fits[i].trees[-1] for i in going})
-            rows = stored(moved, "margins") if number % STORE_EVERY == 0 else moved.persist()
+            kept = _stored_blocks(moved, scratch(binned_rows.sparkSession, "margins")) if number % STORE_EVERY == 0 else moved
+            rows = kept.persist(StorageLevel.MEMORY_AND_DISK)
         grown = grow(rows, fits, going, number)  # its first level fills the cache
         if before is not rows:
             before.unpersist()

@@ -193,3 +193,15 @@ def test_odd_inputs(spark, frame, tmp_path):
     MO.save_bundle(model, str(tmp_path / "m"), {"features": X}, spark)
     loaded, metadata = MO.load_bundle(str(tmp_path / "m"), spark)
     assert loaded == model and metadata["model_kind"] == "BoostedModel"
+
+
+def test_levels_are_small_jobs_without_a_plan(spark, frame, monkeypatch):
+    """A level has one stage while its sums are few; many sums meet in tasks, with the same trees."""
+    config = {**PENALISED, "n_estimators": 4, "subsample": 0.6}
+    shared, grow = [], B.grow
+    monkeypatch.setattr(B, "grow", lambda *a: shared.append(type(a[0])) or grow(*a))
+    direct = B.fit_boosted(frame.repartition(5), config, X, "y", edges=EDGES)
+    assert not any(issubclass(kind, type(frame)) for kind in shared)
+    monkeypatch.setattr(B, "DIRECT_SUMS", 0)
+    monkeypatch.setattr(B, "SUMS_A_TASK", 2)
+    assert B.fit_boosted(frame.repartition(5), config, X, "y", edges=EDGES).to_json() == direct.to_json()
