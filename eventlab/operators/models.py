@@ -196,28 +196,21 @@ def smoothed(rows: DataFrame, label: str = LABEL) -> DataFrame:
     return split.withColumns({label: F.col("_both.y"), "_part": F.col("_both.w")}).drop("_both")
 
 
-def fit_calibrated(
+def fit_calibrated_each(
     train: DataFrame,
-    method: str = "sigmoid",
+    methods: Sequence[str],
     cv: int = 3,
     base_config: Mapping[str, object] | None = None,
     features: Sequence[str] = FEATURES,
     label: str = LABEL,
-) -> CalibratedModel:
-    """Cross-fitted calibration: each fold's map is fitted on rows its trees did not see.
-
-    Folds are stratified: rows are numbered within their class, in the order of a hash of symbol and date, and dealt in
-    turn, so every fold has its share of each class to within a row. The sigmoid is fitted to smoothed targets, see
-    `smoothed`, the isotonic map to the labels.
-    """
-    if method not in ("sigmoid", "isotonic"):
+) -> list[CalibratedModel]:
+    """`fit_calibrated` by several methods. They share their folds and each fold's trees, which are fitted once."""
+    if not set(methods) <= {"sigmoid", "isotonic"}:
         raise ValueError("method must be 'sigmoid' or 'isotonic'")
     rows = stored(stratified_folds(train.withColumn(label, F.col(label).cast("double")), cv, label), "folds")
     fold = F.col("_fold")
 
-    def fit_fold(k: int) -> tuple:
-        base = fit_gbt(rows.where(fold != k), base_config, features, label)
-        held_out = _with_margin(base.transform(rows.where(fold == k)), "_margin")
+    def calibrator(method: str, held_out: DataFrame) -> LogisticRegressionModel | IsotonicRegressionModel:
         if method == "sigmoid":
             estimator = LogisticRegression(
                 featuresCol="_margin",
@@ -227,12 +220,37 @@ def fit_calibrated(
                 rawPredictionCol="_raw",
                 predictionCol="_class",
             )
-            return base, estimator.fit(smoothed(held_out, label))
+            return estimator.fit(smoothed(held_out, label))
         estimator = IsotonicRegression(featuresCol="_margin", labelCol=label, predictionCol="_calibrated")
-        return base, estimator.fit(held_out)
+        return estimator.fit(held_out)
+
+    def fit_fold(k: int) -> list[tuple]:
+        base = fit_gbt(rows.where(fold != k), base_config, features, label)
+        held_out = _with_margin(base.transform(rows.where(fold == k)), "_margin").select("_margin", label).persist()
+        fitted = [(base, calibrator(method, held_out)) for method in methods]
+        held_out.unpersist()
+        return fitted
 
     with ThreadPoolExecutor(cv) as pool:
-        return CalibratedModel(list(pool.map(fit_fold, range(cv))), label)
+        folds = list(pool.map(fit_fold, range(cv)))
+    return [CalibratedModel([fitted[i] for fitted in folds], label) for i in range(len(methods))]
+
+
+def fit_calibrated(
+    train: DataFrame,
+    method: str = "sigmoid",
+    cv: int = 3,
+    base_config: Mapping[str, object] | None = None,
+    features: Sequence[str] = FEATURES,
+    label: str = LABEL,
+) -> CalibratedModel:
+    """Cross-fitted calibration: each fold's map is fitted on rows its trees did not see.
+
+    Folds are stratified: rows are numbered within their class, in the order of a hash of symbol and date, and dealt in
+    turn, so every fold has its share of each class to within a row. The sigmoid is fitted to smoothed targets, see
+    `smoothed`, the isotonic map to the labels.
+    """
+    return fit_calibrated_each(train, [method], cv, base_config, features, label)[0]
 
 
 Model = PipelineModel | CalibratedModel | BoostedModel

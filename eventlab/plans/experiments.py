@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import brier_score, calibration_curve, classification_metrics, fold_summary
 from ..operators.membership import universe_current
-from ..operators.models import SIDE_BY_SIDE, fit_each, score_split, train_event_model
+from ..operators.models import SIDE_BY_SIDE, fit_calibrated_each, fit_each, score_split, train_event_model
 from ..operators.portfolio import RUN, backtest_kpis, exclude_top_each, limit_order_returns, payoff_stats
 from ..operators.splits import chrono_split, validation_slice, walk_forward_folds
 from ..schemas import FEATURES, KPIS, LABEL, RETURN, SUE_FEATURES, target
@@ -147,11 +147,18 @@ def calibration_compare(
     cv: int = 5,
     bins: int = 10,
 ) -> tuple[DataFrame, DataFrame]:
-    """Uncalibrated, sigmoid and isotonic scores: Brier score and KPIs, and reliability per bin."""
+    """Uncalibrated, sigmoid and isotonic scores: Brier score and KPIs, and reliability per bin.
+
+    Both calibrations are fitted on the same trees of each fold.
+    """
     split = stored(chrono_split(features, split_date))
-    options = {method: {"method": method, "cv": cv, "base_config": dict(config or {})} for method in ("sigmoid", "isotonic")}
-    calibrated = [lambda m=m: run_config(split, m, "calibrated", options[m]) for m in options]
-    scored = _fit_all([lambda: run_config(split, "uncalibrated", "gbt", config), *calibrated])
+    methods = ("sigmoid", "isotonic")
+
+    def calibrated() -> DataFrame:
+        models = fit_calibrated_each(split.where(F.col("split") == "train"), methods, cv, config)
+        return _stack([score_split(model, split).withColumn("run_id", F.lit(m)) for m, model in zip(methods, models, strict=True)])
+
+    scored = _fit_all([lambda: run_config(split, "uncalibrated", "gbt", config), calibrated])
     test = scored.where(F.col("split") == "test")
     table = compare(scored).join(brier_score(test, RUN), list(RUN))
     return table, calibration_curve(test, bins, RUN)

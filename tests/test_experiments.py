@@ -161,3 +161,16 @@ def test_baseline_compare_and_gap_robustness(features):
     config = {**TINY, "reg_alpha": 0.1, "n_estimators": 6, "early_stopping_rounds": 2}
     low = X.gap_robustness(features, SPLIT, VALIDATION, config).first()
     assert low["run_id"] == "lowest_gap" and None not in [low[f"return_excl_top{n}"] for n in (5, 10, 20)]
+
+
+def test_calibrations_share_each_folds_trees(features, monkeypatch):
+    fitted, fit_gbt = [], MO.fit_gbt
+    monkeypatch.setattr(MO, "fit_gbt", lambda *a: fitted.append(1) or fit_gbt(*a))
+    table, _ = X.calibration_compare(features, SPLIT, TINY, cv=2, bins=4)
+    assert len(fitted) == 1 + 2  # the uncalibrated trees and those of each fold, not of each fold and method
+    found = {r["run_id"]: r for r in table.collect()}
+    split = SP.chrono_split(features, SPLIT)
+    for method in ("sigmoid", "isotonic"):
+        model = MO.fit_calibrated(split.where("split = 'train'"), method, 2, TINY)
+        test = [(r["y_pred_proba"], r[LABEL]) for r in MO.score(model, split).collect() if r["split"] == "test"]
+        assert found[method]["brier_score"] == pytest.approx(statistics.mean((p - y) ** 2 for p, y in test))
