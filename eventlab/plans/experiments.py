@@ -14,7 +14,7 @@ from ..operators.metrics import brier_score, calibration_curve, classification_m
 from ..operators.membership import universe_current
 from ..operators.models import SIDE_BY_SIDE, fit_calibrated_each, fit_each, score_split, train_event_model
 from ..operators.portfolio import RUN, backtest_kpis, exclude_top_each, limit_order_returns, payoff_stats
-from ..operators.splits import chrono_split, validation_slice, walk_forward_folds
+from ..operators.splits import chrono_split, complete_rows, validation_slice, walk_forward_folds
 from ..schemas import FEATURES, KPIS, LABEL, RETURN, SUE_FEATURES, target
 from ..storage import stored
 from .backtests import CAP, event_backtest, signals, tranche_backtest
@@ -165,10 +165,16 @@ def calibration_compare(
 
 
 def sue_compare(features: DataFrame, split_date: dt.date, config: Mapping[str, object] | None = None) -> DataFrame:
-    """The raw surprise against the standardised one as a feature. Needs a ``sue`` column."""
+    """The raw surprise against the standardised one as a feature. Needs a ``sue`` column.
+
+    The rows that are complete for either model are stored once, and each model takes its own of them.
+    """
+    own = [f for f in (*FEATURES, *SUE_FEATURES) if (f in FEATURES) != (f in SUE_FEATURES)]
+    shared = [f for f in FEATURES if f in SUE_FEATURES]
+    split = stored(chrono_split(features.na.drop("all", subset=own), split_date, shared))
 
     def fit(label: str, names: Sequence[str]) -> DataFrame:
-        return run_config(stored(chrono_split(features, split_date, names)), label, "gbt", config, names)
+        return run_config(complete_rows(split, names), label, "gbt", config, names)
 
     return robust_compare(_fit_all([lambda: fit("raw_surprise", FEATURES), lambda: fit("sue", SUE_FEATURES)]))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from eventlab.operators import models as MO
 from eventlab.operators import splits as SP
 from eventlab.plans import experiments as X
-from eventlab.schemas import FEATURES, LABEL, RETURN
+from eventlab.schemas import FEATURES, LABEL, RETURN, SUE_FEATURES
 
 SPLIT = day("2021-01-01")
 VALIDATION = day("2020-09-01")
@@ -174,3 +174,23 @@ def test_calibrations_share_each_folds_trees(features, monkeypatch):
         model = MO.fit_calibrated(split.where("split = 'train'"), method, 2, TINY)
         test = [(r["y_pred_proba"], r[LABEL]) for r in MO.score(model, split).collect() if r["split"] == "test"]
         assert found[method]["brier_score"] == pytest.approx(statistics.mean((p - y) ** 2 for p, y in test))
+
+
+def test_sue_compare_reads_its_features_once(spark, features):
+    made = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    x = F.col("surprise_pct")
+    known = features.withColumns({"sue": F.when(F.dayofmonth("date") > 3, x * F.col("return_60d")), "surprise_pct": F.when(F.dayofmonth("date") < 28, x)})
+    counted = known.mapInPandas(watched, known.schema)
+    found = {r["run_id"]: r for r in X.sue_compare(counted, SPLIT, TINY).collect()}
+    assert made.value == features.count()  # each model built them for itself
+    assert set(found) == {"raw_surprise", "sue"}
+    for run, names in (("raw_surprise", FEATURES), ("sue", SUE_FEATURES)):
+        split = SP.chrono_split(known, SPLIT, names)
+        wanted = expected(MO.score(MO.fit("gbt", split.where("split = 'train'"), TINY, names, LABEL), split).collect())
+        assert shown(found[run], wanted) == pytest.approx(wanted)
