@@ -7,7 +7,8 @@ tasks by node and feature, and the driver sees one candidate for each. A
 leaf of gradient G and Hessian H weighs ``-sign(G) * max(|G| - alpha, 0) / (H + lambda)``.
 
 Several fits grow side by side: a job serves the level of all of them, so a study of many configurations has as
-many jobs as its longest fit. The margin of every row is a column that goes on by one tree at a time and is cached; it is
+many jobs as its longest fit. Fits on the same rows share their cuts and bins, and every task has blocks of all fits, so the
+last fit to go on still has all tasks. The margin of every row is a column that goes on by one tree at a time and is cached; it is
 written to storage after every `STORE_EVERY` trees, which cuts the lineage. So a job adds no earlier trees, the number of
 jobs is linear in the trees, and early stopping needs one fit: the loss of the held-out rows comes with the next tree's
 first level.
@@ -52,9 +53,9 @@ DIRECT_SUMS = 2048
 SUMS_A_TASK = 64
 CUTS = "fit int, node int, feature int, g bigint, h bigint, n bigint, bin int, gain double, gl bigint, hl bigint"
 CUT = Row(*[c.split()[0] for c in CUTS.split(", ")])
-#: A row is a block of one fit's rows: the bytes of each column, and of the bins feature by feature.
-BLOCKS = "fit int, key binary, y binary, w binary, v binary, m binary, b binary"
-KINDS = {"key": np.int64, "y": np.float64, "w": np.float64, "v": np.bool_, "m": np.float64, "b": np.int16}
+#: A row is a block of one fit's rows: what a positive row weighs, the bytes of each column, and of the bins feature by feature.
+BLOCKS = "fit int, w double, key binary, y binary, v binary, b binary"
+KINDS = {"key": np.int64, "y": np.float64, "v": np.bool_, "b": np.int16}
 #: Node of the histogram's row that holds the held-out rows' loss (g) and number (n).
 HELD_OUT = -1
 
@@ -125,13 +126,16 @@ class Tree:
         for i, f in enumerate(self.feature):
             if f >= 0:
                 depth[self.left[i]] = depth[self.right[i]] = depth[i] + 1
-        node, rows, values = np.zeros(n, np.int64), np.arange(n), np.ascontiguousarray(x).ravel()
-        for _ in range(max(depth)):
-            node = below[2 * node + (values[feature[node] * n + rows] > cut[node])]
+        if not max(depth):
+            return np.zeros(n, np.int64)
+        node, rows, values = below.take((x[feature[0]] > cut[0]).astype(np.int64)), np.arange(n), np.ascontiguousarray(x).ravel()
+        for _ in range(max(depth) - 1):
+            node = below.take(2 * node + (values.take(feature.take(node) * n + rows) > cut.take(node)))
         return node
 
-    def leaves_of_bins(self, bins: np.ndarray) -> np.ndarray:
-        return self.leaves(bins, self.bin)
+    def leaves_of_bins(self, bins: np.ndarray, lowest: int = 0) -> np.ndarray:
+        """``bins`` are counted from ``lowest``."""
+        return self.leaves(bins, np.array(self.bin) - lowest)
 
     def leaves_of_values(self, x: np.ndarray) -> np.ndarray:
         """A missing value goes left."""
@@ -183,7 +187,7 @@ def leaf_weight(g: float, h: float, alpha: float, lam: float) -> float:
 
 def quantile_edges(rows: DataFrame, features: Sequence[str], max_bin: int) -> list[list[float]]:
     """At most ``max_bin - 1`` cuts per feature, by mergeable quantile sketches; bounded by the parameter."""
-    shares = [i / max_bin for i in range(1, max_bin)]
+    shares = F.lit([i / max_bin for i in range(1, max_bin)])
     found = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), shares, 100 * max_bin).alias(f"q{i}") for i, f in enumerate(features)]).first()
     return [sorted({float(x) for x in q or [] if math.isfinite(x)}) for q in found]
 
@@ -191,45 +195,59 @@ def quantile_edges(rows: DataFrame, features: Sequence[str], max_bin: int) -> li
 def binned(
     rows: DataFrame, features: Sequence[str], label: str, edges: Sequence[Sequence[float]], positive: float, key: Column, held_out: Column, fit: int = 0
 ) -> DataFrame:
-    """Blocks of ``key, y, w, v, m`` and the bins of the features. Bin 0 is a missing value; bin b lies above b - 1 edges."""
+    """Blocks of ``key, y, v`` and the bins of the features. Bin 0 is a missing value; bin b lies above b - 1 edges."""
     cuts = [np.array(e) for e in edges]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[dict[str, np.ndarray]] = []
         for batch in batches:
-            part = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(KINDS[c]) for c in ("key", "y", "w", "v")}
+            part = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(KINDS[c]) for c in ("key", "y", "v")}
             bins = np.zeros((len(cuts), batch.num_rows), np.int16)
             for i, cut in enumerate(cuts):
                 x = batch.column(f"x{i}").to_numpy(zero_copy_only=False).astype(np.float64)
                 bins[i] = np.where(np.isnan(x), 0, 1 + np.searchsorted(cut, x, "left"))
-            waiting.append({**part, "m": np.zeros(batch.num_rows), "b": bins})
+            waiting.append({**part, "b": bins})
             if sum(len(w["y"]) for w in waiting) >= BLOCK_ROWS:
-                yield _block(fit, waiting)
+                yield _block(fit, positive, waiting)
                 waiting = []
         if waiting:
-            yield _block(fit, waiting)
+            yield _block(fit, positive, waiting)
 
-    y = F.col(label).cast("double")
     slim = rows.select(
-        key.cast("bigint").alias("key"), y.alias("y"), F.when(y > 0, float(positive)).otherwise(1.0).alias("w"),
+        key.cast("bigint").alias("key"), F.col(label).cast("double").alias("y"),
         held_out.alias("v"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)],
     )
     return slim.where("y IS NOT NULL").mapInArrow(run, BLOCKS)
 
 
-def _block(fit: int, parts: Sequence[dict[str, np.ndarray]]) -> pa.RecordBatch:
+def _block(fit: int, positive: float, parts: Sequence[dict[str, np.ndarray]]) -> pa.RecordBatch:
     whole = [np.concatenate([p[c] for p in parts], -1).tobytes() for c in KINDS]
-    return pa.RecordBatch.from_arrays([pa.array([fit], pa.int32()), *[pa.array([x], pa.binary()) for x in whole]], names=["fit", *KINDS])
+    columns = [pa.array([fit], pa.int32()), pa.array([positive], pa.float64()), *[pa.array([x], pa.binary()) for x in whole]]
+    return pa.RecordBatch.from_arrays(columns, names=["fit", "w", *KINDS])
 
 
-def blocks(rows: DataFrame) -> RDD:
-    """The blocks as (fit, columns by name); the bins have a row per feature."""
+def blocks(rows: DataFrame, sharing: Mapping[int, Mapping[int, tuple[float, bool]]] | None = None) -> RDD:
+    """The blocks as (fit, columns by name), with margins ``m`` of 0; the bins have a row per feature, counted from ``lowest``.
 
-    def read(row: Row) -> tuple[int, dict[str, np.ndarray]]:
-        columns = {c: np.frombuffer(row[c], kind) for c, kind in KINDS.items()}
-        return row["fit"], {**columns, "b": columns["b"].reshape(-1, len(columns["y"]))}
+    ``sharing`` names for each fit of the blocks the fits that share its rows, what a positive row weighs in each, and
+    whether it draws rows by their key. Columns are as narrow as their values, and those without use are None.
+    """
+
+    def read(row: Row) -> Iterator[tuple[int, dict[str, object]]]:
+        key, y, v, b = (np.frombuffer(row[c], kind) for c, kind in KINDS.items())
+        lowest = int(b.min()) if len(b) else 0
+        b = (b - lowest).reshape(-1, len(y))
+        shared = {
+            "y": y.astype(np.int8) if np.isin(y, (0.0, 1.0)).all() else y,
+            "v": v if v.any() else None,
+            "m": np.zeros(len(y)),
+            "b": b.astype(np.uint8) if b.max(initial=0) < 256 else b,
+            "lowest": lowest,
+        }
+        for fit, (positive, drawn) in sharing[row["fit"]].items() if sharing else [(row["fit"], (row["w"], True))]:
+            yield fit, {**shared, "w": float(positive), "key": key if drawn else None}
 
-    return rows.rdd.map(read)
+    return rows.rdd.flatMap(read)
 
 
 def _uniform(key: np.ndarray, seed: int) -> np.ndarray:
@@ -266,32 +284,41 @@ def gradient_histogram(rows: RDD, growing: Mapping[int, Growth]) -> RDD:
     """
     growing = dict(growing)
 
-    def run(parts: Iterator[tuple[int, dict[str, np.ndarray]]]) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
+    def run(parts: Iterator[tuple[int, dict[str, object]]]) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
         sums = {fit: np.zeros((3, len(g.columns), len(g.nodes) * g.bins), np.int64) for fit, g in growing.items()}
         held = {fit: [0, 0] for fit in growing}
         for fit, block in parts:
             if fit not in growing:
                 continue
             to = growing[fit]
-            y, w, v = block["y"], block["w"], block["v"]
-            p = 1 / (1 + np.exp(-block["m"]))
-            if 0 in to.nodes and v.any():
-                right = np.clip(np.where(y[v] > 0, p[v], 1 - p[v]), 1e-16, 1)
+            y, v, m = block["y"], block["v"], block["m"]
+            if 0 in to.nodes and v is not None:
+                p = 1 / (1 + np.exp(-m[v]))
+                right = np.clip(np.where(y[v] > 0, p, 1 - p), 1e-16, 1)
                 held[fit][0] += int(np.rint(-np.log(right) * UNIT).sum())
                 held[fit][1] += int(v.sum())
             slot_of = np.full(len(to.tree.feature), -1)
             slot_of[list(to.nodes)] = np.arange(len(to.nodes))
-            slot = slot_of[to.tree.leaves_of_bins(block["b"])]
-            used = ~v & (slot >= 0)
+            slot = slot_of.take(to.tree.leaves_of_bins(block["b"], block["lowest"]))
+            used = slot >= 0
+            if v is not None:
+                used &= ~v
             share, seed = to.sample
             if share < 1:
                 used &= _uniform(block["key"], seed) < share
-            g, h = np.rint(w * (p - y) * UNIT)[used], np.rint(w * p * (1 - p) * UNIT)[used]
-            first = slot[used] * to.bins
+            at = np.flatnonzero(used)
+            whole = len(at) == len(y)
+            taken = (lambda x: x) if whole else (lambda x: x.take(at))
+            y, p = taken(y), 1 / (1 + np.exp(-taken(m)))
+            w = 1.0 if block["w"] == 1 else np.where(y > 0, block["w"], 1.0)
+            g, h = np.rint(w * (p - y) * UNIT), np.rint(w * p * (1 - p) * UNIT)
+            first = taken(slot) * to.bins + block["lowest"]
+            size = sums[fit].shape[2]
             for j, f in enumerate(to.columns):
-                at = first + block["b"][f][used]
+                cell = first + taken(block["b"][f])
                 for i, weights in enumerate((g, h, None)):
-                    sums[fit][i, j] += np.rint(np.bincount(at, weights, sums[fit].shape[2])).astype(np.int64)
+                    # Sums of a block are whole numbers below 2 ** 53.
+                    sums[fit][i, j] += np.bincount(cell, weights, size).astype(np.int64)
         for fit, to in growing.items():
             for slot, node in enumerate(to.nodes):
                 for j, feature in enumerate(to.columns):
@@ -367,11 +394,11 @@ def split_nodes(tree: Tree, found: Sequence[Row], edges: Sequence[Sequence[float
 
 @dataclass
 class Fit:
-    """One of several fits that grow together: its parameters and cuts, and what it has so far."""
+    """One of several fits that grow together: its parameters and cuts, what a positive row weighs, and what it has so far."""
 
     config: BoostConfig
     edges: list[list[float]]
-    rows: DataFrame
+    positive: float = 1.0
     trees: list[Tree] = field(default_factory=list)
     losses: list[float] = field(default_factory=list)
 
@@ -431,10 +458,10 @@ def _with_margins(rows: RDD, trees: Mapping[int, Tree]) -> RDD:
     """The blocks of the fits that go on, their margins one tree further."""
     trees = dict(trees)
 
-    def move(found: tuple[int, dict[str, np.ndarray]]) -> tuple[int, dict[str, np.ndarray]]:
+    def move(found: tuple[int, dict[str, object]]) -> tuple[int, dict[str, object]]:
         fit, block = found
         tree = trees[fit]
-        return fit, {**block, "m": block["m"] + np.array(tree.value)[tree.leaves_of_bins(block["b"])]}
+        return fit, {**block, "m": block["m"] + np.array(tree.value).take(tree.leaves_of_bins(block["b"], block["lowest"]))}
 
     return rows.filter(lambda found: found[0] in trees).map(move)
 
@@ -445,15 +472,26 @@ def _stored_blocks(rows: RDD, path: str) -> RDD:
     return rows.context.pickleFile(path, 1)
 
 
-def _prepared(train: DataFrame, config: BoostConfig, fit: int, features: Sequence[str], label: str, key: Sequence[str], edges: Mapping[str, Sequence[float]] | None) -> Fit:
+def _alike(a: tuple[DataFrame, BoostConfig], b: tuple[DataFrame, BoostConfig]) -> bool:
+    """Whether two fits have the same rows, held-out ones included, cuts and keys."""
+    same = [(c.seed, c.max_bin, bool(c.early_stopping_rounds)) for _, c in (a, b)]
+    return same[0] == same[1] and (a[0] is b[0] or a[0].sameSemantics(b[0]))
+
+
+def _prepared(train: DataFrame, configs: Mapping[int, BoostConfig], features: Sequence[str], label: str, key: Sequence[str], edges: Mapping[str, Sequence[float]] | None) -> tuple[dict[int, Fit], DataFrame]:
+    """Fits that are alike, and their blocks under the number of the first."""
+    number, config = next(iter(configs.items()))
     held_out = F.coalesce(F.col("is_validation"), F.lit(False)) if config.early_stopping_rounds else F.lit(False)
     fitted_on = train.where(~held_out & F.col(label).isNotNull())
-    positive = config.scale_pos_weight
-    if positive == "balanced":
-        positive = class_weight(fitted_on, label=label).first()["scale_pos_weight"] or 1.0
+    balanced = 1.0
+    if any(c.scale_pos_weight == "balanced" for c in configs.values()):
+        balanced = class_weight(fitted_on, label=label).first()["scale_pos_weight"] or 1.0
     cuts = [sorted(map(float, edges[f])) for f in features] if edges else quantile_edges(fitted_on, features, config.max_bin)
+    fits = {i: Fit(c, cuts, float(balanced if c.scale_pos_weight == "balanced" else c.scale_pos_weight)) for i, c in configs.items()}
     known = [F.col(c).cast("string") for c in (key if set(key) <= set(train.columns) else features)]
-    return Fit(config, cuts, binned(train, features, label, cuts, float(positive), hash_int(F.lit(config.seed), *known), held_out, fit))
+    drawn = any(c.subsample < 1 for c in configs.values())
+    place = hash_int(F.lit(config.seed), *known) if drawn else F.lit(0)
+    return fits, binned(train, features, label, cuts, fits[number].positive, place, held_out, number)
 
 
 def fit_boosted_each(
@@ -465,12 +503,19 @@ def fit_boosted_each(
 ) -> list[BoostedModel]:
     """`fit_boosted` of several (training rows, parameters), grown in the same jobs."""
     features = list(features)
-    configs = [c if isinstance(c, BoostConfig) else BoostConfig.of(c) for _, c in runs]
+    known = [(rows, c if isinstance(c, BoostConfig) else BoostConfig.of(c)) for rows, c in runs]
+    groups: list[list[int]] = []
+    for i, run in enumerate(known):
+        group = next((g for g in groups if _alike(known[g[0]], run)), None)
+        groups.append([i]) if group is None else group.append(i)
     with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
-        made = pool.map(lambda i: _prepared(runs[i][0], configs[i], i, features, label, key, edges), range(len(runs)))
-        fits = dict(enumerate(made))
-    binned_rows = stored(reduce(DataFrame.unionAll, [f.rows for f in fits.values()]), "binned")
-    rows = blocks(binned_rows).persist(StorageLevel.MEMORY_AND_DISK)
+        made = list(pool.map(lambda g: _prepared(known[g[0]][0], {i: known[i][1] for i in g}, features, label, key, edges), groups))
+    fits = {i: f for group, _ in made for i, f in sorted(group.items())}
+    sharing = {g[0]: {i: (fits[i].positive, fits[i].config.subsample < 1) for i in g} for g in groups}
+    every = reduce(DataFrame.unionAll, [found for _, found in made])
+    # Blocks are dealt in turn: a task of a level has as many of each fit as another.
+    binned_rows = stored(every.repartition(every.sparkSession.sparkContext.defaultParallelism), "binned")
+    rows = blocks(binned_rows, sharing).persist(StorageLevel.MEMORY_AND_DISK_DESER)
     going = [i for i, f in fits.items() if f.config.n_estimators + bool(f.config.early_stopping_rounds) > 0]
     number = 0
     while going:
@@ -478,7 +523,7 @@ def fit_boosted_each(
         if number:
             moved = _with_margins(rows, {i: fits[i].trees[-1] for i in going})
             kept = _stored_blocks(moved, scratch(binned_rows.sparkSession, "margins")) if number % STORE_EVERY == 0 else moved
-            rows = kept.persist(StorageLevel.MEMORY_AND_DISK)
+            rows = kept.persist(StorageLevel.MEMORY_AND_DISK_DESER)
         grown = grow(rows, fits, going, number)  # its first level fills the cache
         if before is not rows:
             before.unpersist()
@@ -488,7 +533,7 @@ def fit_boosted_each(
     for f in fits.values():
         if f.config.early_stopping_rounds and f.losses:
             f.trees = f.trees[: max(1, f.best)]
-    return [BoostedModel(features, f.trees, f.edges, label, f.losses) for f in fits.values()]
+    return [BoostedModel(features, f.trees, f.edges, label, f.losses) for _, f in sorted(fits.items())]
 
 
 def fit_boosted(

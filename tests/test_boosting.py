@@ -205,3 +205,28 @@ def test_levels_are_small_jobs_without_a_plan(spark, frame, monkeypatch):
     monkeypatch.setattr(B, "DIRECT_SUMS", 0)
     monkeypatch.setattr(B, "SUMS_A_TASK", 2)
     assert B.fit_boosted(frame.repartition(5), config, X, "y", edges=EDGES).to_json() == direct.to_json()
+
+
+def test_fits_on_the_same_rows_are_prepared_once(spark, frame, monkeypatch):
+    stopping = {**PENALISED, "early_stopping_rounds": 2}
+    configs = [PENALISED, {**PENALISED, "scale_pos_weight": "balanced"}, stopping, {**PENALISED, "subsample": 0.6}, {**PENALISED, "max_bin": 400}]
+    alone = [B.fit_boosted(frame, config, X, "y") for config in configs]
+    made, binned = [], B.binned
+    monkeypatch.setattr(B, "binned", lambda *a: made.append(a[-1]) or binned(*a))
+    runs = [(frame.where(F.col("a").isNotNull()), config) for config in configs]
+    together = B.fit_boosted_each(runs, X, "y")
+    assert sorted(made) == [0, 2, 4]  # held-out rows and other cuts have bins of their own
+    assert [m.to_json() for m in together] == [m.to_json() for m in alone]
+
+
+def test_every_task_has_blocks_of_the_last_fit(spark, frame, monkeypatch):
+    """A fit that goes on alone keeps as many tasks as all fits had, whatever partitions its rows came in."""
+    monkeypatch.setattr(B, "BLOCK_ROWS", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    held, grow = [], B.grow
+    monkeypatch.setattr(B, "grow", lambda rows, *a: held.append(rows.map(lambda x: x[0]).glom().collect()) or grow(rows, *a))
+    stopping = {**PENALISED, "n_estimators": 1, "early_stopping_rounds": 2}
+    B.fit_boosted_each([(frame.coalesce(1), c) for c in (PENALISED, stopping)], X, "y", edges=EDGES)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tasks = spark.sparkContext.defaultParallelism
+    assert sum(1 in found for found in held[0]) == tasks and sum(0 in found for found in held[0]) == tasks
